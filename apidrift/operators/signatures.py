@@ -74,8 +74,7 @@ def _names(params: Column) -> Column:
 
 def _first_default(params: Column, name: Column) -> Column:
     # has_default of the first parameter carrying this name
-    return F.element_at(F.filter(params, lambda p: p["name"] == name), 1)[
-        "has_default"]
+    return F.get(F.filter(params, lambda p: p["name"] == name), 0)["has_default"]
 
 
 def compare_code(old: Column, new: Column) -> Column:

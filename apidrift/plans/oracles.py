@@ -92,3 +92,154 @@ SELECT lib, kind, api_path AS api_name, {_CHANGE} AS change,
   api_path AS outdated_name, old_signature AS outdated_signature,
   old_doc AS outdated_doc
 FROM ({X.catalog_base_sql(D)}) b WHERE v IN (3, 4, 5, 9)""")
+
+
+# ------------------------------------------------------- function call sites
+
+def _with(**ctes: str) -> str:
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n"
+
+
+_F = dict(items=X.items_sql(D), files=X.files_sql(D), facts=X.facts_sql(D))
+_CALLNO = "CASE WHEN renamed THEN 'h' ELSE 'f' END || CAST(pk AS VARCHAR)"
+
+oracle("import_aliases", _with(items=_F["items"]) + f"""
+SELECT DISTINCT file_id, lib, alias, full_name FROM (
+  SELECT file_id, lib,
+    CASE WHEN style = 0 THEN 'L' || CAST(pk % 3 AS VARCHAR)
+         WHEN style = 1 THEN {_CALLNO} ELSE lib END AS alias,
+    CASE WHEN style = 1 THEN api_path ELSE lib END AS full_name
+  FROM items
+  UNION ALL
+  SELECT file_id, lib, lib AS alias, lib AS full_name FROM items
+) x WHERE file_id % 97 <> 0""")
+
+oracle("import_text", _with(files=_F["files"]) + """
+SELECT file_id, header AS import_text FROM files""")
+
+oracle("function_calls", _with(items=_F["items"], files=_F["files"]) + """
+SELECT i.file_id, i.lib, 'def' AS scope, i.api_path,
+  row_number() OVER (PARTITION BY i.file_id, i.pk ORDER BY i.n) = 1 AS is_first,
+  CAST(f.n_header + 4 + 5 * (i.n - 1) AS BIGINT) AS line
+FROM items i JOIN files f ON i.file_id = f.file_id WHERE i.file_id % 97 <> 0
+UNION ALL
+SELECT file_id, lib, 'main' AS scope, api_path, true AS is_first, CAST(2 AS BIGINT) AS line
+FROM items WHERE n = 1 AND file_id % 4 = 0 AND file_id % 97 <> 0""")
+
+_T6_COLS = """i.file_id, i.lib, {scope} AS scope, i.api_path AS API_path, f.repository, f.url,
+  strftime(x.last_updated, '%Y-%m-%d %H:%M:%S') AS last_updated,
+  COALESCE(x.stars, CAST(0 AS BIGINT)) AS stars"""
+
+_T6_DEF = f"""
+SELECT {_T6_COLS.format(scope="'def'")},
+  f.header AS import,
+  'def g' || CAST(i.n AS VARCHAR) || '(a):' || chr(10) || '    b = a' || chr(10)
+    || '    r = ' || i.call_name AS context,
+  '(b, ' || CAST(i.n AS VARCHAR) || ')' AS target_seq,
+  '    return r' AS suffix
+FROM (SELECT *, row_number() OVER (PARTITION BY file_id, pk ORDER BY n) AS k FROM items) i
+JOIN files f ON i.file_id = f.file_id LEFT JOIN facts x ON i.file_id = x.file_id
+WHERE i.k = 1 AND NOT i.renamed AND i.file_id % 97 <> 0"""
+
+_T6_MAIN = f"""
+SELECT {_T6_COLS.format(scope="'main'")},
+  '' AS import,
+  'def main():' || chr(10) || '    result = ' || i.call_name AS context,
+  '(0, 0)' AS target_seq, '' AS suffix
+FROM items i JOIN files f ON i.file_id = f.file_id LEFT JOIN facts x ON i.file_id = x.file_id
+WHERE i.n = 1 AND i.file_id % 4 = 0 AND NOT i.renamed AND i.file_id % 97 <> 0"""
+
+oracle("function_calls_first", _with(**_F) + _T6_DEF + "\nUNION ALL\n" + _T6_MAIN)
+
+oracle("script_calls", _with(**_F) + f"""
+SELECT file_id, API_path, import, context, target_seq, suffix FROM ({_T6_MAIN}) m""")
+
+oracle("split_call", _with(items=_F["items"]) + """
+SELECT file_id, api_path,
+  CASE WHEN style = 0 THEN 'm' || CAST(pk % 7 AS VARCHAR) || '.f' || CAST(pk AS VARCHAR)
+       WHEN style = 1 THEN 'f' || CAST(pk AS VARCHAR) ELSE api_path END AS api_name,
+  '(b, ' || CAST(n AS VARCHAR) || ')' AS target_seq
+FROM (SELECT *, row_number() OVER (PARTITION BY file_id, pk ORDER BY n) AS k FROM items) i
+WHERE k = 1 AND NOT renamed AND file_id % 97 <> 0""")
+
+oracle("call_rejects", _with(items=_F["items"], files=_F["files"]) + """
+SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'SyntaxError' AS reason FROM files WHERE file_id % 97 = 0
+  UNION ALL
+  SELECT 'no_name' FROM (
+    SELECT *, row_number() OVER (PARTITION BY file_id, pk ORDER BY n) AS k FROM items) i
+  WHERE k = 1 AND renamed AND file_id % 97 <> 0
+  UNION ALL
+  SELECT 'no_name' FROM items WHERE n = 1 AND file_id % 4 = 0 AND renamed AND file_id % 97 <> 0
+) r GROUP BY reason""")
+
+
+# ------------------------------------------------------------------ retrieval
+
+_CHANGED_FN = f"""
+SELECT pk, lib, api_path, 'm' || CAST(pk % 7 AS VARCHAR) AS m, 'f' || CAST(pk AS VARCHAR) AS f
+FROM ({X.catalog_base_sql(D)}) b WHERE kind = 'function' AND v IN (3, 4, 5, 9)"""
+
+oracle("api_patterns", _with(c=_CHANGED_FN) + """
+SELECT api_path, CAST(k AS BIGINT) AS pattern_no,
+  CASE k WHEN 0 THEN api_path WHEN 1 THEN 'import ' || lib || ' as'
+    WHEN 2 THEN '.' || m || '.' || f WHEN 3 THEN 'from ' || lib || ' import ' || m
+    WHEN 4 THEN '.' || f WHEN 5 THEN 'import ' || lib || '.' || m || ' as'
+    WHEN 6 THEN '.' || f WHEN 7 THEN 'from ' || lib || '.' || m || ' import ' || f
+    ELSE f END AS pattern
+FROM c CROSS JOIN range(9) t(k)""")
+
+oracle("api_queries", _with(c=_CHANGED_FN) + """
+SELECT api_path, CAST(q AS BIGINT) AS query_no,
+  CASE q WHEN 1 THEN api_path
+    WHEN 2 THEN 'import ' || lib || ' as | .' || m || '.' || f
+    WHEN 3 THEN 'import ' || lib || '.' || m || ' as | .' || f
+    WHEN 4 THEN 'from ' || lib || ' import ' || m || ' | .' || f
+    ELSE 'from ' || lib || '.' || m || ' import ' || f || ' | ' || f END AS terms,
+  f AS leaf
+FROM c CROSS JOIN range(1, 6) t(q)""")
+
+_MATCHES = _with(items=_F["items"], c=_CHANGED_FN, m="""
+  SELECT DISTINCT c.api_path,
+    CASE WHEN i.style = 0 THEN 2 WHEN i.style = 1 THEN 5 ELSE 1 END AS query_no, i.file_id
+  FROM items i JOIN c ON i.pk = c.pk""", t="""
+  SELECT q.api_path, q.query_no, COALESCE(n.n, 0) AS n_hits
+  FROM (SELECT api_path, r AS query_no FROM c CROSS JOIN range(1, 6) t(r)) q
+  LEFT JOIN (SELECT api_path, query_no, count(*) AS n FROM m GROUP BY api_path, query_no) n
+    ON q.api_path = n.api_path AND q.query_no = n.query_no""", b="""
+  SELECT *, COALESCE(sum(n_hits) OVER (PARTITION BY api_path ORDER BY query_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 12 AS kept FROM t""")
+
+oracle("search_matches", _MATCHES + """
+SELECT api_path, CAST(query_no AS BIGINT) AS query_no, file_id FROM m""")
+
+oracle("search_budget", _MATCHES + """
+SELECT api_path, CAST(query_no AS BIGINT) AS query_no, CAST(n_hits AS BIGINT) AS n_hits, kept
+FROM b""")
+
+oracle("search_counts", _MATCHES + """
+SELECT api_path, CAST(sum(n_hits) AS BIGINT) AS n_hits FROM b WHERE kept GROUP BY api_path""")
+
+oracle("search_top_m", _MATCHES + """
+SELECT api_path, CAST(rnk AS BIGINT) AS rank, file_id, CAST(query_no AS BIGINT) AS query_no
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY api_path
+                               ORDER BY ceil(place / 100), query_no, place) AS rnk
+  FROM (SELECT m.*, row_number() OVER (PARTITION BY m.api_path, m.query_no
+                                       ORDER BY m.file_id) AS place
+        FROM m JOIN b ON m.api_path = b.api_path AND m.query_no = b.query_no
+        WHERE b.kept) p
+) r WHERE rnk <= 5""")
+
+oracle("enrich_files", _with(files=_F["files"], facts=_F["facts"]) + """
+SELECT f.file_id, f.repository, f.url, COALESCE(x.stars, CAST(0 AS BIGINT)) AS stars,
+  COALESCE(strftime(x.last_updated, '%Y-%m-%d %H:%M:%S'), 'Unknown') AS last_updated
+FROM files f LEFT JOIN facts x ON f.file_id = x.file_id""")
+
+oracle("filter_files", _with(files=_F["files"], facts=_F["facts"]) + """
+SELECT f.file_id FROM files f LEFT JOIN facts x ON f.file_id = x.file_id
+WHERE COALESCE(x.stars, 0) >= 0
+  AND (x.last_updated IS NULL OR x.last_updated <= TIMESTAMP '1995-06-30 00:00:00')""")
+
+oracle("usage_test", _MATCHES + """
+SELECT DISTINCT api_path, file_id, true AS used FROM m""")

@@ -105,3 +105,154 @@ def q_api_change_counts(spark, sf_dir):
 @query("changed_api_lookup")
 def q_changed_api_lookup(spark, sf_dir):
     return diff.changed_api_lookup(_changes(spark, sf_dir))
+
+
+# ------------------------------------------------------- function call sites
+
+from apidrift.operators import callsites, retrieve  # noqa: E402
+
+META = ("repository", "url", "last_updated", "stars")
+
+
+def _corpus(spark, sf_dir):
+    # The fixture corpus comes out of a small aggregation that AQE folds
+    # into one partition; the parse pass is CPU-bound, so spread it over
+    # the cores again. A corpus read from storage is split by the scan.
+    n = 4 * spark.sparkContext.defaultParallelism
+    return retrieve.enrich(fixtures.corpus(spark, sf_dir)).repartition(n, "file_id")
+
+
+def _fn_records(spark, sf_dir, want=("fcall", "alias", "error")):
+    return callsites.parse_pass(_corpus(spark, sf_dir), libs=fixtures.LIBS,
+                                want=want, keep=META)
+
+
+def _fn_sites(spark, sf_dir):
+    return callsites.function_sites(_fn_records(spark, sf_dir, ("fcall",)))
+
+
+@query("import_aliases")
+def q_import_aliases(spark, sf_dir):
+    r = _fn_records(spark, sf_dir, ("alias",)).where("rec = 'alias'")
+    return r.select("file_id", "lib", F.col("name").alias("alias"),
+                    F.col("target").alias("full_name"))
+
+
+@query("import_text")
+def q_import_text(spark, sf_dir):
+    c = fixtures.corpus(spark, sf_dir)
+    return c.select("file_id", callsites.import_text(F.col("content")).alias("import_text"))
+
+
+@query("function_calls")
+def q_function_calls(spark, sf_dir):
+    r = callsites.function_call_rows(_fn_records(spark, sf_dir, ("fcall",)))
+    return r.select("file_id", "lib", "scope", "api_path",
+                    (F.col("how") == "first").alias("is_first"),
+                    F.col("line").cast("bigint").alias("line"))
+
+
+@query("function_calls_first")
+def q_function_calls_first(spark, sf_dir):
+    return callsites.t6(_fn_sites(spark, sf_dir))
+
+
+@query("script_calls")
+def q_script_calls(spark, sf_dir):
+    return callsites.t6(_fn_sites(spark, sf_dir)).where("scope = 'main'").select(
+        "file_id", "API_path", "import", "context", "target_seq", "suffix")
+
+
+@query("split_call")
+def q_split_call(spark, sf_dir):
+    s = _fn_sites(spark, sf_dir).where("scope = 'def' AND split.ok")
+    return s.select("file_id", "api_path", F.col("split.api_name").alias("api_name"),
+                    F.col("split.target_seq").alias("target_seq"))
+
+
+@query("call_rejects")
+def q_call_rejects(spark, sf_dir):
+    recs = _fn_records(spark, sf_dir, ("fcall", "error"))
+    sites = callsites.function_sites(recs)
+    return callsites.rejects(recs, sites).select("reason", _i64("n"))
+
+
+# ------------------------------------------------------------------ retrieval
+
+SEARCH_BUDGET = 12
+
+
+def _changed_functions(spark, sf_dir):
+    ch = _changes(spark, sf_dir)
+    return ch.where("kind = 'function' AND change IN ('modified_A', 'modified_B')").select(
+        "api_path", "kind")
+
+
+def _search(spark, sf_dir):
+    qs = retrieve.queries(_changed_functions(spark, sf_dir))
+    corpus = _corpus(spark, sf_dir)
+    return qs, retrieve.search(corpus, qs), corpus
+
+
+@query("api_patterns")
+def q_api_patterns(spark, sf_dir):
+    a = _changed_functions(spark, sf_dir)
+    return a.select("api_path", F.posexplode(retrieve.patterns(F.col("api_path"))).alias(
+        "pattern_no", "pattern")).select("api_path", _i64("pattern_no"), "pattern")
+
+
+@query("api_queries")
+def q_api_queries(spark, sf_dir):
+    qs = retrieve.queries(_changed_functions(spark, sf_dir))
+    return qs.select("api_path", _i64("query_no"),
+                     F.array_join("terms", " | ").alias("terms"), "leaf")
+
+
+@query("search_matches")
+def q_search_matches(spark, sf_dir):
+    _, m, _ = _search(spark, sf_dir)
+    return m.select("api_path", _i64("query_no"), "file_id")
+
+
+@query("search_budget")
+def q_search_budget(spark, sf_dir):
+    qs, m, _ = _search(spark, sf_dir)
+    return retrieve.query_totals(qs, m, SEARCH_BUDGET).select(
+        "api_path", _i64("query_no"), _i64("n_hits"), "kept")
+
+
+@query("search_counts")
+def q_search_counts(spark, sf_dir):
+    qs, m, _ = _search(spark, sf_dir)
+    return retrieve.hit_counts(retrieve.query_totals(qs, m, SEARCH_BUDGET)).select(
+        "api_path", _i64("n_hits"))
+
+
+@query("search_top_m")
+def q_search_top_m(spark, sf_dir):
+    qs, m, corpus = _search(spark, sf_dir)
+    t = retrieve.query_totals(qs, m, SEARCH_BUDGET)
+    return retrieve.top_m(m, t, corpus).select(
+        "api_path", _i64("rank"), "file_id", _i64("query_no"))
+
+
+@query("enrich_files")
+def q_enrich_files(spark, sf_dir):
+    return _corpus(spark, sf_dir).select(
+        "file_id", "repository", "url", "stars",
+        F.coalesce(F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss"),
+                   F.lit("Unknown")).alias("last_updated"))
+
+
+@query("filter_files")
+def q_filter_files(spark, sf_dir):
+    return retrieve.filter_files(_corpus(spark, sf_dir), stars_limit=0,
+                                 time_limit="1995-06-30 00:00:00").select("file_id")
+
+
+@query("usage_test")
+def q_usage_test(spark, sf_dir):
+    _, m, corpus = _search(spark, sf_dir)
+    pairs = m.select("api_path", "file_id").distinct().join(
+        corpus.select("file_id", "content"), "file_id")
+    return retrieve.usage_test(pairs).select("api_path", "file_id", "used")

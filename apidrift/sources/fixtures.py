@@ -133,3 +133,98 @@ def libs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(f"lib{i}", f"lib{i}", "1.0", "2.0") for i in range(3)],
         "lib string, lib_name string, old_version string, new_version string")
+
+
+# ---------------------------------------------------------------------------
+# Corpus of Python files for function calls, one file per order, one
+# `def g{n}` per line item calling the item's API. Import style by
+# l_orderkey % 3: 0 `import libI as LI`, 1 `from libI.mJ import fK`
+# (renamed `as hK` when pk % 17 = 0), 2 `import libI`. Files with
+# file_id % 4 = 0 end with a top-level call of item 1; files with
+# file_id % 97 = 0 end with a line that does not parse.
+# ---------------------------------------------------------------------------
+
+LIBS = ("lib0", "lib1", "lib2")
+
+ITEM_ORDER = ("l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate")
+
+
+def _s(x: str) -> str:
+    return f"CAST({x} AS STRING)"
+
+
+def items_sql(d: Dialect) -> str:
+    """One row per line item: file_id, n, pk, lib, api_path, style,
+    renamed, import_line, call_name, def_text."""
+    mod = "'.m' || " + _s("pk % 7")
+    return f"""
+SELECT file_id, n, pk, lib, api_path, style, renamed, import_line, call_name,
+  'def g' || {_s('n')} || '(a):' || {NL} || '    b = a' || {NL} ||
+  '    r = ' || call_name || '(b, ' || {_s('n')} || ')' || {NL} || '    return r' AS def_text
+FROM (
+  SELECT file_id, n, pk, lib, style, renamed,
+    lib || {mod} || '.f' || {_s('pk')} AS api_path,
+    CASE WHEN style = 0 THEN 'import ' || lib || ' as L' || {_s('pk % 3')}
+         WHEN style = 1 THEN 'from ' || lib || {mod} || ' import f' || {_s('pk')}
+              || CASE WHEN renamed THEN ' as h' || {_s('pk')} ELSE '' END
+         ELSE 'import ' || lib END AS import_line,
+    CASE WHEN style = 0 THEN 'L' || {_s('pk % 3')} || {mod} || '.f' || {_s('pk')}
+         WHEN style = 1 THEN CASE WHEN renamed THEN 'h' ELSE 'f' END || {_s('pk')}
+         ELSE lib || {mod} || '.f' || {_s('pk')} END AS call_name
+  FROM (
+    SELECT l_orderkey AS file_id, l_partkey AS pk,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY {ITEM_ORDER}) AS n,
+      l_orderkey % 3 AS style,
+      'lib' || {_s('l_partkey % 3')} AS lib,
+      (l_orderkey % 3 = 1 AND l_partkey % 17 = 0) AS renamed
+    FROM {d.t('lineitem')}
+  ) a
+) b
+"""
+
+
+def files_sql(d: Dialect) -> str:
+    """X2 files: file_id, repository, url, content, header, n_header, first_call."""
+    items = items_sql(d)
+    return f"""
+SELECT h.file_id,
+  'repo' || {_s('h.file_id % 1000')} AS repository,
+  'repo' || {_s('h.file_id % 1000')} || '/src/f' || {_s('h.file_id')} || '.py' AS url,
+  h.header || {NL} || b.body
+    || CASE WHEN h.file_id % 4 = 0
+            THEN {NL} || 'result = ' || b.first_call || '(0, 0)' || {NL} ELSE '' END
+    || CASE WHEN h.file_id % 97 = 0 THEN 'def broken(:' || {NL} ELSE '' END AS content,
+  h.header, h.n_header, b.first_call
+FROM (
+  SELECT file_id, {d.agg(f"import_line || {NL}", "''", "import_line")} AS header,
+    count(*) AS n_header
+  FROM (SELECT DISTINCT file_id, import_line FROM ({items}) i0) u
+  GROUP BY file_id
+) h JOIN (
+  SELECT file_id, {d.agg(f"def_text || {NL}", NL, "n")} AS body,
+    max(CASE WHEN n = 1 THEN call_name END) AS first_call
+  FROM ({items}) i1 GROUP BY file_id
+) b ON h.file_id = b.file_id
+"""
+
+
+def facts_sql(d: Dialect) -> str:
+    """X4 repository facts per file; none for file_id % 50 = 7."""
+    return f"""
+SELECT o_orderkey AS file_id, CAST(floor(c_acctbal) AS BIGINT) AS stars,
+  o_orderdate AS last_updated
+FROM {d.t('orders')} JOIN {d.t('customer')} ON o_custkey = c_custkey
+WHERE o_orderkey % 50 <> 7
+"""
+
+
+def corpus_sql(d: Dialect) -> str:
+    """T1 raw snippets + file_id: facts left-joined (NULL when unknown)."""
+    return f"""
+SELECT f.file_id, f.repository, f.url, x.last_updated, x.stars, f.content
+FROM ({files_sql(d)}) f LEFT JOIN ({facts_sql(d)}) x ON f.file_id = x.file_id
+"""
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, corpus_sql(SPARK))
