@@ -25,7 +25,7 @@ REC_FIELDS = [f.strip().split(" ")[0] for f in REC_SCHEMA.split(",")]
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def _pass_fn(libs, want, classes, keep_n):
+def _pass_fn(libs, want, classes, keep_n, blocks_need_calls=False):
     libs, want = tuple(libs), tuple(want)
     classes = None if classes is None else frozenset(classes)
 
@@ -41,7 +41,8 @@ def _pass_fn(libs, want, classes, keep_n):
             texts = b.column(1).to_pylist()
             rows, idx = [], []
             for i, text in enumerate(texts):
-                for r in scan_file(text, libs=libs, want=want, classes=classes):
+                for r in scan_file(text, libs=libs, want=want, classes=classes,
+                                   blocks_need_calls=blocks_need_calls):
                     rows.append(r)
                     idx.append(i)
             take = pa.array(idx, type=pa.int64())
@@ -55,7 +56,7 @@ def _pass_fn(libs, want, classes, keep_n):
 
 
 def parse_pass(files: DataFrame, libs=(), want=("fcall",), classes=None,
-               keep=()) -> DataFrame:
+               keep=(), blocks_need_calls=False) -> DataFrame:
     """Parse every file once on the executors; flat records out.
 
     ``files`` has ``file_id`` and ``content``; ``keep`` names columns
@@ -73,7 +74,8 @@ def parse_pass(files: DataFrame, libs=(), want=("fcall",), classes=None,
     keep_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                             for f in src.schema.fields[2:])
     schema = f"file_id bigint, {REC_SCHEMA}" + (f", {keep_schema}" if keep_schema else "")
-    return src.mapInArrow(_pass_fn(libs, want, classes, len(keep)), schema)
+    return src.mapInArrow(_pass_fn(libs, want, classes, len(keep), blocks_need_calls),
+                          schema)
 
 
 # ----------------------------------------------------------------- functions
@@ -181,14 +183,39 @@ def method_targets(changes_or_catalog: DataFrame) -> DataFrame:
     return t.where(F.col("method") != "__init__")
 
 
+MAX_TARGET_CLASSES = 500_000
+
+
+def method_pass(files: DataFrame, targets: DataFrame, keep=(),
+                partitions: int | None = None) -> DataFrame:
+    """M2-M7 + K1 in one parse per file; records hash-partitioned by file_id.
+
+    When the target classes provably number at most MAX_TARGET_CLASSES
+    they are shipped to the tasks as a set, so the pass only tracks those
+    classes and cuts blocks only for files with a target call; above the
+    bound every class is tracked and the joins below do the filtering.
+    The one exchange on file_id after the pass serves every later join
+    and window (all keyed by file_id first).
+    """
+    classes = None
+    cls = targets.select("class").distinct()
+    if cls.limit(MAX_TARGET_CLASSES + 1).count() <= MAX_TARGET_CLASSES:
+        classes = frozenset(r[0] for r in cls.collect())
+    recs = parse_pass(files, want=("mark", "ctor", "mcall", "block", "error"),
+                      classes=classes, keep=keep, blocks_need_calls=classes is not None)
+    n = partitions or files.sparkSession.sparkContext.defaultParallelism * 4
+    return recs.repartition(n, "file_id")
+
+
 def method_calls(recs: DataFrame, targets: DataFrame) -> DataFrame:
     """M6: calls ``x.m(...)`` on variables typed with a target class.
 
     The target list is broadcast only under a checked row bound.
     """
+    meta = [c for c in META_COLS if c in recs.columns]
     m = recs.where(F.col("rec") == "mcall").select(
         "file_id", F.col("target").alias("class"), "method", "line",
-        F.col("name").alias("var"), "visit_no")
+        F.col("name").alias("var"), "visit_no", *meta)
     t = broadcast_if_small(targets.select("api_path", "class", "method"),
                            MAX_BROADCAST_ROWS)
     return m.join(t, ["class", "method"])
@@ -240,22 +267,37 @@ def cut_method_call(df: DataFrame, block_col: str, call_col: str) -> DataFrame:
     return df.withColumn("_cut", cut(F.col(block_col), F.col(call_col)))
 
 
+META_COLS = ("repository", "url", "last_updated", "stars")
+
+
+def per_call_line(calls: DataFrame) -> DataFrame:
+    """One call per (file, API, line): ordered by its first visit, the
+    variable of the last call on that line wins (E9's last-wins rule)."""
+    meta = [F.first(c).alias(c) for c in META_COLS if c in calls.columns]
+    return (calls.groupBy("file_id", "api_path", "class", "method", "line")
+            .agg(F.min("visit_no").alias("visit_no"),
+                 F.max_by("var", "visit_no").alias("var"), *meta))
+
+
+def cut_calls(per_line: DataFrame, blocks: DataFrame) -> DataFrame:
+    """K2 + K3: place each call line in its block, then cut the block at
+    the first ``var.method(`` text."""
+    jb = call_blocks(per_line, blocks)
+    jb = jb.withColumn("call_text", F.concat(F.col("var"), F.lit("."), F.col("method"),
+                                             F.lit("(")))
+    return cut_method_call(jb, "block_code", "call_text")
+
+
 def method_sites(calls: DataFrame, blocks: DataFrame, imports: DataFrame) -> DataFrame:
     """K4: one row per (API, file, block): the first call line in a block
     whose cut succeeds; one call per line (the last variable wins).
     """
-    per_line = (calls.groupBy("file_id", "api_path", "class", "method", "line")
-                .agg(F.min("visit_no").alias("visit_no"),
-                     F.max_by("var", "visit_no").alias("var")))
-    jb = call_blocks(per_line, blocks)
-    jb = jb.withColumn("call_text", F.concat(F.col("var"), F.lit("."), F.col("method"),
-                                             F.lit("(")))
-    cut = cut_method_call(jb, "block_code", "call_text").where(
-        F.col("_cut.context").isNotNull())
+    per_line = per_call_line(calls)
+    cut = cut_calls(per_line, blocks).where(F.col("_cut.context").isNotNull())
     w = Window.partitionBy("api_path", "file_id", "block_no").orderBy("visit_no")
     first = cut.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     return first.join(imports, "file_id", "left").select(
-        "file_id", "api_path", "line", "block_no", "block_type",
+        "file_id", "api_path", "line", "block_no", "block_type", *META_COLS,
         F.coalesce(F.col("import_code"), F.lit("")).alias("import"),
         F.col("_cut.context").alias("context"),
         F.col("_cut.target_seq").alias("target_seq"),

@@ -243,3 +243,99 @@ WHERE COALESCE(x.stars, 0) >= 0
 
 oracle("usage_test", _MATCHES + """
 SELECT DISTINCT api_path, file_id, true AS used FROM m""")
+
+
+# ---------------------------------------------------- method call sites, blocks
+
+_M = dict(mitems=X.mitems_sql(D), mfiles=X.mfiles_sql(D), facts=X.facts_sql(D),
+          cat=X.catalog_base_sql(D))
+_MX = dict(mi="""
+  SELECT i.*, f.n_header,
+    f.n_header + 2 + COALESCE(sum(i.n_lines + 1) OVER (PARTITION BY i.file_id ORDER BY i.n
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_line
+  FROM mitems i JOIN mfiles f ON i.file_id = f.file_id""", tg="""
+  SELECT DISTINCT lib || '.C' || CAST(pk AS VARCHAR) AS cls FROM cat
+  WHERE kind = 'method' AND v <> 0""", gl="""
+  SELECT file_id, max(start_line + n_lines - 1) AS last_end, count(*) AS k,
+    max(CASE WHEN n = 1 THEN cls END) AS cls1,
+    max(CASE WHEN n = 1 THEN ctor END) AS ctor1
+  FROM mi GROUP BY file_id""")
+_MCTE = _with(**_M, **_MX)
+
+_GLOBAL = "g.file_id % 4 = 0 AND g.cls1 IN (SELECT cls FROM tg)"
+
+oracle("typed_vars", _MCTE + f"""
+SELECT file_id, 'c' || CAST(n AS VARCHAR) AS var, cls AS class,
+  CASE WHEN form = 0 THEN 'assign' ELSE 'param' END AS how
+FROM mi WHERE form IN (0, 1) AND cls IN (SELECT cls FROM tg)
+UNION ALL
+SELECT g.file_id, 'g' AS var, g.cls1 AS class, 'assign' AS how FROM gl g WHERE {_GLOBAL}""")
+
+oracle("constructor_calls", _MCTE + f"""
+SELECT file_id, cls AS class, CAST(start_line + 1 AS BIGINT) AS line,
+  'c' || CAST(n AS VARCHAR) AS var
+FROM mi WHERE form = 0 AND cls IN (SELECT cls FROM tg)
+UNION ALL
+SELECT g.file_id, g.cls1, CAST(g.last_end + 2 AS BIGINT), 'g' FROM gl g WHERE {_GLOBAL}
+UNION ALL
+SELECT g.file_id, g.cls1, CAST(g.last_end + 4 AS BIGINT), '<no_assignment>'
+FROM gl g WHERE {_GLOBAL}""")
+
+_MCALLS = f"""
+SELECT file_id, cls || '.run' AS api_path, CAST(start_line + n_lines - 1 AS BIGINT) AS line,
+  'c' || CAST(n AS VARCHAR) AS var, n + 1 AS block_no, 'function' AS block_type,
+  CASE WHEN form = 0
+       THEN 'def h' || CAST(n AS VARCHAR) || '(a):' || chr(10) || '    c' || CAST(n AS VARCHAR)
+            || ' = ' || ctor || '(a)' || chr(10) || '    return c' || CAST(n AS VARCHAR) || '.run'
+       ELSE 'def h' || CAST(n AS VARCHAR) || '(c' || CAST(n AS VARCHAR) || ': ' || ctor
+            || ', a):' || chr(10) || '    return c' || CAST(n AS VARCHAR) || '.run' END AS context,
+  CASE WHEN form = 0 THEN '(a, (a + 1) * 2)' ELSE '(a)' END AS target_seq,
+  '' AS suffix
+FROM mi WHERE form IN (0, 1) AND cls IN (SELECT cls FROM tg)
+UNION ALL
+SELECT g.file_id, g.cls1 || '.run', CAST(g.last_end + 3 AS BIGINT), 'g', g.k + 2, 'global',
+  'g = ' || g.ctor1 || '(0)' || chr(10) || 'g.run', '(1)', g.ctor1 || '(2)'
+FROM gl g WHERE {_GLOBAL}"""
+
+oracle("method_calls", _MCTE + f"""
+SELECT file_id, api_path, line, var FROM ({_MCALLS}) c""")
+
+oracle("method_files", _MCTE + f"""
+SELECT api_path, file_id, CAST(count(*) AS BIGINT) AS n_calls FROM ({_MCALLS}) c
+GROUP BY api_path, file_id""")
+
+oracle("code_blocks", _MCTE + """
+SELECT file_id, CAST(1 AS BIGINT) AS block_no, 'imports' AS block_type,
+  CAST(NULL AS BIGINT) AS start_line, CAST(NULL AS BIGINT) AS end_line, import_block AS code
+FROM mfiles
+UNION ALL
+SELECT file_id, CAST(n + 1 AS BIGINT), 'function', CAST(start_line AS BIGINT),
+  CAST(start_line + n_lines - 1 AS BIGINT), def_text FROM mi
+UNION ALL
+SELECT g.file_id, CAST(g.k + 2 AS BIGINT), 'global', NULL, NULL,
+  repeat(chr(10), CAST(g.k + 1 AS BIGINT)) || 'g = ' || g.ctor1 || '(0)' || chr(10)
+    || 'g.run(1)' || chr(10) || g.ctor1 || '(2)'
+FROM gl g WHERE g.file_id % 4 = 0""")
+
+oracle("call_block", _MCTE + f"""
+SELECT file_id, api_path, line, CAST(block_no AS BIGINT) AS block_no, block_type
+FROM ({_MCALLS}) c""")
+
+oracle("split_method_call", _MCTE + f"""
+SELECT file_id, api_path, line, context, target_seq, suffix FROM ({_MCALLS}) c""")
+
+_MMETA = f"""
+SELECT c.file_id, c.api_path AS API_path, f.repository, f.url,
+  strftime(x.last_updated, '%Y-%m-%d %H:%M:%S') AS last_updated,
+  COALESCE(x.stars, CAST(0 AS BIGINT)) AS stars, f.import_block AS import,
+  c.context, c.target_seq, c.suffix
+FROM ({_MCALLS}) c JOIN mfiles f ON c.file_id = f.file_id
+LEFT JOIN facts x ON c.file_id = x.file_id"""
+
+oracle("method_metadata", _MCTE + _MMETA)
+
+oracle("metadata", _with(**{**_F, **_M, **_MX}) + f"""
+SELECT file_id, API_path, repository, url, last_updated, stars, import, context,
+  target_seq, suffix, 'function' AS kind FROM ({_T6_DEF} UNION ALL {_T6_MAIN}) a
+UNION ALL
+SELECT *, 'method' AS kind FROM ({_MMETA}) b""")

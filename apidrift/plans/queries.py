@@ -256,3 +256,114 @@ def q_usage_test(spark, sf_dir):
     pairs = m.select("api_path", "file_id").distinct().join(
         corpus.select("file_id", "content"), "file_id")
     return retrieve.usage_test(pairs).select("api_path", "file_id", "used")
+
+
+# ---------------------------------------------------- method call sites, blocks
+
+def _mcorpus(spark, sf_dir):
+    n = 4 * spark.sparkContext.defaultParallelism
+    return retrieve.enrich(fixtures.mcorpus(spark, sf_dir)).repartition(n, "file_id")
+
+
+def _mtargets(spark, sf_dir):
+    cat = fixtures.catalog(spark, sf_dir).where("version = '2.0'")
+    return callsites.method_targets(cat)
+
+
+def _mrecs(spark, sf_dir):
+    return callsites.method_pass(_mcorpus(spark, sf_dir), _mtargets(spark, sf_dir),
+                                 keep=META)
+
+
+def _classes(spark, sf_dir):
+    return _mtargets(spark, sf_dir).select(F.col("class").alias("target")).distinct()
+
+
+@query("typed_vars")
+def q_typed_vars(spark, sf_dir):
+    r = _mrecs(spark, sf_dir).where("rec = 'mark'")
+    r = r.join(_classes(spark, sf_dir), "target", "left_semi")
+    return r.select("file_id", F.col("name").alias("var"), F.col("target").alias("class"),
+                    "how")
+
+
+@query("constructor_calls")
+def q_constructor_calls(spark, sf_dir):
+    r = _mrecs(spark, sf_dir).where("rec = 'ctor'")
+    r = r.join(_classes(spark, sf_dir), "target", "left_semi")
+    return r.select("file_id", F.col("target").alias("class"), _i64("line"),
+                    F.col("name").alias("var"))
+
+
+@query("method_calls")
+def q_method_calls(spark, sf_dir):
+    m = callsites.method_calls(_mrecs(spark, sf_dir), _mtargets(spark, sf_dir))
+    return m.select("file_id", "api_path", _i64("line"), "var")
+
+
+@query("method_files")
+def q_method_files(spark, sf_dir):
+    m = callsites.method_calls(_mrecs(spark, sf_dir), _mtargets(spark, sf_dir))
+    return m.groupBy("api_path", "file_id").agg(F.count(F.lit(1)).alias("n_calls")).select(
+        "api_path", "file_id", _i64("n_calls"))
+
+
+@query("code_blocks")
+def q_code_blocks(spark, sf_dir):
+    b = callsites.parse_pass(_mcorpus(spark, sf_dir), want=("block",)).where("rec = 'block'")
+    return b.select("file_id", F.col("visit_no").cast("bigint").alias("block_no"),
+                    F.col("btype").alias("block_type"),
+                    F.col("line").cast("bigint").alias("start_line"),
+                    F.col("end_line").cast("bigint").alias("end_line"), "code")
+
+
+def _per_line_blocks(spark, sf_dir):
+    recs = _mrecs(spark, sf_dir)
+    calls = callsites.method_calls(recs, _mtargets(spark, sf_dir))
+    blocks = recs.where("rec = 'block'")
+    return recs, calls, blocks
+
+
+@query("call_block")
+def q_call_block(spark, sf_dir):
+    _, calls, blocks = _per_line_blocks(spark, sf_dir)
+    j = callsites.call_blocks(callsites.per_call_line(calls), blocks)
+    return j.select("file_id", "api_path", _i64("line"), _i64("block_no"), "block_type")
+
+
+@query("split_method_call")
+def q_split_method_call(spark, sf_dir):
+    _, calls, blocks = _per_line_blocks(spark, sf_dir)
+    c = callsites.cut_calls(callsites.per_call_line(calls), blocks)
+    return c.where(F.col("_cut.context").isNotNull()).select(
+        "file_id", "api_path", _i64("line"), F.col("_cut.context").alias("context"),
+        F.col("_cut.target_seq").alias("target_seq"), F.col("_cut.suffix").alias("suffix"))
+
+
+def _method_meta(spark, sf_dir):
+    recs, calls, blocks = _per_line_blocks(spark, sf_dir)
+    s = callsites.method_sites(calls, blocks, callsites.import_blocks(blocks))
+    return s.select("file_id", F.col("api_path").alias("API_path"), "repository", "url",
+                    F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"),
+                    "stars", "import", "context", "target_seq", "suffix")
+
+
+@query("method_metadata")
+def q_method_metadata(spark, sf_dir):
+    return _method_meta(spark, sf_dir)
+
+
+T10 = ["file_id", "API_path", "repository", "url", "last_updated", "stars", "import",
+       "context", "target_seq", "suffix"]
+
+
+def _metadata(spark, sf_dir):
+    fn = callsites.t6(_fn_sites(spark, sf_dir)).select(*T10).withColumn(
+        "kind", F.lit("function"))
+    me = _method_meta(spark, sf_dir).select(*T10).withColumn("kind", F.lit("method"))
+    return fn.unionByName(me)
+
+
+@query("metadata")
+def q_metadata(spark, sf_dir):
+    return _metadata(spark, sf_dir)

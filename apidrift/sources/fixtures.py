@@ -228,3 +228,85 @@ FROM ({files_sql(d)}) f LEFT JOIN ({facts_sql(d)}) x ON f.file_id = x.file_id
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, corpus_sql(SPARK))
+
+
+# ---------------------------------------------------------------------------
+# Corpus for method calls, one file per order, one `def h{n}` per line
+# item using class lib.C{pk} and its method `run`. Import style by
+# l_orderkey % 2: 0 `import libI` (dotted names), 1 `from libI import C{pk}`.
+# Form by n % 3: 0 variable assigned from the constructor, 1 parameter
+# annotated with the class, 2 untyped parameter (must not match).
+# Files with file_id % 4 = 0 end with top-level code using item 1's class:
+# an assignment, a method call and a bare constructor call.
+# ---------------------------------------------------------------------------
+
+
+def mitems_sql(d: Dialect) -> str:
+    """One row per line item: file_id, n, pk, lib, cls, api_path, style,
+    form, ctor, import_line, def_text, n_lines."""
+    n = _s("n")
+    return f"""
+SELECT file_id, n, pk, lib, cls, cls || '.run' AS api_path, style, form, ctor, import_line,
+  CASE WHEN form = 0
+       THEN 'def h' || {n} || '(a):' || {NL} || '    c' || {n} || ' = ' || ctor || '(a)'
+            || {NL} || '    return c' || {n} || '.run(a, (a + 1) * 2)'
+       WHEN form = 1
+       THEN 'def h' || {n} || '(c' || {n} || ': ' || ctor || ', a):' || {NL}
+            || '    return c' || {n} || '.run(a)'
+       ELSE 'def h' || {n} || '(c' || {n} || ', a):' || {NL}
+            || '    return c' || {n} || '.run(a)' END AS def_text,
+  CASE WHEN form = 0 THEN 3 ELSE 2 END AS n_lines
+FROM (
+  SELECT file_id, n, pk, lib, style, n % 3 AS form,
+    lib || '.C' || {_s('pk')} AS cls,
+    CASE WHEN style = 0 THEN lib || '.C' || {_s('pk')} ELSE 'C' || {_s('pk')} END AS ctor,
+    CASE WHEN style = 0 THEN 'import ' || lib
+         ELSE 'from ' || lib || ' import C' || {_s('pk')} END AS import_line
+  FROM (
+    SELECT l_orderkey AS file_id, l_partkey AS pk,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY {ITEM_ORDER}) AS n,
+      l_orderkey % 2 AS style,
+      'lib' || {_s('l_partkey % 3')} AS lib
+    FROM {d.t('lineitem')}
+  ) a
+) b
+"""
+
+
+def mfiles_sql(d: Dialect) -> str:
+    """X3 files: file_id, repository, url, content, header, import_block,
+    n_header, first_ctor."""
+    items = mitems_sql(d)
+    return f"""
+SELECT h.file_id,
+  'repo' || {_s('h.file_id % 1000')} AS repository,
+  'repo' || {_s('h.file_id % 1000')} || '/src/m' || {_s('h.file_id')} || '.py' AS url,
+  h.header || {NL} || b.body
+    || CASE WHEN h.file_id % 4 = 0
+            THEN {NL} || 'g = ' || b.first_ctor || '(0)' || {NL} || 'g.run(1)' || {NL}
+                 || b.first_ctor || '(2)' || {NL}
+            ELSE '' END AS content,
+  h.header, h.import_block, h.n_header, b.first_ctor
+FROM (
+  SELECT file_id, {d.agg(f"import_line || {NL}", "''", "import_line")} AS header,
+    {d.agg("import_line", NL, "import_line")} AS import_block,
+    count(*) AS n_header
+  FROM (SELECT DISTINCT file_id, import_line FROM ({items}) i0) u
+  GROUP BY file_id
+) h JOIN (
+  SELECT file_id, {d.agg(f"def_text || {NL}", NL, "n")} AS body,
+    max(CASE WHEN n = 1 THEN ctor END) AS first_ctor
+  FROM ({items}) i1 GROUP BY file_id
+) b ON h.file_id = b.file_id
+"""
+
+
+def mcorpus_sql(d: Dialect) -> str:
+    return f"""
+SELECT f.file_id, f.repository, f.url, x.last_updated, x.stars, f.content
+FROM ({mfiles_sql(d)}) f LEFT JOIN ({facts_sql(d)}) x ON f.file_id = x.file_id
+"""
+
+
+def mcorpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, mcorpus_sql(SPARK))
