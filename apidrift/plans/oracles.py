@@ -339,3 +339,156 @@ SELECT file_id, API_path, repository, url, last_updated, stars, import, context,
   target_seq, suffix, 'function' AS kind FROM ({_T6_DEF} UNION ALL {_T6_MAIN}) a
 UNION ALL
 SELECT *, 'method' AS kind FROM ({_MMETA}) b""")
+
+
+# ---------------------------------------------------------------- marker logs
+
+oracle("marker_log", """
+WITH l AS (
+  SELECT event_id AS ord, event_type,
+    CASE WHEN event_type = 'signup'
+         THEN 'lib-m-f' || CAST(user_id % 3 AS VARCHAR) || '.jsonl' END AS fname,
+    CASE WHEN event_type = 'signup' THEN event_id END AS fat,
+    CASE WHEN event_type = 'signup' THEN 'f' || CAST(user_id % 3 AS VARCHAR) END AS fapi,
+    CASE WHEN event_type = 'view' THEN event_id END AS rat,
+    CASE WHEN event_type = 'view' THEN event_id % 50 + 1 END AS rno,
+    'f' || CAST(user_id % 3 AS VARCHAR) AS capi,
+    event_id % 40 + 1 AS cline
+  FROM events),
+f AS (
+  SELECT *,
+    last_value(fname IGNORE NULLS) OVER w AS cur_file,
+    last_value(fat IGNORE NULLS) OVER w AS cur_fat,
+    last_value(fapi IGNORE NULLS) OVER w AS cur_api,
+    last_value(rat IGNORE NULLS) OVER w AS cur_rat,
+    last_value(rno IGNORE NULLS) OVER w AS cur_rno
+  FROM l WINDOW w AS (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (
+  SELECT cur_file, cur_api, cur_rno, cline, ord, 'c.' || capi || '(...)' AS call_text
+  FROM f
+  WHERE event_type = 'click' AND cur_file IS NOT NULL AND cur_rat > cur_fat
+    AND capi = cur_api)
+SELECT cur_file AS file_name, cur_api AS api_name, CAST(cur_rno AS BIGINT) AS record_no,
+  CAST(cline AS BIGINT) AS line_no, call_text
+FROM (SELECT *, row_number() OVER (PARTITION BY cur_file, cur_rno, cline ORDER BY ord DESC) AS r
+      FROM k) x WHERE r = 1""")
+
+
+# ---------------------------------------------- conversion, filter, synthesis
+
+oracle("build_content", _with(items=_F["items"], files=_F["files"], hl="""
+  SELECT file_id, import_line,
+    row_number() OVER (PARTITION BY file_id ORDER BY import_line) AS r,
+    count(*) OVER (PARTITION BY file_id) AS h
+  FROM (SELECT DISTINCT file_id, import_line FROM items) u""", pre="""
+  SELECT file_id,
+    COALESCE(string_agg(CASE WHEN r < h THEN import_line END, chr(10) ORDER BY r), '') AS prefix,
+    max(CASE WHEN r = h THEN import_line END) AS last_line
+  FROM hl GROUP BY file_id""") + """
+SELECT f.file_id,
+  CASE WHEN f.file_id % 5 = 0 AND f.file_id % 3 = 1
+       THEN p.prefix || chr(10) || p.last_line || ',wrong_package' || chr(10)
+       WHEN f.file_id % 5 = 0
+       THEN substring(f.header, 1, length(f.header) - 1) || ',' || chr(10)
+       ELSE f.header END || repeat(chr(10), 4) || i.def_text AS content
+FROM files f JOIN items i ON f.file_id = i.file_id AND i.n = 1
+JOIN pre p ON f.file_id = p.file_id""")
+
+_ALL = {**_F, **_M, **_MX}
+# function rows: def scope carry pk via items; main scope rows below
+_FN_ROWS = f"""
+  SELECT d.file_id, d.API_path, d.repository, d.url, d.last_updated, d.stars, d.import,
+    d.context, d.target_seq, d.suffix, 'function' AS kind, 'f' || CAST(i.pk AS VARCHAR) AS leaf
+  FROM ({_T6_DEF}) d JOIN items i ON d.file_id = i.file_id AND d.API_path = i.api_path
+  GROUP BY ALL
+  UNION ALL
+  SELECT d.file_id, d.API_path, d.repository, d.url, d.last_updated, d.stars, d.import,
+    d.context, d.target_seq, d.suffix, 'function' AS kind, 'f' || CAST(i.pk AS VARCHAR) AS leaf
+  FROM ({_T6_MAIN}) d JOIN items i ON d.file_id = i.file_id AND i.n = 1"""
+_ME_ROWS = f"""
+  SELECT c.*, 'method' AS kind, 'run' AS leaf FROM ({_MMETA}) c"""
+_FILTERED = _with(**_ALL) + f""",
+rows AS ({_FN_ROWS} UNION ALL {_ME_ROWS}),
+flt AS (
+  SELECT r.*, b.v, b.new_signature AS updated_signature, b.old_signature AS outdated_signature,
+    b.new_doc AS updated_doc, b.old_doc AS outdated_doc,
+    CASE WHEN b.v IN (3, 9) THEN 'modified_A' ELSE 'modified_B' END AS change
+  FROM rows r JOIN cat b ON r.API_path = b.api_path AND r.kind = b.kind
+  WHERE b.v IN (3, 4, 5, 9)),
+syn AS (
+  SELECT *, file_id % 17 <> 0 AS ok,
+    CASE WHEN file_id % 17 = 0 THEN 5 WHEN file_id % 13 = 0 THEN 2 ELSE 1 END AS attempts,
+    CASE WHEN file_id % 17 <> 0 THEN leaf || '_v2' || target_seq END AS updated_code,
+    CASE WHEN file_id % 17 <> 0 THEN target_seq END AS outdated_code
+  FROM flt)
+""".replace(")\n,\nrows AS", "),\nrows AS")
+_FILTERED = _FILTERED.replace("\n,\nrows AS (", ",\nrows AS (")
+
+oracle("filter_changed", _FILTERED + """
+SELECT kind, file_id, API_path, change,
+  CASE WHEN change = 'modified_A' THEN 'Modified_API_A' ELSE 'Modified_API_B' END AS category
+FROM flt""")
+
+_USER = ("'Please complete the task according to the requirements outlined above.'"
+         " || chr(10) || 'Latest API Signature: ' || updated_signature"
+         " || chr(10) || 'Oudated API Signature: ' || outdated_signature"
+         " || chr(10) || '---' || chr(10) || 'Context:' || chr(10) || context"
+         " || chr(10) || '---' || chr(10) || 'Calling Statement:' || chr(10) || target_seq"
+         " || chr(10) || '---' || chr(10) || 'Suffix:' || chr(10) || suffix"
+         " || chr(10) || '---' || chr(10) || 'Latest API Docstring: ' || COALESCE(updated_doc, 'None')"
+         " || chr(10) || '---' || chr(10) || 'Outdated API Docstring: ' || COALESCE(outdated_doc, 'None')"
+         " || chr(10)")
+
+oracle("render_prompt", _FILTERED + f"""
+SELECT kind, file_id, API_path, {_USER} AS prompt FROM flt""")
+
+oracle("synthesis_status", _FILTERED + """
+SELECT kind, file_id, API_path, CAST(attempts AS BIGINT) AS attempts, ok FROM syn""")
+
+oracle("parse_answer", _FILTERED + """
+SELECT kind, file_id, API_path, updated_code, outdated_code FROM syn""")
+
+oracle("synthesize", _FILTERED + """
+SELECT kind, file_id, API_path, repository, url, last_updated, stars, import, context,
+  suffix, updated_code, outdated_code, updated_signature, outdated_signature
+FROM syn WHERE ok""")
+
+oracle("bench_cct", _FILTERED + """
+SELECT 'cct' AS task, kind, file_id, API_path, context AS question, updated_code AS answer,
+  updated_signature, outdated_signature, repository, url, last_updated, stars
+FROM syn WHERE ok""")
+
+oracle("bench_ect", _FILTERED + """
+SELECT 'ect' AS task, kind, file_id, API_path, context || chr(10) || outdated_code AS question,
+  updated_code AS answer, updated_signature, outdated_signature, repository, url,
+  last_updated, stars
+FROM syn WHERE ok""")
+
+
+# ------------------------------------------------------------- prompt batches
+
+_PROMPTS = _with(items=_F["items"], files=_F["files"], pr="""
+  SELECT i.file_id,
+    CASE WHEN i.style = 0 THEN 'm' || CAST(i.pk % 7 AS VARCHAR) || '.f' || CAST(i.pk AS VARCHAR)
+         WHEN i.style = 1 THEN 'f' || CAST(i.pk AS VARCHAR) ELSE i.api_path END AS API_path,
+    f.header || 'def g' || CAST(i.n AS VARCHAR) || '(a):' || chr(10) || '    b = a' || chr(10)
+      || '    r = ' || i.call_name AS prompt,
+    '(b, ' || CAST(i.n AS VARCHAR) || ')' AS targets,
+    'def g' || CAST(i.n AS VARCHAR) || '(a):' || chr(10) || '    b = a' || chr(10)
+      || '    r = ' || i.call_name AS code,
+    f.header AS imports
+  FROM (SELECT *, row_number() OVER (PARTITION BY file_id, pk ORDER BY n) AS k FROM items) i
+  JOIN files f ON i.file_id = f.file_id
+  WHERE i.k = 1 AND NOT i.renamed AND i.file_id % 97 <> 0""")
+
+oracle("prompt_rows", _PROMPTS + "SELECT * FROM pr")
+
+oracle("truncate_left", _PROMPTS + """
+SELECT file_id, API_path, CAST(len(t) AS BIGINT) AS n_tokens,
+  array_to_string(list_slice(t, greatest(len(t) - 16 + 1, 1), len(t)), ' ') AS tail
+FROM (SELECT file_id, API_path, regexp_split_to_array(prompt, '\\s+') AS t FROM pr) x""")
+
+oracle("assign_batches", _PROMPTS + """
+SELECT file_id, API_path, CAST(rn AS BIGINT) AS position,
+  CAST(floor((rn - 1) / 64) AS BIGINT) AS batch_id
+FROM (SELECT file_id, API_path, row_number() OVER (ORDER BY file_id, API_path) AS rn FROM pr) x""")

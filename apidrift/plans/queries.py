@@ -367,3 +367,124 @@ def _metadata(spark, sf_dir):
 @query("metadata")
 def q_metadata(spark, sf_dir):
     return _metadata(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- marker logs
+
+from apidrift.operators import logs  # noqa: E402
+
+
+@query("marker_log")
+def q_marker_log(spark, sf_dir):
+    out = logs.marker_log(fixtures.log_lines(spark, sf_dir), fixtures.LOG_FILE_RE,
+                          fixtures.LOG_RECORD_RE, fixtures.LOG_CALL_RE, block=512)
+    return out.select("file_name", "api_name", _i64("record_no"), _i64("line_no"),
+                      "call_text")
+
+
+# ---------------------------------------------- conversion, filter, synthesis
+
+from apidrift.operators import batches, convert, synth  # noqa: E402
+from apidrift.session import shared_path  # noqa: E402
+
+
+@query("build_content")
+def q_build_content(spark, sf_dir):
+    return convert.build_content(fixtures.legacy(spark, sf_dir)).select("file_id", "content")
+
+
+def _filtered(spark, sf_dir):
+    return convert.filter_changed(_metadata(spark, sf_dir), _changes(spark, sf_dir))
+
+
+@query("filter_changed")
+def q_filter_changed(spark, sf_dir):
+    return _filtered(spark, sf_dir).select("kind", "file_id", "API_path", "change",
+                                           "category")
+
+
+def _prompts(spark, sf_dir):
+    return synth.render_prompt(_filtered(spark, sf_dir),
+                               diff.changed_api_lookup(_changes(spark, sf_dir)))
+
+
+@query("render_prompt")
+def q_render_prompt(spark, sf_dir):
+    return _prompts(spark, sf_dir).select("kind", "file_id", "API_path", "prompt")
+
+
+def _completed(spark, sf_dir):
+    """Answers are written once to the shared folder and read back, so
+    nothing downstream can call the model again."""
+    done = synth.complete(_prompts(spark, sf_dir), fixtures.completion)
+    path = shared_path(spark, "answers")
+    done.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("synthesis_status")
+def q_synthesis_status(spark, sf_dir):
+    return _completed(spark, sf_dir).select("kind", "file_id", "API_path",
+                                            _i64("attempts"), "ok")
+
+
+@query("parse_answer")
+def q_parse_answer(spark, sf_dir):
+    c = _completed(spark, sf_dir)
+    up, old = synth.parse_answer(F.col("answer"))
+    return c.select("kind", "file_id", "API_path", up.alias("updated_code"),
+                    old.alias("outdated_code"))
+
+
+T11 = ["kind", "file_id", "API_path", "repository", "url", "last_updated", "stars",
+       "import", "context", "suffix", "updated_code", "outdated_code",
+       "updated_signature", "outdated_signature"]
+
+
+@query("synthesize")
+def q_synthesize(spark, sf_dir):
+    good, _ = synth.synthesize(_completed(spark, sf_dir))
+    return good.select(*T11)
+
+
+@query("bench_cct")
+def q_bench_cct(spark, sf_dir):
+    good, _ = synth.synthesize(_completed(spark, sf_dir))
+    return synth.bench_rows(good, "cct")
+
+
+@query("bench_ect")
+def q_bench_ect(spark, sf_dir):
+    good, _ = synth.synthesize(_completed(spark, sf_dir))
+    return synth.bench_rows(good, "ect")
+
+
+# ------------------------------------------------------------- prompt batches
+
+def _samples(spark, sf_dir):
+    s = callsites.function_call_rows(_fn_records(spark, sf_dir, ("fcall",))).where(
+        "how = 'first' AND scope = 'def'")
+    return s.select("file_id", F.col("api_path").alias("API_path"),
+                    F.col("rel_start").alias("start_line_no"),
+                    F.col("rel_end").alias("end_line_no"),
+                    F.col("imports").alias("import"), "code")
+
+
+@query("prompt_rows")
+def q_prompt_rows(spark, sf_dir):
+    return batches.prompt_rows(_samples(spark, sf_dir))
+
+
+@query("truncate_left")
+def q_truncate_left(spark, sf_dir):
+    p = batches.prompt_rows(_samples(spark, sf_dir))
+    tok = batches.whitespace_tokens(F.col("prompt"))
+    return p.select("file_id", "API_path", F.size(tok).cast("bigint").alias("n_tokens"),
+                    F.array_join(batches.truncate_left(tok, 16), " ").alias("tail"))
+
+
+@query("assign_batches")
+def q_assign_batches(spark, sf_dir):
+    p = batches.prompt_rows(_samples(spark, sf_dir)).select("file_id", "API_path")
+    b = batches.assign_batches(p, ["file_id", "API_path"], 64)
+    return b.select("file_id", "API_path", _i64("position"), _i64("batch_id"))

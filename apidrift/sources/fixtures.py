@@ -310,3 +310,76 @@ FROM ({mfiles_sql(d)}) f LEFT JOIN ({facts_sql(d)}) x ON f.file_id = x.file_id
 
 def mcorpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, mcorpus_sql(SPARK))
+
+
+# ---------------------------------------------------------------------------
+# Marker log from `events`, one line per event in event_id order.
+# signup -> file marker lib-m-f{user_id % 3}.jsonl, view -> record marker,
+# click -> call of f{user_id % 3}, purchase -> other call, error -> noise.
+# ---------------------------------------------------------------------------
+
+# ASCII marker patterns used by the log fixture.
+LOG_FILE_RE = r"^Processing file:\s+(.+\.jsonl)$"
+LOG_RECORD_RE = r"^Record\s+(\d+)$"
+LOG_CALL_RE = r"^Line\s+(\d+):\s+(.+)$"
+
+
+def log_sql(d: Dialect) -> str:
+    return f"""
+SELECT 'events' AS log_id, event_id AS line_no,
+  CASE WHEN event_type = 'signup'
+         THEN 'Processing file: lib-m-f' || {_s('user_id % 3')} || '.jsonl'
+       WHEN event_type = 'view' THEN 'Record ' || {_s('event_id % 50 + 1')}
+       WHEN event_type = 'click'
+         THEN '  Line ' || {_s('event_id % 40 + 1')} || ': c.f' || {_s('user_id % 3')} || '(...)'
+       WHEN event_type = 'purchase'
+         THEN '  Line ' || {_s('event_id % 40 + 1')} || ': c = other(...)'
+       ELSE 'ERROR ' || {_s('event_id')} END AS line
+FROM {d.t('events')}
+"""
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, log_sql(SPARK))
+
+
+# ---------------------------------------------------------------------------
+# T13 legacy samples (import, code) from X2: item 1 of each file, its def
+# indented by four spaces; files with file_id % 5 = 0 get a trailing comma
+# on the last import line.
+# ---------------------------------------------------------------------------
+
+def legacy_sql(d: Dialect) -> str:
+    return f"""
+SELECT f.file_id,
+  CASE WHEN f.file_id % 5 = 0
+       THEN substring(f.header, 1, length(f.header) - 1) || ',' || {NL}
+       ELSE f.header END AS import,
+  '    ' || replace(i.def_text, {NL}, {NL} || '    ') AS code
+FROM ({files_sql(d)}) f JOIN ({items_sql(d)}) i ON f.file_id = i.file_id AND i.n = 1
+"""
+
+
+def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, legacy_sql(SPARK))
+
+
+# ---------------------------------------------------------------------------
+# A completion "model" that is a pure function of the row: answers
+# with both fences, the second one missing on attempt 1 when
+# file_id % 13 = 0, and never well-formed when file_id % 17 = 0.
+# ---------------------------------------------------------------------------
+
+def completion(pdf) -> list:
+    out = []
+    for fid, api, t, a in zip(pdf["file_id"], pdf["API_path"], pdf["target_seq"],
+                              pdf["attempt"]):
+        leaf = api.rsplit(".", 1)[-1]
+        latest = "Latest answer:\n```python\n" + leaf + "_v2" + t + "\n```\n"
+        if fid % 17 == 0:
+            out.append("I cannot answer that.")
+        elif fid % 13 == 0 and a == 1:
+            out.append(latest + "Outdated answer:\n```python\n" + t)
+        else:
+            out.append(latest + "Outdated answer:\n```python\n" + t + "\n```")
+    return out
