@@ -492,3 +492,39 @@ oracle("assign_batches", _PROMPTS + """
 SELECT file_id, API_path, CAST(rn AS BIGINT) AS position,
   CAST(floor((rn - 1) / 64) AS BIGINT) AS batch_id
 FROM (SELECT file_id, API_path, row_number() OVER (ORDER BY file_id, API_path) AS rn FROM pr) x""")
+
+
+# ------------------------------------------------------------ sources, sinks
+
+oracle("scan_corpus", _MATCHES.rstrip() + f""",
+files AS ({_F['files']}), facts AS ({_F['facts']})
+SELECT m.api_path, f.url, COALESCE(x.stars, CAST(0 AS BIGINT)) AS stars,
+  COALESCE(strftime(x.last_updated, '%Y-%m-%dT%H:%M:%SZ'), 'Unknown') AS last_updated,
+  md5(f.content) AS content_md5
+FROM (SELECT api_path, file_id, query_no, row_number() OVER (PARTITION BY api_path
+        ORDER BY ceil(place / 100), query_no, place) AS rnk
+      FROM (SELECT m.*, row_number() OVER (PARTITION BY m.api_path, m.query_no
+                                           ORDER BY m.file_id) AS place
+            FROM m JOIN b ON m.api_path = b.api_path AND m.query_no = b.query_no
+            WHERE b.kept) p) m
+JOIN files f ON m.file_id = f.file_id LEFT JOIN facts x ON m.file_id = x.file_id
+WHERE m.rnk <= 5""")
+
+oracle("scan_tolerant", _with(files=_F["files"]) + """
+SELECT 'good' AS status, CAST(count(*) AS BIGINT) AS n FROM files
+UNION ALL
+SELECT 'corrupt', CAST(count(*) AS BIGINT) FROM files WHERE file_id % 9 = 0""")
+
+oracle("roundtrip_jsonl", _with(**_F) + _T6_DEF + "\nUNION ALL\n" + _T6_MAIN)
+
+oracle("sink_by_api", _with(**_F) + f"""
+SELECT lib, API_path, CAST(count(*) AS BIGINT) AS n_rows
+FROM ({_T6_DEF} UNION ALL {_T6_MAIN}) t GROUP BY lib, API_path""")
+
+oracle("catalog_from_json", X.catalog_sql(D))
+
+oracle("decode_content", _with(files=_F["files"]) + """
+SELECT file_id,
+  md5(CASE WHEN file_id % 11 = 0 THEN '' ELSE content END) AS content_md5,
+  CAST(CASE WHEN file_id % 11 = 0 THEN 0 ELSE length(content) END AS BIGINT) AS n_chars
+FROM files""")

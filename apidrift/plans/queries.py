@@ -488,3 +488,85 @@ def q_assign_batches(spark, sf_dir):
     p = batches.prompt_rows(_samples(spark, sf_dir)).select("file_id", "API_path")
     b = batches.assign_batches(p, ["file_id", "API_path"], 64)
     return b.select("file_id", "API_path", _i64("position"), _i64("batch_id"))
+
+
+# ------------------------------------------------------------ sources, sinks
+
+from apidrift.sources import jsonl  # noqa: E402
+
+ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
+def _raw_snippets(spark, sf_dir):
+    """T1 rows of the top-m files of each changed function (crawler output)."""
+    qs, m, corpus = _search(spark, sf_dir)
+    top = retrieve.top_m(m, retrieve.query_totals(qs, m, SEARCH_BUDGET), corpus)
+    return top.select("api_path", "file_id").join(corpus, "file_id").select(
+        "api_path", "repository", "url",
+        F.coalesce(F.date_format("last_updated", ISO), F.lit("Unknown")).alias("last_updated"),
+        "stars", "content")
+
+
+@query("scan_corpus")
+def q_scan_corpus(spark, sf_dir):
+    path = shared_path(spark, "snippets")
+    jsonl.write_snippets(_raw_snippets(spark, sf_dir), path)
+    df = jsonl.read_snippets(spark, path)
+    return df.select("api_path", "url", "stars", "last_updated",
+                     F.md5("content").alias("content_md5"))
+
+
+@query("scan_tolerant")
+def q_scan_tolerant(spark, sf_dir):
+    c = fixtures.corpus(spark, sf_dir)
+    good = c.select(F.to_json(F.struct("repository", "url", "stars", "content")).alias("v"),
+                    "file_id")
+    bad = c.where("file_id % 9 = 0").select(
+        F.concat(F.lit('{"repository": "'), F.col("repository"), F.lit('", broken')).alias("v"),
+        "file_id")
+    blank = c.where("file_id % 7 = 0").select(F.lit("").alias("v"), "file_id")
+    path = shared_path(spark, "tolerant")
+    good.unionByName(bad).unionByName(blank).select("v").write.text(path)
+    ok, rej = jsonl.read_tolerant(spark, path, "repository string, url string, "
+                                  "stars bigint, content string")
+    return ok.select(F.lit("good").alias("status")).unionByName(
+        rej.select(F.lit("corrupt").alias("status"))).groupBy("status").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("roundtrip_jsonl")
+def q_roundtrip_jsonl(spark, sf_dir):
+    rows = callsites.t6(_fn_sites(spark, sf_dir))
+    path = shared_path(spark, "t6")
+    jsonl.write_jsonl(rows, path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return jsonl.read_jsonl(spark, path, schema, glob=None)
+
+
+@query("sink_by_api")
+def q_sink_by_api(spark, sf_dir):
+    rows = callsites.t6(_fn_sites(spark, sf_dir))
+    path = shared_path(spark, "by_api")
+    jsonl.sink_by_api(rows, path, keys=("lib", "API_path"))
+    back = (spark.read.schema("file_id bigint, scope string, lib string, API_path string")
+            .json(path))
+    return back.groupBy("lib", "API_path").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@query("catalog_from_json")
+def q_catalog_from_json(spark, sf_dir):
+    path = shared_path(spark, "catalog")
+    jsonl.export_catalog(fixtures.catalog(spark, sf_dir), path)
+    return jsonl.read_catalog(spark, path)
+
+
+@query("decode_content")
+def q_decode_content(spark, sf_dir):
+    c = fixtures.corpus(spark, sf_dir)
+    raw = F.when(F.col("file_id") % 11 == 0,
+                 F.concat(F.unhex(F.lit("FF")), F.encode("content", "UTF-8"))).otherwise(
+        F.encode("content", "UTF-8"))
+    wrapped = F.regexp_replace(F.base64(raw), "(.{60})", "$1\n")
+    d = jsonl.decode_content(wrapped)
+    return c.select("file_id", F.md5(d).alias("content_md5"),
+                    F.length(d).cast("bigint").alias("n_chars"))
