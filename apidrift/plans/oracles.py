@@ -528,3 +528,25 @@ SELECT file_id,
   md5(CASE WHEN file_id % 11 = 0 THEN '' ELSE content END) AS content_md5,
   CAST(CASE WHEN file_id % 11 = 0 THEN 0 ELSE length(content) END AS BIGINT) AS n_chars
 FROM files""")
+
+
+# ------------------------------------------------------- catalogs from sources
+
+_SIDES_SRC = _with(s=X.lib_sides_sql(D))
+
+oracle("catalog_functions", _SIDES_SRC + """
+SELECT lib, version, api_path, api_path || args AS signature, doc
+FROM s WHERE kind = 'function'""")
+
+oracle("catalog_methods", _SIDES_SRC + """
+SELECT lib, version, api_path, api_path || '(self, ' || substring(args, 2) AS signature, doc
+FROM s WHERE kind = 'method'
+UNION ALL
+SELECT lib, version, lib || '.C' || CAST(pk AS VARCHAR) || '.__init__' AS api_path,
+  lib || '.C' || CAST(pk AS VARCHAR) || '.__init__(self, a)' AS signature, NULL AS doc
+FROM s WHERE kind = 'method'""")
+
+oracle("catalog_stub", _SIDES_SRC + f"""
+SELECT lib, version, api_path,
+  CASE WHEN m = 0 THEN api_path || '{X.STUB_ARGS}' ELSE api_path || args END AS signature
+FROM s WHERE kind = 'function'""")

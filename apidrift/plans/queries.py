@@ -570,3 +570,36 @@ def q_decode_content(spark, sf_dir):
     d = jsonl.decode_content(wrapped)
     return c.select("file_id", F.md5(d).alias("content_md5"),
                     F.length(d).cast("bigint").alias("n_chars"))
+
+
+# ------------------------------------------------------- catalogs from sources
+
+from apidrift.operators import catalog as catalog_ops  # noqa: E402
+
+
+def _lib_catalog(spark, sf_dir):
+    n = 4 * spark.sparkContext.defaultParallelism
+    files = fixtures.lib_files(spark, sf_dir).repartition(n)
+    return files, catalog_ops.catalog_from_sources(files)
+
+
+@query("catalog_functions")
+def q_catalog_functions(spark, sf_dir):
+    _, cat = _lib_catalog(spark, sf_dir)
+    return cat.where("kind = 'function'").select("lib", "version", "api_path",
+                                                  "signature", "doc")
+
+
+@query("catalog_methods")
+def q_catalog_methods(spark, sf_dir):
+    _, cat = _lib_catalog(spark, sf_dir)
+    return cat.where("kind = 'method'").select("lib", "version", "api_path",
+                                                "signature", "doc")
+
+
+@query("catalog_stub")
+def q_catalog_stub(spark, sf_dir):
+    files, cat = _lib_catalog(spark, sf_dir)
+    fns = cat.where("kind = 'function'")
+    best = catalog_ops.prefer_sources(fns, catalog_ops.stub_signatures(files, fns))
+    return best.select("lib", "version", "api_path", "signature")

@@ -78,7 +78,7 @@ def catalog_base_sql(d: Dialect) -> str:
     new_cases = " ".join(
         f"WHEN v = {v} THEN '{a}'" for v, a in NEW_ARGS.items() if v != 7)
     return f"""
-SELECT pk, v, lib, kind, api_path,
+SELECT pk, v, lib, kind, api_path, old_args, new_args,
   CASE WHEN v = 1 THEN NULL ELSE api_path || old_args END AS old_signature,
   CASE WHEN v = 0 THEN NULL ELSE api_path || new_args END AS new_signature,
   CASE WHEN v = 1 THEN NULL ELSE doc END AS old_doc,
@@ -383,3 +383,60 @@ def completion(pdf) -> list:
         else:
             out.append(latest + "Outdated answer:\n```python\n" + t + "\n```")
     return out
+
+
+# ---------------------------------------------------------------------------
+# Library sources (lib, version, path, content) for the X1 catalogs:
+# lib/m{j}.py with `def f{pk}` (+ a private twin `_p{pk}`) for function
+# entries, lib/__init__.py with `class C{pk}` (__init__, run, _hidden) for
+# method entries, and a stub lib/m0.pyi with other arguments. Argument
+# forms that are not Python source (no bracket, $self, object reprs) are
+# written in their plain form.
+# ---------------------------------------------------------------------------
+
+STUB_ARGS = "(x, y=1, *, k=2, extra=None)"
+
+
+def source_args_sql(col: str) -> str:
+    return (f"CASE WHEN {col} IN ('', '{SELF_ARGS}') THEN '{OLD_ARGS}' "
+            f"WHEN {col} = '{REPR_ARGS}' THEN '{NEW_ARGS[7]}' ELSE {col} END")
+
+
+def lib_sides_sql(d: Dialect) -> str:
+    base = catalog_base_sql(d)
+    return f"""
+SELECT lib, '1.0' AS version, kind, pk, pk % 7 AS m, api_path,
+  {source_args_sql('old_args')} AS args, old_doc AS doc FROM ({base}) o WHERE v <> 1
+UNION ALL
+SELECT lib, '2.0' AS version, kind, pk, pk % 7 AS m, api_path,
+  {source_args_sql('new_args')} AS args, new_doc AS doc FROM ({base}) n WHERE v <> 0
+"""
+
+
+def lib_files_sql(d: Dialect) -> str:
+    sides = lib_sides_sql(d)
+    doc4 = f"CASE WHEN doc IS NULL THEN '' ELSE '    \"\"\"' || doc || '\"\"\"' || {NL} END"
+    doc8 = f"CASE WHEN doc IS NULL THEN '' ELSE '        \"\"\"' || doc || '\"\"\"' || {NL} END"
+    fn = (f"'def f' || {_s('pk')} || args || ':' || {NL} || {doc4} || '    return 0' || {NL}"
+          f" || {NL} || 'def _p' || {_s('pk')} || '(a):' || {NL} || '    return 0' || {NL}")
+    cls = (f"'class C' || {_s('pk')} || ':' || {NL} || '    def __init__(self, a):' || {NL}"
+           f" || '        self.a = a' || {NL} || {NL}"
+           f" || '    def run(self, ' || substring(args, 2) || ':' || {NL} || {doc8}"
+           f" || '        return 0' || {NL} || {NL} || '    def _hidden(self):' || {NL}"
+           f" || '        return 0' || {NL}")
+    stub = (f"'def f' || {_s('pk')} || '{STUB_ARGS} -> None: ...'")
+    return f"""
+SELECT lib, version, lib || '/m' || {_s('m')} || '.py' AS path,
+  {d.agg(fn, NL, 'pk')} AS content
+FROM ({sides}) a WHERE kind = 'function' GROUP BY lib, version, m
+UNION ALL
+SELECT lib, version, lib || '/__init__.py' AS path, {d.agg(cls, NL, 'pk')} AS content
+FROM ({sides}) b WHERE kind = 'method' GROUP BY lib, version
+UNION ALL
+SELECT lib, version, lib || '/m0.pyi' AS path, {d.agg(stub, NL, 'pk')} AS content
+FROM ({sides}) c WHERE kind = 'function' AND m = 0 GROUP BY lib, version
+"""
+
+
+def lib_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, lib_files_sql(SPARK))
