@@ -114,12 +114,20 @@ from apidrift.operators import callsites, retrieve  # noqa: E402
 META = ("repository", "url", "last_updated", "stars")
 
 
+def _spread(spark, df):
+    """Spread CPU-heavy rows over the cores.
+
+    The fixture corpora come out of a join whose shuffle compresses to
+    almost nothing, so AQE folds it into one partition and the Python
+    parse would run in one worker. A round-robin repartition with a fixed
+    count is neither removed by the optimizer nor coalesced by AQE. (A
+    corpus read from storage is split by the scan and needs none.)
+    """
+    return df.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def _corpus(spark, sf_dir):
-    # The fixture corpus comes out of a small aggregation that AQE folds
-    # into one partition; the parse pass is CPU-bound, so spread it over
-    # the cores again. A corpus read from storage is split by the scan.
-    n = 4 * spark.sparkContext.defaultParallelism
-    return retrieve.enrich(fixtures.corpus(spark, sf_dir)).repartition(n, "file_id")
+    return _spread(spark, retrieve.enrich(fixtures.corpus(spark, sf_dir)))
 
 
 def _fn_records(spark, sf_dir, want=("fcall", "alias", "error")):
@@ -261,8 +269,7 @@ def q_usage_test(spark, sf_dir):
 # ---------------------------------------------------- method call sites, blocks
 
 def _mcorpus(spark, sf_dir):
-    n = 4 * spark.sparkContext.defaultParallelism
-    return retrieve.enrich(fixtures.mcorpus(spark, sf_dir)).repartition(n, "file_id")
+    return _spread(spark, retrieve.enrich(fixtures.mcorpus(spark, sf_dir)))
 
 
 def _mtargets(spark, sf_dir):
@@ -578,8 +585,7 @@ from apidrift.operators import catalog as catalog_ops  # noqa: E402
 
 
 def _lib_catalog(spark, sf_dir):
-    n = 4 * spark.sparkContext.defaultParallelism
-    files = fixtures.lib_files(spark, sf_dir).repartition(n)
+    files = _spread(spark, fixtures.lib_files(spark, sf_dir))
     return files, catalog_ops.catalog_from_sources(files)
 
 
