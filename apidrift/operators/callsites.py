@@ -17,7 +17,8 @@ from apidrift.session import broadcast_if_small
 REC_SCHEMA = ("rec string, lib string, name string, target string, method string, "
               "scope string, how string, visit_no int, line int, end_line int, "
               "rel_start int, rel_end int, code string, imports string, "
-              "btype string, reason string")
+              "btype string, reason string, api_name string, context string, "
+              "target_seq string, suffix string")
 
 REC_FIELDS = [f.strip().split(" ")[0] for f in REC_SCHEMA.split(",")]
 
@@ -94,7 +95,12 @@ def import_text(content: Column) -> Column:
 
 
 def split_call(code: Column, start: Column, end: Column, api_path: Column) -> Column:
-    """F8: struct(ok, reason, api_name, context, target_seq, suffix).
+    """F8 as one Catalyst expression: struct(ok, reason, api_name, context,
+    target_seq, suffix).
+
+    Kept as an independent cross-check of ``split_sample`` (see tests):
+    it is correct but costly, since the per-candidate lambdas re-split the
+    lines, so the pipelines use the Python split done in the parse pass.
 
     Lines before the call are context, the call lines are split at the
     longest dotted suffix of the API path that occurs exactly once in them
@@ -144,13 +150,42 @@ def function_call_rows(recs: DataFrame) -> DataFrame:
 def function_sites(recs: DataFrame, first_only: bool = True) -> DataFrame:
     """T6 rows: first call per (file, lib, API, scope), split into parts.
 
-    Rows whose split fails keep ``ok = false`` and a reason (F9).
+    The split (F8) is done by the parse pass, where the call is found; a
+    row whose split fails keeps ``ok = false`` and a reason (F9).
     """
     f = function_call_rows(recs)
     if first_only:
         f = f.where(F.col("how") == "first")
-    return f.withColumn("split", split_call(F.col("code"), F.col("rel_start"),
-                                            F.col("rel_end"), F.col("api_path")))
+    return f.withColumn("split", F.struct(
+        F.col("reason").isNull().alias("ok"), F.col("reason").alias("reason"),
+        F.col("api_name"), F.col("context"), F.col("target_seq"), F.col("suffix")))
+
+
+def split_samples(df: DataFrame, code: str = "code", start: str = "start_line_no",
+                  end: str = "end_line_no", api: str = "API_path") -> DataFrame:
+    """F8 over a table of call samples (Arrow-batched Python, the same
+    function the parse pass uses); adds struct column ``split``."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("struct<ok:boolean,reason:string,api_name:string,context:string,"
+               "target_seq:string,suffix:string>")
+    def split(c, s, e, a):
+        import pyarrow as pa
+
+        from apidrift.functions.pyparse import split_sample
+
+        out = []
+        for row in zip(c.to_pylist(), s.to_pylist(), e.to_pylist(), a.to_pylist()):
+            parts, reason = split_sample(*row)
+            out.append({"ok": parts is not None, "reason": reason,
+                        **dict(zip(("api_name", "context", "target_seq", "suffix"),
+                                   parts or (None,) * 4))})
+        return pa.array(out, type=pa.struct([
+            ("ok", pa.bool_()), ("reason", pa.string()), ("api_name", pa.string()),
+            ("context", pa.string()), ("target_seq", pa.string()),
+            ("suffix", pa.string())]))
+
+    return df.withColumn("split", split(F.col(code), F.col(start), F.col(end), F.col(api)))
 
 
 def t6(sites: DataFrame) -> DataFrame:
@@ -194,8 +229,11 @@ def method_pass(files: DataFrame, targets: DataFrame, keep=(),
     they are shipped to the tasks as a set, so the pass only tracks those
     classes and cuts blocks only for files with a target call; above the
     bound every class is tracked and the joins below do the filtering.
-    The one exchange on file_id after the pass serves every later join
-    and window (all keyed by file_id first).
+
+    The records feed several consumers (calls, blocks, imports), so they
+    are checkpointed once to the shared checkpoint folder: the Python pass
+    never runs twice, a lost executor does not re-run it, and the saved
+    hash partitioning on file_id serves every later join and window.
     """
     classes = None
     cls = targets.select("class").distinct()
@@ -204,7 +242,7 @@ def method_pass(files: DataFrame, targets: DataFrame, keep=(),
     recs = parse_pass(files, want=("mark", "ctor", "mcall", "block", "error"),
                       classes=classes, keep=keep, blocks_need_calls=classes is not None)
     n = partitions or files.sparkSession.sparkContext.defaultParallelism * 4
-    return recs.repartition(n, "file_id")
+    return recs.repartition(n, "file_id").checkpoint(eager=True)
 
 
 def method_calls(recs: DataFrame, targets: DataFrame) -> DataFrame:
