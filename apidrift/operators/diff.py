@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apidrift.operators.signatures import compare_code, parse_signatures, with_params
+from apidrift.operators.signatures import compare_code, params_of
 
 KEYS = ["lib", "kind", "api_path"]
 
@@ -29,9 +29,10 @@ def split_catalog(catalog: DataFrame, old_version: str, new_version: str):
 def api_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row per API in either version with its change class.
 
-    One full outer join on (lib, kind, api_path). Pairs whose signature
-    and doc are equal never reach the parser; only the distinct texts of
-    the remaining pairs are parsed, then joined back by text.
+    One full outer join on (lib, kind, api_path), the only shuffle. Pairs
+    whose signature and doc are equal are never parsed; the others are
+    parsed in the same stage (Arrow batches) and compared by one Catalyst
+    expression.
     """
     o = old.select(*KEYS, F.col("signature").alias("old_signature"),
                    F.col("doc").alias("old_doc"), F.lit(True).alias("_in_old"))
@@ -42,12 +43,8 @@ def api_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     same = (F.col("old_signature").eqNullSafe(F.col("new_signature"))
             & F.col("old_doc").eqNullSafe(F.col("new_doc")))
     j = j.withColumn("_differs", both & ~same)
-    todo = j.where("_differs")
-    parsed = parse_signatures(
-        todo.select(F.col("old_signature").alias("signature")).unionByName(
-            todo.select(F.col("new_signature").alias("signature"))))
-    j = with_params(j, "old_signature", "old_params", parsed)
-    j = with_params(j, "new_signature", "new_params", parsed)
+    j = (j.withColumn("old_params", params_of(F.col("old_signature"), F.col("_differs")))
+          .withColumn("new_params", params_of(F.col("new_signature"), F.col("_differs"))))
     code = F.when(F.col("_differs"),
                   compare_code(F.col("old_params"), F.col("new_params"))
                   ).otherwise(F.lit(0))

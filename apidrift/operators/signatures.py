@@ -29,6 +29,34 @@ def _parse_batches(compat: bool):
     return run
 
 
+def _params_array(values, compat=False):
+    import pyarrow as pa
+
+    from apidrift.functions.sigparse import parse_signature
+
+    ptype = pa.list_(pa.struct([
+        ("name", pa.string()), ("kind", pa.string()), ("pos", pa.int32()),
+        ("has_default", pa.bool_()), ("default_src", pa.string())]))
+    return pa.array([parse_signature(v, compat=compat) for v in values], type=ptype)
+
+
+def params_of(sig: Column, when: Column | None = None, compat: bool = False) -> Column:
+    """C2 as an Arrow-batched column function: parameters of ``sig``.
+
+    With ``when``, rows where it is false are not parsed (NULL), so a
+    column of mostly unchanged pairs costs next to nothing in Python.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf(PARAM_TYPE)
+    def parse(s, w):
+        flags = w.to_pylist()
+        vals = [v if f else None for v, f in zip(s.to_pylist(), flags)]
+        return _params_array(vals, compat)
+
+    return parse(sig, when if when is not None else F.lit(True))
+
+
 def parse_signatures(sigs: DataFrame, col: str = "signature",
                      compat: bool = False) -> DataFrame:
     """Distinct signatures -> (signature, params); params NULL if unparsable.
@@ -116,9 +144,9 @@ def compare_code(old: Column, new: Column) -> Column:
             .otherwise(F.lit(0)))
 
 
-def parse_error_counts(catalog: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Signatures and parse failures per (lib, version)."""
-    j = with_params(catalog, "signature", "params", parsed)
-    return j.groupBy("lib", "version").agg(
+def parse_error_counts(catalog: DataFrame) -> DataFrame:
+    """Signatures and parse failures per (lib, version); ``catalog``
+    carries a ``params`` column (see ``params_of``)."""
+    return catalog.groupBy("lib", "version").agg(
         F.count(F.lit(1)).alias("n_signatures"),
         F.count_if(F.col("params").isNull()).alias("n_errors"))

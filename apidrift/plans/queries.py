@@ -41,8 +41,7 @@ def _changes(spark, sf_dir):
 @query("sig_params")
 def q_sig_params(spark, sf_dir):
     cat = fixtures.catalog(spark, sf_dir)
-    parsed = signatures.parse_signatures(cat)
-    j = signatures.with_params(cat, "signature", "params", parsed)
+    j = cat.withColumn("params", signatures.params_of(F.col("signature")))
     return j.select("lib", "version", "kind", "api_path",
                     F.size("params").cast("bigint").alias("n_params"),
                     signatures.params_text(F.col("params")).alias("params_text")
@@ -53,7 +52,8 @@ def q_sig_params(spark, sf_dir):
 @query("sig_parse_errors")
 def q_sig_parse_errors(spark, sf_dir):
     cat = fixtures.catalog(spark, sf_dir)
-    return signatures.parse_error_counts(cat, signatures.parse_signatures(cat))
+    return signatures.parse_error_counts(
+        cat.withColumn("params", signatures.params_of(F.col("signature"))))
 
 
 @query("sig_compare")
@@ -62,9 +62,8 @@ def q_sig_compare(spark, sf_dir):
     old, new = diff.split_catalog(cat, "1.0", "2.0")
     pairs = old.select(*diff.KEYS, F.col("signature").alias("old_signature")).join(
         new.select(*diff.KEYS, F.col("signature").alias("new_signature")), diff.KEYS)
-    parsed = signatures.parse_signatures(cat)
-    pairs = signatures.with_params(pairs, "old_signature", "old_params", parsed)
-    pairs = signatures.with_params(pairs, "new_signature", "new_params", parsed)
+    pairs = pairs.withColumn("old_params", signatures.params_of(F.col("old_signature"))) \
+        .withColumn("new_params", signatures.params_of(F.col("new_signature")))
     return pairs.select(*diff.KEYS, signatures.compare_code(
         F.col("old_params"), F.col("new_params")).cast("bigint").alias("code"))
 
