@@ -99,22 +99,26 @@ def bounded(term: Column) -> Column:
         F.when(term.rlike(r"\w$"), F.lit(r"(?!\w)")).otherwise(F.lit("")))
 
 
-def search(corpus: DataFrame, qs: DataFrame) -> DataFrame:
-    """(api_path, query_no, file_id) for every file holding all terms.
+def search(corpus: DataFrame, qs: DataFrame, keep=()) -> DataFrame:
+    """(api_path, query_no, file_id, *keep) for every file holding all
+    terms of a query.
 
     Union over queries without dedup: a file found by two queries of one
     API appears twice. Files are never compared with every query: only
-    pairs that share the leaf word are checked.
+    pairs that share the leaf word are checked. Explode, broadcast join and
+    verification run in the scan's stage; ``keep`` (e.g. content, for the
+    usage test) is only copied for matching pairs.
     """
+    extra = [c for c in keep if c not in ("file_id", "content")]
     words = corpus.select(
-        "file_id", "content",
+        "file_id", "content", *extra,
         F.explode(F.array_distinct(F.regexp_extract_all(
             "content", F.lit(r"(?U)\w+"), 0))).alias("word"))
     qb = broadcast_if_small(qs.select("api_path", "query_no", "terms", "leaf"),
                             MAX_QUERY_ROWS)
     cand = words.join(qb, words["word"] == qb["leaf"])
     ok = F.forall("terms", lambda t: F.regexp_like(F.col("content"), bounded(t)))
-    return cand.where(ok).select("api_path", "query_no", "file_id")
+    return cand.where(ok).select("api_path", "query_no", "file_id", *keep)
 
 
 def query_totals(qs: DataFrame, matches: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -138,19 +142,17 @@ def hit_counts(totals: DataFrame) -> DataFrame:
         F.sum("n_hits").alias("n_hits"))
 
 
-def top_m(matches: DataFrame, totals: DataFrame, corpus: DataFrame,
-          m: int = TOP_M, page_size: int = PAGE_SIZE) -> DataFrame:
+def top_m(matches: DataFrame, totals: DataFrame, m: int = TOP_M,
+          page_size: int = PAGE_SIZE) -> DataFrame:
     """First m usable files per API in (page, query, place) order.
 
     Place within a query is file_id. Only the first m of each query can
     be among the first m overall, so a per-(api, query) limit runs first
     (partial top-k before the shuffle; a hot API costs m rows per task).
-    Files without content are not usable (R7).
+    Every match holds its terms, so its content is non-empty (usable, R7).
     """
-    usable = corpus.where(F.length("content") > 0).select("file_id")
     runs = totals.where("kept").select("api_path", "query_no")
-    mm = matches.join(runs, ["api_path", "query_no"], "left_semi").join(
-        usable, "file_id", "left_semi")
+    mm = matches.join(runs, ["api_path", "query_no"], "left_semi")
     w1 = Window.partitionBy("api_path", "query_no").orderBy("file_id")
     mm = mm.withColumn("place", F.row_number().over(w1)).where(F.col("place") <= m)
     mm = mm.withColumn("page", F.ceil(F.col("place") / page_size))

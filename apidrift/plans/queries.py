@@ -196,9 +196,12 @@ def _changed_functions(spark, sf_dir):
 
 
 def _search(spark, sf_dir):
+    """Queries, matches and corpus. The match table (api, query, file) is
+    small and feeds several consumers (totals, top-m, joins), so it is
+    checkpointed once: the full corpus scan behind it never runs twice."""
     qs = retrieve.queries(_changed_functions(spark, sf_dir))
     corpus = _corpus(spark, sf_dir)
-    return qs, retrieve.search(corpus, qs), corpus
+    return qs, retrieve.search(corpus, qs).checkpoint(eager=True), corpus
 
 
 @query("api_patterns")
@@ -239,7 +242,7 @@ def q_search_counts(spark, sf_dir):
 def q_search_top_m(spark, sf_dir):
     qs, m, corpus = _search(spark, sf_dir)
     t = retrieve.query_totals(qs, m, SEARCH_BUDGET)
-    return retrieve.top_m(m, t, corpus).select(
+    return retrieve.top_m(m, t).select(
         "api_path", _i64("rank"), "file_id", _i64("query_no"))
 
 
@@ -259,10 +262,11 @@ def q_filter_files(spark, sf_dir):
 
 @query("usage_test")
 def q_usage_test(spark, sf_dir):
-    _, m, corpus = _search(spark, sf_dir)
-    pairs = m.select("api_path", "file_id").distinct().join(
-        corpus.select("file_id", "content"), "file_id")
-    return retrieve.usage_test(pairs).select("api_path", "file_id", "used")
+    qs = retrieve.queries(_changed_functions(spark, sf_dir))
+    m = retrieve.search(_corpus(spark, sf_dir), qs, keep=("content",))
+    # tested in the search stage while the content is at hand; only the
+    # small (api, file, used) rows are deduplicated
+    return retrieve.usage_test(m).select("api_path", "file_id", "used").distinct()
 
 
 # ---------------------------------------------------- method call sites, blocks
@@ -391,7 +395,7 @@ def q_marker_log(spark, sf_dir):
 # ---------------------------------------------- conversion, filter, synthesis
 
 from apidrift.operators import batches, convert, synth  # noqa: E402
-from apidrift.session import shared_path  # noqa: E402
+from apidrift.session import broadcast_if_small, shared_path  # noqa: E402
 
 
 @query("build_content")
@@ -506,8 +510,10 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 def _raw_snippets(spark, sf_dir):
     """T1 rows of the top-m files of each changed function (crawler output)."""
     qs, m, corpus = _search(spark, sf_dir)
-    top = retrieve.top_m(m, retrieve.query_totals(qs, m, SEARCH_BUDGET), corpus)
-    return top.select("api_path", "file_id").join(corpus, "file_id").select(
+    top = retrieve.top_m(m, retrieve.query_totals(qs, m, SEARCH_BUDGET))
+    # m rows per API: broadcast under a checked bound, the corpus is not shuffled
+    top = broadcast_if_small(top.select("api_path", "file_id"), 1_000_000)
+    return corpus.join(top, "file_id").select(
         "api_path", "repository", "url",
         F.coalesce(F.date_format("last_updated", ISO), F.lit("Unknown")).alias("last_updated"),
         "stars", "content")

@@ -45,8 +45,7 @@ def test_budget_and_top_m(spark):
                               "api_path string, query_no int, file_id bigint")
     t = {r.query_no: (r.n_hits, r.kept) for r in retrieve.query_totals(qs, m, 8).collect()}
     assert t == {1: (5, True), 2: (4, True), 3: (1, False), 4: (1, False)}
-    corpus = spark.createDataFrame([(i, "x") for i in range(40)], "file_id bigint, content string")
-    top = retrieve.top_m(m, retrieve.query_totals(qs, m, 8), corpus, m=7)
+    top = retrieve.top_m(m, retrieve.query_totals(qs, m, 8), m=7)
     assert [r.file_id for r in top.orderBy("rank").collect()] == [0, 1, 2, 3, 4, 10, 11]
 
 
