@@ -55,8 +55,51 @@ def signature_text(fn) -> str:
     return text
 
 
+def _bases(node, mod: str, local_classes: set, names: dict) -> str:
+    """Comma-joined full names of a class's bases (best effort from source)."""
+    out = []
+    for b in node.bases:
+        chain = []
+        while isinstance(b, ast.Attribute):
+            chain.insert(0, b.attr)
+            b = b.value
+        if not isinstance(b, ast.Name):
+            continue
+        if not chain and b.id in local_classes:
+            out.append(f"{mod}.{b.id}")
+        else:
+            out.append(".".join([names.get(b.id, b.id)] + chain))
+    return ",".join(out)
+
+
+def _import_names(tree, mod: str, is_pkg: bool) -> dict:
+    """Module-level name -> full dotted name, from import statements."""
+    names = {}
+    pkg = mod.split(".") if is_pkg else mod.split(".")[:-1]
+    for node in tree.body:
+        if isinstance(node, ast.Import):
+            for a in node.names:
+                if a.asname:
+                    names[a.asname] = a.name
+                else:
+                    names[a.name.split(".")[0]] = a.name.split(".")[0]
+        elif isinstance(node, ast.ImportFrom):
+            base = node.module or ""
+            if node.level:
+                head = pkg[:len(pkg) - node.level + 1]
+                base = ".".join(head + ([base] if base else []))
+            for a in node.names:
+                names[a.asname or a.name] = f"{base}.{a.name}" if base else a.name
+    return names
+
+
 def catalog_records(path: str, content: str | None):
-    """(kind, api_path, signature, doc) for the public API of one file."""
+    """(kind, api_path, signature, doc, bases) for the public API of one file.
+
+    kind is 'function', 'method' or 'class'; class rows carry the full
+    names of their bases (comma-joined) so that inherited members can be
+    derived by joins.
+    """
     if content is None:
         return []
     try:
@@ -66,19 +109,24 @@ def catalog_records(path: str, content: str | None):
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     mod = module_of(path)
+    is_pkg = path.endswith("__init__.py") or path.endswith("__init__.pyi")
+    names = _import_names(tree, mod, is_pkg)
+    local_classes = {n.name for n in tree.body if isinstance(n, ast.ClassDef)}
     out = []
     defs = (ast.FunctionDef, ast.AsyncFunctionDef)
     for node in tree.body:
         if isinstance(node, defs) and not node.name.startswith("_"):
             key = f"{mod}.{node.name}"
             out.append(("function", key, key + signature_text(node),
-                        ast.get_docstring(node)))
+                        ast.get_docstring(node), None))
         elif isinstance(node, ast.ClassDef) and not node.name.startswith("_"):
             owner = f"{mod}.{node.name}"
+            out.append(("class", owner, None, ast.get_docstring(node),
+                        _bases(node, mod, local_classes, names)))
             for item in node.body:
                 if isinstance(item, defs) and (item.name in KEEP_DUNDER
                                                or not item.name.startswith("_")):
                     key = f"{owner}.{item.name}"
                     out.append(("method", key, key + signature_text(item),
-                                ast.get_docstring(item)))
+                                ast.get_docstring(item), None))
     return out

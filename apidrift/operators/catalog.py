@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _records(batches):
@@ -27,18 +28,84 @@ def _records(batches):
                 rows.append(r)
         take = pa.array(idx, type=pa.int64())
         cols = [libs.take(take), vers.take(take)] + [
-            pa.array([r[k] for r in rows], pa.string()) for k in range(4)]
+            pa.array([r[k] for r in rows], pa.string()) for k in range(5)]
         yield pa.RecordBatch.from_arrays(
-            cols, names=["lib", "version", "kind", "api_path", "signature", "doc"])
+            cols, names=["lib", "version", "kind", "api_path", "signature", "doc", "bases"])
 
 
 def catalog_from_sources(lib_files: DataFrame) -> DataFrame:
-    """T2 rows (lib, version, kind, api_path, signature, doc)
-    from the ``.py`` files; private names are skipped."""
+    """Rows (lib, version, kind, api_path, signature, doc, bases)
+    from the ``.py`` files; kind is function, method or class (class rows
+    carry their bases); private names are skipped."""
     src = lib_files.where(F.col("path").endswith(".py")).select(
         "lib", "version", "path", "content")
     return src.mapInArrow(_records, "lib string, version string, kind string, "
-                          "api_path string, signature string, doc string")
+                          "api_path string, signature string, doc string, bases string")
+
+
+INHERIT_DEPTH = 8
+
+
+def with_inherited(records: DataFrame, depth: int = INHERIT_DEPTH) -> DataFrame:
+    """B2: methods of each class including those it inherits, as reflection
+    lists them. Classes are ranked in method-resolution order, taken as
+    depth-first, left-to-right order keeping only the last occurrence of a
+    class reached twice (equal to C3 for the usual hierarchies, diamonds
+    included); the first class defining a name wins, and a method without
+    a docstring takes the first one found in the same order.
+
+    One join per inheritance level between the class -> base edges and
+    the methods newly reached at the level before (so rows never
+    multiply), stopping when a level reaches nothing or at ``depth``.
+    The records and each level are checkpointed to the shared folder:
+    a catalog is small, and the Python pass and earlier levels are not
+    recomputed per level. Bases outside the given sources contribute
+    nothing.
+    """
+    keys = ["lib", "version"]
+    records = records.checkpoint(eager=True)
+    edges = records.where(F.col("kind") == "class").select(
+        *keys, F.col("api_path").alias("cls"),
+        F.posexplode(F.split(F.col("bases"), ",")).alias("bpos", "base")).where(
+        F.col("base") != "")
+    own = records.where(F.col("kind") == "method").select(
+        *keys,
+        F.regexp_extract("api_path", r"^(.*)\.[^.]+$", 1).alias("cls"),
+        F.substring_index("api_path", ".", -1).alias("name"),
+        F.expr("substring(signature, length(api_path) + 1)").alias("args"),
+        "doc", F.lit("").alias("route"))
+    own = own.withColumn("owner", F.col("cls")).checkpoint(eager=True)
+    levels = [own]
+    reached = own
+    for d in range(1, depth + 1):
+        e = edges.alias("e")
+        r = reached.alias("r")
+        reached = e.join(r, (F.col("e.lib") == F.col("r.lib"))
+                         & (F.col("e.version") == F.col("r.version"))
+                         & (F.col("e.base") == F.col("r.cls"))).select(
+            F.col("e.lib").alias("lib"), F.col("e.version").alias("version"),
+            F.col("e.cls").alias("cls"), "r.name", "r.args", "r.doc", "r.owner",
+            F.concat(F.lpad(F.col("e.bpos").cast("string"), 4, "0"), F.col("r.route")
+                     ).alias("route")).checkpoint(eager=True)
+        if reached.isEmpty():
+            break
+        levels.append(reached)
+    allm = levels[0]
+    for lv in levels[1:]:
+        allm = allm.unionByName(lv)
+    # a route is the chain of fixed-width base positions, so string order is
+    # depth-first order; a class's place is its last occurrence
+    placed = allm.withColumn("pos", F.max("route").over(
+        Window.partitionBy(*keys, "cls", "owner")))
+    w = Window.partitionBy(*keys, "cls", "name").orderBy("pos")
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = (placed.withColumn("_r", F.row_number().over(w))
+            .withColumn("_doc", F.first("doc", ignorenulls=True).over(wall))
+            .where("_r = 1"))
+    path = F.concat(F.col("cls"), F.lit("."), F.col("name"))
+    return best.select(*keys, F.lit("method").alias("kind"), path.alias("api_path"),
+                       F.concat(path, F.col("args")).alias("signature"),
+                       F.col("_doc").alias("doc"))
 
 
 def _module(path_col):

@@ -544,7 +544,16 @@ FROM s WHERE kind = 'method'
 UNION ALL
 SELECT lib, version, lib || '.C' || CAST(pk AS VARCHAR) || '.__init__' AS api_path,
   lib || '.C' || CAST(pk AS VARCHAR) || '.__init__(self, a)' AS signature, NULL AS doc
-FROM s WHERE kind = 'method'""")
+FROM s WHERE kind = 'method'
+UNION ALL
+SELECT DISTINCT lib, version, lib || '.Base.reset' AS api_path,
+  lib || '.Base.reset(self, hard=False)' AS signature, 'Reset state.' AS doc
+FROM s WHERE kind = 'method'
+UNION ALL
+SELECT lib, version, lib || '.C' || CAST(pk AS VARCHAR) || '.reset' AS api_path,
+  lib || '.C' || CAST(pk AS VARCHAR) || '.reset(self, hard=False)' AS signature,
+  'Reset state.' AS doc
+FROM s WHERE kind = 'method' AND pk % 4 = 0""")
 
 oracle("catalog_stub", _SIDES_SRC + f"""
 SELECT lib, version, api_path,

@@ -603,9 +603,9 @@ def q_catalog_functions(spark, sf_dir):
 
 @query("catalog_methods")
 def q_catalog_methods(spark, sf_dir):
-    _, cat = _lib_catalog(spark, sf_dir)
-    return cat.where("kind = 'method'").select("lib", "version", "api_path",
-                                                "signature", "doc")
+    _, recs = _lib_catalog(spark, sf_dir)
+    return catalog_ops.with_inherited(recs).select("lib", "version", "api_path",
+                                                   "signature", "doc")
 
 
 @query("catalog_stub")

@@ -395,6 +395,9 @@ def completion(pdf) -> list:
 # ---------------------------------------------------------------------------
 
 STUB_ARGS = "(x, y=1, *, k=2, extra=None)"
+# classes with pk % 4 = 0 derive from it and inherit `reset`
+BASE_CLASS = ("'class Base:' || chr(10) || '    def reset(self, hard=False):' || chr(10)"
+              " || '        \"\"\"Reset state.\"\"\"' || chr(10) || '        return 0' || chr(10)")
 
 
 def source_args_sql(col: str) -> str:
@@ -419,7 +422,8 @@ def lib_files_sql(d: Dialect) -> str:
     doc8 = f"CASE WHEN doc IS NULL THEN '' ELSE '        \"\"\"' || doc || '\"\"\"' || {NL} END"
     fn = (f"'def f' || {_s('pk')} || args || ':' || {NL} || {doc4} || '    return 0' || {NL}"
           f" || {NL} || 'def _p' || {_s('pk')} || '(a):' || {NL} || '    return 0' || {NL}")
-    cls = (f"'class C' || {_s('pk')} || ':' || {NL} || '    def __init__(self, a):' || {NL}"
+    cls = (f"'class C' || {_s('pk')} || CASE WHEN pk % 4 = 0 THEN '(Base)' ELSE '' END"
+           f" || ':' || {NL} || '    def __init__(self, a):' || {NL}"
            f" || '        self.a = a' || {NL} || {NL}"
            f" || '    def run(self, ' || substring(args, 2) || ':' || {NL} || {doc8}"
            f" || '        return 0' || {NL} || {NL} || '    def _hidden(self):' || {NL}"
@@ -430,7 +434,8 @@ SELECT lib, version, lib || '/m' || {_s('m')} || '.py' AS path,
   {d.agg(fn, NL, 'pk')} AS content
 FROM ({sides}) a WHERE kind = 'function' GROUP BY lib, version, m
 UNION ALL
-SELECT lib, version, lib || '/__init__.py' AS path, {d.agg(cls, NL, 'pk')} AS content
+SELECT lib, version, lib || '/__init__.py' AS path,
+  {BASE_CLASS} || {NL} || {d.agg(cls, NL, 'pk')} AS content
 FROM ({sides}) b WHERE kind = 'method' GROUP BY lib, version
 UNION ALL
 SELECT lib, version, lib || '/m0.pyi' AS path, {d.agg(stub, NL, 'pk')} AS content

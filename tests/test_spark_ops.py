@@ -162,3 +162,37 @@ def test_usage_test_pairs_alias_with_its_own_suffix(spark):     # Q24
         ("a.b.c", "x = a.b.c\n"),
     ], "api_path string, content string")
     assert [r.used for r in usage_test(df).collect()] == [True, True, True, True, False, True]
+
+
+def test_inherited_methods_match_inspect(spark):
+    """Brute force: build the classes in this test and ask inspect."""
+    import inspect
+
+    from apidrift.operators.catalog import catalog_from_sources, with_inherited
+
+    src = ("class A:\n    def f(self, x):\n        'A.f doc'\n    def g(self):\n        'A.g doc'\n"
+           "class B(A):\n    def f(self, x, y=1):\n        pass\n"
+           "class M:\n    def g(self, z):\n        'M.g doc'\n    def h(self):\n        pass\n"
+           "class C(B, M):\n    pass\n"
+           "class P(A):\n    def g(self, p):\n        pass\n"
+           "class Q(B, P):\n    def run(self):\n        pass\n")
+    files = spark.createDataFrame([("L", "1", "L/k.py", src)],
+                                  "lib string, version string, path string, content string")
+    got = {r.api_path: (r.signature, r.doc)
+           for r in with_inherited(catalog_from_sources(files)).collect()}
+    import sys
+    import types
+
+    mod = types.ModuleType("apidrift_test_k")   # a real module: getdoc walks the MRO
+    sys.modules[mod.__name__] = mod
+    exec(compile(src, "k", "exec"), mod.__dict__)
+    ns = mod.__dict__
+    want = {}
+    for cname in ("A", "B", "M", "C", "P", "Q"):
+        for name, member in inspect.getmembers(ns[cname], inspect.isfunction):
+            if name.startswith("_"):
+                continue
+            key = f"L.k.{cname}.{name}"
+            want[key] = (key + str(inspect.signature(member)), inspect.getdoc(member))
+    assert got == want
+    assert got["L.k.Q.g"] == ("L.k.Q.g(self, p)", "A.g doc")          # diamond: P before A
