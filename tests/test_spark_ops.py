@@ -196,3 +196,29 @@ def test_inherited_methods_match_inspect(spark):
             want[key] = (key + str(inspect.signature(member)), inspect.getdoc(member))
     assert got == want
     assert got["L.k.Q.g"] == ("L.k.Q.g(self, p)", "A.g doc")          # diamond: P before A
+
+
+def test_marker_log_default_patterns_from_a_text_file(spark, tmp_path):
+    from apidrift.operators.logs import marker_log, read_log
+
+    text = ("Processing file: lib-nn-Lin-forward.jsonl\n"
+            "遍历到json 3\n"
+            "  第 7 行: layer = lib.nn.Lin(...)\n"
+            "  第 9 行: layer.forward(...)\n"
+            "Processing file: lib-nn-Lin-reset.jsonl\n")
+    p = tmp_path / "output.log"
+    p.write_text(text, encoding="utf-8")
+    out = marker_log(read_log(spark, str(p)))
+    assert [(r.api_name, r.record_no, r.line_no, r.call_text) for r in out.collect()] == [
+        ("forward", 3, 9, "layer.forward(...)")]
+
+
+def test_assign_batches_shuffled_is_a_permutation(spark):
+    from apidrift.operators.batches import assign_batches
+
+    df = spark.createDataFrame([(i,) for i in range(300)], "k bigint")
+    a = {r.k: r.position for r in assign_batches(df, ["k"], 50, shuffle_seed=7).collect()}
+    b = {r.k: r.position for r in assign_batches(df, ["k"], 50, shuffle_seed=7,
+                                                 partitions=3).collect()}
+    assert sorted(a.values()) == list(range(1, 301)) and a == b
+    assert a != {k: k + 1 for k in range(300)}
