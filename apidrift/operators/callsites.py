@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from apidrift.session import broadcast_if_small
+from apidrift.session import broadcast_if_small, checkpoint
 
 REC_SCHEMA = ("rec string, lib string, name string, target string, method string, "
               "scope string, how string, visit_no int, line int, end_line int, "
@@ -242,7 +242,7 @@ def method_pass(files: DataFrame, targets: DataFrame, keep=(),
     recs = parse_pass(files, want=("mark", "ctor", "mcall", "block", "error"),
                       classes=classes, keep=keep, blocks_need_calls=classes is not None)
     n = partitions or files.sparkSession.sparkContext.defaultParallelism * 4
-    return recs.repartition(n, "file_id").checkpoint(eager=True)
+    return checkpoint(recs.repartition(n, "file_id"))
 
 
 def method_calls(recs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from apidrift.session import checkpoint
+
 
 def _records(batches):
     import pyarrow as pa
@@ -63,7 +65,7 @@ def with_inherited(records: DataFrame, depth: int = INHERIT_DEPTH) -> DataFrame:
     nothing.
     """
     keys = ["lib", "version"]
-    records = records.checkpoint(eager=True)
+    records = checkpoint(records)
     edges = records.where(F.col("kind") == "class").select(
         *keys, F.col("api_path").alias("cls"),
         F.posexplode(F.split(F.col("bases"), ",")).alias("bpos", "base")).where(
@@ -74,19 +76,19 @@ def with_inherited(records: DataFrame, depth: int = INHERIT_DEPTH) -> DataFrame:
         F.substring_index("api_path", ".", -1).alias("name"),
         F.expr("substring(signature, length(api_path) + 1)").alias("args"),
         "doc", F.lit("").alias("route"))
-    own = own.withColumn("owner", F.col("cls")).checkpoint(eager=True)
+    own = checkpoint(own.withColumn("owner", F.col("cls")))
     levels = [own]
     reached = own
     for d in range(1, depth + 1):
         e = edges.alias("e")
         r = reached.alias("r")
-        reached = e.join(r, (F.col("e.lib") == F.col("r.lib"))
+        reached = checkpoint(e.join(r, (F.col("e.lib") == F.col("r.lib"))
                          & (F.col("e.version") == F.col("r.version"))
                          & (F.col("e.base") == F.col("r.cls"))).select(
             F.col("e.lib").alias("lib"), F.col("e.version").alias("version"),
             F.col("e.cls").alias("cls"), "r.name", "r.args", "r.doc", "r.owner",
             F.concat(F.lpad(F.col("e.bpos").cast("string"), 4, "0"), F.col("r.route")
-                     ).alias("route")).checkpoint(eager=True)
+                     ).alias("route")))
         if reached.isEmpty():
             break
         levels.append(reached)

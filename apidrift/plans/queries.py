@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apidrift.operators import diff, signatures
+from apidrift.session import checkpoint
 from apidrift.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,7 +202,7 @@ def _search(spark, sf_dir):
     checkpointed once: the full corpus scan behind it never runs twice."""
     qs = retrieve.queries(_changed_functions(spark, sf_dir))
     corpus = _corpus(spark, sf_dir)
-    return qs, retrieve.search(corpus, qs).checkpoint(eager=True), corpus
+    return qs, checkpoint(retrieve.search(corpus, qs)), corpus
 
 
 @query("api_patterns")

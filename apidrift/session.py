@@ -52,6 +52,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Eager, reliable checkpoint into the shared checkpoint folder.
+
+    Cuts lineage so that an expensive upstream (a Python pass, a corpus
+    scan) is neither recomputed by a second consumer nor re-run when an
+    executor is lost.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path under the shared checkpoint folder (never machine-local)."""
     base = ensure_checkpoint_dir(spark)
