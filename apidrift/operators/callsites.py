@@ -242,7 +242,7 @@ def method_pass(files: DataFrame, targets: DataFrame, keep=(),
     recs = parse_pass(files, want=("mark", "ctor", "mcall", "block", "error"),
                       classes=classes, keep=keep, blocks_need_calls=classes is not None)
     n = partitions or files.sparkSession.sparkContext.defaultParallelism * 4
-    return checkpoint(recs.repartition(n, "file_id"))
+    return checkpoint(recs.repartition(n, "file_id"), keep_partitioning=True)
 
 
 def method_calls(recs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -331,9 +331,14 @@ def method_sites(calls: DataFrame, blocks: DataFrame, imports: DataFrame) -> Dat
     whose cut succeeds; one call per line (the last variable wins).
     """
     per_line = per_call_line(calls)
-    cut = cut_calls(per_line, blocks).where(F.col("_cut.context").isNotNull())
-    w = Window.partitionBy("api_path", "file_id", "block_no").orderBy("visit_no")
-    first = cut.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    cut = cut_calls(per_line, blocks)
+    # first call per block whose cut succeeds: failed cuts sort last, and
+    # are dropped after the window (a filter before it would be pushed
+    # below the Python UDF and run it twice)
+    failed = F.col("_cut.context").isNull()
+    w = Window.partitionBy("api_path", "file_id", "block_no").orderBy(failed, "visit_no")
+    first = (cut.withColumn("_r", F.row_number().over(w))
+             .where((F.col("_r") == 1) & F.col("_cut.context").isNotNull()).drop("_r"))
     return first.join(imports, "file_id", "left").select(
         "file_id", "api_path", "line", "block_no", "block_type", *META_COLS,
         F.coalesce(F.col("import_code"), F.lit("")).alias("import"),

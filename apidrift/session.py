@@ -52,15 +52,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Eager, reliable checkpoint into the shared checkpoint folder.
 
     Cuts lineage so that an expensive upstream (a Python pass, a corpus
     scan) is neither recomputed by a second consumer nor re-run when an
     executor is lost.
+
+    ``keep_partitioning``: the checkpointed frame keeps the hash
+    partitioning of ``df`` (e.g. after ``repartition(n, key)``), so later
+    joins and aggregations on that key need no shuffle. An adaptive plan
+    reports its partitioning only after it has run, so this one plan is
+    made without AQE (the setting is restored right after).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    key = "spark.sql.adaptive.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
