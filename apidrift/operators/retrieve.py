@@ -3,8 +3,8 @@
 The reference sends conjunctive phrase queries to a web code search. Here
 the same queries run over a corpus DataFrame:
 
-* every query ends in a leaf word (the API's last name, or the method
-  tail), so each file's distinct identifiers are exploded and joined to
+* every query holds a leaf word (the last name of the search path; for a
+  method, its class), so each file's distinct identifiers are exploded and joined to
   the small query table on that word (broadcast under a row bound) - no
   files x queries product, and content is never shuffled;
 * surviving (file, query) pairs are verified term by term with a bounded
@@ -84,7 +84,9 @@ def queries(apis: DataFrame) -> DataFrame:
                               F.array(F.col("_head")).alias("terms")))
     allq = F.when(n_pairs > 0, F.concat(direct, imp, frm)).otherwise(direct)
     q = a.select("api_path", "kind", "_head", "_tail", F.explode(allq).alias("q"))
-    leaf = F.coalesce(F.col("_tail"), F.substring_index(F.col("_head"), ".", -1))
+    # every query holds the last name of the search path as a bounded
+    # token (for methods: the class, far rarer than the method name)
+    leaf = F.substring_index(F.col("_head"), ".", -1)
     return q.select("api_path", "kind", F.col("q.query_no").alias("query_no"),
                     F.concat(F.col("q.terms"), extra).alias("terms"),
                     leaf.alias("leaf"))

@@ -559,3 +559,16 @@ oracle("catalog_stub", _SIDES_SRC + f"""
 SELECT lib, version, api_path,
   CASE WHEN m = 0 THEN api_path || '{X.STUB_ARGS}' ELSE api_path || args END AS signature
 FROM s WHERE kind = 'function'""")
+
+
+oracle("search_methods", _with(**_M, **_MX) + """
+SELECT DISTINCT api_path, CAST(query_no AS BIGINT) AS query_no, file_id FROM (
+  SELECT c.api_path, CASE WHEN i.style = 0 THEN 1 ELSE 3 END AS query_no, i.file_id
+  FROM mi i JOIN cat c ON c.kind = 'method' AND c.v IN (3, 4, 5, 9) AND c.pk = i.pk
+  WHERE i.style = 1 OR i.form IN (0, 1)
+  UNION ALL
+  SELECT c.api_path, 1, g.file_id
+  FROM gl g JOIN mi i ON g.file_id = i.file_id AND i.n = 1
+  JOIN cat c ON c.kind = 'method' AND c.v IN (3, 4, 5, 9) AND c.pk = i.pk
+  WHERE g.file_id % 4 = 0 AND i.style = 0
+) x""")

@@ -247,6 +247,15 @@ def q_search_top_m(spark, sf_dir):
         "api_path", _i64("rank"), "file_id", _i64("query_no"))
 
 
+@query("search_methods")
+def q_search_methods(spark, sf_dir):
+    ch = _changes(spark, sf_dir).where(
+        "kind = 'method' AND change IN ('modified_A', 'modified_B')").select("api_path", "kind")
+    qs = retrieve.queries(ch)
+    m = retrieve.search(_mcorpus(spark, sf_dir), qs)
+    return m.select("api_path", _i64("query_no"), "file_id")
+
+
 @query("enrich_files")
 def q_enrich_files(spark, sf_dir):
     return _corpus(spark, sf_dir).select(
