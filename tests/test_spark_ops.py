@@ -222,3 +222,19 @@ def test_assign_batches_shuffled_is_a_permutation(spark):
                                                  partitions=3).collect()}
     assert sorted(a.values()) == list(range(1, 301)) and a == b
     assert a != {k: k + 1 for k in range(300)}
+
+
+def test_top_m_hot_api_limits_before_the_shuffle(spark):
+    from apidrift.operators import retrieve
+
+    # one API holds most of the matches (a hot key)
+    rows = [("hot", 1 + i % 3, i) for i in range(3000)] + [("cold", 1, i) for i in range(7)]
+    m = spark.createDataFrame(rows, "api_path string, query_no int, file_id bigint")
+    qs = spark.createDataFrame([(a, q) for a in ("hot", "cold") for q in (1, 2, 3)],
+                               "api_path string, query_no int")
+    top = retrieve.top_m(m, retrieve.query_totals(qs, m, 10_000), m=5)
+    got = sorted((r.api_path, r.rank, r.file_id) for r in top.collect())
+    assert got == sorted([("cold", k + 1, k) for k in range(5)]
+                         + [("hot", k + 1, f) for k, f in enumerate([0, 3, 6, 9, 12])])
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
