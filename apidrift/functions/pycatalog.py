@@ -96,9 +96,10 @@ def _import_names(tree, mod: str, is_pkg: bool) -> dict:
 def catalog_records(path: str, content: str | None):
     """(kind, api_path, signature, doc, bases) for the public API of one file.
 
-    kind is 'function', 'method' or 'class'; class rows carry the full
-    names of their bases (comma-joined) so that inherited members can be
-    derived by joins.
+    kind is 'function', 'method', 'class' or 'reexport'; class rows carry
+    the full names of their bases (comma-joined) and reexport rows the full
+    name an imported public name stands for, so that inherited members and
+    re-exported classes can be derived by joins.
     """
     if content is None:
         return []
@@ -113,6 +114,12 @@ def catalog_records(path: str, content: str | None):
     names = _import_names(tree, mod, is_pkg)
     local_classes = {n.name for n in tree.body if isinstance(n, ast.ClassDef)}
     out = []
+    top = mod.split(".")[0]
+    for name, full in names.items():
+        # a public name this module imports from its own library: reflection
+        # lists a class under this path too (functions keep their home key)
+        if not name.startswith("_") and full.split(".")[0] == top and "." in full:
+            out.append(("reexport", f"{mod}.{name}", None, None, full))
     defs = (ast.FunctionDef, ast.AsyncFunctionDef)
     for node in tree.body:
         if isinstance(node, defs) and not node.name.startswith("_"):

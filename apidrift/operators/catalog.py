@@ -138,3 +138,24 @@ def prefer_sources(functions: DataFrame, stubs: DataFrame) -> DataFrame:
     j = functions.join(stubs, ["lib", "version", "api_path"], "left")
     return j.withColumn("signature", F.coalesce("stub_signature", "signature")).drop(
         "stub_signature")
+
+
+def with_reexports(records: DataFrame, methods: DataFrame) -> DataFrame:
+    """Methods of a class also under every public path that imports the
+    class (reflection walks modules and lists the class where it finds it).
+    One equi-join of reexport rows with the methods' owner class."""
+    keys = ["lib", "version"]
+    rx = records.where(F.col("kind") == "reexport").select(
+        *keys, F.col("api_path").alias("alias_path"), F.col("bases").alias("target"))
+    m = methods.select(
+        *keys, "kind", "api_path", "signature", "doc",
+        F.regexp_extract("api_path", r"^(.*)\.[^.]+$", 1).alias("cls"),
+        F.substring_index("api_path", ".", -1).alias("name"),
+        F.expr("substring(signature, length(api_path) + 1)").alias("args"))
+    moved = m.join(rx, (m["lib"] == rx["lib"]) & (m["version"] == rx["version"])
+                   & (m["cls"] == rx["target"])).select(
+        m["lib"], m["version"], m["kind"],
+        F.concat(rx["alias_path"], F.lit("."), m["name"]).alias("api_path"),
+        F.concat(rx["alias_path"], F.lit("."), m["name"], m["args"]).alias("signature"),
+        m["doc"])
+    return methods.unionByName(moved).dropDuplicates([*keys, "api_path"])

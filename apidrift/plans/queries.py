@@ -614,8 +614,9 @@ def q_catalog_functions(spark, sf_dir):
 @query("catalog_methods")
 def q_catalog_methods(spark, sf_dir):
     _, recs = _lib_catalog(spark, sf_dir)
-    return catalog_ops.with_inherited(recs).select("lib", "version", "api_path",
-                                                   "signature", "doc")
+    recs = checkpoint(recs)
+    methods = catalog_ops.with_reexports(recs, catalog_ops.with_inherited(recs))
+    return methods.select("lib", "version", "api_path", "signature", "doc")
 
 
 @query("catalog_stub")

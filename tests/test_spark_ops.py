@@ -238,3 +238,17 @@ def test_top_m_hot_api_limits_before_the_shuffle(spark):
                          + [("hot", k + 1, f) for k, f in enumerate([0, 3, 6, 9, 12])])
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_reexported_class_methods(spark):
+    from apidrift.operators.catalog import catalog_from_sources, with_inherited, with_reexports
+
+    files = spark.createDataFrame([
+        ("L", "1", "L/core.py", "class K:\n    def run(self, a):\n        pass\n"
+                                "def helper(x):\n    pass\n"),
+        ("L", "1", "L/__init__.py", "from .core import K, helper\nfrom .core import K as _Hidden\n"
+                                    "import os\n"),
+    ], "lib string, version string, path string, content string")
+    recs = catalog_from_sources(files)
+    got = sorted(r.signature for r in with_reexports(recs, with_inherited(recs)).collect())
+    assert got == ["L.K.run(self, a)", "L.core.K.run(self, a)"]
