@@ -73,8 +73,11 @@ REPR_ARGS = "(x, y=<object object at 0x7f00>, *, k=2)"   # v = 7, pk % 20 = 17
 SELF_ARGS = "($self, x, y=1, *, k=2)"                    # v = 6, pk % 20 = 16
 
 
-def catalog_base_sql(d: Dialect) -> str:
-    """One row per part: both sides of the catalog entry, plus pk and v."""
+def catalog_base_sql(d: Dialect, shift: int = 0) -> str:
+    """One row per part: both sides of the catalog entry, plus pk and v.
+
+    ``shift`` moves which parts fall in which change case
+    (v = (pk + shift) % 10), so tests can vary the fixture."""
     new_cases = " ".join(
         f"WHEN v = {v} THEN '{a}'" for v, a in NEW_ARGS.items() if v != 7)
     return f"""
@@ -102,7 +105,7 @@ FROM (
       CASE WHEN pk % 11 = 0 THEN NULL
            ELSE 'Doc of part ' || CAST(pk AS STRING) END AS doc
     FROM (
-      SELECT p_partkey AS pk, p_partkey % 10 AS v,
+      SELECT p_partkey AS pk, (p_partkey + {int(shift)}) % 10 AS v,
         'lib' || CAST(p_partkey % 3 AS STRING) AS lib,
         CASE WHEN floor(p_partkey / 10) % 2 = 0 THEN 'function' ELSE 'method' END AS kind
       FROM {d.t('part')}
@@ -112,9 +115,9 @@ FROM (
 """
 
 
-def catalog_sql(d: Dialect) -> str:
+def catalog_sql(d: Dialect, shift: int = 0) -> str:
     """X1 as T2 rows: (lib, version, kind, api_path, signature, doc)."""
-    base = catalog_base_sql(d)
+    base = catalog_base_sql(d, shift)
     return f"""
 SELECT lib, '1.0' AS version, kind, api_path, old_signature AS signature, old_doc AS doc
 FROM ({base}) o WHERE v <> 1
