@@ -34,9 +34,41 @@ def get_spark(master: str | None = None, app: str = "apidrift",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``apidrift`` importable in the executors' Python workers.
+
+    Python UDFs and map functions are pickled by module reference, so the
+    workers import this package. The package is zipped once per
+    SparkContext into the shared folder (a driver temp file when that
+    folder is not a local path) and handed to ``addPyFile``, which ships it
+    to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_apidrift_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local:
+        local = tempfile.mkdtemp(prefix="apidrift-pyfiles-")
+    os.makedirs(os.path.join(local, "apidrift-pyfiles"), exist_ok=True)
+    path = os.path.join(local, "apidrift-pyfiles", f"apidrift-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("apidrift", os.path.relpath(full, pkg)))
+    sc.addPyFile(path)
+    sc._apidrift_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 

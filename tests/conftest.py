@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from apidrift.session import ensure_checkpoint_dir
+    from apidrift.session import ensure_checkpoint_dir, ship_package
 
     s = (SparkSession.builder.master("local[4]").appName("apidrift-tests")
          .config("spark.sql.shuffle.partitions", "8")
@@ -24,4 +24,5 @@ def spark():
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="apidrift-test-ckpt-"))
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
