@@ -14,35 +14,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from apidrift.session import broadcast_if_small
+
 # Marker line patterns of the reference log (after strip).
 FILE_MARKER = r"^Processing file:\s+(.+\.jsonl)$"
 RECORD_MARKER = r"^遍历到json\s+(\d+)$"
 CALL_LINE = r"^第\s+(\d+)\s+行:\s+(.+)$"
 
 BLOCK_ROWS = 1 << 16
+MAX_CARRY_ROWS = 1_000_000
 
 
-def forward_fill(df: DataFrame, keys: list[str], order: str, value: str, out: str,
+def forward_fill(df: DataFrame, keys: list[str], order: str, value, out,
                  block: int = BLOCK_ROWS) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row (by ``order``)
-    within ``keys``. ``order`` must be an integer column."""
-    b = F.floor(F.col(order) / F.lit(block)).alias("_blk")
-    d = df.withColumn("_blk", b)
-    # last value inside each block that has one
-    last_in = (d.where(F.col(value).isNotNull())
-               .groupBy(*keys, "_blk")
-               .agg(F.max_by(F.col(value), F.col(order)).alias("_last")))
-    blocks = d.select(*keys, "_blk").distinct().join(last_in, [*keys, "_blk"], "left")
+    within ``keys``; ``value``/``out`` may be lists to fill several columns
+    in the same pass. ``order`` must be an integer column.
+
+    Shuffles: one aggregation to the per-block table (one row per block),
+    one small window over it for the value carried into each block, and
+    one window per (keys, block) over the rows; the carry table joins back
+    by a bounded broadcast.
+    """
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
+    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
+    # last non-null value of each block (max_by skips rows whose order is null)
+    last_in = d.groupBy(*keys, "_blk").agg(*[
+        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_last{i}")
+        for i, v in enumerate(values)])
     wb = (Window.partitionBy(*keys).orderBy("_blk")
           .rowsBetween(Window.unboundedPreceding, -1))
-    carry = blocks.select(*keys, "_blk",
-                          F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
+    carry = last_in.select(*keys, "_blk", *[
+        F.last(f"_last{i}", ignorenulls=True).over(wb).alias(f"_carry{i}")
+        for i in range(len(values))])
     wr = (Window.partitionBy(*keys, "_blk").orderBy(order)
           .rowsBetween(Window.unboundedPreceding, 0))
-    filled = d.withColumn("_in", F.last(value, ignorenulls=True).over(wr))
-    return (filled.join(carry, [*keys, "_blk"], "left")
-            .withColumn(out, F.coalesce("_in", "_carry"))
-            .drop("_blk", "_in", "_carry"))
+    filled = d.select("*", *[F.last(v, ignorenulls=True).over(wr).alias(f"_in{i}")
+                             for i, v in enumerate(values)])
+    j = filled.join(broadcast_if_small(carry, MAX_CARRY_ROWS), [*keys, "_blk"], "left")
+    for i, o in enumerate(outs):
+        j = j.withColumn(o, F.coalesce(f"_in{i}", f"_carry{i}"))
+    return j.drop("_blk", *[f"_in{i}" for i in range(len(values))],
+                  *[f"_carry{i}" for i in range(len(values))])
 
 
 def _nz(c):
@@ -76,8 +90,8 @@ def marker_log(lines: DataFrame, file_re: str = FILE_MARKER,
         F.when(fname.isNull() & rec.isNull() & cline.isNotNull(),
                F.struct(cline.cast("bigint").alias("no"), ctext.alias("text"))
                ).alias("_call"))
-    d = forward_fill(d, ["log_id"], "line_no", "_file", "cur_file", block)
-    d = forward_fill(d, ["log_id"], "line_no", "_rec", "cur_rec", block)
+    d = forward_fill(d, ["log_id"], "line_no", ["_file", "_rec"], ["cur_file", "cur_rec"],
+                     block)
     api = F.regexp_replace(F.substring_index(F.col("cur_file.name"), "-", -1),
                            r"\.jsonl", "")
     kept = d.where(
