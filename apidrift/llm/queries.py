@@ -9,11 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import packing, token_rollup
+from apidrift.llm import dart_minhash, langid, packing, token_rollup
 from apidrift.llm.common import table
 from apidrift.session import shared_path
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.held_out()))
+    found = langid.predict(docs, *model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer after three batches.
 
@@ -45,9 +53,18 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document, and whether it is the one kept."""
+    found = dart_minhash.classes(table(spark, sf_dir, "documents"))
+    doc_id = F.when(F.col("id") < 2**63 - 1, F.col("id")).alias("doc_id")
+    return found.select(doc_id, "class_id", "kept")
+
+
 QUERIES = {
+    "op1_langid": op1_langid,
     "op7_token_rollup": op7_token_rollup,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_dart_minhash": op9_dart_minhash,
 }
 
 ORACLES: dict[str, str] = {}
