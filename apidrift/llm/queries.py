@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import dart_minhash, langid, packing, token_rollup
+from apidrift.llm import dart_minhash, langid, packing, quality_fm, token_rollup
 from apidrift.llm.common import table
 from apidrift.session import shared_path
 
@@ -22,6 +22,19 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def quality_machine(spark: SparkSession, sf_dir: str) -> quality_fm.Machine | None:
+    """The quality classifier, learned from the labels of rows that aren't held out."""
+    labels = table(spark, sf_dir, "labels")
+    return quality_fm.learn(table(spark, sf_dir, "documents"), labels.where(~quality_fm.held_out()))
+
+
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality_fm.score(docs, quality_machine(spark, sf_dir))
+    return found.select("doc_id", quality_fm.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer after three batches.
 
@@ -62,6 +75,7 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op6_quality_fm": op6_quality_fm,
     "op7_token_rollup": op7_token_rollup,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_dart_minhash": op9_dart_minhash,
