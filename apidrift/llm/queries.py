@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import dart_minhash, decontam, langid, packing, quality_fm, token_rollup
+from apidrift.llm import dart_minhash, decontam, langid, lpf_dedup, packing, quality_fm, token_rollup
 from apidrift.llm.common import table
 from apidrift.session import shared_path
 
@@ -27,6 +27,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to earlier ones that share 50 bytes."""
+    return lpf_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def quality_machine(spark: SparkSession, sf_dir: str) -> quality_fm.Machine | None:
     """The quality classifier, learned from the labels of rows that aren't held out."""
     labels = table(spark, sf_dir, "labels")
@@ -81,6 +86,7 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
+    "op4_lpf_dedup": op4_lpf_dedup,
     "op6_quality_fm": op6_quality_fm,
     "op7_token_rollup": op7_token_rollup,
     "op8_best_two_fit": op8_best_two_fit,
