@@ -49,7 +49,6 @@ BLOCK_BYTES = 16 << 20
 GROUP = 20_000
 #: Suffixes of a run at most: one bit of a mask each.
 RUN = 62
-_NONE = np.uint64(2**64 - 1)
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -81,9 +80,6 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     acc = _sums(data)
     gram = mix64((acc[GRAM:] - acc[:-GRAM]) * wordhash._power(wordhash._INV, n)[:n - GRAM + 1])
-    # an ordinary hash never equals the mark of a gram that leaves its text,
-    # but for one value that is moved by one
-    np.minimum(gram, _NONE - np.uint64(1), out=gram)
     key = _least(gram, LENGTH - GRAM + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = np.arange(len(key)) + LENGTH <= offsets[1:][row[:len(key)]]
@@ -256,8 +252,8 @@ def _compare(sorted_runs: DataFrame) -> DataFrame:
              part.column("count"), part.column("bytes")], names=["id", "run", "mask", "key", "count", "bytes"])
 
     def run(batches):
-        held, n = [], 0          # whole keys, then the key that the last batch broke off in
-        tail, tail_n, hot = [], 0, None
+        whole, n = [], 0  # rows of keys that are known to be complete
+        last, size, hot = [], 0, None  # rows of the key that may go on, or its value if it has too many
         for batch in batches:
             alone = pc.is_null(batch.column("bytes"))
             loose = batch.filter(alone)
@@ -265,39 +261,23 @@ def _compare(sorted_runs: DataFrame) -> DataFrame:
                 full = np.left_shift(np.int64(1), loose.column("count").to_numpy()) - 1
                 yield _answer(loose.column("id"), loose.column("run"), full)
             batch = batch.filter(pc.invert(alone))
-            if not batch.num_rows:
-                continue
             key = batch.column("key").to_numpy()
-            edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-            for k, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                part = batch.slice(lo, hi - lo)
-                if k == 0 and tail and tail[-1].column("key")[0].as_py() == key[0] or hot == key[lo]:
-                    pass
+            edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else [0]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                goes_on = key[lo] == hot if hot is not None else last and last[0].column("key")[0].as_py() == key[lo]
+                if not goes_on:
+                    whole, n, last, size, hot = whole + last, n + size, [], 0, None
+                part, size = batch.slice(lo, hi - lo), size + hi - lo
+                if size > GROUP:
+                    yield from map(later, [*last, part])
+                    hot, last = key[lo], []
                 else:
-                    held, n, tail, tail_n, hot = held + tail, n + tail_n, [], 0, None
-                if hot is not None or tail_n + hi - lo > GROUP:
-                    hot = key[lo]
-                    yield from map(later, tail)
-                    yield later(part)
-                    tail, tail_n = [], 0
-                    continue
-                if len(edge) > 3 and k == 0 and not tail and hi < len(key):
-                    # all but the last key of a batch end in it
-                    whole = batch.slice(lo, edge[-2] - lo)
-                    if np.diff(edge[:-1]).max() <= GROUP:
-                        held, n = held + [whole], n + whole.num_rows
-                        tail, tail_n = [batch.slice(edge[-2])], len(key) - edge[-2]
-                        if tail_n > GROUP:
-                            hot = key[-1]
-                            yield from map(later, tail)
-                            tail, tail_n = [], 0
-                        break
-                tail, tail_n = tail + [part], tail_n + hi - lo
-            if n >= 2 * GROUP:
-                yield _masks(held)
-                held, n = [], 0
-        if held or tail:
-            yield _masks(held + tail)
+                    last.append(part)
+            if whole and n >= 2 * GROUP:
+                yield _masks(whole)
+                whole, n = [], 0
+        if whole or last:
+            yield _masks(whole + last)
 
     return sorted_runs.mapInArrow(run, _ANSWER)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import dart_minhash, decontam, langid, lpf_dedup, packing, quality_fm, token_rollup
+from apidrift.llm import dart_minhash, decontam, langid, lpf_dedup, packing, quality_fm, style_tree, token_rollup
 from apidrift.llm.common import table
 from apidrift.session import shared_path
 
@@ -32,6 +32,11 @@ def op4_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def quality_machine(spark: SparkSession, sf_dir: str) -> quality_fm.Machine | None:
     """The quality classifier, learned from the labels of rows that aren't held out."""
     labels = table(spark, sf_dir, "labels")
@@ -87,6 +92,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
     "op4_lpf_dedup": op4_lpf_dedup,
+    "op5_site_style_tree": op5_site_style_tree,
     "op6_quality_fm": op6_quality_fm,
     "op7_token_rollup": op7_token_rollup,
     "op8_best_two_fit": op8_best_two_fit,
