@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import dart_minhash, decontam, langid, lpf_dedup, packing, quality_fm, style_tree, token_rollup
+from apidrift.llm import dart_minhash, decontam, divergence, langid, lpf_dedup, packing, quality_fm, style_tree, token_rollup
 from apidrift.llm.common import table
 from apidrift.session import shared_path
 
@@ -27,6 +27,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the divergence rules for every document."""
+    found = divergence.rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept")
+
+
 def op4_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to earlier ones that share 50 bytes."""
     return lpf_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -91,6 +98,7 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
+    "op3_divergence": op3_divergence,
     "op4_lpf_dedup": op4_lpf_dedup,
     "op5_site_style_tree": op5_site_style_tree,
     "op6_quality_fm": op6_quality_fm,
