@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import dart_minhash, decontam, divergence, langid, lpf_dedup, packing, quality_fm, style_tree, token_rollup
+from apidrift.llm import dart_minhash, decontam, divergence, langid, line_dedup, lpf_dedup, packing, quality_fm, style_tree, token_rollup
 from apidrift.llm.common import table
 from apidrift.session import shared_path
 
@@ -95,6 +95,11 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id, "class_id", "kept")
 
 
+def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that match an earlier line."""
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -105,6 +110,7 @@ QUERIES = {
     "op7_token_rollup": op7_token_rollup,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_dart_minhash": op9_dart_minhash,
+    "op10_line_join": op10_line_join,
 }
 
 ORACLES: dict[str, str] = {}
