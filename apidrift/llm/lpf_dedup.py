@@ -244,8 +244,8 @@ def _answer(ident, name, mask) -> pa.RecordBatch:
          pa.nulls(n, pa.binary())], names=["id", "run", "mask", "key", "count", "bytes"])
 
 
-def _compare(sorted_runs: DataFrame) -> DataFrame:
-    """Masks of runs that come sorted by key; rows of keys over ``GROUP`` runs come back without a mask."""
+def _compare(sorted_runs: DataFrame, group: int) -> DataFrame:
+    """Masks of runs that come sorted by key; rows of keys over ``group`` runs come back without a mask."""
     def later(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [part.column("id"), part.column("run"), pa.nulls(part.num_rows, pa.int64()), part.column("key"),
@@ -268,12 +268,12 @@ def _compare(sorted_runs: DataFrame) -> DataFrame:
                 if not goes_on:
                     whole, n, last, size, hot = whole + last, n + size, [], 0, None
                 part, size = batch.slice(lo, hi - lo), size + hi - lo
-                if size > GROUP:
+                if size > group:
                     yield from map(later, [*last, part])
                     hot, last = key[lo], []
                 else:
                     last.append(part)
-            if whole and n >= 2 * GROUP:
+            if whole and n >= 2 * group:
                 yield _masks(whole)
                 whole, n = [], 0
         if whole or last:
@@ -354,8 +354,11 @@ def _apply(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
+def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row.
+
+    ``group``: keys with more different runs are compared by an aggregation.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(first_seen_key(F.col("doc_id")).alias("id"), F.col("doc_id").cast("long").alias("doc_id"),
                        text.cast("binary").alias("text"))
@@ -375,7 +378,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     asked = checkpoint(asked.groupBy("id").agg(F.collect_set("key").alias("keys")))
 
     found = _runs_of(texts.join(asked.hint("shuffle_hash"), "id").select("id", "text", "keys"))
-    answers = checkpoint(_compare(found.repartition("part").sortWithinPartitions("key")))
+    answers = checkpoint(_compare(found.repartition("part").sortWithinPartitions("key"), group))
     masks = answers.where("mask is not null").select("id", "run", "mask")
     deferred = answers.where("mask is null")
     if not deferred.isEmpty():
