@@ -13,10 +13,12 @@ Jaccard similarity, and the cost hardly depends on their length.
 
 Signatures are cut into bands and joined by band.  Texts whose words are
 equal are one node from the start.  In each band bucket every node is
-compared with the smallest; where a bucket still holds nodes of several
-classes, those outside the smallest node's class are compared with the
-other classes' nodes.  So a bucket of copies costs one comparison each, and
-no pair that shares a band goes unjudged unless its class is already known.
+compared with one, that which meets most nodes in its buckets; where a bucket
+still holds nodes of several classes, an exact join of its nodes' rarest
+shingles (prefix, positional and length filters) finds the pairs of different
+classes that may be similar.  So a bucket of copies costs one comparison
+each, and no pair that shares a band goes unjudged unless its class is
+already known.
 A pair is linked if its exact weighted Jaccard similarity is 0.8 or more;
 classes are the connected components.
 
@@ -143,6 +145,41 @@ def _elements(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "content binary, cells binary")
 
 
+def _candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that may be similar, by prefix, positional and length filters.
+
+    nodes: content, root (its class so far) and cells.  With each node's
+    cells ordered by rarity, similar nodes share one within their first
+    ``n - least * n + 1``, and behind it there must be room for what they
+    have to share.  Cells of one node only come first and pair nothing.
+    """
+    def run(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column("cells")):
+                part = batch.slice(lo, hi - lo)
+                data, offsets = buffers(part.column("cells"))
+                n = np.diff(offsets) // 8
+                row = pa.array(np.repeat(np.arange(hi - lo), n))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("content").take(row), part.column("root").take(row),
+                     pa.array(np.repeat(n, n)), pa.array(np.frombuffer(data.tobytes(), np.int64))],
+                    names=["content", "root", "n", "cell"])
+
+    cell = nodes.select("content", "root", "cells").mapInArrow(run, "content binary, root binary, n long, cell long")
+    common = cell.withColumn("df", F.count("*").over(Window.partitionBy("cell"))).where("df > 1")
+    mine = Window.partitionBy("content")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "cell"))
+    prefix = common.withColumn("at", place).where(
+        F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("cell", "content", "root", "n", "at")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    room = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    shared = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-9
+    met = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.content") > F.col("y.content")) & (
+        F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-9) & (
+        room >= shared)
+    return x.join(y, met).select(F.col("x.content").alias("a"), F.col("y.content").alias("b")).distinct()
+
+
 def _similar(pairs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose cells ``x`` and ``y`` have a Jaccard similarity of ``least`` or more."""
     def run(batches):
@@ -181,9 +218,14 @@ def classes(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
     nodes = checkpoint(sig.groupBy("content").agg(F.min(F.struct("id", "text_hash")).alias("first"),
                                                   F.min("bands").alias("bands")))
     member = nodes.select("content", F.explode("bands").alias("band"))
-    bucket = (member.groupBy("band").agg(F.min("content").alias("rep"), F.count("*").alias("n"))
-              .where("n > 1"))
-    member = checkpoint(member.join(bucket, "band"))
+    size = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    member = checkpoint(member.join(size, "band"))
+    # the source of a group of copies is nearer to each copy than they are to
+    # one another, so it meets more nodes in its buckets than they do
+    met = member.groupBy("content").agg(F.sum("n").alias("met"))
+    rep = (member.join(met, "content").groupBy("band").agg(F.max(F.struct("met", "content")).alias("rep"))
+           .select("band", F.col("rep.content").alias("rep")))
+    member = checkpoint(member.join(rep, "band"))
 
     pairs = checkpoint(member.where("content <> rep")
                        .select(F.col("content").alias("a"), F.col("rep").alias("b")).distinct())
@@ -200,14 +242,13 @@ def classes(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
     links = checkpoint(linked(pairs))
     root = components(links, "a", "b")
 
-    # what the comparison with each bucket's smallest node leaves open
+    # what the comparison with one node of each bucket leaves open
     more = member.where("n > 2").join(root.withColumnRenamed("node", "content"), "content", "left")
-    more = more.select("band", "content", "rep", F.coalesce("root", "content").alias("root"))
-    of_rep = more.where("content = rep").select("band", F.col("root").alias("rep_root"))
-    more = checkpoint(more.where("content <> rep").join(of_rep, "band"))
-    out = more.where("root <> rep_root").select("band", F.col("content").alias("p"), F.col("root").alias("p_root"))
-    rest = (more.select("band", "content", "root").join(out, "band").where("root <> p_root")
-            .select(F.greatest("content", "p").alias("a"), F.least("content", "p").alias("b")).distinct())
+    more = more.select("band", "content", F.coalesce("root", "content").alias("root"))
+    open_bands = (more.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                  .where("lo <> hi").select("band"))
+    more = checkpoint(more.join(open_bands, "band").select("content", "root").distinct())
+    rest = checkpoint(_candidates(more.join(shingled, "content"), least))
     second = checkpoint(linked(rest))
     if not second.isEmpty():
         root = components(links.unionByName(second), "a", "b")
