@@ -6,8 +6,8 @@ the tag sequences of its children (its presentation) and of the texts
 directly in it (its content).  Their entropies, to the base of the number of
 pages, are 0 for what is the same on every page and 1 for what is new on
 each.  A node's importance blends its own entropies with its children's,
-which count less with every step down; branches of importance below
-``LEAST`` are noise.
+which count less with every step down.  A branch is noise if its node and
+all nodes in it have an importance below ``LEAST``.
 
 From a page the tree's noise goes, and what is out by its element or its
 names (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
@@ -113,8 +113,21 @@ def importance(nodes: list[dict], children: float = CHILDREN) -> dict[int, float
     return done
 
 
+def noisy(nodes: list[dict], least: float) -> list[int]:
+    """Nodes that are less important than ``least``, and all nodes below them as well."""
+    value = importance(nodes)
+    parent = {r["node"]: r["parent"] for r in nodes}
+    fine = set()
+    for node, v in value.items():
+        if v >= least:
+            while node in parent and node not in fine:
+                fine.add(node)
+                node = parent[node]
+    return sorted(set(value) - fine)
+
+
 def noise(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """(host, noise): numbers of the nodes of low importance of each host."""
+    """(host, noise): numbers of the nodes of each host's noise."""
     rows = _rows(pages)
     size = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
     count = _facts(rows).groupBy("host", "node", "parent", "kind", "value").agg(F.count("*").alias("n"))
@@ -132,7 +145,7 @@ def noise(pages: DataFrame, least: float = LEAST) -> DataFrame:
             x = nodes.setdefault(r["node"], {"node": r["node"], "parent": r["parent"], "text": None, "shape": None,
                                              "n": 0})
             x[r["kind"]], x["n"] = r["entropy"], max(x["n"], r["n"])
-        low = sorted(k for k, v in importance(list(nodes.values())).items() if v < least)
+        low = noisy(list(nodes.values()), least)
         return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()),
                          "noise": pa.array([low], pa.list_(pa.int64()))})
 
@@ -149,8 +162,7 @@ def main_text(html: str, low: frozenset = frozenset()) -> str:
         if b.out or (marked and not b.inside):
             continue
         if low and not marked:
-            path = b.path[:DEEPEST]
-            if any(_number(path[:k]) in low for k in range(len(path), 0, -1)):
+            if _number(b.path[:DEEPEST]) in low:
                 continue
         kept.append(b.text)
     return "\n".join(kept)
