@@ -76,7 +76,7 @@ def _import_names(tree, mod: str, is_pkg: bool) -> dict:
     """Module-level name -> full dotted name, from import statements."""
     names = {}
     pkg = mod.split(".") if is_pkg else mod.split(".")[:-1]
-    for node in tree.body:
+    for node in _reachable(tree.body):
         if isinstance(node, ast.Import):
             for a in node.names:
                 if a.asname:
@@ -89,14 +89,37 @@ def _import_names(tree, mod: str, is_pkg: bool) -> dict:
                 head = pkg[:len(pkg) - node.level + 1]
                 base = ".".join(head + ([base] if base else []))
             for a in node.names:
-                names[a.asname or a.name] = f"{base}.{a.name}" if base else a.name
+                # a star binds no name of its own; each keeps its module
+                own = f"*{base}" if a.name == "*" else a.asname or a.name
+                names[own] = f"{base}.{a.name}" if base else a.name
     return names
 
 
+def _reachable(body):
+    """Statements that may run at this level: those under if, try and with as well.
+
+    Alternatives (else, except) come first, so that of two definitions of a
+    name the main branch's counts.
+    """
+    todo = list(reversed(body))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, ast.If):
+            todo += reversed([*node.orelse, *node.body])
+        elif isinstance(node, (ast.Try, ast.TryStar)):
+            other = [x for h in node.handlers for x in h.body]
+            todo += reversed([*other, *node.body, *node.orelse, *node.finalbody])
+        elif isinstance(node, (ast.With, ast.AsyncWith)):
+            todo += reversed(node.body)
+        else:
+            yield node
+
+
 def catalog_records(path: str, content: str | None):
     """(kind, api_path, signature, doc, bases) for the public API of one file.
 
-    kind is 'function', 'method', 'class' or 'reexport'; class rows carry
+    kind is 'function', 'method', 'class', 'reexport' or 'star' (api_path: the
+    module that imports, bases: the module whose names it takes); class rows carry
     the full names of their bases (comma-joined) and reexport rows the full
     name an imported public name stands for, so that inherited members and
     re-exported classes can be derived by joins.
@@ -112,28 +135,32 @@ def catalog_records(path: str, content: str | None):
     mod = module_of(path)
     is_pkg = path.endswith("__init__.py") or path.endswith("__init__.pyi")
     names = _import_names(tree, mod, is_pkg)
-    local_classes = {n.name for n in tree.body if isinstance(n, ast.ClassDef)}
-    out = []
-    top = mod.split(".")[0]
+    top = list(_reachable(tree.body))
+    local_classes = {n.name for n in top if isinstance(n, ast.ClassDef)}
+    out = {}
+    lib = mod.split(".")[0]
     for name, full in names.items():
         # a public name this module imports from its own library: reflection
         # lists a class under this path too (functions keep their home key)
-        if not name.startswith("_") and full.split(".")[0] == top and "." in full:
-            out.append(("reexport", f"{mod}.{name}", None, None, full))
+        if full.split(".")[0] == lib and "." in full:
+            if name.startswith("*"):
+                out["star", full] = ("star", mod, None, None, full.removesuffix(".*"))
+            elif not name.startswith("_"):
+                out["reexport", name] = ("reexport", f"{mod}.{name}", None, None, full)
     defs = (ast.FunctionDef, ast.AsyncFunctionDef)
-    for node in tree.body:
+    for node in top:
         if isinstance(node, defs) and not node.name.startswith("_"):
             key = f"{mod}.{node.name}"
-            out.append(("function", key, key + signature_text(node),
-                        ast.get_docstring(node), None))
+            out["function", key] = ("function", key, key + signature_text(node),
+                                    ast.get_docstring(node), None)
         elif isinstance(node, ast.ClassDef) and not node.name.startswith("_"):
             owner = f"{mod}.{node.name}"
-            out.append(("class", owner, None, ast.get_docstring(node),
-                        _bases(node, mod, local_classes, names)))
-            for item in node.body:
+            out["class", owner] = ("class", owner, None, ast.get_docstring(node),
+                                   _bases(node, mod, local_classes, names))
+            for item in _reachable(node.body):
                 if isinstance(item, defs) and (item.name in KEEP_DUNDER
                                                or not item.name.startswith("_")):
                     key = f"{owner}.{item.name}"
-                    out.append(("method", key, key + signature_text(item),
-                                ast.get_docstring(item), None))
-    return out
+                    out["method", key] = ("method", key, key + signature_text(item),
+                                          ast.get_docstring(item), None)
+    return list(out.values())

@@ -17,29 +17,34 @@ VAR_POSITIONAL = "VAR_POSITIONAL"
 KEYWORD_ONLY = "KEYWORD_ONLY"
 VAR_KEYWORD = "VAR_KEYWORD"
 
-_REPR = re.compile(r"<[^<>]*>")
-MAX_SIGNATURE_CHARS = 100_000
+_DEFINE = "def {}({}:\n    pass"
+
+
+def _without_reprs(text: str) -> str:
+    """Object reprs like ``<object at 0x..>``, nested ones included, become None."""
+    out, opened = [], []
+    for part in re.split("([<>])", text):
+        if part == ">" and opened:
+            del out[opened.pop():]
+            part = "None"
+        elif part == "<":
+            opened.append(len(out))
+        out.append(part)
+    return "".join(out)
 
 
 def normalise(signature: str) -> str | None:
     """Turn ``mod.f(a, b=1) -> int`` into ``def mod_f(a, b=1):\\n    pass``.
 
-    Returns None when there is no ``(`` at all.
+    What follows the last arrow is dropped. Returns None when there is no
+    ``(`` at all.
     """
-    sig = signature.rsplit("->", 1)[0].strip()
-    if "(" not in sig:
+    shown = signature[:signature.rfind("->")] if "->" in signature else signature
+    name, bracket, params = shown.strip().partition("(")
+    if not bracket:
         return None
-    head, params = sig.split("(", 1)
-    text = f"{head.strip().replace('.', '_')}({params}"
-    if not text.startswith("def "):
-        text = "def " + text
-    if not text.endswith(":"):
-        text += ":"
-    text += "\n    pass"
-    # object reprs like <object at 0x..> become None, innermost first
-    while _REPR.search(text):
-        text = _REPR.sub("None", text)
-    return text
+    name = name.strip().replace(".", "_").removeprefix("def ")
+    return _without_reprs(_DEFINE.format(name, params.removesuffix(":")))
 
 
 def parse_signature(signature: str | None, compat: bool = False):
@@ -51,7 +56,7 @@ def parse_signature(signature: str | None, compat: bool = False):
     ``f(a, /, b=2)`` a default); the default aligns them jointly, as
     Python does.
     """
-    if signature is None or len(signature) > MAX_SIGNATURE_CHARS:
+    if signature is None:
         return None
     text = normalise(signature)
     if text is None:
@@ -95,47 +100,3 @@ def parse_signature(signature: str | None, compat: bool = False):
     if a.kwarg:
         add(a.kwarg.arg, VAR_KEYWORD, None)
     return out
-
-
-def compare_params(p1, p2) -> int:
-    """Reference comparison on parsed lists: 0 same, 1 optional, 2 required.
-
-    Used by tests as a brute-force check of the Catalyst expression in
-    ``operators.signatures.compare_code``.
-    """
-    if p1 is None or p2 is None:
-        return 0
-    named = (POSITIONAL_ONLY, POSITIONAL_OR_KEYWORD, KEYWORD_ONLY)
-
-    def first_default(ps, name):
-        for p in ps:
-            if p["name"] == name:
-                return p["has_default"]
-        return None
-
-    n1 = {p["name"] for p in p1 if p["kind"] in named}
-    n2 = {p["name"] for p in p2 if p["kind"] in named}
-    if any(first_default(p1, n) != first_default(p2, n) for n in n1 & n2):
-        return 2
-    if any(not first_default(p1, n) for n in n1 - n2):
-        return 2
-    if any(not first_default(p2, n) for n in n2 - n1):
-        return 2
-
-    def of(ps, *kinds):
-        return [p for p in ps if p["kind"] in kinds]
-
-    if (len(of(p1, POSITIONAL_ONLY)) != len(of(p2, POSITIONAL_ONLY))
-            or len(of(p1, POSITIONAL_OR_KEYWORD)) != len(of(p2, POSITIONAL_OR_KEYWORD))):
-        return 1
-    for x, y in zip(of(p1, POSITIONAL_ONLY, POSITIONAL_OR_KEYWORD),
-                    of(p2, POSITIONAL_ONLY, POSITIONAL_OR_KEYWORD)):
-        if x["name"] != y["name"] or x["kind"] != y["kind"]:
-            return 1
-    if ({p["name"] for p in of(p1, KEYWORD_ONLY)}
-            != {p["name"] for p in of(p2, KEYWORD_ONLY)}):
-        return 1
-    if (len(of(p1, VAR_POSITIONAL)) != len(of(p2, VAR_POSITIONAL))
-            or len(of(p1, VAR_KEYWORD)) != len(of(p2, VAR_KEYWORD))):
-        return 1
-    return 0

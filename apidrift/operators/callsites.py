@@ -1,32 +1,32 @@
 """Call sites of functions (F1-F11), methods (M1-M8) and blocks (K1-K6).
 
-One Python parse per file (``parse_pass``); everything after it is
-DataFrame work: first-call filters, splitting a call into context /
-target / suffix with array and string expressions, equi and range joins
-on file_id, and windows for "first call in a block".
+One Python parse per file (``parse_pass``), in the stage that scans the
+files: it finds calls, places them in their blocks and cuts them, since it
+has the file at hand. What follows are filters and equi-joins with the
+target APIs, so no source text is shuffled before it is parsed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from apidrift.session import broadcast_if_small, checkpoint
 
 REC_SCHEMA = ("rec string, lib string, name string, target string, method string, "
               "scope string, how string, visit_no int, line int, end_line int, "
-              "rel_start int, rel_end int, code string, imports string, "
+              "rel_start int, rel_end int, block_no int, code string, imports string, "
               "btype string, reason string, api_name string, context string, "
               "target_seq string, suffix string")
 
 REC_FIELDS = [f.strip().split(" ")[0] for f in REC_SCHEMA.split(",")]
 
-# Upper bound on rows of a target list that may be broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
+# An output batch is closed when its texts reach this size: Arrow string
+# columns hold 2 GiB, and a batch should stay a small part of a task's memory.
+BATCH_CHARS = 16 << 20
+
+_INTS = ("visit_no", "line", "end_line", "rel_start", "rel_end", "block_no")
 
 
-def _pass_fn(libs, want, classes, keep_n, blocks_need_calls=False):
+def _pass_fn(libs, want, classes, batch_chars):
     libs, want = tuple(libs), tuple(want)
     classes = None if classes is None else frozenset(classes)
 
@@ -35,29 +35,31 @@ def _pass_fn(libs, want, classes, keep_n, blocks_need_calls=False):
 
         from apidrift.functions.pyparse import scan_file
 
-        types = {"visit_no": pa.int32(), "line": pa.int32(), "end_line": pa.int32(),
-                 "rel_start": pa.int32(), "rel_end": pa.int32()}
+        def batch_of(b, rows, idx):
+            take = pa.array(idx, type=pa.int64())
+            cols = [b.column(0).take(take)]
+            cols += [pa.array([r[f] for r in rows], type=pa.int32() if f in _INTS else pa.string())
+                     for f in REC_FIELDS]
+            cols += [b.column(k).take(take) for k in range(2, b.num_columns)]
+            return pa.RecordBatch.from_arrays(
+                cols, names=["file_id"] + REC_FIELDS + b.schema.names[2:])
+
         for b in batches:
-            ids = b.column(0)
-            texts = b.column(1).to_pylist()
-            rows, idx = [], []
-            for i, text in enumerate(texts):
-                for r in scan_file(text, libs=libs, want=want, classes=classes,
-                                   blocks_need_calls=blocks_need_calls):
+            rows, idx, size = [], [], 0
+            for i, text in enumerate(b.column(1)):
+                for r in scan_file(text.as_py(), libs=libs, want=want, classes=classes):
                     rows.append(r)
                     idx.append(i)
-            take = pa.array(idx, type=pa.int64())
-            cols = [ids.take(take)]
-            cols += [pa.array([r[f] for r in rows], type=types.get(f, pa.string()))
-                     for f in REC_FIELDS]
-            cols += [b.column(2 + k).take(take) for k in range(keep_n)]
-            names = ["file_id"] + REC_FIELDS + b.schema.names[2:]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    size += 200 + sum(len(v) for v in r.values() if isinstance(v, str))
+                    if size >= batch_chars:
+                        yield batch_of(b, rows, idx)
+                        rows, idx, size = [], [], 0
+            yield batch_of(b, rows, idx)
     return run
 
 
 def parse_pass(files: DataFrame, libs=(), want=("fcall",), classes=None,
-               keep=(), blocks_need_calls=False) -> DataFrame:
+               keep=(), batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Parse every file once on the executors; flat records out.
 
     ``files`` has ``file_id`` and ``content``; ``keep`` names columns
@@ -66,7 +68,7 @@ def parse_pass(files: DataFrame, libs=(), want=("fcall",), classes=None,
     name are dropped in the JVM before any Python runs.
     """
     src = files.select("file_id", "content", *keep)
-    if libs and set(want) <= {"fcall", "alias"}:
+    if libs and set(want) <= {"fcall", "alias", "error"} and "error" not in want:
         cond = None
         for lib in libs:
             c = F.col("content").contains(lib)
@@ -75,8 +77,7 @@ def parse_pass(files: DataFrame, libs=(), want=("fcall",), classes=None,
     keep_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                             for f in src.schema.fields[2:])
     schema = f"file_id bigint, {REC_SCHEMA}" + (f", {keep_schema}" if keep_schema else "")
-    return src.mapInArrow(_pass_fn(libs, want, classes, len(keep), blocks_need_calls),
-                          schema)
+    return src.mapInArrow(_pass_fn(libs, want, classes, batch_chars), schema)
 
 
 # ----------------------------------------------------------------- functions
@@ -211,142 +212,48 @@ def rejects(recs: DataFrame, sites: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- methods
 
 def method_targets(changes_or_catalog: DataFrame) -> DataFrame:
-    """M1: (api_path, class, method) of method APIs; ``__init__`` skipped."""
-    t = changes_or_catalog.where(F.col("kind") == "method").select("api_path").distinct()
+    """M1: (lib, api_path, class, method) of method APIs; ``__init__`` skipped."""
+    t = changes_or_catalog.where(F.col("kind") == "method").select("lib", "api_path").distinct()
     t = t.withColumn("method", F.substring_index("api_path", ".", -1)).withColumn(
         "class", F.expr("substring(api_path, 1, length(api_path) - length(method) - 1)"))
     return t.where(F.col("method") != "__init__")
 
 
-MAX_TARGET_CLASSES = 500_000
-
-
-def method_pass(files: DataFrame, targets: DataFrame, keep=(),
-                partitions: int | None = None) -> DataFrame:
-    """M2-M7 + K1 in one parse per file; records hash-partitioned by file_id.
+def of_targets(recs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Records of target methods, with their API path.
 
-    When the target classes provably number at most MAX_TARGET_CLASSES
-    they are shipped to the tasks as a set, so the pass only tracks those
-    classes and cuts blocks only for files with a target call; above the
-    bound every class is tracked and the joins below do the filtering.
-
-    The records feed several consumers (calls, blocks, imports), so they
-    are checkpointed once to the shared checkpoint folder: the Python pass
-    never runs twice, a lost executor does not re-run it, and the saved
-    hash partitioning on file_id serves every later join and window.
+    A plain equi-join: the size of ``targets`` at run time decides whether
+    it is broadcast.
     """
-    classes = None
-    cls = targets.select("class").distinct()
-    if cls.limit(MAX_TARGET_CLASSES + 1).count() <= MAX_TARGET_CLASSES:
-        classes = frozenset(r[0] for r in cls.collect())
-    recs = parse_pass(files, want=("mark", "ctor", "mcall", "block", "error"),
-                      classes=classes, keep=keep, blocks_need_calls=classes is not None)
-    n = partitions or files.sparkSession.sparkContext.defaultParallelism * 4
-    return checkpoint(recs.repartition(n, "file_id"), keep_partitioning=True)
+    t = targets.select("lib", "api_path", F.col("class").alias("target"), "method")
+    return recs.drop("lib").join(t, ["target", "method"])
 
 
 def method_calls(recs: DataFrame, targets: DataFrame) -> DataFrame:
-    """M6: calls ``x.m(...)`` on variables typed with a target class.
-
-    The target list is broadcast only under a checked row bound.
-    """
-    meta = [c for c in META_COLS if c in recs.columns]
-    m = recs.where(F.col("rec") == "mcall").select(
-        "file_id", F.col("target").alias("class"), "method", "line",
-        F.col("name").alias("var"), "visit_no", *meta)
-    t = broadcast_if_small(targets.select("api_path", "class", "method"),
-                           MAX_BROADCAST_ROWS)
-    return m.join(t, ["class", "method"])
-
-
-def call_blocks(calls: DataFrame, blocks: DataFrame) -> DataFrame:
-    """K2: block of each call line: first function whose span holds it,
-    else the file's global block; calls with neither are dropped.
+    """M6: calls ``x.m(...)`` on variables typed with a target class."""
+    m = of_targets(recs.where(F.col("rec") == "mcall"), targets)
+    return m.withColumnRenamed("name", "var").withColumnRenamed("target", "class")
 
-    Equi-join on file_id with a range condition; the window picks the
-    first function block in file order.
-    """
-    fb = blocks.where(F.col("btype") == "function").select(
-        "file_id", F.col("visit_no").alias("block_no"), F.col("line").alias("b_start"),
-        F.col("end_line").alias("b_end"), F.col("code").alias("block_code"))
-    gb = blocks.where(F.col("btype") == "global").select(
-        "file_id", F.col("visit_no").alias("g_no"), F.col("code").alias("g_code"))
-    c = calls.alias("c")
-    j = c.join(fb.alias("b"), (F.col("c.file_id") == F.col("b.file_id"))
-               & F.col("c.line").between(F.col("b.b_start"), F.col("b.b_end")), "left"
-               ).drop(F.col("b.file_id"))
-    w = Window.partitionBy("c.file_id", "api_path", "line", "visit_no").orderBy(
-        F.col("block_no").asc_nulls_last())
-    j = j.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    j = j.join(gb, "file_id", "left")
-    return (j.withColumn("block_type", F.when(F.col("block_no").isNotNull(), "function")
-                         .when(F.col("g_no").isNotNull(), "global"))
-             .withColumn("block_no", F.coalesce("block_no", "g_no"))
-             .withColumn("block_code", F.coalesce("block_code", "g_code"))
-             .drop("g_no", "g_code", "b_start", "b_end")
-             .where(F.col("block_type").isNotNull()))
-
-
-def cut_method_call(df: DataFrame, block_col: str, call_col: str) -> DataFrame:
-    """K3 (Python, Arrow batches): context / target_seq / suffix columns."""
-    from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("struct<context:string,target_seq:string,suffix:string>")
-    def cut(block, call):
-        import pyarrow as pa
+def placed_lines(recs: DataFrame, targets: DataFrame) -> DataFrame:
+    """K2: each call line of a target method with the block that holds it."""
+    m = of_targets(recs.where(F.col("rec") == "mline"), targets)
+    return m.withColumnRenamed("btype", "block_type")
 
-        from apidrift.functions.pyparse import cut_call
 
-        res = [cut_call(x, y) for x, y in zip(block.to_pylist(), call.to_pylist())]
-        return pa.StructArray.from_arrays(
-            [pa.array([None if r is None else r[i] for r in res], pa.string())
-             for i in range(3)], names=["context", "target_seq", "suffix"])
-
-    return df.withColumn("_cut", cut(F.col(block_col), F.col(call_col)))
+def cut_lines(recs: DataFrame, targets: DataFrame) -> DataFrame:
+    """K3: call lines cut into context, target_seq and suffix."""
+    return of_targets(recs.where(F.col("rec") == "mcut"), targets)
 
 
 META_COLS = ("repository", "url", "last_updated", "stars")
 
 
-def per_call_line(calls: DataFrame) -> DataFrame:
-    """One call per (file, API, line): ordered by its first visit, the
-    variable of the last call on that line wins (E9's last-wins rule)."""
-    meta = [F.first(c).alias(c) for c in META_COLS if c in calls.columns]
-    return (calls.groupBy("file_id", "api_path", "class", "method", "line")
-            .agg(F.min("visit_no").alias("visit_no"),
-                 F.max_by("var", "visit_no").alias("var"), *meta))
-
-
-def cut_calls(per_line: DataFrame, blocks: DataFrame) -> DataFrame:
-    """K2 + K3: place each call line in its block, then cut the block at
-    the first ``var.method(`` text."""
-    jb = call_blocks(per_line, blocks)
-    jb = jb.withColumn("call_text", F.concat(F.col("var"), F.lit("."), F.col("method"),
-                                             F.lit("(")))
-    return cut_method_call(jb, "block_code", "call_text")
-
-
-def method_sites(calls: DataFrame, blocks: DataFrame, imports: DataFrame) -> DataFrame:
+def method_sites(recs: DataFrame, targets: DataFrame) -> DataFrame:
     """K4: one row per (API, file, block): the first call line in a block
     whose cut succeeds; one call per line (the last variable wins).
     """
-    per_line = per_call_line(calls)
-    cut = cut_calls(per_line, blocks)
-    # first call per block whose cut succeeds: failed cuts sort last, and
-    # are dropped after the window (a filter before it would be pushed
-    # below the Python UDF and run it twice)
-    failed = F.col("_cut.context").isNull()
-    w = Window.partitionBy("api_path", "file_id", "block_no").orderBy(failed, "visit_no")
-    first = (cut.withColumn("_r", F.row_number().over(w))
-             .where((F.col("_r") == 1) & F.col("_cut.context").isNotNull()).drop("_r"))
-    return first.join(imports, "file_id", "left").select(
-        "file_id", "api_path", "line", "block_no", "block_type", *META_COLS,
-        F.coalesce(F.col("import_code"), F.lit("")).alias("import"),
-        F.col("_cut.context").alias("context"),
-        F.col("_cut.target_seq").alias("target_seq"),
-        F.col("_cut.suffix").alias("suffix"))
-
-
-def import_blocks(blocks: DataFrame) -> DataFrame:
-    return blocks.where(F.col("btype") == "imports").select(
-        "file_id", F.col("code").alias("import_code"))
+    m = of_targets(recs.where(F.col("rec") == "msite"), targets)
+    return m.select(
+        "file_id", "lib", "api_path", "line", "block_no", F.col("btype").alias("block_type"), *META_COLS,
+        F.col("imports").alias("import"), "context", "target_seq", "suffix")

@@ -45,60 +45,79 @@ def catalog_from_sources(lib_files: DataFrame) -> DataFrame:
                           "api_path string, signature string, doc string, bases string")
 
 
-INHERIT_DEPTH = 8
+def _merge_orders(lists: list[list[str]]) -> list[str]:
+    """C3 merge: repeatedly the first head that no other list has further on.
 
+    Where none is left (Python would refuse the class) the first head goes.
+    """
+    todo = [list(x) for x in lists if x]
+    out = []
+    while todo:
+        later = {x for row in todo for x in row[1:]}
+        head = next((row[0] for row in todo if row[0] not in later), todo[0][0])
+        out.append(head)
+        todo = [rest for row in todo if (rest := [x for x in row if x != head])]
+    return out
+
+
+def resolution_orders(records: DataFrame) -> DataFrame:
+    """(lib, version, cls, mro): each class's method-resolution order.
+
+    A round gives an order to every class whose bases have theirs: one join
+    of the open classes' bases with the orders, one merge per class. Rounds
+    go on until one finds nothing, so depth has no limit, and classes in a
+    cycle end up with themselves only. Bases outside the given sources
+    contribute nothing.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<string>")
+    def merge(orders):
+        import pyarrow as pa
+
+        return pa.array([_merge_orders(x) for x in orders.to_pylist()], pa.list_(pa.string()))
 
-def with_inherited(records: DataFrame, depth: int = INHERIT_DEPTH) -> DataFrame:
+    keys = ["lib", "version"]
+    cls = records.where(F.col("kind") == "class").groupBy(*keys, F.col("api_path").alias("cls")).agg(
+        F.last("bases").alias("bases"))
+    edges = cls.select(*keys, "cls", F.posexplode(F.split(F.coalesce("bases", F.lit("")), ",")).alias("pos", "base"))
+    known = cls.select(*keys, F.col("cls").alias("base"))
+    edges = checkpoint(edges.join(known, [*keys, "base"]).where("base <> cls"))
+    need = edges.groupBy(*keys, "cls").agg(F.count("*").alias("n"),
+                                           F.sort_array(F.collect_list(F.struct("pos", "base"))).alias("bases"))
+    alone = F.array(F.col("cls"))
+    done = checkpoint(cls.join(need, [*keys, "cls"], "left_anti").select(*keys, "cls", alone.alias("mro")))
+    open_ = checkpoint(need)
+    while not open_.isEmpty():
+        have = done.select(*keys, F.col("cls").alias("base"), "mro")
+        ready = (edges.join(open_.select(*keys, "cls"), [*keys, "cls"], "left_semi").join(have, [*keys, "base"])
+                 .groupBy(*keys, "cls").agg(F.sort_array(F.collect_list(F.struct("pos", "mro"))).alias("orders")))
+        ready = ready.join(open_, [*keys, "cls"]).where(F.size("orders") == F.col("n"))
+        merged = merge(F.concat(F.col("orders.mro"), F.array(F.col("bases.base"))))
+        new = checkpoint(ready.select(*keys, "cls", F.concat(alone, merged).alias("mro")))
+        if new.isEmpty():
+            new = open_.select(*keys, "cls", alone.alias("mro"))
+        done = checkpoint(done.unionByName(new))
+        open_ = checkpoint(open_.join(new.select(*keys, "cls"), [*keys, "cls"], "left_anti"))
+    return done
+
+
+def with_inherited(records: DataFrame) -> DataFrame:
     """B2: methods of each class including those it inherits, as reflection
-    lists them. Classes are ranked in method-resolution order, taken as
-    depth-first, left-to-right order keeping only the last occurrence of a
-    class reached twice (equal to C3 for the usual hierarchies, diamonds
-    included); the first class defining a name wins, and a method without
-    a docstring takes the first one found in the same order.
-
-    One join per inheritance level between the class -> base edges and
-    the methods newly reached at the level before (so rows never
-    multiply), stopping when a level reaches nothing or at ``depth``.
-    The records and each level are checkpointed to the shared folder:
-    a catalog is small, and the Python pass and earlier levels are not
-    recomputed per level. Bases outside the given sources contribute
-    nothing.
+    lists them: the first class in method-resolution order that defines a
+    name wins, and a method without a docstring takes the first one found in
+    the same order. A class has one row per ancestor and method, however
+    many ways lead to the ancestor.
     """
     keys = ["lib", "version"]
     records = checkpoint(records)
-    edges = records.where(F.col("kind") == "class").select(
-        *keys, F.col("api_path").alias("cls"),
-        F.posexplode(F.split(F.col("bases"), ",")).alias("bpos", "base")).where(
-        F.col("base") != "")
+    order = resolution_orders(records).select(*keys, "cls", F.posexplode("mro").alias("pos", "owner"))
     own = records.where(F.col("kind") == "method").select(
         *keys,
-        F.regexp_extract("api_path", r"^(.*)\.[^.]+$", 1).alias("cls"),
+        F.regexp_extract("api_path", r"^(.*)\.[^.]+$", 1).alias("owner"),
         F.substring_index("api_path", ".", -1).alias("name"),
-        F.expr("substring(signature, length(api_path) + 1)").alias("args"),
-        "doc", F.lit("").alias("route"))
-    own = checkpoint(own.withColumn("owner", F.col("cls")))
-    levels = [own]
-    reached = own
-    for d in range(1, depth + 1):
-        e = edges.alias("e")
-        r = reached.alias("r")
-        reached = checkpoint(e.join(r, (F.col("e.lib") == F.col("r.lib"))
-                         & (F.col("e.version") == F.col("r.version"))
-                         & (F.col("e.base") == F.col("r.cls"))).select(
-            F.col("e.lib").alias("lib"), F.col("e.version").alias("version"),
-            F.col("e.cls").alias("cls"), "r.name", "r.args", "r.doc", "r.owner",
-            F.concat(F.lpad(F.col("e.bpos").cast("string"), 4, "0"), F.col("r.route")
-                     ).alias("route")))
-        if reached.isEmpty():
-            break
-        levels.append(reached)
-    allm = levels[0]
-    for lv in levels[1:]:
-        allm = allm.unionByName(lv)
-    # a route is the chain of fixed-width base positions, so string order is
-    # depth-first order; a class's place is its last occurrence
-    placed = allm.withColumn("pos", F.max("route").over(
-        Window.partitionBy(*keys, "cls", "owner")))
+        F.expr("substring(signature, length(api_path) + 1)").alias("args"), "doc")
+    placed = order.join(own, [*keys, "owner"])
     w = Window.partitionBy(*keys, "cls", "name").orderBy("pos")
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     best = (placed.withColumn("_r", F.row_number().over(w))
@@ -133,29 +152,75 @@ def stub_signatures(lib_files: DataFrame, functions: DataFrame) -> DataFrame:
                                           F.lit(")")).alias("stub_signature"))
 
 
-def prefer_sources(functions: DataFrame, stubs: DataFrame) -> DataFrame:
-    """Stub signature first, else the one read from source."""
-    j = functions.join(stubs, ["lib", "version", "api_path"], "left")
-    return j.withColumn("signature", F.coalesce("stub_signature", "signature")).drop(
-        "stub_signature")
+def prefer_sources(functions: DataFrame, stubs: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
+    """The signature a supplied catalog gives as text (lib, version,
+    api_path, signature) first, then the stub's, then the source's."""
+    keys = ["lib", "version", "api_path"]
+    j = functions.join(stubs, keys, "left")
+    first = []
+    if supplied is not None:
+        j = j.join(supplied.select(*keys, F.col("signature").alias("supplied_signature"))
+                   .dropDuplicates(keys), keys, "left")
+        first = ["supplied_signature"]
+    return j.withColumn("signature", F.coalesce(*first, "stub_signature", "signature")).drop(
+        "stub_signature", "supplied_signature")
+
+
+def _parent(path):
+    return F.regexp_replace(path, r"\.[^.]*$", "")
+
+
+def exported_paths(records: DataFrame) -> DataFrame:
+    """(lib, version, alias_path, target): public paths that stand for a class.
+
+    ``from m import *`` takes the public names of ``m``, those it imports
+    itself included; a name that stands for another imported name is followed
+    to the class. Both go on until a round changes nothing.
+    """
+    keys = ["lib", "version"]
+    classes = records.where(F.col("kind") == "class").select(
+        *keys, F.col("api_path").alias("path"), F.col("api_path").alias("target"))
+    names = records.where(F.col("kind") == "reexport").select(
+        *keys, F.col("api_path").alias("path"), F.col("bases").alias("target"))
+    stars = checkpoint(records.where(F.col("kind") == "star").select(
+        *keys, F.col("api_path").alias("to"), F.col("bases").alias("module")).distinct())
+    found = checkpoint(classes.unionByName(names).dropDuplicates([*keys, "path"]))
+    new = found
+    while True:
+        public = new.withColumn("module", _parent(F.col("path"))).withColumn(
+            "name", F.substring_index("path", ".", -1)).where(~F.col("name").startswith("_"))
+        taken = public.join(stars, [*keys, "module"]).select(
+            *keys, F.concat("to", F.lit("."), "name").alias("path"), F.col("path").alias("target"))
+        new = checkpoint(taken.dropDuplicates([*keys, "path"]).join(found, [*keys, "path"], "left_anti"))
+        if new.isEmpty():
+            break
+        found = checkpoint(found.unionByName(new))
+    links = found.where("path <> target")
+    while True:
+        # follow two steps at once; a path that leads round in a circle ends
+        # where it began and is no class
+        nxt = links.select(*keys, F.col("path").alias("target"), F.col("target").alias("further"))
+        step = checkpoint(links.join(nxt, [*keys, "target"], "left").where(
+            "further is null or further <> path").withColumn("moved", F.col("further").isNotNull()).withColumn(
+            "target", F.coalesce("further", "target")).drop("further"))
+        links = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    return links.withColumnRenamed("path", "alias_path")
 
 
 def with_reexports(records: DataFrame, methods: DataFrame) -> DataFrame:
     """Methods of a class also under every public path that imports the
     class (reflection walks modules and lists the class where it finds it).
-    One equi-join of reexport rows with the methods' owner class."""
+    One equi-join of exported paths with the methods' owner class."""
     keys = ["lib", "version"]
-    rx = records.where(F.col("kind") == "reexport").select(
-        *keys, F.col("api_path").alias("alias_path"), F.col("bases").alias("target"))
+    rx = exported_paths(records)
     m = methods.select(
-        *keys, "kind", "api_path", "signature", "doc",
-        F.regexp_extract("api_path", r"^(.*)\.[^.]+$", 1).alias("cls"),
+        *keys, "kind", "signature", "doc", "api_path",
+        F.regexp_extract("api_path", r"^(.*)\.[^.]+$", 1).alias("target"),
         F.substring_index("api_path", ".", -1).alias("name"),
-        F.expr("substring(signature, length(api_path) + 1)").alias("args"))
-    moved = m.join(rx, (m["lib"] == rx["lib"]) & (m["version"] == rx["version"])
-                   & (m["cls"] == rx["target"])).select(
-        m["lib"], m["version"], m["kind"],
-        F.concat(rx["alias_path"], F.lit("."), m["name"]).alias("api_path"),
-        F.concat(rx["alias_path"], F.lit("."), m["name"], m["args"]).alias("signature"),
-        m["doc"])
+        F.expr("substring(signature, length(api_path) + 1)").alias("args")).drop("api_path")
+    path = F.concat("alias_path", F.lit("."), "name")
+    moved = m.join(rx, [*keys, "target"]).select(
+        *keys, "kind", path.alias("api_path"), F.concat(path, "args").alias("signature"), "doc")
     return methods.unionByName(moved).dropDuplicates([*keys, "api_path"])

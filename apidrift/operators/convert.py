@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apidrift.operators.diff import CATEGORY
-from apidrift.session import broadcast_if_small
 
-MAX_CHANGES_BROADCAST = 2_000_000
 
 
 def switch(df: DataFrame, convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -69,11 +67,10 @@ def build_content(df: DataFrame) -> DataFrame:
 def filter_changed(sites: DataFrame, changes: DataFrame) -> DataFrame:
     """G1: keep call sites whose API changed in class A or B; label them.
 
-    ``sites`` needs kind and API_path. The change table is broadcast only
-    under a checked row bound.
+    ``sites`` needs lib, kind and API_path.
     """
     ch = changes.where(F.col("change").isin("modified_A", "modified_B")).select(
-        "kind", F.col("api_path").alias("API_path"), "change")
+        "lib", "kind", F.col("api_path").alias("API_path"), "change")
     label = F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv])
     ch = ch.withColumn("category", label[F.col("change")])
-    return sites.join(broadcast_if_small(ch, MAX_CHANGES_BROADCAST), ["kind", "API_path"])
+    return sites.join(ch, ["lib", "kind", "API_path"])

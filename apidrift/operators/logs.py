@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from apidrift.session import broadcast_if_small
+from apidrift.functions.text import strip
+
 
 # Marker line patterns of the reference log (after strip).
 FILE_MARKER = r"^Processing file:\s+(.+\.jsonl)$"
@@ -22,7 +23,6 @@ RECORD_MARKER = r"^遍历到json\s+(\d+)$"
 CALL_LINE = r"^第\s+(\d+)\s+行:\s+(.+)$"
 
 BLOCK_ROWS = 1 << 16
-MAX_CARRY_ROWS = 1_000_000
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: str, value, out,
@@ -34,7 +34,7 @@ def forward_fill(df: DataFrame, keys: list[str], order: str, value, out,
     Shuffles: one aggregation to the per-block table (one row per block),
     one small window over it for the value carried into each block, and
     one window per (keys, block) over the rows; the carry table joins back
-    by a bounded broadcast.
+    on (keys, block).
     """
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
@@ -52,7 +52,7 @@ def forward_fill(df: DataFrame, keys: list[str], order: str, value, out,
           .rowsBetween(Window.unboundedPreceding, 0))
     filled = d.select("*", *[F.last(v, ignorenulls=True).over(wr).alias(f"_in{i}")
                              for i, v in enumerate(values)])
-    j = filled.join(broadcast_if_small(carry, MAX_CARRY_ROWS), [*keys, "_blk"], "left")
+    j = filled.join(carry, [*keys, "_blk"], "left")
     for i, o in enumerate(outs):
         j = j.withColumn(o, F.coalesce(f"_in{i}", f"_carry{i}"))
     return j.drop("_blk", *[f"_in{i}" for i in range(len(values))],
@@ -75,7 +75,7 @@ def marker_log(lines: DataFrame, file_re: str = FILE_MARKER,
     (file, record, line number) the last call wins; files with no kept
     call give no rows (E10).
     """
-    t = F.trim(F.col("line"))
+    t = strip(F.col("line"))
     fname = _nz(F.regexp_extract(t, file_re, 1))
     rec = _nz(F.regexp_extract(t, record_re, 1))
     cline = _nz(F.regexp_extract(t, call_re, 1))

@@ -5,7 +5,7 @@ the same queries run over a corpus DataFrame:
 
 * every query holds a leaf word (the last name of the search path; for a
   method, its class), so each file's distinct identifiers are exploded and joined to
-  the small query table on that word (broadcast under a row bound) - no
+  the small query table on that word - no
   files x queries product, and content is never shuffled;
 * surviving (file, query) pairs are verified term by term with a bounded
   match (no word character next to an end that is itself a word char);
@@ -19,15 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from apidrift.session import broadcast_if_small
-
 # Hit budget per API, results per page, usable files per API.
 BUDGET = 500
 PAGE_SIZE = 100
 TOP_M = 5
 
-MAX_QUERY_ROWS = 1_000_000
-
 
 def _join(parts: Column, start, length) -> Column:
     return F.array_join(F.slice(parts, start, length), ".")
@@ -107,20 +103,24 @@ def search(corpus: DataFrame, qs: DataFrame, keep=()) -> DataFrame:
 
     Union over queries without dedup: a file found by two queries of one
     API appears twice. Files are never compared with every query: only
-    pairs that share the leaf word are checked. Explode, broadcast join and
-    verification run in the scan's stage; ``keep`` (e.g. content, for the
-    usage test) is only copied for matching pairs.
+    pairs that share the leaf word are checked. The words of a file travel
+    with its id alone; the queries found for a file are put together and
+    meet its content once, where plain substring tests come before the
+    bounded patterns. ``keep`` (e.g. content, for the usage test) is only
+    copied for matching pairs. No step needs a broadcast.
     """
     extra = [c for c in keep if c not in ("file_id", "content")]
-    words = corpus.select(
-        "file_id", "content", *extra,
-        F.explode(F.array_distinct(F.regexp_extract_all(
-            "content", F.lit(r"(?U)\w+"), 0))).alias("word"))
-    qb = broadcast_if_small(qs.select("api_path", "query_no", "terms", "leaf"),
-                            MAX_QUERY_ROWS)
-    cand = words.join(qb, words["word"] == qb["leaf"])
-    ok = F.forall("terms", lambda t: F.regexp_like(F.col("content"), bounded(t)))
-    return cand.where(ok).select("api_path", "query_no", "file_id", *keep)
+    words = corpus.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all(
+        "content", F.lit(r"(?U)\w+"), 0))).alias("leaf"))
+    cand = words.join(qs.select("api_path", "query_no", "terms", "leaf"), "leaf")
+    per_file = cand.groupBy("file_id").agg(
+        F.collect_list(F.struct("api_path", "query_no", "terms")).alias("queries"))
+    content = F.col("content")
+    hit = F.filter("queries", lambda q: F.forall(q["terms"], lambda t: content.contains(t))
+                   & F.forall(q["terms"], lambda t: F.regexp_like(content, bounded(t))))
+    found = corpus.select("file_id", "content", *extra).join(per_file, "file_id")
+    found = found.select("file_id", *[c for c in keep if c != "file_id"], F.explode(hit).alias("q"))
+    return found.select("q.api_path", "q.query_no", "file_id", *keep)
 
 
 def query_totals(qs: DataFrame, matches: DataFrame, budget: int = BUDGET) -> DataFrame:

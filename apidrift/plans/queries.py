@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apidrift.operators import diff, signatures
-from apidrift.session import checkpoint
+from apidrift.session import checkpoint, shared_path
 from apidrift.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,20 +114,24 @@ from apidrift.operators import callsites, retrieve  # noqa: E402
 META = ("repository", "url", "last_updated", "stars")
 
 
-def _spread(spark, df):
-    """Spread CPU-heavy rows over the cores.
+def _stored(spark, sf_dir, name, make):
+    """A corpus as a table in the shared folder, as a corpus is in life.
 
-    The fixture corpora come out of a join whose shuffle compresses to
-    almost nothing, so AQE folds it into one partition and the Python
-    parse would run in one worker. A round-robin repartition with a fixed
-    count is neither removed by the optimizer nor coalesced by AQE. (A
-    corpus read from storage is split by the scan and needs none.)
+    It is written once for a session and input; the scan splits it by size,
+    so the parse starts where the files are read, without a shuffle.
     """
-    return df.repartition(4 * spark.sparkContext.defaultParallelism)
+    kept = spark.sparkContext.__dict__.setdefault("_apidrift_corpora", {})
+    key = (name, sf_dir)
+    if key not in kept:
+        path = shared_path(spark, "corpora", name)
+        make().write.parquet(path)
+        kept[key] = path
+    return spark.read.parquet(kept[key])
 
 
 def _corpus(spark, sf_dir):
-    return _spread(spark, retrieve.enrich(fixtures.corpus(spark, sf_dir)))
+    return _stored(spark, sf_dir, "functions",
+                   lambda: retrieve.enrich(fixtures.corpus(spark, sf_dir)))
 
 
 def _fn_records(spark, sf_dir, want=("fcall", "alias", "error")):
@@ -282,7 +286,8 @@ def q_usage_test(spark, sf_dir):
 # ---------------------------------------------------- method call sites, blocks
 
 def _mcorpus(spark, sf_dir):
-    return _spread(spark, retrieve.enrich(fixtures.mcorpus(spark, sf_dir)))
+    return _stored(spark, sf_dir, "methods",
+                   lambda: retrieve.enrich(fixtures.mcorpus(spark, sf_dir)))
 
 
 def _mtargets(spark, sf_dir):
@@ -290,9 +295,8 @@ def _mtargets(spark, sf_dir):
     return callsites.method_targets(cat)
 
 
-def _mrecs(spark, sf_dir):
-    return callsites.method_pass(_mcorpus(spark, sf_dir), _mtargets(spark, sf_dir),
-                                 keep=META)
+def _mrecs(spark, sf_dir, *want):
+    return callsites.parse_pass(_mcorpus(spark, sf_dir), want=want, keep=META)
 
 
 def _classes(spark, sf_dir):
@@ -301,7 +305,7 @@ def _classes(spark, sf_dir):
 
 @query("typed_vars")
 def q_typed_vars(spark, sf_dir):
-    r = _mrecs(spark, sf_dir).where("rec = 'mark'")
+    r = _mrecs(spark, sf_dir, "mark")
     r = r.join(_classes(spark, sf_dir), "target", "left_semi")
     return r.select("file_id", F.col("name").alias("var"), F.col("target").alias("class"),
                     "how")
@@ -309,7 +313,7 @@ def q_typed_vars(spark, sf_dir):
 
 @query("constructor_calls")
 def q_constructor_calls(spark, sf_dir):
-    r = _mrecs(spark, sf_dir).where("rec = 'ctor'")
+    r = _mrecs(spark, sf_dir, "ctor")
     r = r.join(_classes(spark, sf_dir), "target", "left_semi")
     return r.select("file_id", F.col("target").alias("class"), _i64("line"),
                     F.col("name").alias("var"))
@@ -317,13 +321,13 @@ def q_constructor_calls(spark, sf_dir):
 
 @query("method_calls")
 def q_method_calls(spark, sf_dir):
-    m = callsites.method_calls(_mrecs(spark, sf_dir), _mtargets(spark, sf_dir))
+    m = callsites.method_calls(_mrecs(spark, sf_dir, "mcall"), _mtargets(spark, sf_dir))
     return m.select("file_id", "api_path", _i64("line"), "var")
 
 
 @query("method_files")
 def q_method_files(spark, sf_dir):
-    m = callsites.method_calls(_mrecs(spark, sf_dir), _mtargets(spark, sf_dir))
+    m = callsites.method_calls(_mrecs(spark, sf_dir, "mcall"), _mtargets(spark, sf_dir))
     return m.groupBy("api_path", "file_id").agg(F.count(F.lit(1)).alias("n_calls")).select(
         "api_path", "file_id", _i64("n_calls"))
 
@@ -337,40 +341,28 @@ def q_code_blocks(spark, sf_dir):
                     F.col("end_line").cast("bigint").alias("end_line"), "code")
 
 
-def _per_line_blocks(spark, sf_dir):
-    recs = _mrecs(spark, sf_dir)
-    calls = callsites.method_calls(recs, _mtargets(spark, sf_dir))
-    blocks = recs.where("rec = 'block'")
-    return recs, calls, blocks
-
-
 @query("call_block")
 def q_call_block(spark, sf_dir):
-    _, calls, blocks = _per_line_blocks(spark, sf_dir)
-    j = callsites.call_blocks(callsites.per_call_line(calls), blocks)
+    j = callsites.placed_lines(_mrecs(spark, sf_dir, "mline"), _mtargets(spark, sf_dir))
     return j.select("file_id", "api_path", _i64("line"), _i64("block_no"), "block_type")
 
 
 @query("split_method_call")
 def q_split_method_call(spark, sf_dir):
-    _, calls, blocks = _per_line_blocks(spark, sf_dir)
-    c = callsites.cut_calls(callsites.per_call_line(calls), blocks)
-    return c.where(F.col("_cut.context").isNotNull()).select(
-        "file_id", "api_path", _i64("line"), F.col("_cut.context").alias("context"),
-        F.col("_cut.target_seq").alias("target_seq"), F.col("_cut.suffix").alias("suffix"))
+    c = callsites.cut_lines(_mrecs(spark, sf_dir, "mcut"), _mtargets(spark, sf_dir))
+    return c.select("file_id", "api_path", _i64("line"), "context", "target_seq", "suffix")
 
 
 def _method_meta(spark, sf_dir):
-    recs, calls, blocks = _per_line_blocks(spark, sf_dir)
-    s = callsites.method_sites(calls, blocks, callsites.import_blocks(blocks))
-    return s.select("file_id", F.col("api_path").alias("API_path"), "repository", "url",
+    s = callsites.method_sites(_mrecs(spark, sf_dir, "msite"), _mtargets(spark, sf_dir))
+    return s.select("file_id", "lib", F.col("api_path").alias("API_path"), "repository", "url",
                     F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"),
                     "stars", "import", "context", "target_seq", "suffix")
 
 
 @query("method_metadata")
 def q_method_metadata(spark, sf_dir):
-    return _method_meta(spark, sf_dir)
+    return _method_meta(spark, sf_dir).drop("lib")
 
 
 T10 = ["file_id", "API_path", "repository", "url", "last_updated", "stars", "import",
@@ -378,15 +370,15 @@ T10 = ["file_id", "API_path", "repository", "url", "last_updated", "stars", "imp
 
 
 def _metadata(spark, sf_dir):
-    fn = callsites.t6(_fn_sites(spark, sf_dir)).select(*T10).withColumn(
+    fn = callsites.t6(_fn_sites(spark, sf_dir)).select("lib", *T10).withColumn(
         "kind", F.lit("function"))
-    me = _method_meta(spark, sf_dir).select(*T10).withColumn("kind", F.lit("method"))
+    me = _method_meta(spark, sf_dir).select("lib", *T10).withColumn("kind", F.lit("method"))
     return fn.unionByName(me)
 
 
 @query("metadata")
 def q_metadata(spark, sf_dir):
-    return _metadata(spark, sf_dir)
+    return _metadata(spark, sf_dir).drop("lib")
 
 
 # ---------------------------------------------------------------- marker logs
@@ -405,7 +397,6 @@ def q_marker_log(spark, sf_dir):
 # ---------------------------------------------- conversion, filter, synthesis
 
 from apidrift.operators import batches, convert, synth  # noqa: E402
-from apidrift.session import broadcast_if_small, shared_path  # noqa: E402
 
 
 @query("build_content")
@@ -505,9 +496,11 @@ def q_truncate_left(spark, sf_dir):
 
 @query("assign_batches")
 def q_assign_batches(spark, sf_dir):
-    p = batches.prompt_rows(_samples(spark, sf_dir)).select("file_id", "API_path")
+    p = batches.prompt_rows(_samples(spark, sf_dir))
     b = batches.assign_batches(p, ["file_id", "API_path"], 64)
-    return b.select("file_id", "API_path", _i64("position"), _i64("batch_id"))
+    # the rows carry their prompts through the numbering
+    return b.where("prompt is not null").select(
+        "file_id", "API_path", _i64("position"), _i64("batch_id"))
 
 
 # ------------------------------------------------------------ sources, sinks
@@ -521,9 +514,7 @@ def _raw_snippets(spark, sf_dir):
     """T1 rows of the top-m files of each changed function (crawler output)."""
     qs, m, corpus = _search(spark, sf_dir)
     top = retrieve.top_m(m, retrieve.query_totals(qs, m, SEARCH_BUDGET))
-    # m rows per API: broadcast under a checked bound, the corpus is not shuffled
-    top = broadcast_if_small(top.select("api_path", "file_id"), 1_000_000)
-    return corpus.join(top, "file_id").select(
+    return corpus.join(top.select("api_path", "file_id"), "file_id").select(
         "api_path", "repository", "url",
         F.coalesce(F.date_format("last_updated", ISO), F.lit("Unknown")).alias("last_updated"),
         "stars", "content")
@@ -600,7 +591,7 @@ from apidrift.operators import catalog as catalog_ops  # noqa: E402
 
 
 def _lib_catalog(spark, sf_dir):
-    files = _spread(spark, fixtures.lib_files(spark, sf_dir))
+    files = _stored(spark, sf_dir, "libraries", lambda: fixtures.lib_files(spark, sf_dir))
     return files, catalog_ops.catalog_from_sources(files)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -77,6 +78,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[[^\]]*\])?$", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all nodes of {master} share")
         d = tempfile.mkdtemp(prefix="apidrift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -84,33 +88,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def checkpoint(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
     """Eager, reliable checkpoint into the shared checkpoint folder.
 
     Cuts lineage so that an expensive upstream (a Python pass, a corpus
     scan) is neither recomputed by a second consumer nor re-run when an
     executor is lost.
-
-    ``keep_partitioning``: the checkpointed frame keeps the hash
-    partitioning of ``df`` (e.g. after ``repartition(n, key)``), so later
-    joins and aggregations on that key need no shuffle. An adaptive plan
-    reports its partitioning only after it has run, so this one plan is
-    made without AQE (the setting is restored right after).
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    if not keep_partitioning:
-        return df.checkpoint(eager=True)
-    key = "spark.sql.adaptive.enabled"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
@@ -124,16 +110,3 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Driver table ``name`` under ``sf_dir`` (one parquet file each)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Above the bound the
-    plain frame is returned and the planner (AQE) picks a shuffle join.
-    """
-    from pyspark.sql import functions as F
-
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

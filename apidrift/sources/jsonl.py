@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from apidrift.functions.text import strip
 
 # T1 raw snippet as stored: last_updated is ISO text or 'Unknown'.
 SNIPPET_SCHEMA = ("repository string, url string, last_updated string, stars bigint, "
@@ -36,13 +39,13 @@ def read_tolerant(spark: SparkSession, path: str, schema: str,
     r = spark.read.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    lines = r.text(path).where(F.trim("value") != "").withColumn(
+    lines = r.text(path).where(strip(F.col("value")) != "").withColumn(
         "_source", F.input_file_name())
     parsed = lines.withColumn("_r", F.from_json(
         "value", schema + ", _corrupt string",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad_row = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
-    cols = [f"_r.{c.strip().split(' ')[0]}" for c in schema.split(",")]
+    cols = [f"_r.`{f.name}`" for f in StructType.fromDDL(schema).fields]
     good = parsed.where(~bad_row).select(*cols)
     bad = parsed.where(bad_row).select(F.col("_source").alias("source"),
                                        F.col("value").alias("line"))
@@ -114,7 +117,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A5: stripped lines of text files."""
-    return spark.read.text(path).select(F.trim("value").alias("line"))
+    return spark.read.text(path).select(strip(F.col("value")).alias("line"))
 
 
 def write_lines(df: DataFrame, col: str, path: str) -> None:
