@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from apidrift.session import checkpoint, ship_package, table
 
 __all__ = ["checkpoint", "table", "ship_package", "texts_of", "ROW", "packed",
-           "slices", "buffers", "crc_mod", "first_seen_key", "mix64"]
+           "release", "slices", "buffers", "crc_mod", "first_seen_key", "mix64"]
 
 ROW = "__row"
 
@@ -48,6 +49,16 @@ def first_seen_key(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(2**63 - 1))
 
 
+def release(spark) -> None:
+    """Lets Spark's cleaner delete the shuffle files of phases that are over.
+
+    It deletes them when their owners are collected as garbage, which in a
+    driver with little to do may be much later than the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about ``most`` bytes each.
 
