@@ -123,6 +123,17 @@ def search(corpus: DataFrame, qs: DataFrame, keep=()) -> DataFrame:
     return found.select("q.api_path", "q.query_no", "file_id", *keep)
 
 
+def distinct_files(corpus: DataFrame) -> DataFrame:
+    """One file per (repository, url): the one with the smallest id.
+
+    Files without a url are files of their own. Only ids and names are
+    grouped; the content is met by a semi join.
+    """
+    name = F.coalesce("url", F.concat(F.lit("#"), F.col("file_id").cast("string")))
+    first = corpus.groupBy("repository", name.alias("name")).agg(F.min("file_id").alias("file_id"))
+    return corpus.join(first.select("file_id"), "file_id", "left_semi")
+
+
 def query_totals(qs: DataFrame, matches: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Hits per query and whether the query runs under the budget.
 

@@ -572,3 +572,14 @@ SELECT DISTINCT api_path, CAST(query_no AS BIGINT) AS query_no, file_id FROM (
   JOIN cat c ON c.kind = 'method' AND c.v IN (3, 4, 5, 9) AND c.pk = i.pk
   WHERE g.file_id % 4 = 0 AND i.style = 0
 ) x""")
+
+# ------------------------------------------------------------ chains, rejects
+
+oracle("chain_sites", f"""
+SELECT f.kind, f.file_id, f.API_path, f.change, f.category
+FROM ({ORACLES["filter_changed"]}) f
+SEMI JOIN ({ORACLES["search_top_m"]}) t ON f.API_path = t.api_path AND f.file_id = t.file_id
+WHERE f.kind = 'function'""")
+
+oracle("synthesis_rejects", f"""
+SELECT kind, file_id, API_path, attempts FROM ({ORACLES["synthesis_status"]}) s WHERE NOT ok""")

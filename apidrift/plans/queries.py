@@ -414,6 +414,24 @@ def q_filter_changed(spark, sf_dir):
                                            "category")
 
 
+@query("chain_sites")
+def q_chain_sites(spark, sf_dir):
+    """Search results are the input of extraction: the files found for
+    the changed functions, one per (repository, url), are parsed, and of the
+    calls found those count whose API the file was found for."""
+    qs, m, corpus = _search(spark, sf_dir)
+    top = retrieve.top_m(m, retrieve.query_totals(qs, m, SEARCH_BUDGET))
+    top = checkpoint(top.select(F.col("api_path").alias("API_path"), "file_id"))
+    files = retrieve.distinct_files(corpus).join(
+        top.select("file_id").distinct(), "file_id", "left_semi")
+    recs = callsites.parse_pass(files, libs=fixtures.LIBS, want=("fcall",), keep=META)
+    sites = callsites.t6(callsites.function_sites(recs)).select("lib", *T10).withColumn(
+        "kind", F.lit("function"))
+    found = convert.filter_changed(sites, _changes(spark, sf_dir))
+    return found.join(top, ["API_path", "file_id"], "left_semi").select(
+        "kind", "file_id", "API_path", "change", "category")
+
+
 def _prompts(spark, sf_dir):
     return synth.render_prompt(_filtered(spark, sf_dir),
                                diff.changed_api_lookup(_changes(spark, sf_dir)))
@@ -458,6 +476,13 @@ def q_synthesize(spark, sf_dir):
     return good.select(*T11)
 
 
+@query("synthesis_rejects")
+def q_synthesis_rejects(spark, sf_dir):
+    """Rows whose answers never parsed, with the number of attempts."""
+    _, bad = synth.synthesize(_completed(spark, sf_dir))
+    return bad.select("kind", "file_id", "API_path", _i64("attempts"))
+
+
 @query("bench_cct")
 def q_bench_cct(spark, sf_dir):
     good, _ = synth.synthesize(_completed(spark, sf_dir))

@@ -131,13 +131,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, catalog_sql(SPARK))
 
 
-def libs(spark: SparkSession) -> DataFrame:
-    """Run config as a table: (lib, lib_name, old_version, new_version)."""
-    return spark.createDataFrame(
-        [(f"lib{i}", f"lib{i}", "1.0", "2.0") for i in range(3)],
-        "lib string, lib_name string, old_version string, new_version string")
-
-
 # ---------------------------------------------------------------------------
 # Corpus of Python files for function calls, one file per order, one
 # `def g{n}` per line item calling the item's API. Import style by

@@ -4,7 +4,7 @@ The reference runs its extractor in batches and appends each batch's
 call sites to one file per API (A8, F11). Here new raw-snippet files
 landing in a folder are a file stream; each micro-batch goes through the
 same parse pass and split, and is appended per API with ``foreachBatch``.
-The stream's checkpoint makes the append exactly-once across restarts;
+The stream's checkpoint numbers the batches, and a replayed batch overwrites its folder;
 ``trigger(availableNow=True)`` processes what is there and stops.
 """
 
@@ -38,10 +38,14 @@ def call_sites(files: DataFrame, libs) -> DataFrame:
 
 def start(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, libs,
           available_now: bool = True) -> StreamingQuery:
-    """Run the extractor over new files; append call sites per (lib, API)."""
+    """Run the extractor over new files; call sites per batch, library and API.
 
-    def append(batch: DataFrame, _epoch: int) -> None:
-        sink_by_api(batch, out_dir, keys=("lib", "API_path"), mode="append")
+    Each batch has a folder of its own that is written anew when the batch
+    is replayed, so a replay changes nothing.
+    """
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        sink_by_api(batch, f"{out_dir}/epoch={epoch}", keys=("lib", "API_path"), mode="overwrite")
 
     w = (call_sites(snippet_stream(spark, in_dir), libs).writeStream
          .foreachBatch(append).option("checkpointLocation", checkpoint))
