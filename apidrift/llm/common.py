@@ -55,8 +55,11 @@ def release(spark) -> None:
     It deletes them when their owners are collected as garbage, which in a
     driver with little to do may be much later than the disks are full.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        # the last job's plan stays in reach until another job has run
+        spark.range(1).collect()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apidrift.llm import wordhash
-from apidrift.llm.common import buffers, checkpoint, first_seen_key, mix64, slices
+from apidrift.llm.common import buffers, checkpoint, first_seen_key, mix64, release, slices
 
 LENGTH = 50
 GRAM = 16
@@ -127,8 +127,13 @@ def _first_of(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, first, more
 
 
-def _keys(texts: DataFrame, shared: bool) -> DataFrame:
-    """(key, id) of the runs: the smallest id of each key of a block, or all ids of those with several."""
+def _keys(texts: DataFrame) -> DataFrame:
+    """(part, key, id, more) of the runs: of a block, all ids of each key, those with several marked ``more``.
+
+    ``part`` is the key for its smallest id in the block, and ``key`` is
+    null. Other ids are known to share the key with that one, and their part
+    is a number of their own.
+    """
     def run(batches):
         for block in _blocks(batches, "text"):
             keys, ids = [], []
@@ -140,18 +145,23 @@ def _keys(texts: DataFrame, shared: bool) -> DataFrame:
                     ids.append(own[lo + row])
             key, ident = np.concatenate(keys), np.concatenate(ids)
             order, first, more = _first_of(key, ident)
-            pick = order[more if shared else first]
-            yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), pa.array(ident[pick])],
-                                             names=["key", "id"])
+            for lo in range(0, len(order), 200_000):
+                to = slice(lo, lo + 200_000)
+                k, i = key[order[to]], ident[order[to]]
+                part = np.where(first[to], k, mix64(i.view(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.view(np.int64)), pa.array(k.view(np.int64), mask=first[to]), pa.array(i), pa.array(more[to])],
+                    names=["part", "key", "id", "more"])
 
-    return texts.mapInArrow(run, "key long, id long")
+    return texts.mapInArrow(run, "part long, key long, id long, more boolean")
 
 
 def _runs_of(texts: DataFrame) -> DataFrame:
-    """Runs of shared keys: (part, key, id, run, count, bytes).
+    """Runs of shared keys: (part, id, run, count, bytes).
 
-    Equal runs of a block come with their bytes once, for the smallest id;
-    those of other ids have no bytes and a part of their own.
+    Equal runs of a block come once with their bytes, for the smallest id,
+    and their key is the part. Those of other ids have no bytes but a name
+    (``run``) and a number of suffixes, and a part of their own.
     """
     def run(batches):
         for block in _blocks(batches, "text"):
@@ -181,17 +191,17 @@ def _runs_of(texts: DataFrame) -> DataFrame:
             text = pa.concat_arrays(got[4])
             order, first, _ = _first_of(name, ident)
             for pick, some in ((order[first], True), (order[~first], False)):
-                k, i = key[pick].view(np.int64), ident[pick]
                 for lo in range(0, len(pick), 50_000):
-                    to = slice(lo, lo + 50_000)
-                    n = len(pick[to])
+                    to = pick[lo:lo + 50_000]
+                    i, none = ident[to], pa.nulls(len(to), pa.int64())
+                    part = key[to] if some else mix64(i.view(np.uint64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k[to] if some else mix64(i[to].view(np.uint64)).view(np.int64)), pa.array(k[to]),
-                         pa.array(i[to]), pa.array(name[pick[to]].view(np.int64)), pa.array(count[pick[to]]),
-                         text.take(pa.array(pick[to])) if some else pa.nulls(n, pa.binary())],
-                        names=["part", "key", "id", "run", "count", "bytes"])
+                        [pa.array(part.view(np.int64)), pa.array(i),
+                         none if some else pa.array(name[to].view(np.int64)), none if some else pa.array(count[to]),
+                         text.take(pa.array(to)) if some else pa.nulls(len(to), pa.binary())],
+                        names=["part", "id", "run", "count", "bytes"])
 
-    return texts.mapInArrow(run, "part long, key long, id long, run long, count long, bytes binary")
+    return texts.mapInArrow(run, "part long, id long, run long, count long, bytes binary")
 
 
 def suffixes(data: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,11 +231,18 @@ def previous_factors(data: np.ndarray, start: np.ndarray, ident: np.ndarray) ->
     return long_enough
 
 
+def _named(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of runs, their names and numbers of suffixes."""
+    data, offsets = buffers(column)
+    name = _span_hash(_sums(data), offsets[:-1], offsets[1:])
+    return data, offsets, name.view(np.int64), np.diff(offsets) - LENGTH + 1
+
+
 def _masks(rows: list) -> pa.RecordBatch:
     """Answers for runs of whole keys: (id, run, mask)."""
     table = pa.Table.from_batches(rows).combine_chunks()
-    ident, name, count = (table.column(c).to_numpy() for c in ("id", "run", "count"))
-    data, offsets = buffers(table.column("bytes").chunk(0))
+    ident = table.column("id").to_numpy()
+    data, offsets, name, count = _named(table.column("bytes").chunk(0))
     run, start = suffixes(data, offsets[:-1], count)
     bit = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
     hit = previous_factors(data, start, ident[run])
@@ -234,22 +251,21 @@ def _masks(rows: list) -> pa.RecordBatch:
     return _answer(ident[mask != 0], name[mask != 0], mask[mask != 0])
 
 
-_ANSWER = "id long, run long, mask long, key long, count long, bytes binary"
+_ANSWER = "id long, run long, mask long, bytes binary"
 
 
 def _answer(ident, name, mask) -> pa.RecordBatch:
-    n = len(ident)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ident), pa.array(name), pa.array(mask), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-         pa.nulls(n, pa.binary())], names=["id", "run", "mask", "key", "count", "bytes"])
+        [pa.array(ident), pa.array(name), pa.array(mask), pa.nulls(len(ident), pa.binary())],
+        names=["id", "run", "mask", "bytes"])
 
 
 def _compare(sorted_runs: DataFrame, group: int) -> DataFrame:
-    """Masks of runs that come sorted by key; rows of keys over ``group`` runs come back without a mask."""
+    """Masks of runs that come sorted by part; rows of parts over ``group`` runs come back without a mask."""
     def later(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [part.column("id"), part.column("run"), pa.nulls(part.num_rows, pa.int64()), part.column("key"),
-             part.column("count"), part.column("bytes")], names=["id", "run", "mask", "key", "count", "bytes"])
+            [part.column("id"), part.column("run"), pa.nulls(part.num_rows, pa.int64()), part.column("bytes")],
+            names=["id", "run", "mask", "bytes"])
 
     def run(batches):
         whole, n = [], 0  # rows of keys that are known to be complete
@@ -261,10 +277,10 @@ def _compare(sorted_runs: DataFrame, group: int) -> DataFrame:
                 full = np.left_shift(np.int64(1), loose.column("count").to_numpy()) - 1
                 yield _answer(loose.column("id"), loose.column("run"), full)
             batch = batch.filter(pc.invert(alone))
-            key = batch.column("key").to_numpy()
+            key = batch.column("part").to_numpy()
             edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else [0]
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                goes_on = key[lo] == hot if hot is not None else last and last[0].column("key")[0].as_py() == key[lo]
+                goes_on = key[lo] == hot if hot is not None else last and last[0].column("part")[0].as_py() == key[lo]
                 if not goes_on:
                     whole, n, last, size, hot = whole + last, n + size, [], 0, None
                 part, size = batch.slice(lo, hi - lo), size + hi - lo
@@ -286,8 +302,8 @@ def _compare_spread(deferred: DataFrame) -> DataFrame:
     """(id, run, mask) of runs of very frequent keys, by an aggregation over their suffixes."""
     def run(batches):
         for batch in batches:
-            ident, name, count = (batch.column(c).to_numpy() for c in ("id", "run", "count"))
-            data, offsets = buffers(batch.column("bytes"))
+            ident = batch.column("id").to_numpy()
+            data, offsets, name, count = _named(batch.column("bytes"))
             run, start = suffixes(data, offsets[:-1], count)
             bit = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
             acc = _sums(data)
@@ -296,7 +312,7 @@ def _compare_spread(deferred: DataFrame) -> DataFrame:
                 [pa.array(suffix.view(np.int64)), pa.array(ident[run]), pa.array(name[run]), pa.array(bit)],
                 names=["suffix", "id", "run", "bit"])
 
-    each = checkpoint(deferred.select("id", "run", "count", "bytes").mapInArrow(
+    each = checkpoint(deferred.select("id", "bytes").mapInArrow(
         run, "suffix long, id long, run long, bit long"))
     first = each.groupBy("suffix").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     hit = each.join(first, "suffix").where("first < id")
@@ -354,6 +370,28 @@ def _apply(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """(id, digest) of texts that a smaller id has as a whole."""
+    digest = texts.select("id", F.sha2("text", 256).alias("digest"))
+    first = digest.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    return checkpoint(digest.join(first.where("first < last"), "digest").where("first < id")
+                      .select("id", "digest").distinct())
+
+
+def _asked(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, keys): the keys that a document shares with others."""
+    across = Window.partitionBy("part")
+    shared = (_keys(texts).withColumn("lo", F.min("id").over(across)).withColumn("hi", F.max("id").over(across))
+              .where("more or lo < hi").select("id", F.coalesce("key", "part").alias("key")))
+    shared = shared.join(copies.select("id").distinct(), "id", "left_anti")
+    return checkpoint(shared.groupBy("id").agg(F.collect_set("key").alias("keys")))
+
+
+def _answers(texts: DataFrame, asked: DataFrame, group: int) -> DataFrame:
+    found = _runs_of(texts.join(asked.hint("shuffle_hash"), "id").select("id", "text", "keys"))
+    return checkpoint(_compare(found.repartition("part").sortWithinPartitions("part"), group))
+
+
 def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row.
 
@@ -364,21 +402,11 @@ def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
                        text.cast("binary").alias("text"))
     texts = rows.select("id", "text").where(F.octet_length("text") >= LENGTH)
 
-    digest = texts.select("id", F.sha2("text", 256).alias("digest"))
-    first = digest.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    copies = checkpoint(digest.join(first.where("first < last"), "digest").where("first < id")
-                        .select("id", "digest").distinct())
-
-    # a key of several documents: of one block, or of several
-    across = Window.partitionBy("key")
-    lone = (_keys(texts, False).withColumn("lo", F.min("id").over(across)).withColumn("hi", F.max("id").over(across))
-            .where("lo < hi").select("id", "key"))
-    asked = lone.unionByName(_keys(texts, True).select("id", "key"))
-    asked = asked.join(copies.select("id").distinct(), "id", "left_anti")
-    asked = checkpoint(asked.groupBy("id").agg(F.collect_set("key").alias("keys")))
-
-    found = _runs_of(texts.join(asked.hint("shuffle_hash"), "id").select("id", "text", "keys"))
-    answers = checkpoint(_compare(found.repartition("part").sortWithinPartitions("key"), group))
+    copies = _copies(texts)
+    asked = _asked(texts, copies)
+    release(docs.sparkSession)
+    answers = _answers(texts, asked, group)
+    release(docs.sparkSession)
     masks = answers.where("mask is not null").select("id", "run", "mask")
     deferred = answers.where("mask is null")
     if not deferred.isEmpty():
