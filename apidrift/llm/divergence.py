@@ -37,13 +37,12 @@ CHARACTERS_FROM = 50
 WORDS_FROM = 100
 
 #: Classes of characters, among them the white space and the symbols of the base rules.
-CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()\-",
-           "symbol": r"#*$%&|<>"}
+CLASSES = {"upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()\-", "symbol": r"#*$%&|<>"}
 _POSITION = 23  # bits of a word's place in its text
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -56,27 +55,30 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.col("lang").cast("string").alias("lang"))
 
 
-def _classes(text: Column) -> list[Column]:
-    return [_count(text, chars).alias(f"c_{name}") for name, chars in CLASSES.items()]
+def _classes(text: Column, words: Column) -> list[Column]:
+    """Characters of each class; those outside of words are white space."""
+    space = F.length(text) - F.length(F.array_join(words, ""))
+    return [(space if name == "space" else _count(text, chars)).alias(f"c_{name}") for name, chars in CLASSES.items()]
 
 
 def references(docs: DataFrame, common: int = COMMON) -> tuple[dict, dict]:
     """Per language: shares of character classes (the rest last), and of its common words."""
     rows = _texts(docs).where("lang is not null")
-    sums = rows.select("lang", F.length("text").alias("n"), *_classes(F.col("text"))).groupBy("lang").agg(
-        F.sum("n").alias("n"), *[F.sum(f"c_{c}").alias(c) for c in CLASSES])
-    chars = {}
+    sums = rows.select("lang", "text", _words(F.col("text")).alias("words")).select(
+        "lang", F.length("text").alias("n"), F.size("words").alias("words"),
+        *_classes(F.col("text"), F.col("words"))).groupBy("lang").agg(
+        F.sum("n").alias("n"), F.sum("words").alias("words"), *[F.sum(f"c_{c}").alias(c) for c in CLASSES])
+    chars, total = {}, {}
     for r in sums.collect():  # a row for each language
+        total[r["lang"]] = r["words"]
         own = [r[c] for c in CLASSES]
         chars[r["lang"]] = [x / r["n"] for x in [*own, r["n"] - sum(own)]] if r["n"] else None
     chars = {k: v for k, v in chars.items() if v}
 
-    word = rows.select("lang", F.explode(_words(F.lower("text"))).alias("word"))
+    word = rows.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     counts = word.groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = checkpoint(counts.withColumn("nth", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("nth") <= common))
-    total = {r["lang"]: r["n"] for r in rows.select("lang", F.size(_words(F.col("text"))).alias("n"))
-             .groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     words: dict[str, dict] = {}
     # ``common`` rows for each language
     for r in counts.select("lang", "word", "n", F.xxhash64("word").alias("hash")).collect():
@@ -133,7 +135,7 @@ def judge(docs: DataFrame, chars: dict, words: dict) -> DataFrame:
     rows = rows.select(
         "doc_id", "words", F.size("words").cast("long").alias("n_words"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.length(text).alias("n_chars"), *_classes(text),
+        F.length(text).alias("n_chars"), *_classes(text, parts),
         F.when(some, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 3), window)))
         .otherwise(F.expr("cast(array() as array<bigint>)")).alias("windows"),
         F.sort_array(F.filter(F.transform(parts, slot), lambda x: x >= 0)).alias("slots"))
