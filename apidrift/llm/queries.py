@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import dart_minhash, decontam, divergence, langid, line_dedup, lpf_dedup, packing, quality_fm, style_tree, token_rollup
+from apidrift.llm import dart_minhash, decontam, divergence, langid, line_dedup, lpf_dedup, oracles, packing, quality_fm, style_tree, token_rollup
 from apidrift.llm.common import table
 from apidrift.session import shared_path
 
@@ -113,4 +113,4 @@ QUERIES = {
     "op10_line_join": op10_line_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_line_join": oracles.OP10_LINE_JOIN}
