@@ -45,3 +45,63 @@ SELECT d.doc_id, CAST(coalesce(e.class_id, d.doc_id) AS BIGINT) AS class_id,
   CAST(coalesce(e.n_links, 0) AS BIGINT) AS n_links
 FROM documents d LEFT JOIN each e ON d.doc_id = e.doc_id
 """
+
+#: Base counts by counting; the divergences bin by bin.
+OP3_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+                lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+base AS (
+  SELECT k, doc_id, lang, words, len(words) AS n_words, length(t) AS n_chars,
+    length(array_to_string(words, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper,
+    length(regexp_replace(t, '[^0-9]+', '', 'g')) AS n_digit,
+    length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS n_stop
+  FROM docs),
+wins AS (SELECT k, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+         FROM (SELECT k, words, unnest(generate_series(1, n_words - 2)) AS i FROM base WHERE n_words > 2)),
+again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM wins) WHERE n > 1),
+covered AS (SELECT k, count(DISTINCT i + s) AS n FROM again, (VALUES (0), (1), (2)) AS o(s) GROUP BY k),
+shares AS (
+  SELECT k, lang, n_chars, c, CASE c WHEN 0 THEN n_upper WHEN 1 THEN n_digit WHEN 2 THEN n_chars - word_chars
+    WHEN 3 THEN n_stop WHEN 4 THEN n_symbols
+    ELSE n_chars - n_upper - n_digit - (n_chars - word_chars) - n_stop - n_symbols END AS n
+  FROM base, (VALUES (0), (1), (2), (3), (4), (5)) AS o(c)),
+cref AS (SELECT lang, c, sum(n)::DOUBLE / sum(n_chars) AS q FROM shares WHERE lang IS NOT NULL GROUP BY lang, c
+         HAVING sum(n_chars) > 0),
+cparts AS (SELECT s.k, r.lang, s.n::DOUBLE / s.n_chars AS p, r.q FROM shares s JOIN cref r ON s.c = r.c WHERE s.n_chars > 0),
+cdist AS (SELECT k, min(d) AS d FROM (
+    SELECT k, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END
+      + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END))) AS d FROM cparts GROUP BY k, lang) GROUP BY k),
+lw AS (SELECT k, lang, n_words, lower(unnest(words)) AS w FROM base),
+total AS (SELECT lang, sum(n_words) AS n FROM base WHERE lang IS NOT NULL GROUP BY lang),
+wref AS (
+  SELECT lang, w, q FROM (
+    SELECT c.lang, w, c.n::DOUBLE / t.n AS q, row_number() OVER (PARTITION BY c.lang ORDER BY c.n DESC, w) AS nth
+    FROM (SELECT lang, w, count(*) AS n FROM lw WHERE lang IS NOT NULL GROUP BY lang, w) c JOIN total t ON c.lang = t.lang)
+  WHERE nth <= 24),
+wown AS (SELECT k, w, count(*)::DOUBLE / any_value(n_words) AS p FROM lw WHERE w IN (SELECT w FROM wref) GROUP BY k, w),
+wbins AS (
+  SELECT b.k, r.lang, coalesce(o.p, 0) AS p, r.q FROM base b CROSS JOIN wref r
+  LEFT JOIN wown o ON o.k = b.k AND o.w = r.w WHERE b.n_words > 0),
+wall AS (SELECT k, lang, p, q FROM wbins UNION ALL
+         SELECT k, lang, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM wbins GROUP BY k, lang),
+wdist AS (SELECT k, min(d) AS d FROM (
+    SELECT k, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END
+      + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END))) AS d FROM wall GROUP BY k, lang) GROUP BY k),
+judged AS (
+  SELECT b.*, coalesce(v.n, 0) AS n_repeat_words, coalesce(c.d, 0) AS cd, coalesce(w.d, 0) AS wd
+  FROM base b LEFT JOIN covered v ON v.k = b.k LEFT JOIN cdist c ON c.k = b.k LEFT JOIN wdist w ON w.k = b.k)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND cd <= 0.28 AND (n_words < 100 OR wd <= 0.35) AS kept
+FROM judged
+"""

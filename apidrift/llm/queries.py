@@ -113,4 +113,4 @@ QUERIES = {
     "op10_line_join": op10_line_join,
 }
 
-ORACLES: dict[str, str] = {"op10_line_join": oracles.OP10_LINE_JOIN}
+ORACLES: dict[str, str] = {"op3_divergence": oracles.OP3_DIVERGENCE, "op10_line_join": oracles.OP10_LINE_JOIN}
