@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from apidrift.session import checkpoint, ship_package, table
 
 __all__ = ["checkpoint", "table", "ship_package", "texts_of", "ROW", "packed",
-           "release", "slices", "buffers", "crc_mod", "first_seen_key", "mix64"]
+           "phase", "slices", "buffers", "crc_mod", "first_seen_key", "mix64"]
 
 ROW = "__row"
 
@@ -49,17 +48,21 @@ def first_seen_key(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(2**63 - 1))
 
 
-def release(spark) -> None:
-    """Lets Spark's cleaner delete the shuffle files of phases that are over.
+def phase(df: DataFrame) -> DataFrame:
+    """A checkpoint that leaves no shuffle files behind.
 
-    It deletes them when their owners are collected as garbage, which in a
-    driver with little to do may be much later than the disks are full.
+    Spark keeps the files of a shuffle until its owner is collected as
+    garbage, which in a driver with little to do may be long after the disks
+    are full. While this one query runs, Spark is told to delete the query's
+    own files at its end; the setting is put back right after.
     """
-    for _ in range(2):
-        # the last job's plan stays in reach until another job has run
-        spark.range(1).collect()
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return checkpoint(df)
+    finally:
+        conf.unset(key) if old is None else conf.set(key, old)
 
 
 def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

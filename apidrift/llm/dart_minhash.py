@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apidrift.llm import wordhash
-from apidrift.llm.common import ROW, buffers, checkpoint, first_seen_key, mix64, packed, slices, texts_of
+from apidrift.llm.common import ROW, buffers, first_seen_key, mix64, packed, phase, slices, texts_of
 from apidrift.llm.graph import components
 
 WIDTH = 5
@@ -214,32 +214,32 @@ def classes(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
     smallest id of the class, ``kept`` marks its document.
     """
     texts = _keyed(docs)
-    sig = checkpoint(_sign(texts, width, bands, rows))
-    nodes = checkpoint(sig.groupBy("content").agg(F.min(F.struct("id", "text_hash")).alias("first"),
+    sig = phase(_sign(texts, width, bands, rows))
+    nodes = phase(sig.groupBy("content").agg(F.min(F.struct("id", "text_hash")).alias("first"),
                                                   F.min("bands").alias("bands")))
     member = nodes.select("content", F.explode("bands").alias("band"))
     size = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    member = checkpoint(member.join(size, "band"))
+    member = phase(member.join(size, "band"))
     # the source of a group of copies is nearer to each copy than they are to
     # one another, so it meets more nodes in its buckets than they do
     met = member.groupBy("content").agg(F.sum("n").alias("met"))
     rep = (member.join(met, "content").groupBy("band").agg(F.max(F.struct("met", "content")).alias("rep"))
            .select("band", F.col("rep.content").alias("rep")))
-    member = checkpoint(member.join(rep, "band"))
+    member = phase(member.join(rep, "band"))
 
-    pairs = checkpoint(member.where("content <> rep")
+    pairs = phase(member.where("content <> rep")
                        .select(F.col("content").alias("a"), F.col("rep").alias("b")).distinct())
     needed = (pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content")))
               .distinct().join(nodes, "content").select("content", "first.id", "first.text_hash"))
     shingled = _elements(texts.join(needed, ["id", "text_hash"], "left_semi"), width)
-    shingled = checkpoint(shingled.join(needed.select("content"), "content", "left_semi").dropDuplicates(["content"]))
+    shingled = phase(shingled.join(needed.select("content"), "content", "left_semi").dropDuplicates(["content"]))
 
     def linked(some: DataFrame) -> DataFrame:
         with_x = some.join(shingled.select(F.col("content").alias("a"), F.col("cells").alias("x")), "a")
         with_y = with_x.join(shingled.select(F.col("content").alias("b"), F.col("cells").alias("y")), "b")
         return _similar(with_y, least)
 
-    links = checkpoint(linked(pairs))
+    links = phase(linked(pairs))
     root = components(links, "a", "b")
 
     # what the comparison with one node of each bucket leaves open
@@ -247,9 +247,9 @@ def classes(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
     more = more.select("band", "content", F.coalesce("root", "content").alias("root"))
     open_bands = (more.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                   .where("lo <> hi").select("band"))
-    more = checkpoint(more.join(open_bands, "band").select("content", "root").distinct())
-    rest = checkpoint(_candidates(more.join(shingled, "content"), least))
-    second = checkpoint(linked(rest))
+    more = phase(more.join(open_bands, "band").select("content", "root").distinct())
+    rest = phase(_candidates(more.join(shingled, "content"), least))
+    second = phase(linked(rest))
     if not second.isEmpty():
         root = components(links.unionByName(second), "a", "b")
 

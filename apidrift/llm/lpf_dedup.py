@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apidrift.llm import wordhash
-from apidrift.llm.common import buffers, checkpoint, first_seen_key, mix64, release, slices
+from apidrift.llm.common import buffers, first_seen_key, mix64, phase, slices
 
 LENGTH = 50
 GRAM = 16
@@ -312,7 +312,7 @@ def _compare_spread(deferred: DataFrame) -> DataFrame:
                 [pa.array(suffix.view(np.int64)), pa.array(ident[run]), pa.array(name[run]), pa.array(bit)],
                 names=["suffix", "id", "run", "bit"])
 
-    each = checkpoint(deferred.select("id", "bytes").mapInArrow(
+    each = phase(deferred.select("id", "bytes").mapInArrow(
         run, "suffix long, id long, run long, bit long"))
     first = each.groupBy("suffix").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     hit = each.join(first, "suffix").where("first < id")
@@ -374,7 +374,7 @@ def _copies(texts: DataFrame) -> DataFrame:
     """(id, digest) of texts that a smaller id has as a whole."""
     digest = texts.select("id", F.sha2("text", 256).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    return checkpoint(digest.join(first.where("first < last"), "digest").where("first < id")
+    return phase(digest.join(first.where("first < last"), "digest").where("first < id")
                       .select("id", "digest").distinct())
 
 
@@ -384,12 +384,12 @@ def _asked(texts: DataFrame, copies: DataFrame) -> DataFrame:
     shared = (_keys(texts).withColumn("lo", F.min("id").over(across)).withColumn("hi", F.max("id").over(across))
               .where("more or lo < hi").select("id", F.coalesce("key", "part").alias("key")))
     shared = shared.join(copies.select("id").distinct(), "id", "left_anti")
-    return checkpoint(shared.groupBy("id").agg(F.collect_set("key").alias("keys")))
+    return phase(shared.groupBy("id").agg(F.collect_set("key").alias("keys")))
 
 
 def _answers(texts: DataFrame, asked: DataFrame, group: int) -> DataFrame:
     found = _runs_of(texts.join(asked.hint("shuffle_hash"), "id").select("id", "text", "keys"))
-    return checkpoint(_compare(found.repartition("part").sortWithinPartitions("part"), group))
+    return phase(_compare(found.repartition("part").sortWithinPartitions("part"), group))
 
 
 def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -404,9 +404,7 @@ def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     copies = _copies(texts)
     asked = _asked(texts, copies)
-    release(docs.sparkSession)
     answers = _answers(texts, asked, group)
-    release(docs.sparkSession)
     masks = answers.where("mask is not null").select("id", "run", "mask")
     deferred = answers.where("mask is null")
     if not deferred.isEmpty():
