@@ -60,7 +60,8 @@ def phase(df: DataFrame) -> DataFrame:
     old = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return checkpoint(df)
+        # a query reads the setting when it is made: this makes it anew
+        return checkpoint(df.select("*"))
     finally:
         conf.unset(key) if old is None else conf.set(key, old)
 
