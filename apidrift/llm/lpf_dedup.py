@@ -81,10 +81,14 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     acc = _sums(data)
     gram = mix64((acc[GRAM:] - acc[:-GRAM]) * wordhash._power(wordhash._INV, n)[:n - GRAM + 1])
     key = _least(gram, LENGTH - GRAM + 1)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = np.arange(len(key)) + LENGTH <= offsets[1:][row[:len(key)]]
+    # a suffix of LENGTH bytes must end in its text; none begins in the last
+    # bytes of one, so runs of neighbours never meet
+    outside = np.zeros(n + 1, np.int32)
+    np.add.at(outside, np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1]), 1)
+    np.add.at(outside, offsets[1:], -1)
+    inside = np.cumsum(outside)[:len(key)] == 0
     new = inside.copy()
-    new[1:] &= ~inside[:-1] | (key[1:] != key[:-1]) | (row[1:len(key)] != row[:len(key) - 1])
+    new[1:] &= ~inside[:-1] | (key[1:] != key[:-1])
     start = np.flatnonzero(new)
     if not len(start):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -95,7 +99,8 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, count = np.repeat(start, parts) + nth * RUN, np.repeat(count, parts) - nth * RUN
         count = np.minimum(count, RUN)
-    return row[start], start, count, key[start], _span_hash(acc, start, start + count + LENGTH - 1)
+    row = np.searchsorted(offsets, start, side="right") - 1
+    return row, start, count, key[start], _span_hash(acc, start, start + count + LENGTH - 1)
 
 
 def _blocks(batches, text: str):
