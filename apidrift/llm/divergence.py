@@ -37,7 +37,8 @@ CHARACTERS_FROM = 50
 WORDS_FROM = 100
 
 #: Classes of characters, among them the white space and the symbols of the base rules.
-CLASSES = {"upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()\-", "symbol": r"#*$%&|<>"}
+CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()\-",
+           "symbol": r"#*$%&|<>"}
 _POSITION = 23  # bits of a word's place in its text
 
 
@@ -55,18 +56,24 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.col("lang").cast("string").alias("lang"))
 
 
-def _classes(text: Column, words: Column) -> list[Column]:
+def _marks(text: Column) -> Column:
+    """What is neither a lower-case letter nor white space: little of most texts, and the other classes are in it."""
+    return F.regexp_replace(text, f"[{CLASSES['lower']}{CLASSES['space']}]+", "")
+
+
+def _classes(text: Column, words: Column, marks: Column) -> list[Column]:
     """Characters of each class; those outside of words are white space."""
-    space = F.length(text) - F.length(F.array_join(words, ""))
-    return [(space if name == "space" else _count(text, chars)).alias(f"c_{name}") for name, chars in CLASSES.items()]
+    inside = F.length(F.array_join(words, ""))
+    own = {"space": F.length(text) - inside, "lower": inside - F.length(marks)}
+    return [(own[name] if name in own else _count(marks, chars)).alias(f"c_{name}") for name, chars in CLASSES.items()]
 
 
 def references(docs: DataFrame, common: int = COMMON) -> tuple[dict, dict]:
     """Per language: shares of character classes (the rest last), and of its common words."""
     rows = _texts(docs).where("lang is not null")
-    sums = rows.select("lang", "text", _words(F.col("text")).alias("words")).select(
+    sums = rows.select("lang", "text", _words(F.col("text")).alias("words"), _marks(F.col("text")).alias("marks")).select(
         "lang", F.length("text").alias("n"), F.size("words").alias("words"),
-        *_classes(F.col("text"), F.col("words"))).groupBy("lang").agg(
+        *_classes(F.col("text"), F.col("words"), F.col("marks"))).groupBy("lang").agg(
         F.sum("n").alias("n"), F.sum("words").alias("words"), *[F.sum(f"c_{c}").alias(c) for c in CLASSES])
     chars, total = {}, {}
     for r in sums.collect():  # a row for each language
@@ -118,7 +125,7 @@ def judge(docs: DataFrame, chars: dict, words: dict) -> DataFrame:
     table = _array(slots, "L")
 
     text, parts = F.col("text"), F.col("words")
-    rows = _texts(docs).select("doc_id", "text", _words(text).alias("words"))
+    rows = _texts(docs).select("doc_id", "text", _words(text).alias("words"), _marks(text).alias("marks"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     mask = (1 << (62 - _POSITION)) - 1
 
@@ -135,7 +142,7 @@ def judge(docs: DataFrame, chars: dict, words: dict) -> DataFrame:
     rows = rows.select(
         "doc_id", "words", F.size("words").cast("long").alias("n_words"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.length(text).alias("n_chars"), *_classes(text, parts),
+        F.length(text).alias("n_chars"), *_classes(text, parts, F.col("marks")),
         F.when(some, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 3), window)))
         .otherwise(F.expr("cast(array() as array<bigint>)")).alias("windows"),
         F.sort_array(F.filter(F.transform(parts, slot), lambda x: x >= 0)).alias("slots"))

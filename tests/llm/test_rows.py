@@ -204,6 +204,21 @@ def test_divergence_is_jensen_shannon(spark):
         assert math.isclose(got[r["doc_id"]]["character_distance"], min(best), abs_tol=1e-6)
 
 
+def test_letters_swapped_for_odd_marks_fail(spark):
+    rng = random.Random(6)
+
+    def text():
+        return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(60)) + "."
+
+    good = [text() for _ in range(20)]
+    marks = str.maketrans("etaoinshrdlu", "_[]{}@~^=+/\\")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)] + [(99, good[0].translate(marks), None)],
+                                 "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in divergence.rules(docs).collect()}
+    assert all(got[i]["kept"] for i in range(20))
+    assert got[99]["character_distance"] > divergence.CHARACTER_LIMIT and not got[99]["kept"]
+
+
 # pages
 
 
