@@ -23,7 +23,8 @@ suffix array may be split wherever neighbours share less:
 4. The masks go back to the documents, which drop what they cover.
 
 Texts that are equal as a whole are known by their digest: those of greater
-ids lose everything at once.
+ids lose everything at once.  An id is left out of the comparison only if all
+of its rows are such copies.
 
 Defined cases: null text is empty; texts under ``LENGTH`` bytes lose
 nothing; rows of one id are one document and take nothing from each other;
@@ -376,19 +377,25 @@ def _apply(rows: DataFrame) -> DataFrame:
 
 
 def _copies(texts: DataFrame) -> DataFrame:
-    """(id, digest) of texts that a smaller id has as a whole."""
+    """(id, digest, n) of texts that a smaller id has as a whole, with the number of such rows."""
     digest = texts.select("id", F.sha2("text", 256).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     return phase(digest.join(first.where("first < last"), "digest").where("first < id")
-                      .select("id", "digest").distinct())
+                      .groupBy("id", "digest").agg(F.count("*").alias("n")))
 
 
-def _asked(texts: DataFrame, copies: DataFrame) -> DataFrame:
+def _copied(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id): documents all of whose rows are copies; an id may have other texts besides."""
+    n = F.count("*").alias("n")
+    return copies.groupBy("id").agg(F.sum("n").alias("n")).join(rows.groupBy("id").agg(n), ["id", "n"]).select("id")
+
+
+def _asked(texts: DataFrame, copied: DataFrame) -> DataFrame:
     """(id, keys): the keys that a document shares with others."""
     across = Window.partitionBy("part")
     shared = (_keys(texts).withColumn("lo", F.min("id").over(across)).withColumn("hi", F.max("id").over(across))
               .where("more or lo < hi").select("id", F.coalesce("key", "part").alias("key")))
-    shared = shared.join(copies.select("id").distinct(), "id", "left_anti")
+    shared = shared.join(copied, "id", "left_anti")
     return phase(shared.groupBy("id").agg(F.collect_set("key").alias("keys")))
 
 
@@ -408,7 +415,7 @@ def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
     texts = rows.select("id", "text").where(F.octet_length("text") >= LENGTH)
 
     copies = _copies(texts)
-    asked = _asked(texts, copies)
+    asked = _asked(texts, _copied(rows, copies))
     answers = _answers(texts, asked, group)
     masks = answers.where("mask is not null").select("id", "run", "mask")
     deferred = answers.where("mask is null")

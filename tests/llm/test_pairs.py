@@ -176,6 +176,16 @@ def test_repeated_strings_edge_rows(spark):
     assert lpf_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_a_copy_leaves_the_other_rows_of_its_id(spark):
+    long = "the quick brown fox jumps over the lazy dog and runs away from it all"
+    new = "a text of its own that no document before it has, long enough to be missed"
+    rows = [(1, long), (2, long), (2, "see " + new), (5, new + " again"), (None, long), (None, "x" + long + "y")]
+    got = lpf_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n, m = len(long), len(new)
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got), key=str) == sorted([
+        (1, n, 0, 0), (2, n, n, 1), (2, m + 4, 0, 0), (5, m + 6, m, 1), (None, n, n, 1), (None, n + 2, n, 1)], key=str)
+
+
 def test_previous_factors_of_a_small_text():
     rng = np.random.default_rng(0)
     parts = [rng.integers(97, 99, 120).astype(np.uint8) for _ in range(3)]
