@@ -4,8 +4,8 @@ The pages of a host are merged into one tree: a node is a path of elements
 with their classes.  A node has two distributions over the host's pages, of
 the tag sequences of its children (its presentation) and of the texts
 directly in it (its content).  Their entropies, to the base of the number of
-pages, are 0 for what is the same on every page and 1 for what is new on
-each.  A node's importance blends its own entropies with its children's,
+pages that have the node, are 0 for what is the same on each of them and 1
+for what is new on each; a node on fewer than ``PAGES`` pages counts as new.  A node's importance blends its own entropies with its children's,
 which count less with every step down.  A branch is noise if its node and
 all nodes in it have an importance below ``LEAST``.
 
@@ -52,27 +52,30 @@ def _rows(pages: DataFrame) -> DataFrame:
                         host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
-_FACTS = "host string, node long, parent long, kind string, value long"
+_FACTS = "host string, node long, parent long, kind string, value long, first long"
 
 
 def _facts(rows: DataFrame) -> DataFrame:
-    """Each page's distinct texts and shapes at each node."""
+    """Each page's distinct texts and shapes at each node, with 1 in ``first`` once for each node and kind."""
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("host", "node", "parent", "kind", "value")}
+            out = {k: [] for k in ("host", "node", "parent", "kind", "value", "first")}
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 texts, shapes = blocks(html.as_py())
                 seen = {(b.path[:DEEPEST], "text", _number(b.text)) for b in texts}
                 seen |= {(p[:DEEPEST], "shape", _number(s)) for p, s in shapes}
+                before = None
                 for path, kind, value in sorted(seen):
-                    for k, x in zip(out, (host, _number(path), _number(path[:-1]) if path else None, kind, value),
-                                    strict=True):
+                    for k, x in zip(out, (host, _number(path), _number(path[:-1]) if path else None, kind, value,
+                                          int((path, kind) != before)), strict=True):
                         out[k].append(x)
+                    before = path, kind
             yield pa.RecordBatch.from_pydict({"host": pa.array(out["host"], pa.string()),
                                               "node": pa.array(out["node"], pa.int64()),
                                               "parent": pa.array(out["parent"], pa.int64()),
                                               "kind": pa.array(out["kind"], pa.string()),
-                                              "value": pa.array(out["value"], pa.int64())})
+                                              "value": pa.array(out["value"], pa.int64()),
+                                              "first": pa.array(out["first"], pa.int64())})
 
     return rows.select("host", "html").mapInArrow(run, _FACTS)
 
@@ -130,14 +133,13 @@ def noise(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """(host, noise): numbers of the nodes of each host's noise."""
     rows = _rows(pages)
     size = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
-    count = _facts(rows).groupBy("host", "node", "parent", "kind", "value").agg(F.count("*").alias("n"))
+    count = _facts(rows).groupBy("host", "node", "parent", "kind", "value").agg(
+        F.count("*").alias("n"), F.sum("first").alias("first"))
     entropy = count.groupBy("host", "node", "parent", "kind").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    entropy = entropy.join(size, "host").withColumn(
-        "entropy", F.least(F.lit(1.0), (F.log("n") - F.col("nlogn") / F.col("n")) / F.log("pages")))
-    # a node on a few pages says nothing about the host
-    entropy = entropy.withColumn("entropy", F.when(F.col("n") >= F.greatest(F.lit(PAGES), F.col("pages") / 4),
-                                                   F.col("entropy")).otherwise(1.0))
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum("first").alias("on"))
+    # a node on a few pages says nothing
+    entropy = entropy.join(size, "host", "left_semi").withColumn("entropy", F.when(
+        F.col("on") >= PAGES, F.least(F.lit(1.0), (F.log("n") - F.col("nlogn") / F.col("n")) / F.log("on"))).otherwise(1.0))
 
     def roll(table: pa.Table) -> pa.Table:
         nodes: dict[int, dict] = {}

@@ -259,6 +259,19 @@ def test_tree_removes_what_a_host_repeats(spark):
     assert style_tree.extract(frame.limit(0)).collect() == []
 
 
+def test_templates_on_few_of_a_hosts_pages(spark):
+    rng = random.Random(2)
+
+    def page(i):
+        text = " ".join(f"{rng.randrange(10**9):x}" for _ in range(12))
+        return (i, f"http://h.example/{i}", f"<body><div class=k{i % 6}><div class=m>Menu {i % 6}</div><p>{text}</p></div>", text)
+
+    pages = [page(i) for i in range(120)]
+    frame = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(frame).collect()}
+    assert got == {p[0]: p[3] for p in pages}
+
+
 # quality classifier
 
 
