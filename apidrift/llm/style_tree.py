@@ -12,8 +12,11 @@ all nodes in it have an importance below ``LEAST``.
 From a page the tree's noise goes, and what is out by its element or its
 names (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments).  Where a page marks its article, only the article's
-blocks are kept, and the tree doesn't cut into them: two pages may hold the
-same article.  Hosts with fewer than ``PAGES`` pages have no tree.
+blocks are kept.  Two pages may hold the same article, so the tree takes a
+block from it only if its node, on ``MARKED`` pages at least, is noise by its
+own presentation and its own content, and if ``PAGES`` pages have this text
+there; an article that would lose all of its blocks keeps them.  Hosts with
+fewer than ``PAGES`` pages have no tree.
 
 Spark counts nodes, texts and shapes per host with partial sums, so a large
 host costs as many rows as it has distinct ones; each host's tree, which has
@@ -37,6 +40,7 @@ from apidrift.llm.common import checkpoint
 from apidrift.llm.html_blocks import blocks
 
 PAGES = 8
+MARKED = 16
 LEAST = 0.5
 CHILDREN = 0.9
 DEEPEST = 40
@@ -130,11 +134,11 @@ def noisy(nodes: list[dict], least: float) -> list[int]:
 
 
 def noise(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """(host, noise): numbers of the nodes of each host's noise."""
+    """(host, noise, texts): numbers of the nodes of each host's noise, and of the texts that go from articles."""
     rows = _rows(pages)
     size = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
-    count = _facts(rows).groupBy("host", "node", "parent", "kind", "value").agg(
-        F.count("*").alias("n"), F.sum("first").alias("first"))
+    count = checkpoint(_facts(rows).groupBy("host", "node", "parent", "kind", "value").agg(
+        F.count("*").alias("n"), F.sum("first").alias("first")))
     entropy = count.groupBy("host", "node", "parent", "kind").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum("first").alias("on"))
     # a node on a few pages says nothing
@@ -145,29 +149,38 @@ def noise(pages: DataFrame, least: float = LEAST) -> DataFrame:
         nodes: dict[int, dict] = {}
         for r in table.to_pylist():
             x = nodes.setdefault(r["node"], {"node": r["node"], "parent": r["parent"], "text": None, "shape": None,
-                                             "n": 0})
+                                             "n": 0, "on": 0})
             x[r["kind"]], x["n"] = r["entropy"], max(x["n"], r["n"])
+            if r["kind"] == "text":
+                x["on"] = r["on"]
         low = noisy(list(nodes.values()), least)
+        own = [k for k in low if nodes[k]["on"] >= MARKED and all(
+            nodes[k][x] is None or nodes[k][x] < least for x in ("text", "shape"))]
         return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()),
-                         "noise": pa.array([low], pa.list_(pa.int64()))})
+                         "noise": pa.array([low], pa.list_(pa.int64())), "own": pa.array([own], pa.list_(pa.int64()))})
 
-    return (entropy.select("host", "node", "parent", "kind", "entropy", "n")
-            .groupBy("host").applyInArrow(roll, "host string, noise array<long>"))
+    low = checkpoint(entropy.select("host", "node", "parent", "kind", "entropy", "n", "on")
+                     .groupBy("host").applyInArrow(roll, "host string, noise array<long>, own array<long>"))
+    same = count.where((F.col("kind") == "text") & (F.col("n") >= PAGES)).join(
+        low.select("host", F.explode("own").alias("node")), ["host", "node"])
+    same = same.groupBy("host").agg(F.collect_set(F.col("node").bitwiseXOR(F.col("value"))).alias("texts"))
+    return low.select("host", "noise").join(same, "host", "left")
 
 
-def main_text(html: str, low: frozenset = frozenset()) -> str:
-    """The article's blocks, one a line."""
+def main_text(html: str, low: frozenset = frozenset(), same: frozenset = frozenset()) -> str:
+    """The article's blocks, one a line.
+
+    low: nodes that go where no article is marked; same: texts at nodes that go from marked ones.
+    """
     found, _ = blocks(html)
     marked = any(b.inside and not b.out for b in found)
-    kept = []
-    for b in found:
-        if b.out or (marked and not b.inside):
-            continue
-        if low and not marked:
-            if _number(b.path[:DEEPEST]) in low:
-                continue
-        kept.append(b.text)
-    return "\n".join(kept)
+    kept = [b for b in found if not b.out and (b.inside or not marked)]
+    if marked and same:
+        fine = [b for b in kept if _number(b.path[:DEEPEST]) ^ _number(b.text) not in same]
+        kept = fine or kept
+    elif low and not marked:
+        kept = [b for b in kept if _number(b.path[:DEEPEST]) not in low]
+    return "\n".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
@@ -176,18 +189,19 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     rows = _rows(pages).join(low, "host", "left")
 
     def run(batches):
-        kept: dict[tuple, frozenset] = {}
+        kept: dict[tuple, tuple] = {}
         for batch in batches:
             text = []
-            for html, nodes in zip(batch.column("html"), batch.column("noise").to_pylist(), strict=True):
-                key = tuple(nodes or ())
+            for html, nodes, texts in zip(batch.column("html"), batch.column("noise").to_pylist(),
+                                          batch.column("texts").to_pylist(), strict=True):
+                key = tuple(nodes or ()), tuple(texts or ())
                 if key not in kept:
                     kept.clear()
-                    kept[key] = frozenset(key)
-                text.append(main_text(html.as_py(), kept[key]))
+                    kept[key] = tuple(map(frozenset, key))
+                text.append(main_text(html.as_py(), *kept[key]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()),
                  pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "noise").mapInArrow(
+    return rows.select("page_id", "url", "html", "noise", "texts").mapInArrow(
         run, "page_id long, url string, text string, n_chars long")

@@ -272,6 +272,28 @@ def test_templates_on_few_of_a_hosts_pages(spark):
     assert got == {p[0]: p[3] for p in pages}
 
 
+def test_tree_decides_inside_articles(spark):
+    rng = random.Random(3)
+
+    def text():
+        return " ".join(f"{rng.randrange(10**9):x}" for _ in range(12))
+
+    shared, mirror = text(), text()  # an article on several pages; one page on all of a host's urls
+
+    def page(i):
+        body = shared if i < 10 else text()
+        own = f"\n{text()}" if i % 5 == 0 else ""  # a text of its own where others have the notice
+        note = own.strip() or "Tell your friends"
+        return (i, f"http://h.example/{i}", f"<body><article><p>{body}</p><div class=x><span>{note}</span></div></article>",
+                body + own)
+
+    pages = [page(i) for i in range(60)]
+    pages += [(i, f"http://m.example/{i}", f"<main><p>{mirror}</p></main>", mirror) for i in range(60, 90)]
+    frame = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(frame).collect()}
+    assert got == {p[0]: p[3] for p in pages}
+
+
 # quality classifier
 
 
