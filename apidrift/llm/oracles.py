@@ -105,3 +105,101 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     AND cd <= 0.28 AND (n_words < 100 OR wd <= 0.35) AS kept
 FROM judged
 """
+
+#: Each document against each filter, then each order step by step.
+OP12_FILTER_AUDIT = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+           max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT k, part, coalesce(s.good, 0) AS good, coalesce(s.toxic, 0) AS toxic,
+    (CASE WHEN len(words) < 50 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]+', '', 'g')) > 5 * length(d.t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN f.first < d.doc_id THEN 'E' ELSE '' END) AS failed
+  FROM docs d JOIN firsts f ON d.t = f.t LEFT JOIN said s ON d.doc_id = s.doc_id),
+sets AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, i AS step, substr(o, i, 1) AS own, substr(o, 1, i - 1) AS earlier
+          FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
+marked AS (
+  SELECT part, o, step, own, n, good, toxic, contains(failed, own) AS own_fails, failed = own AS only_own,
+    len(list_filter(string_split(earlier, ''), lambda x: x <> '' AND contains(failed, x))) > 0 AS gone
+  FROM sets, steps),
+audit AS (
+  SELECT part, o AS filter_order, step, own,
+    sum(CASE WHEN NOT gone AND NOT own_fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND own_fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND own_fails THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN only_own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND own_fails THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT gone AND own_fails THEN toxic ELSE 0 END) AS toxic_lost
+  FROM marked GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM audit
+"""
+
+#: All pairs of a label; components by the smallest id that can be reached.
+OP11_EMBED_KMEANS = r"""
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vecs a JOIN vecs b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links,
+  CAST(least(e.vec_id, coalesce(l.y, e.vec_id)) AS BIGINT) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.y, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN degree d ON e.vec_id = d.x LEFT JOIN least l ON e.vec_id = l.x
+"""
+
+#: Every window of words, counted as it stands; counts are multiplied as HUGEINT.
+OP13_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, w FROM (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))
+  WHERE len(w) > 0),
+places AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM pieces),
+windows AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM places, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w)),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM windows GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS rest
+  FROM cand, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+judged AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+    (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head
+    JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest),
+best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+taken AS (
+  SELECT DISTINCT s.lang, s.phrase FROM cand t, (SELECT unnest([1, 2]) AS i), cand s
+  WHERE t.m = 3 AND s.m = 2 AND s.lang = t.lang AND s.phrase = array_to_string(t.w[i:i + 1], ' ') AND 100 * t.a >= 50 * s.a),
+kept AS (SELECT b.* FROM best b ANTI JOIN taken t ON b.lang = t.lang AND b.phrase = t.phrase)
+SELECT k.lang, CAST(row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM kept k JOIN total t ON k.lang = t.lang
+QUALIFY rank <= 2000
+"""

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import dart_minhash, decontam, divergence, langid, line_dedup, lpf_dedup, oracles, packing, quality_fm, style_tree, token_rollup
+from apidrift.llm import (collocations, dart_minhash, decontam, divergence, embed_dedup, filter_audit, langid, line_dedup, lpf_dedup,
+                          oracles, packing, quality_fm, style_tree, token_rollup)
 from apidrift.llm.common import table
 from apidrift.session import shared_path
 
@@ -100,6 +101,21 @@ def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op11_embed_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, and whether it stands for its component."""
+    return embed_dedup.classes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes at each step of each order, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -111,6 +127,11 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_line_join": op10_line_join,
+    "op11_embed_kmeans": op11_embed_kmeans,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op3_divergence": oracles.OP3_DIVERGENCE, "op10_line_join": oracles.OP10_LINE_JOIN}
+ORACLES: dict[str, str] = {"op3_divergence": oracles.OP3_DIVERGENCE, "op10_line_join": oracles.OP10_LINE_JOIN,
+                           "op11_embed_kmeans": oracles.OP11_EMBED_KMEANS, "op12_filter_audit": oracles.OP12_FILTER_AUDIT,
+                           "op13_collocations": oracles.OP13_COLLOCATIONS}
