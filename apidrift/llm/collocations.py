@@ -99,15 +99,15 @@ def _by_lang(batch: pa.RecordBatch):
 class Tiles:
     """Counts of pairs of numbers per language; a pair is (i, j) with j under ``HEAD``."""
 
-    def __init__(self, tile: int = TILE, dense: int = DENSE, pending: int = PENDING):
+    def __init__(self, head: int = HEAD, tile: int = TILE, dense: int = DENSE, pending: int = PENDING):
         self.tile, self.least, self.pending = tile, dense, pending
+        self.side = head // tile + 1
         self.dense: dict = {}
         self.sparse: dict = {}
         self.size = 0
 
     def add(self, lang: str, i: np.ndarray, j: np.ndarray) -> None:
-        t = self.tile
-        side = HEAD // t + 1
+        t, side = self.tile, self.side
         of = (i // t) * side + j // t
         n = np.bincount(of, minlength=side * side)
         many = np.flatnonzero(n >= self.least)
@@ -132,7 +132,7 @@ class Tiles:
 
     def drain(self):
         """(language, i, j, n) arrays of all that was counted; the tiles are empty then."""
-        side = HEAD // self.tile + 1
+        side = self.side
         for (lang, tile), cells in self.dense.items():
             at = np.flatnonzero(cells)
             code = (tile // side * self.tile + at // self.tile) * HEAD + tile % side * self.tile + at % self.tile
@@ -226,15 +226,16 @@ def _codes(rows) -> dict:
     return out
 
 
-def _counter(words: dict, all_words: bool, levels: list, all_levels: list, pending: int, tile: int, dense: int):
+def _counter(words: dict, all_words: bool, levels: list, all_levels: list, sizes: tuple):
     """The function that counts, in a task, phrases of ``len(levels) + 2`` words.
 
     ``levels`` holds for each shorter length the cells of its known phrases and
-    their numbers by language, ``all_levels`` whether these are all frequent ones.
+    their numbers by language, ``all_levels`` whether these are all frequent ones;
+    ``sizes`` are those of the tiles.
     """
     def run(batches):
         value = {lang: pa.array([w.encode() for w in some], pa.binary()) for lang, some in words.items()}
-        tiles, texts = Tiles(tile, dense, pending), Texts(pending)
+        tiles, texts = Tiles(*sizes), Texts(sizes[-1])
 
         def out():
             for lang, i, j, n in tiles.drain():
@@ -322,7 +323,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, h
         sent = spark.sparkContext.broadcast((words, all_words, levels, all_levels))
 
         def run(batches, sent=sent):
-            return _counter(*sent.value, pending, tile, dense)(batches)
+            return _counter(*sent.value, (head, tile, dense, pending))(batches)
 
         # numbers depend on the words alone, so all of a phrase is counted either by number or as text
         counted = (texts.mapInArrow(run, "lang string, i long, j long, phrase string, f long")
