@@ -26,9 +26,11 @@ BATCH_CHARS = 16 << 20
 _INTS = ("visit_no", "line", "end_line", "rel_start", "rel_end", "block_no")
 
 
-def _pass_fn(libs, want, classes, batch_chars):
+def _pass_fn(libs, want, classes, batch_chars, by_file=False):
+    """``by_file``: the third column holds the targets (class, method) of each file."""
     libs, want = tuple(libs), tuple(want)
     classes = None if classes is None else frozenset(classes)
+    kept = 3 if by_file else 2
 
     def run(batches):
         import pyarrow as pa
@@ -40,14 +42,20 @@ def _pass_fn(libs, want, classes, batch_chars):
             cols = [b.column(0).take(take)]
             cols += [pa.array([r[f] for r in rows], type=pa.int32() if f in _INTS else pa.string())
                      for f in REC_FIELDS]
-            cols += [b.column(k).take(take) for k in range(2, b.num_columns)]
+            cols += [b.column(k).take(take) for k in range(kept, b.num_columns)]
             return pa.RecordBatch.from_arrays(
-                cols, names=["file_id"] + REC_FIELDS + b.schema.names[2:])
+                cols, names=["file_id"] + REC_FIELDS + b.schema.names[kept:])
+
+        def records(b, i, text):
+            if not by_file:
+                return scan_file(text.as_py(), libs=libs, want=want, classes=classes)
+            own = {(t["class"], t["method"]) for t in b.column(2)[i].as_py()}
+            return scan_file(text.as_py(), libs=libs, want=want, classes=frozenset(c for c, _ in own), targets=own)
 
         for b in batches:
             rows, idx, size = [], [], 0
             for i, text in enumerate(b.column(1)):
-                for r in scan_file(text.as_py(), libs=libs, want=want, classes=classes):
+                for r in records(b, i, text):
                     rows.append(r)
                     idx.append(i)
                     size += 200 + sum(len(v) for v in r.values() if isinstance(v, str))
@@ -80,6 +88,18 @@ def parse_pass(files: DataFrame, libs=(), want=("fcall",), classes=None,
     return src.mapInArrow(_pass_fn(libs, want, classes, batch_chars), schema)
 
 
+def parse_targets(files: DataFrame, want=("msite",), keep=(), batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """``parse_pass`` for method targets that go with each file.
+
+    ``files`` has file_id, content and ``targets``, an array of (class,
+    method) (``index.files_of_targets``).  Only classes of a file's own targets
+    are tracked, and only calls of its targets are placed, cut and put out.
+    """
+    src = files.select("file_id", "content", "targets", *keep)
+    keep_schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in src.schema.fields[3:])
+    return src.mapInArrow(_pass_fn((), want, None, batch_chars, True), f"file_id bigint, {REC_SCHEMA}{keep_schema}")
+
+
 # ----------------------------------------------------------------- functions
 
 def import_text(content: Column) -> Column:

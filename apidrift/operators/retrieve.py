@@ -115,23 +115,32 @@ def search(corpus: DataFrame, qs: DataFrame, keep=()) -> DataFrame:
     cand = words.join(qs.select("api_path", "query_no", "terms", "leaf"), "leaf")
     per_file = cand.groupBy("file_id").agg(
         F.collect_list(F.struct("api_path", "query_no", "terms")).alias("queries"))
+    return verified(corpus.select("file_id", "content", *extra).join(per_file, "file_id"), keep)
+
+
+def verified(candidates: DataFrame, keep=()) -> DataFrame:
+    """(api_path, query_no, file_id, *keep) for the ``queries`` of each file whose terms its content holds."""
     content = F.col("content")
     hit = F.filter("queries", lambda q: F.forall(q["terms"], lambda t: content.contains(t))
                    & F.forall(q["terms"], lambda t: F.regexp_like(content, bounded(t))))
-    found = corpus.select("file_id", "content", *extra).join(per_file, "file_id")
-    found = found.select("file_id", *[c for c in keep if c != "file_id"], F.explode(hit).alias("q"))
+    found = candidates.select("file_id", *[c for c in keep if c != "file_id"], F.explode(hit).alias("q"))
     return found.select("q.api_path", "q.query_no", "file_id", *keep)
 
 
-def distinct_files(corpus: DataFrame) -> DataFrame:
-    """One file per (repository, url): the one with the smallest id.
+def distinct_files(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Found files with their ids put together by (repository, url).
 
-    Files without a url are files of their own. Only ids and names are
-    grouped; the content is met by a semi join.
+    ``found`` has a ``file_id``; files of one repository and url are one file,
+    that of the smallest id among those found (others of the corpus don't
+    count).  Files without a url are files of their own.  ``facts`` has file_id,
+    repository and url; only ids and names are shuffled.
     """
     name = F.coalesce("url", F.concat(F.lit("#"), F.col("file_id").cast("string")))
-    first = corpus.groupBy("repository", name.alias("name")).agg(F.min("file_id").alias("file_id"))
-    return corpus.join(first.select("file_id"), "file_id", "left_semi")
+    ids = found.select("file_id").distinct().join(facts.select("file_id", "repository", "url"), "file_id")
+    first = Window.partitionBy("repository", name)
+    one = ids.select("file_id", F.min("file_id").over(first).alias("_first"))
+    return (found.join(one, "file_id").drop("file_id").withColumnRenamed("_first", "file_id")
+            .select(*found.columns).distinct())
 
 
 def query_totals(qs: DataFrame, matches: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -583,3 +583,68 @@ WHERE f.kind = 'function'""")
 
 oracle("synthesis_rejects", f"""
 SELECT kind, file_id, API_path, attempts FROM ({ORACLES["synthesis_status"]}) s WHERE NOT ok""")
+
+
+# ------------------------------------------- the whole chain, answers, versions
+
+# found files: the first five of each API over its queries, budget and all
+_FOUND = f"""
+SELECT api_path, file_id, 'function' AS kind FROM ({ORACLES["search_top_m"]}) f
+UNION ALL
+SELECT api_path, file_id, 'method' AS kind FROM (
+  SELECT *, row_number() OVER (PARTITION BY api_path ORDER BY ceil(place / 100), query_no, place) AS rnk
+  FROM (
+    SELECT m.*, row_number() OVER (PARTITION BY m.api_path, m.query_no ORDER BY m.file_id) AS place
+    FROM ({ORACLES["search_methods"]}) m JOIN (
+      SELECT api_path, query_no, COALESCE(sum(n) OVER (PARTITION BY api_path ORDER BY query_no
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 12 AS kept
+      FROM (SELECT api_path, query_no, count(*) AS n FROM ({ORACLES["search_methods"]}) a GROUP BY ALL) t) b
+    ON m.api_path = b.api_path AND m.query_no = b.query_no WHERE b.kept) p) r
+WHERE rnk <= 5"""
+_CHAINED = _FILTERED + f""",
+found AS ({_FOUND}),
+chained AS (SELECT s.* FROM syn s SEMI JOIN found t
+            ON s.API_path = t.api_path AND s.file_id = t.file_id AND s.kind = t.kind)
+"""
+
+for _task, _question in (("cct", "context"), ("ect", "context || chr(10) || outdated_code")):
+    oracle(f"chain_{_task}", _CHAINED + f"""
+SELECT '{_task}' AS task, kind, file_id, API_path, {_question} AS question, updated_code AS answer,
+  updated_signature, outdated_signature, repository, url, last_updated, stars
+FROM chained WHERE ok""")
+
+oracle("chain_steps", _CHAINED + """,
+counts AS (
+  SELECT 'update' AS step, 'changes' AS name, count(*) AS n FROM cat
+  UNION ALL SELECT 'crawl', 'found', count(*) FROM found
+  UNION ALL SELECT 'crawl', 'files', count(*) FROM (SELECT DISTINCT kind, file_id FROM found) x
+  UNION ALL SELECT 'convert', '', 0
+  UNION ALL SELECT 'extract', 'sites', count(*) FROM chained
+  UNION ALL SELECT 'filter', 'sites', count(*) FROM chained
+  UNION ALL SELECT 'synthesize', 'metadata', count(*) FROM chained WHERE ok
+  UNION ALL SELECT 'synthesize', 'rejects', count(*) FROM chained WHERE NOT ok
+  UNION ALL SELECT 'synthesize', 'missing', 0
+  UNION ALL SELECT 'benchmark', 'cct', count(*) FROM chained WHERE ok
+  UNION ALL SELECT 'benchmark', 'ect', count(*) FROM chained WHERE ok)
+SELECT step, name, CAST(n AS BIGINT) AS n_rows, CASE WHEN step = 'convert' THEN 'skipped' ELSE 'kept' END AS second_run,
+  CASE WHEN step IN ('extract', 'filter') THEN 'kept' ELSE 'skipped' END AS run_of_two
+FROM counts""")
+
+oracle("answer_runs", _FILTERED + """,
+keys AS (SELECT count(*) AS n FROM (
+  SELECT DISTINCT kind, file_id, API_path, context, target_seq, suffix FROM flt) x)
+SELECT 'first two' AS run, CAST(n AS BIGINT) AS n_keys, CAST(n AS BIGINT) AS n_asked, CAST(0 AS BIGINT) AS n_left,
+  true AS found_rest FROM keys
+UNION ALL
+SELECT 'third', CAST(n AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), true FROM keys""")
+
+oracle("synthesis_missing", f"""
+SELECT lib, kind, CAST(count(*) AS BIGINT) AS n_apis, CAST(sum(n) AS BIGINT) AS n_sites FROM (
+  SELECT split_part(API_path, '.', 1) AS lib, kind, API_path, count(*) AS n
+  FROM ({ORACLES["metadata"]}) m
+  WHERE (kind, API_path) NOT IN (SELECT kind, api_path FROM ({X.catalog_base_sql(D)}) c WHERE v IN (3, 4, 5, 9))
+  GROUP BY ALL) x
+GROUP BY lib, kind""")
+
+oracle("replace_in_place", f"""
+SELECT *, CAST(1 AS BIGINT) AS n_versions FROM ({ORACLES["synthesize"]}) s""")

@@ -110,6 +110,9 @@ def q_changed_api_lookup(spark, sf_dir):
 # ------------------------------------------------------- function call sites
 
 from apidrift.operators import callsites, retrieve  # noqa: E402
+from apidrift.operators.answers import AnswerStore, missing_entries  # noqa: E402
+from apidrift.operators.index import CorpusIndex  # noqa: E402
+from apidrift.sources.versions import VersionedTable, session_table  # noqa: E402
 
 META = ("repository", "url", "last_updated", "stars")
 
@@ -134,6 +137,14 @@ def _corpus(spark, sf_dir):
                    lambda: retrieve.enrich(fixtures.corpus(spark, sf_dir)))
 
 
+def _index(spark, sf_dir, name, corpus):
+    """The identifier index of a corpus, made once for a session and input."""
+    ix = CorpusIndex(spark, session_table(spark, "index", name, sf_dir).path)
+    if ix.table.manifest() is None:
+        ix.add(corpus(spark, sf_dir))
+    return ix
+
+
 def _fn_records(spark, sf_dir, want=("fcall", "alias", "error")):
     return callsites.parse_pass(_corpus(spark, sf_dir), libs=fixtures.LIBS,
                                 want=want, keep=META)
@@ -205,8 +216,8 @@ def _search(spark, sf_dir):
     small and feeds several consumers (totals, top-m, joins), so it is
     checkpointed once: the full corpus scan behind it never runs twice."""
     qs = retrieve.queries(_changed_functions(spark, sf_dir))
-    corpus = _corpus(spark, sf_dir)
-    return qs, checkpoint(retrieve.search(corpus, qs)), corpus
+    found = _index(spark, sf_dir, "functions", _corpus).search(qs)
+    return qs, checkpoint(found), _corpus(spark, sf_dir)
 
 
 @query("api_patterns")
@@ -256,7 +267,7 @@ def q_search_methods(spark, sf_dir):
     ch = _changes(spark, sf_dir).where(
         "kind = 'method' AND change IN ('modified_A', 'modified_B')").select("api_path", "kind")
     qs = retrieve.queries(ch)
-    m = retrieve.search(_mcorpus(spark, sf_dir), qs)
+    m = _index(spark, sf_dir, "methods", _mcorpus).search(qs)
     return m.select("api_path", _i64("query_no"), "file_id")
 
 
@@ -277,7 +288,7 @@ def q_filter_files(spark, sf_dir):
 @query("usage_test")
 def q_usage_test(spark, sf_dir):
     qs = retrieve.queries(_changed_functions(spark, sf_dir))
-    m = retrieve.search(_corpus(spark, sf_dir), qs, keep=("content",))
+    m = _index(spark, sf_dir, "functions", _corpus).search(qs, keep=("content",))
     # tested in the search stage while the content is at hand; only the
     # small (api, file, used) rows are deduplicated
     return retrieve.usage_test(m).select("api_path", "file_id", "used").distinct()
@@ -321,13 +332,13 @@ def q_constructor_calls(spark, sf_dir):
 
 @query("method_calls")
 def q_method_calls(spark, sf_dir):
-    m = callsites.method_calls(_mrecs(spark, sf_dir, "mcall"), _mtargets(spark, sf_dir))
+    m = callsites.method_calls(_target_recs(spark, sf_dir, "mcall"), _mtargets(spark, sf_dir))
     return m.select("file_id", "api_path", _i64("line"), "var")
 
 
 @query("method_files")
 def q_method_files(spark, sf_dir):
-    m = callsites.method_calls(_mrecs(spark, sf_dir, "mcall"), _mtargets(spark, sf_dir))
+    m = callsites.method_calls(_target_recs(spark, sf_dir, "mcall"), _mtargets(spark, sf_dir))
     return m.groupBy("api_path", "file_id").agg(F.count(F.lit(1)).alias("n_calls")).select(
         "api_path", "file_id", _i64("n_calls"))
 
@@ -343,18 +354,24 @@ def q_code_blocks(spark, sf_dir):
 
 @query("call_block")
 def q_call_block(spark, sf_dir):
-    j = callsites.placed_lines(_mrecs(spark, sf_dir, "mline"), _mtargets(spark, sf_dir))
+    j = callsites.placed_lines(_target_recs(spark, sf_dir, "mline"), _mtargets(spark, sf_dir))
     return j.select("file_id", "api_path", _i64("line"), _i64("block_no"), "block_type")
 
 
 @query("split_method_call")
 def q_split_method_call(spark, sf_dir):
-    c = callsites.cut_lines(_mrecs(spark, sf_dir, "mcut"), _mtargets(spark, sf_dir))
+    c = callsites.cut_lines(_target_recs(spark, sf_dir, "mcut"), _mtargets(spark, sf_dir))
     return c.select("file_id", "api_path", _i64("line"), "context", "target_seq", "suffix")
 
 
+def _target_recs(spark, sf_dir, *want):
+    """Records of target methods; files that can't hold one are not parsed."""
+    files = _index(spark, sf_dir, "methods", _mcorpus).files_of_targets(_mtargets(spark, sf_dir))
+    return callsites.parse_targets(files, want=want, keep=META)
+
+
 def _method_meta(spark, sf_dir):
-    s = callsites.method_sites(_mrecs(spark, sf_dir, "msite"), _mtargets(spark, sf_dir))
+    s = callsites.method_sites(_target_recs(spark, sf_dir, "msite"), _mtargets(spark, sf_dir))
     return s.select("file_id", "lib", F.col("api_path").alias("API_path"), "repository", "url",
                     F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"),
                     "stars", "import", "context", "target_seq", "suffix")
@@ -397,6 +414,7 @@ def q_marker_log(spark, sf_dir):
 # ---------------------------------------------- conversion, filter, synthesis
 
 from apidrift.operators import batches, convert, synth  # noqa: E402
+from apidrift.plans import chain  # noqa: E402
 
 
 @query("build_content")
@@ -416,14 +434,15 @@ def q_filter_changed(spark, sf_dir):
 
 @query("chain_sites")
 def q_chain_sites(spark, sf_dir):
-    """Search results are the input of extraction: the files found for
-    the changed functions, one per (repository, url), are parsed, and of the
-    calls found those count whose API the file was found for."""
+    """P4 in part: the files found for the changed functions, one per (repository,
+    url), are parsed, and of the calls found those count whose API the file
+    was found for."""
     qs, m, corpus = _search(spark, sf_dir)
     top = retrieve.top_m(m, retrieve.query_totals(qs, m, SEARCH_BUDGET))
-    top = checkpoint(top.select(F.col("api_path").alias("API_path"), "file_id"))
-    files = retrieve.distinct_files(corpus).join(
-        top.select("file_id").distinct(), "file_id", "left_semi")
+    top = checkpoint(retrieve.distinct_files(
+        top.select(F.col("api_path").alias("API_path"), "file_id"), corpus))
+    files = _index(spark, sf_dir, "functions", _corpus).files_with(
+        lambda words: top.select("file_id").distinct())
     recs = callsites.parse_pass(files, libs=fixtures.LIBS, want=("fcall",), keep=META)
     sites = callsites.t6(callsites.function_sites(recs)).select("lib", *T10).withColumn(
         "kind", F.lit("function"))
@@ -432,6 +451,49 @@ def q_chain_sites(spark, sf_dir):
         "kind", "file_id", "API_path", "change", "category")
 
 
+def _chain(spark, sf_dir, steps=None):
+    """The chain over the driver tables, under one root for a session and input."""
+    root = session_table(spark, "chain", sf_dir).path
+    inputs = chain.Inputs(
+        key=chain.key_of(spark, *[f"{sf_dir}/{t}.parquet" for t in ("part", "lineitem", "orders", "customer")]),
+        catalog=fixtures.catalog(spark, sf_dir),
+        corpora={"function": _corpus(spark, sf_dir), "method": _mcorpus(spark, sf_dir)},
+        model=fixtures.completion, libs=fixtures.LIBS, old_version="1.0", new_version="2.0",
+        budget=SEARCH_BUDGET, batch_rows=4000)
+    return chain.run(spark, root, inputs, steps or chain.STEPS)
+
+
+@query("chain_cct")
+def q_chain_cct(spark, sf_dir):
+    """Catalogs to CCT rows, functions and methods, through all steps."""
+    return _chain(spark, sf_dir).read("benchmark", "cct")
+
+
+@query("chain_ect")
+def q_chain_ect(spark, sf_dir):
+    return _chain(spark, sf_dir).read("benchmark", "ect")
+
+
+@query("chain_steps")
+def q_chain_steps(spark, sf_dir):
+    """Rows of each step's outputs, and what a second run and one of two steps do."""
+    _chain(spark, sf_dir)
+    again, some = _chain(spark, sf_dir), _chain(spark, sf_dir, ("extract", "filter"))
+    out = None
+    for step in chain.STEPS:
+        if again.states[step] == "skipped":
+            rows = spark.range(1).select(F.lit("").alias("name"), F.lit(0).cast("bigint").alias("n_rows"))
+        else:
+            rows = None
+            for name in chain.OUTPUTS[step]:
+                n = again.read(step, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+                rows = n if rows is None else rows.unionByName(n)
+        rows = rows.select(F.lit(step).alias("step"), "name", "n_rows", F.lit(again.states[step]).alias("second_run"),
+                           F.lit(some.states[step]).alias("run_of_two"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _prompts(spark, sf_dir):
     return synth.render_prompt(_filtered(spark, sf_dir),
                                diff.changed_api_lookup(_changes(spark, sf_dir)))
@@ -442,13 +504,52 @@ def q_render_prompt(spark, sf_dir):
     return _prompts(spark, sf_dir).select("kind", "file_id", "API_path", "prompt")
 
 
+def _kept_prompts(spark, sf_dir):
+    return _stored(spark, sf_dir, "prompts", lambda: _prompts(spark, sf_dir))
+
+
 def _completed(spark, sf_dir):
-    """Answers are written once to the shared folder and read back, so
-    nothing downstream can call the model again."""
-    done = synth.complete(_prompts(spark, sf_dir), fixtures.completion)
-    path = shared_path(spark, "answers")
-    done.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Prompts with their answers. The answers of a session are in one store:
+    whichever query comes first asks for them, the others find them there."""
+    prompts = _kept_prompts(spark, sf_dir)
+    store = AnswerStore(spark, session_table(spark, "answers", sf_dir).path)
+    store.ask(prompts, fixtures.completion)
+    return store.answered(prompts)
+
+
+@query("answer_runs")
+def q_answer_runs(spark, sf_dir):
+    """A run that ends after one of its batches, one that goes on, one that finds all
+    answers: keys each was given, and what became of them."""
+    prompts = _kept_prompts(spark, sf_dir)
+    store = AnswerStore(spark, shared_path(spark, "answers"))
+    first = store.ask(prompts, fixtures.completion, batch_rows=1000, most_batches=1)
+    then = store.ask(prompts, fixtures.completion, batch_rows=1000)
+    last = store.ask(prompts, fixtures.completion, batch_rows=1000)
+    rows = [("first two", first.keys, first.asked + then.asked, then.left, then.found == first.asked),
+            ("third", last.keys, last.asked, last.left, last.found == last.keys)]
+    return spark.createDataFrame(rows, "run string, n_keys bigint, n_asked bigint, n_left bigint, found_rest boolean")
+
+
+@query("synthesis_missing")
+def q_synthesis_missing(spark, sf_dir):
+    """Call sites of all APIs that no changed catalog entry stands for."""
+    return missing_entries(_metadata(spark, sf_dir), diff.changed_api_lookup(_changes(spark, sf_dir))).select(
+        "lib", "kind", _i64("n_apis"), _i64("n_sites"))
+
+
+@query("replace_in_place")
+def q_replace_in_place(spark, sf_dir):
+    """A10: filtered call sites are stored, and a job that reads them writes the synthesised
+    rows in their place; the version before is removed."""
+    table = VersionedTable(spark, shared_path(spark, "metadata"))
+    table.replace(_filtered(spark, sf_dir), {"step": "filter"})
+    prompts = synth.render_prompt(table.read(), diff.changed_api_lookup(_changes(spark, sf_dir)))
+    store = AnswerStore(spark, session_table(spark, "answers", sf_dir).path)
+    store.ask(prompts, fixtures.completion)
+    good, _ = synth.synthesize(store.answered(prompts))
+    table.replace(good.select(*T11), {"step": "synthesize"}, keep=1)
+    return table.read().withColumn("n_versions", F.lit(len(table.versions())).cast("bigint"))
 
 
 @query("synthesis_status")
