@@ -70,33 +70,21 @@ def parse_signature(signature: str | None, compat: bool = False):
     if not module.body or not isinstance(module.body[0], ast.FunctionDef):
         return None
     a = module.body[0].args
-
-    def src(node):
-        return None if node is None else ast.unparse(node)
-
-    out = []
-
-    def add(name, kind, default):
-        out.append({"name": name, "kind": kind, "pos": len(out),
-                    "has_default": default is not None,
-                    "default_src": src(default)})
-
     if compat:
-        po_def = [None] * (len(a.posonlyargs) - len(a.defaults)) + a.defaults
-        pk_def = [None] * (len(a.args) - len(a.defaults)) + a.defaults
+        given = [a.defaults, a.defaults]
     else:
-        positional = a.posonlyargs + a.args
-        joint = [None] * (len(positional) - len(a.defaults)) + a.defaults
-        po_def = joint[:len(a.posonlyargs)]
-        pk_def = joint[len(a.posonlyargs):]
-    for arg, d in zip(a.posonlyargs, po_def):
-        add(arg.arg, POSITIONAL_ONLY, d)
-    for arg, d in zip(a.args, pk_def):
-        add(arg.arg, POSITIONAL_OR_KEYWORD, d)
-    if a.vararg:
-        add(a.vararg.arg, VAR_POSITIONAL, None)
-    for arg, d in zip(a.kwonlyargs, a.kw_defaults):
-        add(arg.arg, KEYWORD_ONLY, d)
-    if a.kwarg:
-        add(a.kwarg.arg, VAR_KEYWORD, None)
+        cut = max(len(a.defaults) - len(a.args), 0)
+        given = [a.defaults[:cut], a.defaults[cut:]]
+    # kind, its parameters, and defaults of its last ones
+    table = [(POSITIONAL_ONLY, a.posonlyargs, given[0]),
+             (POSITIONAL_OR_KEYWORD, a.args, given[1]),
+             (VAR_POSITIONAL, [a.vararg] if a.vararg else [], []),
+             (KEYWORD_ONLY, a.kwonlyargs, a.kw_defaults),
+             (VAR_KEYWORD, [a.kwarg] if a.kwarg else [], [])]
+    out = []
+    for kind, args, defaults in table:
+        padded = [None] * (len(args) - len(defaults)) + defaults
+        for arg, default in zip(args, padded):
+            out.append({"name": arg.arg, "kind": kind, "pos": len(out), "has_default": default is not None,
+                        "default_src": None if default is None else ast.unparse(default)})
     return out

@@ -15,24 +15,42 @@ from pyspark.sql.window import Window
 from apidrift.session import checkpoint
 
 
+# An output batch is closed when its texts reach this size.
+BATCH_CHARS = 16 << 20
+
+
 def _records(batches):
     import pyarrow as pa
 
     from apidrift.functions.pycatalog import catalog_records
 
+    names = ["lib", "version", "kind", "api_path", "signature", "doc", "bases"]
     for b in batches:
-        libs, vers = b.column(0), b.column(1)
-        paths, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
-        idx, rows = [], []
-        for i, (p, t) in enumerate(zip(paths, texts)):
-            for r in catalog_records(p, t):
-                idx.append(i)
+
+        def batch_of(rows, idx, b=b):
+            take = pa.array(idx, type=pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take)]
+                + [pa.array([r[k] for r in rows], pa.string()) for k in range(5)], names=names)
+
+        rows, idx, size = [], [], 0
+        for i, (path, text) in enumerate(zip(b.column(2), b.column(3))):
+            for r in catalog_records(path.as_py(), text.as_py()):
                 rows.append(r)
-        take = pa.array(idx, type=pa.int64())
-        cols = [libs.take(take), vers.take(take)] + [
-            pa.array([r[k] for r in rows], pa.string()) for k in range(5)]
-        yield pa.RecordBatch.from_arrays(
-            cols, names=["lib", "version", "kind", "api_path", "signature", "doc", "bases"])
+                idx.append(i)
+                size += 100 + sum(len(v) for v in r if v is not None)
+                if size >= BATCH_CHARS:
+                    yield batch_of(rows, idx)
+                    rows, idx, size = [], [], 0
+        yield batch_of(rows, idx)
+
+
+def _one(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: the least of the other columns in their order (nulls last)."""
+    rest = [c for c in df.columns if c not in keys]
+    order = [x for c in rest for x in (F.col(c).isNull(), F.col(c))]
+    best = df.groupBy(*keys).agg(F.min(F.struct(*[x.alias(f"_{i}") for i, x in enumerate(order)])).alias("_b"))
+    return best.select(*keys, *[F.col(f"_b._{2 * i + 1}").alias(c) for i, c in enumerate(rest)]).select(*df.columns)
 
 
 def catalog_from_sources(lib_files: DataFrame) -> DataFrame:
@@ -79,7 +97,7 @@ def resolution_orders(records: DataFrame) -> DataFrame:
 
     keys = ["lib", "version"]
     cls = records.where(F.col("kind") == "class").groupBy(*keys, F.col("api_path").alias("cls")).agg(
-        F.last("bases").alias("bases"))
+        F.min("bases").alias("bases"))
     edges = cls.select(*keys, "cls", F.posexplode(F.split(F.coalesce("bases", F.lit("")), ",")).alias("pos", "base"))
     known = cls.select(*keys, F.col("cls").alias("base"))
     edges = checkpoint(edges.join(known, [*keys, "base"]).where("base <> cls"))
@@ -154,16 +172,17 @@ def stub_signatures(lib_files: DataFrame, functions: DataFrame) -> DataFrame:
 
 def prefer_sources(functions: DataFrame, stubs: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     """The signature a supplied catalog gives as text (lib, version,
-    api_path, signature) first, then the stub's, then the source's."""
+    api_path, signature) first, then the stub's, then the source's. An API
+    without any is left out; of several supplied ones the least counts."""
     keys = ["lib", "version", "api_path"]
     j = functions.join(stubs, keys, "left")
     first = []
     if supplied is not None:
         j = j.join(supplied.select(*keys, F.col("signature").alias("supplied_signature"))
-                   .dropDuplicates(keys), keys, "left")
+                   .transform(_one, keys), keys, "left")
         first = ["supplied_signature"]
-    return j.withColumn("signature", F.coalesce(*first, "stub_signature", "signature")).drop(
-        "stub_signature", "supplied_signature")
+    return j.withColumn("signature", F.coalesce(*first, "stub_signature", "signature")).where(
+        "signature IS NOT NULL").drop("stub_signature", "supplied_signature")
 
 
 def _parent(path):
@@ -184,14 +203,14 @@ def exported_paths(records: DataFrame) -> DataFrame:
         *keys, F.col("api_path").alias("path"), F.col("bases").alias("target"))
     stars = checkpoint(records.where(F.col("kind") == "star").select(
         *keys, F.col("api_path").alias("to"), F.col("bases").alias("module")).distinct())
-    found = checkpoint(classes.unionByName(names).dropDuplicates([*keys, "path"]))
+    found = checkpoint(_one(classes.unionByName(names), [*keys, "path"]))
     new = found
     while True:
         public = new.withColumn("module", _parent(F.col("path"))).withColumn(
             "name", F.substring_index("path", ".", -1)).where(~F.col("name").startswith("_"))
         taken = public.join(stars, [*keys, "module"]).select(
             *keys, F.concat("to", F.lit("."), "name").alias("path"), F.col("path").alias("target"))
-        new = checkpoint(taken.dropDuplicates([*keys, "path"]).join(found, [*keys, "path"], "left_anti"))
+        new = checkpoint(_one(taken, [*keys, "path"]).join(found, [*keys, "path"], "left_anti"))
         if new.isEmpty():
             break
         found = checkpoint(found.unionByName(new))
@@ -223,4 +242,4 @@ def with_reexports(records: DataFrame, methods: DataFrame) -> DataFrame:
     path = F.concat("alias_path", F.lit("."), "name")
     moved = m.join(rx, [*keys, "target"]).select(
         *keys, "kind", path.alias("api_path"), F.concat(path, "args").alias("signature"), "doc")
-    return methods.unionByName(moved).dropDuplicates([*keys, "api_path"])
+    return _one(methods.unionByName(moved), [*keys, "api_path"])

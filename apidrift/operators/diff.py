@@ -104,3 +104,22 @@ def changed_api_lookup(changes: DataFrame) -> DataFrame:
                     F.substring_index("old_signature", "(", 1).alias("outdated_name"),
                     F.col("old_signature").alias("outdated_signature"),
                     F.col("old_doc").alias("outdated_doc")))
+
+
+def by_class(changes: DataFrame) -> DataFrame:
+    """The entries of each change class, with ``category`` as its folder.
+
+    Added, deleted and modified classes hold the entry that names them; the
+    outdated entries of modified APIs are classes of their own (Outdated_API_A
+    and _B). ``sources.jsonl.sink_by_class`` writes them.
+    """
+    label = F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv])
+    gone = F.col("change") == "deleted"
+    entry = changes.where("change <> 'unchanged'").select(
+        "lib", "kind", label[F.col("change")].alias("category"), "api_path",
+        F.when(gone, F.col("old_signature")).otherwise(F.col("new_signature")).alias("signature"),
+        F.when(gone, F.col("old_doc")).otherwise(F.col("new_doc")).alias("doc"))
+    outdated = changes.where("change IN ('modified_A', 'modified_B')").select(
+        "lib", "kind", F.replace(label[F.col("change")], F.lit("Modified"), F.lit("Outdated")).alias("category"),
+        "api_path", F.col("old_signature").alias("signature"), F.col("old_doc").alias("doc"))
+    return entry.unionByName(outdated)

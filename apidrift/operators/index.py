@@ -111,7 +111,7 @@ class CorpusIndex:
 
     def search(self, qs: DataFrame, keep=()) -> DataFrame:
         """The rows of ``retrieve.search`` over the files of the index."""
-        terms = qs.select("api_path", "query_no", "terms", F.col("leaf").alias("word"))
+        terms = retrieve.wanted(qs)
 
         def hits(words):
             return words.join(terms, "word").groupBy("file_id").agg(

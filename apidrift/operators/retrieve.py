@@ -8,7 +8,8 @@ the same queries run over a corpus DataFrame:
   the small query table on that word - no
   files x queries product, and content is never shuffled;
 * surviving (file, query) pairs are verified term by term with a bounded
-  match (no word character next to an end that is itself a word char);
+  match (no word character next to an end that is itself a word char): the
+  content's word boundaries are marked in one pass, terms are then substrings;
 * the hit budget, counts and top-m per API are windows over the small
   (api, query) and (api, query, file) tables.
 """
@@ -88,13 +89,24 @@ def queries(apis: DataFrame) -> DataFrame:
                     leaf.alias("leaf"))
 
 
-def bounded(term: Column) -> Column:
-    """Regex for a bounded, literal occurrence of ``term``."""
-    return F.concat(
-        F.lit("(?U)"),
-        F.when(term.rlike(r"^\w"), F.lit(r"(?<!\w)")).otherwise(F.lit("")),
-        F.lit(r"\Q"), term, F.lit(r"\E"),
-        F.when(term.rlike(r"\w$"), F.lit(r"(?!\w)")).otherwise(F.lit("")))
+# Stands for a word boundary; what a text holds of it makes way for another
+# character that is no part of a word either.
+EDGE, OTHER = "\x01", "\x02"
+
+
+def edged(text: Column) -> Column:
+    """``text`` with a mark at each word boundary.
+
+    A term occurs bounded (no word character next to an end that is itself
+    one) exactly where its marked form occurs in the marked text, so one pass
+    over a text with a fixed pattern serves all terms, by plain substring tests.
+    """
+    return F.regexp_replace(F.translate(text, EDGE, OTHER), r"(?U)\b", EDGE)
+
+
+def wanted(qs: DataFrame) -> DataFrame:
+    """The queries with marked terms, by their leaf word."""
+    return qs.select("api_path", "query_no", F.transform("terms", edged).alias("terms"), F.col("leaf").alias("word"))
 
 
 def search(corpus: DataFrame, qs: DataFrame, keep=()) -> DataFrame:
@@ -105,14 +117,13 @@ def search(corpus: DataFrame, qs: DataFrame, keep=()) -> DataFrame:
     API appears twice. Files are never compared with every query: only
     pairs that share the leaf word are checked. The words of a file travel
     with its id alone; the queries found for a file are put together and
-    meet its content once, where plain substring tests come before the
-    bounded patterns. ``keep`` (e.g. content, for the usage test) is only
+    meet its content once. ``keep`` (e.g. content, for the usage test) is only
     copied for matching pairs. No step needs a broadcast.
     """
     extra = [c for c in keep if c not in ("file_id", "content")]
     words = corpus.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all(
-        "content", F.lit(r"(?U)\w+"), 0))).alias("leaf"))
-    cand = words.join(qs.select("api_path", "query_no", "terms", "leaf"), "leaf")
+        "content", F.lit(r"(?U)\w+"), 0))).alias("word"))
+    cand = words.join(wanted(qs), "word")
     per_file = cand.groupBy("file_id").agg(
         F.collect_list(F.struct("api_path", "query_no", "terms")).alias("queries"))
     return verified(corpus.select("file_id", "content", *extra).join(per_file, "file_id"), keep)
@@ -120,10 +131,9 @@ def search(corpus: DataFrame, qs: DataFrame, keep=()) -> DataFrame:
 
 def verified(candidates: DataFrame, keep=()) -> DataFrame:
     """(api_path, query_no, file_id, *keep) for the ``queries`` of each file whose terms its content holds."""
-    content = F.col("content")
-    hit = F.filter("queries", lambda q: F.forall(q["terms"], lambda t: content.contains(t))
-                   & F.forall(q["terms"], lambda t: F.regexp_like(content, bounded(t))))
-    found = candidates.select("file_id", *[c for c in keep if c != "file_id"], F.explode(hit).alias("q"))
+    hit = F.filter("queries", lambda q: F.forall(q["terms"], lambda t: F.col("_edged").contains(t)))
+    found = candidates.withColumn("_edged", edged(F.col("content"))).select(
+        "file_id", *[c for c in keep if c != "file_id"], F.explode(hit).alias("q"))
     return found.select("q.api_path", "q.query_no", "file_id", *keep)
 
 
@@ -201,29 +211,37 @@ def filter_files(df: DataFrame, stars_limit=None, time_limit=None) -> DataFrame:
     return out
 
 
-def _word_re(text: Column) -> Column:
-    return F.concat(F.lit(r"(?U)\b\Q"), text, F.lit(r"\E\b"))
+def _between_edges(text: Column) -> Column:
+    """Marked form of a text that has a word boundary at both ends."""
+    inner = edged(text)
+    return F.concat(F.when(inner.startswith(EDGE), F.lit("")).otherwise(F.lit(EDGE)), inner,
+                    F.when(inner.endswith(EDGE), F.lit("")).otherwise(F.lit(EDGE)))
 
 
 def usage_test(pairs: DataFrame) -> DataFrame:
     """R9 on (api_path, content) rows: does the file use the API?
 
     True on a direct hit; or a from-import together with its own usage
-    term; or an ``import P as A`` line together with ``A.rest``.
+    term; or an ``import P as A`` line together with ``A.rest``.  All
+    patterns are fixed: the content's boundaries are marked once, its ``import as``
+    lines are taken out once, and terms are then plain substrings.
     """
     parts = F.split("api_path", r"\.", -1)
     k = F.size(parts)
     seq = F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1)))
-    content = F.col("content")
-    direct = F.regexp_like(content, _word_re(F.col("api_path")))
-    frm = F.exists(seq, lambda i: (k > 1) & F.regexp_like(content, _word_re(F.concat(
-        F.lit("from "), _join(parts, 1, i), F.lit(" import "), F.get(parts, i))))
-        & F.regexp_like(content, _word_re(
-            F.when(i + 1 < k, F.concat(F.lit("."), _join(parts, i + 2, k - i - 1)))
-             .otherwise(F.get(parts, i)))))
-    imp = F.exists(seq, lambda i: (k > 1) & F.exists(
-        F.regexp_extract_all(content, F.concat(
-            F.lit(r"(?mU)^import\s+\Q"), _join(parts, 1, i), F.lit(r"\E\s+as\s+(\w+)")), 1),
-        lambda a: F.regexp_like(content, _word_re(F.concat(
-            a, F.lit("."), _join(parts, i + 1, k - i))))))
-    return pairs.withColumn("used", direct | frm | imp)
+    text = F.col("_edged")
+
+    def holds(term):
+        return text.contains(_between_edges(term))
+
+    lines = F.lit(r"(?mU)^import\s+(\S+)\s+as\s+(\w+)")
+    named = F.arrays_zip(F.regexp_extract_all("content", lines, 1).alias("path"),
+                         F.regexp_extract_all("content", lines, 2).alias("name"))
+    direct = holds(F.col("api_path"))
+    frm = F.exists(seq, lambda i: (k > 1) & holds(F.concat(
+        F.lit("from "), _join(parts, 1, i), F.lit(" import "), F.get(parts, i)))
+        & holds(F.when(i + 1 < k, F.concat(F.lit("."), _join(parts, i + 2, k - i - 1))).otherwise(F.get(parts, i))))
+    imp = F.exists(seq, lambda i: (k > 1) & F.exists("_named", lambda a: (a["path"] == _join(parts, 1, i)) & holds(
+        F.concat(a["name"], F.lit("."), _join(parts, i + 1, k - i)))))
+    marked = pairs.withColumn("_edged", edged(F.col("content"))).withColumn("_named", named)
+    return marked.withColumn("used", direct | frm | imp).drop("_edged", "_named")

@@ -648,3 +648,58 @@ GROUP BY lib, kind""")
 
 oracle("replace_in_place", f"""
 SELECT *, CAST(1 AS BIGINT) AS n_versions FROM ({ORACLES["synthesize"]}) s""")
+
+oracle("ledger_calls", ORACLES["function_calls"])
+
+oracle("ledger_runs", _with(files=_F["files"]) + """
+SELECT CAST(1 AS BIGINT) AS run, CAST(count(*) AS BIGINT) AS n_files, CAST(count(DISTINCT content) AS BIGINT) AS n_contents,
+  CAST(count(DISTINCT content) AS BIGINT) AS n_parsed
+FROM files WHERE file_id % 10 <> 3
+UNION ALL
+SELECT 2, count(*), count(DISTINCT content), (SELECT count(DISTINCT content) FROM files)
+  - (SELECT count(DISTINCT content) FROM files WHERE file_id % 10 <> 3) FROM files
+UNION ALL
+SELECT 3, count(*) + count(*) FILTER (file_id % 5 = 0), count(DISTINCT content), 0 FROM files""")
+
+oracle("read_batch", f"""
+SELECT *, true AS few_files FROM ({ORACLES["assign_batches"]}) b WHERE batch_id BETWEEN 5 AND 7""")
+
+oracle("sites_by_class", _FILTERED + """
+SELECT split_part(API_path, '.', 1) AS lib, kind,
+  CASE WHEN change = 'modified_A' THEN 'Modified_API_A' ELSE 'Modified_API_B' END AS category,
+  file_id, API_path, target_seq FROM flt""")
+
+oracle("changes_by_class", _with(cat=X.catalog_base_sql(D)) + """
+SELECT lib, kind, 'Added_API' AS category, api_path, new_signature AS signature, new_doc AS doc FROM cat WHERE v = 1
+UNION ALL SELECT lib, kind, 'Deleted_API', api_path, old_signature, old_doc FROM cat WHERE v = 0
+UNION ALL SELECT lib, kind, 'Modified_API_' || CASE WHEN v IN (3, 9) THEN 'A' ELSE 'B' END, api_path, new_signature, new_doc
+  FROM cat WHERE v IN (3, 4, 5, 9)
+UNION ALL SELECT lib, kind, 'Outdated_API_' || CASE WHEN v IN (3, 9) THEN 'A' ELSE 'B' END, api_path, old_signature, old_doc
+  FROM cat WHERE v IN (3, 4, 5, 9)""")
+
+oracle("reject_reasons", _with(items=_F["items"], files=_F["files"]) + """
+SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE file_id % 5 WHEN 0 THEN 'IndentationError' WHEN 1 THEN 'TabError' WHEN 2 THEN 'MemoryError'
+    ELSE 'decorator' END AS reason
+  FROM files WHERE file_id % 97 <> 0 AND file_id % 5 < 4
+  UNION ALL
+  SELECT 'no_name' FROM (
+    SELECT *, row_number() OVER (PARTITION BY file_id, pk ORDER BY n) AS k FROM items) i
+  WHERE k = 1 AND renamed AND file_id % 97 <> 0 AND file_id % 5 > 2
+  UNION ALL
+  SELECT 'no_name' FROM items WHERE n = 1 AND file_id % 4 = 0 AND renamed AND file_id % 97 <> 0 AND file_id % 5 > 2
+) r GROUP BY reason""")
+
+oracle("text_lines", f"""
+SELECT trim(line, ' ' || chr(9)) AS line, CAST(count(*) AS BIGINT) AS n FROM ({X.log_sql(D)}) l GROUP BY 1""")
+
+oracle("convert_rows", _with(**_F) + f"""
+SELECT lib, API_path, file_id, upper(scope) AS scope,
+  CAST(CASE WHEN length(target_seq) > 2 THEN len(string_split(target_seq, ',')) ELSE 0 END AS BIGINT) AS n_args
+FROM ({_T6_DEF} UNION ALL {_T6_MAIN}) t""")
+
+oracle("catalog_preferred", _SIDES_SRC + f"""
+SELECT lib, version, api_path,
+  CASE WHEN pk % 5 = 0 THEN api_path || '{X.TEXT_ARGS}' WHEN m = 0 THEN api_path || '{X.STUB_ARGS}'
+    ELSE api_path || args END AS signature
+FROM s WHERE kind = 'function'""")

@@ -110,6 +110,7 @@ def q_changed_api_lookup(spark, sf_dir):
 # ------------------------------------------------------- function call sites
 
 from apidrift.operators import callsites, retrieve  # noqa: E402
+from apidrift.plans import chain  # noqa: E402
 from apidrift.operators.answers import AnswerStore, missing_entries  # noqa: E402
 from apidrift.operators.index import CorpusIndex  # noqa: E402
 from apidrift.sources.versions import VersionedTable, session_table  # noqa: E402
@@ -117,19 +118,23 @@ from apidrift.sources.versions import VersionedTable, session_table  # noqa: E40
 META = ("repository", "url", "last_updated", "stars")
 
 
+def _inputs_key(spark, sf_dir):
+    """Tells the input's files from others at the same path."""
+    return chain.key_of(spark, *[f"{sf_dir}/{t}.parquet" for t in ("part", "lineitem", "orders", "customer")])
+
+
 def _stored(spark, sf_dir, name, make):
     """A corpus as a table in the shared folder, as a corpus is in life.
 
     It is written once for a session and input; the scan splits it by size,
-    so the parse starts where the files are read, without a shuffle.
+    so the parse starts where the files are read, without a shuffle. When the
+    files at the path have changed it is written anew, and the old one goes.
     """
-    kept = spark.sparkContext.__dict__.setdefault("_apidrift_corpora", {})
-    key = (name, sf_dir)
-    if key not in kept:
-        path = shared_path(spark, "corpora", name)
-        make().write.parquet(path)
-        kept[key] = path
-    return spark.read.parquet(kept[key])
+    table = session_table(spark, "corpora", name, sf_dir)
+    key, m = _inputs_key(spark, sf_dir), table.manifest()
+    if m is None or m.note["key"] != key:
+        table.replace(make(), {"key": key}, keep=1)
+    return table.read()
 
 
 def _corpus(spark, sf_dir):
@@ -139,7 +144,7 @@ def _corpus(spark, sf_dir):
 
 def _index(spark, sf_dir, name, corpus):
     """The identifier index of a corpus, made once for a session and input."""
-    ix = CorpusIndex(spark, session_table(spark, "index", name, sf_dir).path)
+    ix = CorpusIndex(spark, session_table(spark, "index", name, sf_dir, _inputs_key(spark, sf_dir)).path)
     if ix.table.manifest() is None:
         ix.add(corpus(spark, sf_dir))
     return ix
@@ -414,7 +419,6 @@ def q_marker_log(spark, sf_dir):
 # ---------------------------------------------- conversion, filter, synthesis
 
 from apidrift.operators import batches, convert, synth  # noqa: E402
-from apidrift.plans import chain  # noqa: E402
 
 
 @query("build_content")
@@ -455,8 +459,7 @@ def _chain(spark, sf_dir, steps=None):
     """The chain over the driver tables, under one root for a session and input."""
     root = session_table(spark, "chain", sf_dir).path
     inputs = chain.Inputs(
-        key=chain.key_of(spark, *[f"{sf_dir}/{t}.parquet" for t in ("part", "lineitem", "orders", "customer")]),
-        catalog=fixtures.catalog(spark, sf_dir),
+        key=_inputs_key(spark, sf_dir), catalog=fixtures.catalog(spark, sf_dir),
         corpora={"function": _corpus(spark, sf_dir), "method": _mcorpus(spark, sf_dir)},
         model=fixtures.completion, libs=fixtures.LIBS, old_version="1.0", new_version="2.0",
         budget=SEARCH_BUDGET, batch_rows=4000)
@@ -629,6 +632,101 @@ def q_assign_batches(spark, sf_dir):
         "file_id", "API_path", _i64("position"), _i64("batch_id"))
 
 
+@query("read_batch")
+def q_read_batch(spark, sf_dir):
+    """Three batches out of the middle, read by number from the files that hold them."""
+    files = batches.BatchFiles(spark, shared_path(spark, "batch_files"))
+    files.write(batches.prompt_rows(_samples(spark, sf_dir)), ["file_id", "API_path"], 64, partitions=16)
+    held = files.read(5, 7)
+    few = all(len(files.files(k, k)) <= 2 for k in (5, 6, 7))
+    return held.select("file_id", "API_path", _i64("position"), _i64("batch_id"), F.lit(few).alias("few_files"))
+
+
+# ------------------------------------------------------- results by class, rejects
+
+@query("sites_by_class")
+def q_sites_by_class(spark, sf_dir):
+    """G1: filtered call sites in a folder per library, kind and class, read back from there."""
+    path = shared_path(spark, "sites_by_class")
+    jsonl.sink_by_class(_filtered(spark, sf_dir), path)
+    back = spark.read.schema("file_id bigint, API_path string, target_seq string, lib string, kind string, "
+                             "category string").json(path)
+    return back.select("lib", "kind", "category", "file_id", "API_path", "target_seq")
+
+
+@query("changes_by_class")
+def q_changes_by_class(spark, sf_dir):
+    """The catalog entries of each change class in a folder of its own, read back from there."""
+    path = shared_path(spark, "changes_by_class")
+    jsonl.sink_by_class(diff.by_class(_changes(spark, sf_dir)), path)
+    return spark.read.schema("api_path string, signature string, doc string, lib string, kind string, "
+                             "category string").json(path)
+
+
+@query("reject_reasons")
+def q_reject_reasons(spark, sf_dir):
+    """what can go wrong with a file or a call, by reason, over files with such things in them."""
+    recs = callsites.parse_pass(fixtures.flawed(spark, sf_dir), libs=fixtures.LIBS, want=("fcall", "error"))
+    return callsites.rejects(recs, callsites.function_sites(recs)).select("reason", _i64("n"))
+
+
+@query("text_lines")
+def q_text_lines(spark, sf_dir):
+    """A5: log lines written as text and read back stripped."""
+    path = shared_path(spark, "lines")
+    jsonl.write_lines(fixtures.log_lines(spark, sf_dir), "line", path)
+    return jsonl.read_lines(spark, path).groupBy("line").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("convert_rows")
+def q_convert_rows(spark, sf_dir):
+    """V1: a caller's conversion over all rows of a folder per API, into the same layout."""
+    raw, out = shared_path(spark, "raw"), shared_path(spark, "converted")
+    jsonl.sink_by_api(callsites.t6(_fn_sites(spark, sf_dir)), raw, keys=("lib", "API_path"))
+    rows = spark.read.schema("file_id bigint, scope string, target_seq string, lib string, API_path string").json(raw)
+    called = convert.switch(rows, lambda d: d.withColumn("n_args", F.when(F.length("target_seq") > 2, F.size(
+        F.split("target_seq", ","))).otherwise(0)).withColumn("scope", F.upper("scope")).drop("target_seq"))
+    jsonl.sink_by_api(called, out, keys=("lib", "API_path"))
+    back = spark.read.schema("file_id bigint, scope string, n_args bigint, lib string, API_path string").json(out)
+    return back.select("lib", "API_path", "file_id", "scope", "n_args")
+
+
+@query("catalog_preferred")
+def q_catalog_preferred(spark, sf_dir):
+    """Text signatures of a supplied catalog first, then the stub's, then the source's."""
+    files, cat = _lib_catalog(spark, sf_dir)
+    fns = cat.where("kind = 'function'")
+    path = shared_path(spark, "supplied")
+    jsonl.export_catalog(fixtures.supplied(spark, sf_dir), path)
+    best = catalog_ops.prefer_sources(fns, catalog_ops.stub_signatures(files, fns), jsonl.read_catalog(spark, path))
+    return best.select("lib", "version", "api_path", "signature")
+
+
+# ------------------------------------------------------------ parse ledger
+
+from apidrift.operators.ledger import ParseLedger  # noqa: E402
+
+
+@query("ledger_calls")
+def q_ledger_calls(spark, sf_dir):
+    """function calls from records kept by content; files of equal content are parsed once."""
+    ledger = ParseLedger(spark, session_table(spark, "ledger", sf_dir).path, fixtures.LIBS, ("fcall",))
+    r = callsites.function_call_rows(ledger.records(_corpus(spark, sf_dir)))
+    return r.select("file_id", "lib", "scope", "api_path", (F.col("how") == "first").alias("is_first"),
+                    F.col("line").cast("bigint").alias("line"))
+
+
+@query("ledger_runs")
+def q_ledger_runs(spark, sf_dir):
+    """what each run over a growing corpus parses: most files, all files, all and copies under other ids."""
+    ledger = ParseLedger(spark, shared_path(spark, "ledger"), fixtures.LIBS, ("fcall", "alias"))
+    files = _corpus(spark, sf_dir).select("file_id", "content")
+    copies = files.where("file_id % 5 = 0").withColumn("file_id", F.col("file_id") + F.lit(10**12))
+    runs = [ledger.update(x) for x in (files.where("file_id % 10 <> 3"), files, files.unionByName(copies))]
+    return spark.createDataFrame([(i, r.files, r.contents, r.parsed) for i, r in enumerate(runs, 1)],
+                                 "run bigint, n_files bigint, n_contents bigint, n_parsed bigint")
+
+
 # ------------------------------------------------------------ sources, sinks
 
 from apidrift.sources import jsonl  # noqa: E402

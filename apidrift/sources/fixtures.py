@@ -226,6 +226,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, corpus_sql(SPARK))
 
 
+# ---------------------------------------------------------------------------
+# X2 with flaws (file_id % 97 <> 0), by file_id % 5: 0 an indent where none
+# belongs, 1 tabs and spaces mixed, 2 more nesting than a parser takes, 3 a call
+# in a decorator (its lines lie before the def's), 4 none.
+# ---------------------------------------------------------------------------
+
+def flawed_sql(d: Dialect) -> str:
+    return f"""
+SELECT file_id, content || CASE file_id % 5
+    WHEN 0 THEN '  x = 1' || {NL}
+    WHEN 1 THEN 'if 1:' || {NL} || chr(9) || 'y = 1' || {NL} || '        z = 2' || {NL}
+    WHEN 2 THEN 'x = ' || repeat('-', 20000) || '1' || {NL}
+    WHEN 3 THEN {NL} || '@lib0.deco.f0(2)' || {NL} || 'def deco(a):' || {NL} || '    return a' || {NL}
+    ELSE '' END AS content
+FROM ({files_sql(d)}) f WHERE file_id % 97 <> 0
+"""
+
+
+def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, flawed_sql(SPARK))
+
+
 # ---------------------------------------------------------------------------
 # Corpus for method calls, one file per order, one `def h{n}` per line
 # item using class lib.C{pk} and its method `run`. Import style by
@@ -441,3 +463,21 @@ FROM ({sides}) c WHERE kind = 'function' AND m = 0 GROUP BY lib, version
 
 def lib_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, lib_files_sql(SPARK))
+
+
+# ---------------------------------------------------------------------------
+# A supplied catalog of text signatures for functions with pk % 5 = 0.
+# ---------------------------------------------------------------------------
+
+TEXT_ARGS = "($module, x, y=1, /)"
+
+
+def supplied_sql(d: Dialect) -> str:
+    return f"""
+SELECT lib, version, 'function' AS kind, api_path, api_path || '{TEXT_ARGS}' AS signature, doc
+FROM ({lib_sides_sql(d)}) a WHERE kind = 'function' AND pk % 5 = 0
+"""
+
+
+def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, supplied_sql(SPARK))

@@ -75,19 +75,28 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def sink_by_api(df: DataFrame, path: str, keys=("lib", "api_path"),
-                mode: str = "append") -> None:
+                mode: str = "append", only_keys: bool = True) -> None:
     """One folder per API, appended (or dynamically overwritten).
 
+    ``only_keys``: overwriting replaces the folders of the keys in ``df``;
+    without it, all that ``path`` holds.
+
     A rebalance on the keys puts each API's rows together (few files per
     folder) while AQE splits a hot API over several tasks and merges
     small ones; an API with no rows writes nothing.
     """
     w = df.hint("rebalance", *keys).write.mode(mode)
     if mode == "overwrite":
-        w = w.option("partitionOverwriteMode", "dynamic")
+        w = w.option("partitionOverwriteMode", "dynamic" if only_keys else "static")
     w.partitionBy(*keys).json(path)
 
 
+def sink_by_class(df: DataFrame, path: str) -> None:
+    """One folder per library, kind and change class; a class that is written again is
+    replaced as a whole, others stay."""
+    sink_by_api(df, path, keys=("lib", "kind", "category"), mode="overwrite")
+
+
 def write_snippets(df: DataFrame, path: str) -> None:
     """Raw snippets per API, replacing that API's folder only."""
     sink_by_api(df, path, keys=("api_path",), mode="overwrite")

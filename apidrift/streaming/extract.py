@@ -40,12 +40,13 @@ def start(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, libs,
           available_now: bool = True) -> StreamingQuery:
     """Run the extractor over new files; call sites per batch, library and API.
 
-    Each batch has a folder of its own that is written anew when the batch
-    is replayed, so a replay changes nothing.
+    Each batch has a folder of its own that is replaced as a whole when the
+    batch is replayed, also if the replay yields fewer APIs.
     """
 
     def append(batch: DataFrame, epoch: int) -> None:
-        sink_by_api(batch, f"{out_dir}/epoch={epoch}", keys=("lib", "API_path"), mode="overwrite")
+        sink_by_api(batch, f"{out_dir}/epoch={epoch}", keys=("lib", "API_path"),
+                    mode="overwrite", only_keys=False)
 
     w = (call_sites(snippet_stream(spark, in_dir), libs).writeStream
          .foreachBatch(append).option("checkpointLocation", checkpoint))
