@@ -40,11 +40,18 @@ LEAST = 10
 LONGEST = 3
 TOP = 2000
 SHARE = 50
-HEAD = 1 << 17
+HEAD = 1 << 17  # 2 ** BITS
 TILE = 256
 DENSE = 1 << 13
-BLOCK = 4 << 20
-PENDING = 1 << 21
+BLOCK = 2 << 20
+#: Counts that a task holds before it puts them out: cells outside dense tiles, and texts.
+PENDING = 1 << 19
+#: Dense tiles that a task holds, of 4 bytes a cell.
+TILES = 64
+#: Rows of a batch that a task puts out.
+ROWS = 1 << 16
+#: Bits of a number in a cell's code (language, left, right).
+BITS = 17
 
 # What ends a piece, what ends a word.
 _LOW = np.arange(256, dtype=np.uint8)
@@ -56,16 +63,15 @@ _NEWLINE = 10
 
 def blocks(column: pa.Array, size: int = BLOCK):
     """Bytes of all rows, each row closed by a line end, in blocks that end with a piece."""
-    for lo, hi in slices(column, size):
-        raw, off = buffers(column.slice(lo, hi - lo))
-        data = _LOW[np.insert(raw, off[1:], _NEWLINE)]
-        while len(data) > 2 * size:
-            ends = np.flatnonzero(_ENDS[data[size:]])
-            # the line end at the very end is always found
-            cut = size + int(ends[0]) + 1
-            yield data[:cut]
-            data = data[cut:]
-        yield data
+    raw, off = buffers(column)
+    data = _LOW[np.insert(raw, off[1:], _NEWLINE)]
+    while len(data) > 2 * size:
+        ends = np.flatnonzero(_ENDS[data[size:]])
+        # the line end at the very end is always found
+        cut = size + int(ends[0]) + 1
+        yield data[:cut]
+        data = data[cut:]
+    yield data
 
 
 def words_of(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -90,14 +96,16 @@ def words_of(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _by_lang(batch: pa.RecordBatch):
-    """(language, blocks of its rows) for each language of a batch."""
-    lang = batch.column("lang")
-    for name in pc.unique(lang).to_pylist():
-        yield name, blocks(batch.filter(pc.equal(lang, name)).column("text"))
+    """(language, blocks of its rows) for each language of each few rows of a batch."""
+    for lo, hi in slices(batch.column("text"), BLOCK):
+        some = batch.slice(lo, hi - lo)
+        lang = some.column("lang")
+        for name in pc.unique(lang).to_pylist():
+            yield name, blocks(some.filter(pc.equal(lang, name)).column("text"))
 
 
 class Tiles:
-    """Counts of pairs of numbers per language; a pair is (i, j) with j under ``HEAD``."""
+    """Counts of pairs of numbers per language; a pair is (i, j), both under ``head``."""
 
     def __init__(self, head: int = HEAD, tile: int = TILE, dense: int = DENSE, pending: int = PENDING):
         self.tile, self.least, self.pending = tile, dense, pending
@@ -106,7 +114,7 @@ class Tiles:
         self.sparse: dict = {}
         self.size = 0
 
-    def add(self, lang: str, i: np.ndarray, j: np.ndarray) -> None:
+    def add(self, lang: int, i: np.ndarray, j: np.ndarray) -> None:
         t, side = self.tile, self.side
         of = (i // t) * side + j // t
         n = np.bincount(of, minlength=side * side)
@@ -119,33 +127,34 @@ class Tiles:
         for tile, got in zip(many, cells.reshape(len(many), t * t), strict=True):
             key = (lang, int(tile))
             if key in self.dense:
-                self.dense[key] += got
+                self.dense[key] += got.astype(np.int32)
             else:
-                self.dense[key] = got.copy()
-                self.size += t * t
-        code, n = np.unique(i[~inside] * HEAD + j[~inside], return_counts=True)
+                self.dense[key] = got.astype(np.int32)
+        code, n = np.unique((i[~inside] << BITS) | j[~inside], return_counts=True)
         self.sparse.setdefault(lang, []).append((code, n))
         self.size += len(code)
 
     def full(self) -> bool:
-        return self.size >= self.pending
+        return self.size >= self.pending or len(self.dense) >= TILES
 
     def drain(self):
-        """(language, i, j, n) arrays of all that was counted; the tiles are empty then."""
-        side = self.side
+        """(language, codes, counts) of all that was counted; the tiles are empty then."""
+        t, side = self.tile, self.side
         for (lang, tile), cells in self.dense.items():
             at = np.flatnonzero(cells)
-            code = (tile // side * self.tile + at // self.tile) * HEAD + tile % side * self.tile + at % self.tile
+            code = ((tile // side * t + at // t) << BITS) | (tile % side * t + at % t)
             self.sparse.setdefault(lang, []).append((code, cells[at]))
-        for lang, parts in self.sparse.items():
+        self.dense = {}
+        pa.default_memory_pool().release_unused()
+        while self.sparse:
+            lang, parts = self.sparse.popitem()
             code = np.concatenate([c for c, _ in parts])
             order = np.argsort(code, kind="stable")
             code, n = code[order], np.concatenate([c for _, c in parts])[order]
             if len(code):
                 first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-                code, n = code[first], np.add.reduceat(n, first)
-                yield lang, code // HEAD, code % HEAD, n
-        self.dense, self.sparse, self.size = {}, {}, 0
+                yield lang, code[first], np.add.reduceat(n, first)
+        self.size = 0
 
 
 class Texts:
@@ -217,39 +226,46 @@ def _words_by_lang(rows) -> dict:
 
 
 def _codes(rows) -> dict:
-    """For each language the sorted cells (i, j) of the phrases, and their numbers."""
+    """For each language the sorted cells of the phrases, and their numbers."""
     out = {}
     for lang, part in rows.groupby("lang", sort=False):
-        code = part["i"].to_numpy(np.int64) * HEAD + part["j"].to_numpy(np.int64)
+        code = part["code"].to_numpy(np.int64) & ((1 << 2 * BITS) - 1)
         order = np.argsort(code)
         out[lang] = np.stack([code[order], order])
     return out
 
 
+_COUNTED = "code long, lang string, phrase string, f long"
+
+
 def _counter(words: dict, all_words: bool, levels: list, all_levels: list, sizes: tuple):
     """The function that counts, in a task, phrases of ``len(levels) + 2`` words.
 
+    ``words`` holds the known words of each language at the places of their numbers.
     ``levels`` holds for each shorter length the cells of its known phrases and
     their numbers by language, ``all_levels`` whether these are all frequent ones;
     ``sizes`` are those of the tiles.
     """
     def run(batches):
-        value = {lang: pa.array([w.encode() for w in some], pa.binary()) for lang, some in words.items()}
+        place = {lang: k for k, lang in enumerate(words)}
         tiles, texts = Tiles(*sizes), Texts(sizes[-1])
 
         def out():
-            for lang, i, j, n in tiles.drain():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, len(i)), pa.array(i), pa.array(j),
-                     pa.nulls(len(i), pa.string()), pa.array(n.astype(np.int64))], names=["lang", "i", "j", "phrase", "f"])
+            for k, code, n in tiles.drain():
+                code, n = pa.array((k << 2 * BITS) | code), pa.array(n.astype(np.int64))
+                for lo in range(0, len(code), ROWS):
+                    some = code.slice(lo, ROWS)
+                    none = pa.nulls(len(some), pa.string())
+                    yield pa.RecordBatch.from_arrays([some, none, none, n.slice(lo, ROWS)],
+                                                     names=["code", "lang", "phrase", "f"])
             for lang, p, n in texts.drain():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, len(p)), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int64()),
-                     p.cast(pa.string()), n.cast(pa.int64())], names=["lang", "i", "j", "phrase", "f"])
+                    [pa.nulls(len(p), pa.int64()), pa.repeat(lang, len(p)), p.cast(pa.string()), n.cast(pa.int64())],
+                    names=["code", "lang", "phrase", "f"])
 
         for batch in batches:
             for lang, parts in _by_lang(batch):
-                known = value.get(lang, pa.array([], pa.binary()))
+                known = words.get(lang, pa.array([], pa.binary()))
                 for data in parts:
                     text, follows = words_of(data)
                     number = pc.fill_null(pc.index_in(text, known), -1).to_numpy().astype(np.int64)
@@ -271,12 +287,14 @@ def _counter(words: dict, all_words: bool, levels: list, all_levels: list, sizes
                             left = np.full(m, -1 if all_levels[step - 1] else -2)
                             if lang in levels[step - 1]:
                                 cell, numbers = levels[step - 1][lang]
-                                at = np.minimum(np.searchsorted(cell, a * HEAD + b), len(cell) - 1)
-                                hit = named & (cell[at] == a * HEAD + b)
+                                code = (a << BITS) | b
+                                at = np.minimum(np.searchsorted(cell, code), len(cell) - 1)
+                                hit = named & (cell[at] == code)
                                 left[hit] = numbers[at[hit]]
                             left[never] = -1
                         else:
-                            tiles.add(lang, a[named], b[named])
+                            if named.any():
+                                tiles.add(place[lang], a[named], b[named])
                             rest = np.flatnonzero(~never & ~named)
                             if len(rest):
                                 texts.add(lang, pc.binary_join_element_wise(
@@ -289,18 +307,23 @@ def _counter(words: dict, all_words: bool, levels: list, all_levels: list, sizes
 
 
 def _spelt(counted: DataFrame, left: dict, right: dict) -> DataFrame:
-    """``counted`` with the text of the phrases that are given by numbers."""
+    """``counted`` with the language and the text of the phrases that are given by a code."""
     sent = counted.sparkSession.sparkContext.broadcast((left, right))
 
     def run(batches):
         first, second = sent.value
+        langs, low = list(second), (1 << BITS) - 1
         for batch in batches:
-            phrase = [p if p is not None else f"{first[lang][i]} {second[lang][j]}" for lang, i, j, p in zip(
-                *[batch.column(c).to_pylist() for c in ("lang", "i", "j", "phrase")], strict=True)]
-            yield batch.set_column(3, "phrase", pa.array(phrase, pa.string()))
+            lang, phrase = batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()
+            for k, code in enumerate(batch.column("code").to_pylist()):
+                if code is not None:
+                    lang[k] = langs[code >> 2 * BITS]
+                    phrase[k] = f"{first[lang[k]][code >> BITS & low]} {second[lang[k]][code & low]}"
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("code"), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), batch.column("f")],
+                names=["code", "lang", "phrase", "f"])
 
-    return counted.select("lang", "i", "j", "phrase", "f").mapInArrow(
-        run, "lang string, i long, j long, phrase string, f long")
+    return counted.select("code", "lang", "phrase", "f").mapInArrow(run, _COUNTED)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, head: int = HEAD, tile: int = TILE,
@@ -317,24 +340,31 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, h
     out = every.where(F.col("f") >= least)
     rows, all_words = _head(out, head)
     words = names = _words_by_lang(rows)
+    known = {lang: pa.array([w.encode() for w in some], pa.binary()) for lang, some in words.items()}
     out = out.select("lang", F.lit(1).alias("size"), "phrase", "f")
     levels, all_levels = [], []
     for size in range(2, longest + 1):
-        sent = spark.sparkContext.broadcast((words, all_words, levels, all_levels))
+        sent = spark.sparkContext.broadcast((known, all_words, levels, all_levels))
 
         def run(batches, sent=sent):
             return _counter(*sent.value, (head, tile, dense, pending))(batches)
 
-        # numbers depend on the words alone, so all of a phrase is counted either by number or as text
-        counted = (texts.mapInArrow(run, "lang string, i long, j long, phrase string, f long")
-                   .groupBy("lang", "i", "j", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-        counted = phase(_spelt(counted, names, words))
+        counted = texts.mapInArrow(run, _COUNTED)
+        if all_words and all(all_levels):
+            # all that counts has a code; tasks have put their counts together, so they go straight to the shuffle
+            counted = counted.select("code", "f").repartition("code").groupBy("code").agg(F.sum("f").alias("f"))
+            none = F.lit(None).cast("string")
+            counted = counted.select("code", none.alias("lang"), none.alias("phrase"), "f")
+        else:
+            # codes depend on the words alone, so all of a phrase is counted either by code or as text
+            counted = counted.groupBy("code", "lang", "phrase").agg(F.sum("f").alias("f"))
+        counted = phase(_spelt(counted.where(F.col("f") >= least), names, words))
         out = out.unionByName(counted.select("lang", F.lit(size).alias("size"), "phrase", "f"))
         if size < longest:
-            rows, whole = _head(counted.where("i is not null"), head)
+            rows, whole = _head(counted.where("code is not null"), head)
             names = _words_by_lang(rows)
             levels = [*levels, _codes(rows)]
-            all_levels = [*all_levels, whole and counted.where("i is null").isEmpty()]
+            all_levels = [*all_levels, whole and counted.where("code is null").isEmpty()]
     return out.join(total, "lang")
 
 

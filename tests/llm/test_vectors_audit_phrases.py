@@ -246,7 +246,7 @@ def test_long_text_is_counted_in_blocks(spark, monkeypatch):
     rows = phrase_rows(9)
     text = " ".join(t or "" for _, t, _, _ in rows)
     for size in (7, 100, 5000):
-        parts = list(collocations.blocks(pa.array([text, "", "end"]), size))
+        parts = list(collocations.blocks(pa.array([text, "", "end"], pa.string()), size))
         assert b"".join(p.tobytes() for p in parts).decode() == re.sub("[A-Z]", lambda m: m[0].lower(), f"{text}\n\nend\n")
         got = sum((collocations.words_of(p)[0].to_pylist() for p in parts), [])
         assert got == [x.encode() for x in re.findall(r"[^\x20\x09-\x0D.,;:!?]+", text.lower())] + [b"end"]
