@@ -39,7 +39,10 @@ WORDS_FROM = 100
 #: Classes of characters, among them the white space and the symbols of the base rules.
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()\-",
            "symbol": r"#*$%&|<>"}
-_POSITION = 23  # bits of a word's place in its text
+# Bits of a window's place and of its hash in one number; texts with more words, or with windows
+# that share a hash and differ, go by whole hashes.
+_POSITION = 23
+_HASH = 39
 
 
 def _words(text: Column) -> Column:
@@ -127,44 +130,60 @@ def judge(docs: DataFrame, chars: dict, words: dict) -> DataFrame:
     text, parts = F.col("text"), F.col("words")
     rows = _texts(docs).select("doc_id", "text", _words(text).alias("words"), _marks(text).alias("marks"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    mask = (1 << (62 - _POSITION)) - 1
+    mask = (1 << _HASH) - 1
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def hashed(i: Column) -> Column:
+        return F.xxhash64(F.get(parts, i), F.get(parts, i + 1), F.get(parts, i + 2))
 
     def window(i: Column) -> Column:
-        h = F.xxhash64(F.get(parts, i), F.get(parts, i + 1), F.get(parts, i + 2))
-        return F.shiftleft(h.bitwiseAND(F.lit(mask)), _POSITION).bitwiseOR(i.cast("long"))
+        return F.shiftleft(hashed(i).bitwiseAND(F.lit(mask)), _POSITION).bitwiseOR(i.cast("long"))
 
     def slot(w: Column) -> Column:
         h = F.xxhash64(F.lower(w))
         at = F.pmod(h, F.lit(size)).cast("int")
         return F.when(F.get(table, at) == h, at).otherwise(F.lit(-1))
 
-    some = F.size("words") >= 3
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0)))
+    wide = F.size("words") > (1 << _POSITION)
     rows = rows.select(
         "doc_id", "words", F.size("words").cast("long").alias("n_words"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.length(text).alias("n_chars"), *_classes(text, parts, F.col("marks")),
-        F.when(some, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 3), window)))
-        .otherwise(F.expr("cast(array() as array<bigint>)")).alias("windows"),
+        F.when((F.size("words") >= 3) & ~wide, F.sort_array(F.transform(starts, window))).otherwise(none).alias("windows"),
         F.sort_array(F.filter(F.transform(parts, slot), lambda x: x >= 0)).alias("slots"))
-
-    # of windows sorted by hash and place, equal ones are neighbours; the
-    # words themselves decide
-    windows = F.col("windows")
+    kept = [c for c in rows.columns if c not in ("words", "windows", "slots")]
 
     def place(x: Column) -> Column:
         return x.bitwiseAND(F.lit((1 << _POSITION) - 1)).cast("int")
 
-    def equal(x: Column, y: Column) -> Column:
-        a, b = place(x), place(y)
-        return F.coalesce((F.shiftright(x, _POSITION) == F.shiftright(y, _POSITION))
-                          & (F.get(parts, a) == F.get(parts, b)) & (F.get(parts, a + 1) == F.get(parts, b + 1))
-                          & (F.get(parts, a + 2) == F.get(parts, b + 2)), F.lit(False))
+    def same(a: Column, b: Column) -> Column:
+        return ((F.get(parts, a) == F.get(parts, b)) & (F.get(parts, a + 1) == F.get(parts, b + 1))
+                & (F.get(parts, a + 2) == F.get(parts, b + 2)))
 
-    again = F.filter(windows, lambda x, j: equal(x, F.get(windows, j - 1)) | equal(x, F.get(windows, j + 1)))
+    # of windows sorted by hash and place, equal ones are neighbours; the words themselves decide: 1 where
+    # a window is that before it, 2 where only their hashes agree
+    def meets(x: Column, y: Column, equal_hash: Column, at) -> Column:
+        return F.when(equal_hash, F.when(same(at(x), at(y)), 1).otherwise(2)).otherwise(0)
+
+    windows = F.col("windows")
+    before = F.transform(windows, lambda x, j: F.when(j > 0, meets(
+        x, F.get(windows, j - 1), F.shiftright(x, _POSITION) == F.shiftright(F.get(windows, j - 1), _POSITION), place
+    )).otherwise(0))
+    rows = rows.withColumn("before", before)
+    again = wide | F.array_contains("before", 2)
+    rows = rows.withColumn("whole", F.when(again, F.sort_array(F.transform(
+        starts, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))))
+    whole = F.col("whole")
+    rows = rows.withColumn("before", F.when(whole.isNull(), F.col("before")).otherwise(F.transform(
+        whole, lambda x, j: F.when(j > 0, meets(x, F.get(whole, j - 1), x["h"] == F.get(whole, j - 1)["h"],
+                                                lambda y: y["i"])).otherwise(0))))
+    number = F.col("before")
+    met = F.filter(F.sequence(F.lit(0), F.size(number)), lambda j: (F.get(number, j) == 1) | (F.get(number, j + 1) == 1))
     seen = F.col("slots")
-    kept = [c for c in rows.columns if c not in ("words", "windows", "slots")]
     rows = rows.select(
-        *kept, F.sort_array(F.transform(again, place)).alias("places"), "slots",
+        *kept, F.sort_array(F.when(whole.isNull(), F.transform(met, lambda j: place(F.get(windows, j)))).otherwise(
+            F.transform(met, lambda j: F.get(whole, j)["i"]))).alias("places"), "slots",
         F.filter(F.sequence(F.lit(0), F.size(seen)), lambda i: (i == 0) | (F.get(seen, i) != F.get(seen, i - 1))
                  | (i == F.size(seen))).alias("firsts"))
     places, firsts = F.col("places"), F.col("firsts")

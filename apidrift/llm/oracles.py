@@ -59,6 +59,7 @@ base AS (
     length(array_to_string(words, '')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    length(regexp_replace(t, '[^a-z]+', '', 'g')) AS n_lower,
     length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper,
     length(regexp_replace(t, '[^0-9]+', '', 'g')) AS n_digit,
     length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS n_stop
@@ -69,9 +70,9 @@ again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c)
 covered AS (SELECT k, count(DISTINCT i + s) AS n FROM again, (VALUES (0), (1), (2)) AS o(s) GROUP BY k),
 shares AS (
   SELECT k, lang, n_chars, c, CASE c WHEN 0 THEN n_upper WHEN 1 THEN n_digit WHEN 2 THEN n_chars - word_chars
-    WHEN 3 THEN n_stop WHEN 4 THEN n_symbols
-    ELSE n_chars - n_upper - n_digit - (n_chars - word_chars) - n_stop - n_symbols END AS n
-  FROM base, (VALUES (0), (1), (2), (3), (4), (5)) AS o(c)),
+    WHEN 3 THEN n_stop WHEN 4 THEN n_symbols WHEN 5 THEN n_lower
+    ELSE n_chars - n_lower - n_upper - n_digit - (n_chars - word_chars) - n_stop - n_symbols END AS n
+  FROM base, (VALUES (0), (1), (2), (3), (4), (5), (6)) AS o(c)),
 cref AS (SELECT lang, c, sum(n)::DOUBLE / sum(n_chars) AS q FROM shares WHERE lang IS NOT NULL GROUP BY lang, c
          HAVING sum(n_chars) > 0),
 cparts AS (SELECT s.k, r.lang, s.n::DOUBLE / s.n_chars AS p, r.q FROM shares s JOIN cref r ON s.c = r.c WHERE s.n_chars > 0),
