@@ -10,17 +10,20 @@ Segments lie in blocks.  For each passage the greatest impacts of its words
 in each block are added up, for a whole slice of documents at once; only
 passages that could reach the threshold somewhere go on to block-max WAND,
 which returns all segments whose score is above it.  A hit counts when the
-document also has at least ``OVERLAP`` of the five-word runs of the
-segment's question and of its answer (the part behind the last line end).
+document also holds both the item's question and its answer (the part behind
+the last line end), whichever of its segments was hit: at least ``OVERLAP`` of
+the part's five-word runs, or of those of one stretch of a part with more than
+``SEGMENT`` runs.  A part of fewer than five words is one run of all its words.
 
 The index goes to the tasks in shards of ``SHARD_WORDS`` words, so what is
 broadcast doesn't grow with the benchmark; its word statistics are those of
 the whole benchmark.
 
 Defined cases: null texts are empty; an empty text has no passage; items
-without a run of five words in any part are never found; items that share
-an id are one item; a repeated document is found as often as it occurs, and
-``matches`` names each pair of ids once.  No items: no matches.
+without words are never found; a part without words asks for nothing; texts
+that share an id are one item, found with any of them; a repeated document is
+found as often as it occurs, and ``matches`` names each pair of ids once.  No
+items: no matches.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apidrift.llm import wordhash
-from apidrift.llm.common import ROW, buffers, packed, slices, texts_of
+from apidrift.llm.common import ROW, buffers, checkpoint, packed, slices, texts_of
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -41,12 +44,13 @@ SEGMENT = 64
 HALF = 48
 BLOCK = 2
 SHARD_WORDS = 20_000
+HALVES = 2048
 _WORD_GAP = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def segments(items: DataFrame) -> DataFrame:
-    """(item_id, segment, question, answer, df): words of each segment's parts, and the
-    number of segments that have each of its words.
+    """(item_id, segment, words, n_question, text_key, key, df): words of each segment, how many of
+    them are the question's, and the number of segments that have each of its words.
 
     ``items`` has ``item_id`` and ``text``.
     """
@@ -60,14 +64,18 @@ def segments(items: DataFrame) -> DataFrame:
     parts = (items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("t"), answer.alias("a"))
              .select("item_id", words(question).alias("q"), words(F.col("a")).alias("w")))
     both = parts.select("item_id", F.size("q").alias("n_question"), F.concat("q", "w").alias("words"))
+    both = both.withColumn("text_key", F.xxhash64("item_id", "n_question", "words"))
+    # segments of one text are equally long, so that none is a short rest
+    n = F.ceil(F.size("words") / SEGMENT).cast("int")
+    size = F.ceil(F.size("words") / n).cast("int")
     cut = both.where(F.size("words") > 0).select(
-        "item_id", "words", "n_question",
-        F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT))).alias("segment"))
-    first = F.col("segment") * SEGMENT
-    own = F.slice("words", (first + 1).cast("int"), SEGMENT)
-    cut = cut.select("item_id", "segment", own.alias("words"),
+        "item_id", "words", "n_question", "text_key", size.alias("size"), F.explode(F.sequence(F.lit(0), n - 1)).alias("segment"))
+    first = F.col("segment") * F.col("size")
+    own = F.slice("words", first + 1, F.col("size"))
+    cut = cut.select("item_id", "text_key", "segment", own.alias("words"),
                      F.greatest(F.lit(0), F.least(F.size(own), F.col("n_question") - first)).alias("n_question"))
-    cut = cut.withColumn("key", F.xxhash64("item_id", "segment", "words"))
+    cut = cut.where(F.size("words") > 0)
+    cut = cut.withColumn("key", F.xxhash64("text_key", "segment")).dropDuplicates(["key"])
     each = cut.select("key", "item_id", "segment", F.explode(F.array_distinct("words")).alias("word"))
     df = each.groupBy("word").agg(F.count("*").alias("df"))
     known = each.join(df, "word").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "df"))).alias("df"))
@@ -79,16 +87,26 @@ class Index:
 
     def __init__(self, rows: list, n: int, mean: float):
         """rows: of ``segments``; n and mean: number and mean length of all segments."""
-        self.items = [r["item_id"] for r in rows]
-        self.runs, postings = [], []
+        # the texts of items: their ids, and the runs of question and answer, width and stretches
+        self.items, self.runs, self.text_of = [], [], []
+        whole: dict[int, list] = {}
+        for r in rows:
+            whole.setdefault(r["text_key"], []).append(r)
+        place = {key: i for i, key in enumerate(whole)}
+        for own in whole.values():
+            own.sort(key=lambda r: r["segment"])
+            h = _hash_words([w for r in own for w in r["words"]])
+            n_question = sum(r["n_question"] for r in own)
+            self.items.append(own[0]["item_id"])
+            self.runs.append([])
+            for part in (h[:n_question], h[n_question:]):
+                runs = _runs(part, min(len(part), RUN))
+                self.runs[-1].append((min(len(part), RUN), np.array_split(runs, max(1, -(-len(runs) // SEGMENT)))))
+        postings = []
         for s, r in enumerate(rows):
+            self.text_of.append(place[r["text_key"]])
             words = list(r["words"])
             h = _hash_words(words)
-            parts = []
-            for part in (h[:r["n_question"]], h[r["n_question"]:]):
-                got, _ = wordhash.shingles(part, np.zeros(len(part), np.int64), 1, RUN)
-                parts.append(np.unique(got) if len(part) >= RUN else got[:0])
-            self.runs.append(parts)
             term, at, tf = np.unique(h, return_index=True, return_counts=True)
             df = np.array([r["df"][words[i]] for i in at], float)
             idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -170,31 +188,47 @@ class Index:
         pair = np.unique(half * n + term)
         half, term = pair // n, pair % n
         begin = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1])))
-        here, bound = half[begin], np.add.reduceat(self.most[term], begin, axis=0)
+        here = half[begin]
         stop = np.append(begin[1:], len(half))
         row_of = np.searchsorted(first_half, here, side="right") - 1
         # a passage is a half and the next one of the same document, if it has words of the index
         follows = np.zeros(len(here), bool)
         follows[:-1] = (here[1:] == here[:-1] + 1) & (row_of[1:] == row_of[:-1])
-        both = bound.copy()
-        both[:-1][follows[:-1]] += bound[1:][follows[:-1]]
         best: dict[tuple[int, int], float] = {}
-        for k in np.flatnonzero((both >= least).any(axis=1)):
-            t = term[begin[k]:stop[k + 1] if follows[k] else stop[k]]
-            for s, score in self.search(np.unique(t).tolist(), least):
-                key = (int(row_of[k]), s)
-                best[key] = max(best.get(key, 0.0), score)
+        # sums for some halves at a time, so that memory doesn't grow with the length of a text
+        for lo in range(0, len(here), HALVES):
+            hi = min(lo + HALVES + 1, len(here))
+            bound = np.add.reduceat(self.most[term[begin[lo]:stop[hi - 1]]], begin[lo:hi] - begin[lo], axis=0)
+            both = bound.copy()
+            both[:-1][follows[lo:hi - 1]] += bound[1:][follows[lo:hi - 1]]
+            for k in lo + np.flatnonzero((both[:HALVES] >= least).any(axis=1)):
+                t = term[begin[k]:stop[k + 1] if follows[k] else stop[k]]
+                for s, score in self.search(np.unique(t).tolist(), least):
+                    key = (int(row_of[k]), self.text_of[s])
+                    best[key] = max(best.get(key, 0.0), score)
         out, runs = [], {}
-        for (r, s), score in sorted(best.items()):
-            if r not in runs:
-                w = h[first_word[r]:first_word[r + 1]]
-                runs[r] = np.unique(wordhash.shingles(w, np.zeros(len(w), np.int64), 1, RUN)[0])
-            share = [float(np.isin(p, runs[r]).mean()) if len(p) else None for p in self.runs[s]]
-            if any(x is not None for x in share) and all(x is None or x >= overlap for x in share):
-                out.append((r, self.items[s], float(score), share[0], share[1]))
+
+        def share(r: int, width: int, stretches: list) -> float | None:
+            if not width:
+                return None
+            if (r, width) not in runs:
+                runs[r, width] = np.unique(_runs(h[first_word[r]:first_word[r + 1]], width))
+            return max(float(np.isin(own, runs[r, width]).mean()) for own in stretches)
+
+        for (r, i), score in sorted(best.items()):
+            found = [share(r, *part) for part in self.runs[i]]
+            if any(x is not None for x in found) and all(x is None or x >= overlap for x in found):
+                out.append((r, self.items[i], float(score), found[0], found[1]))
         return out
 
 
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words; none if there are fewer."""
+    if not width or len(words) < width:
+        return np.zeros(0, np.uint64)
+    return wordhash.shingles(words, np.zeros(len(words), np.int64), 1, width)[0]
+
+
 def _hash_words(words: list[str]) -> np.ndarray:
     data, offsets = buffers(pa.array([" ".join(words)]))
     start, end, _ = wordhash.spans(data, offsets)
@@ -203,16 +237,16 @@ def _hash_words(words: list[str]) -> np.ndarray:
 
 def indexes(items: DataFrame) -> list[Index]:
     """The index of all items, in shards of bounded size."""
-    cut = segments(items)
+    cut = checkpoint(segments(items))
     n, words = cut.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     if not n:
         return []
     shards = -(-words // SHARD_WORDS)
     out = []
     for k in range(shards):
-        # one shard at a time: about SHARD_WORDS words
-        own = cut.where(F.pmod("key", F.lit(shards)) == k) if shards > 1 else cut
-        out.append(Index(own.orderBy("item_id", "segment", "key").collect(), n, words / n))
+        # one shard at a time: about SHARD_WORDS words, and all segments of a text
+        own = cut.where(F.pmod("text_key", F.lit(shards)) == k) if shards > 1 else cut
+        out.append(Index(own.orderBy("item_id", "text_key", "segment").collect(), n, words / n))
     return out
 
 
