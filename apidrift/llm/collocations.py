@@ -281,7 +281,8 @@ def _counter(words: dict, all_words: bool, levels: list, all_levels: list, sizes
                         reach = reach[:m] & follows[step:]
                         a, b = left[:m], number[step:]
                         out_of_head = b < 0
-                        never = ~reach | (a == -1) | (out_of_head & all_words)
+                        # both phrases that are one word shorter must be possible
+                        never = ~reach | (a == -1) | (left[1:m + 1] == -1) | (out_of_head & all_words)
                         named = ~never & (a >= 0) & ~out_of_head
                         if step <= len(levels):
                             left = np.full(m, -1 if all_levels[step - 1] else -2)
