@@ -8,9 +8,9 @@ logarithms over its words, and the answer is the language with the highest.
 
 The probabilities come from expectation maximisation over word counts of a
 bounded sample of labelled documents (``SAMPLE`` per language, about, chosen
-by a hash of the id): Spark counts words, each round's tasks return expected
-piece counts by a forward and a backward pass, and their sum, whose size is
-vocabulary times languages, makes the next probabilities.
+by a hash of the id): Spark counts words, each round's tasks compute expected
+piece counts by a forward and a backward pass, and Spark adds these up; the
+sums, vocabulary times languages at most, make the next probabilities.
 
 Words are runs of letters, lower case, with the vocabulary's mark of a
 word's start in front; runs over ``LONGEST`` letters count as several words.
@@ -37,7 +37,6 @@ SAMPLE = 1500
 ROUNDS = 4
 PRIOR = 0.05
 LONGEST = 32
-WIDEST = 12
 MARK = "▁"
 UNKNOWN = "und"
 KEPT = 1 << 20
@@ -106,8 +105,8 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (model.id_to_piece(i) for i in range(model.get_piece_size())
                  if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        self.pieces = sorted({p for p in names if (q := p.removeprefix(MARK)).isalpha() and q == q.lower()
-                              and len(p) <= WIDEST} | {MARK})
+        self.pieces = sorted({p for p in names if (q := p.removeprefix(MARK)).isalpha() and q == q.lower()} | {MARK})
+        self.widest = max(map(len, self.pieces))
         chars, at = _chars(self.pieces)
         key = Text(chars).hash(at[:-1], at[1:])
         number = np.arange(1, len(key) + 1)
@@ -140,7 +139,7 @@ def lattice(text: Text, start: np.ndarray, size: np.ndarray, vocabulary: Vocabul
     """Pieces of words that all have the same length: yields (end, length, numbers of all words)."""
     n = int(size[0])
     for end in range(1, n + 1):
-        for wide in range(1, min(end, WIDEST) + 1):
+        for wide in range(1, min(end, vocabulary.widest) + 1):
             number = vocabulary.find(text.hash(start + end - wide, start + end))
             if wide == 1 or number.any():
                 yield end, wide, number
@@ -281,12 +280,16 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE,
                 c[np.arange(len(start)), lang[row]] = n[row]
                 if len(start):
                     total += expected_counts(text, start, width, vocab, sent.value, c)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
-
-        # one array of vocabulary times languages from each of 8 tasks
-        got = [np.frombuffer(r[0]).reshape(size, k)
-               for r in counts.select("word", "lang", "n").mapInArrow(expect, "total binary").collect()]
-        total = sum(got) + PRIOR
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel()[cell])], names=["cell", "n"])
+
+        # tasks put out the cells that they touched, and Spark adds them up: one
+        # number for each piece and language, however many tasks there are
+        got = (counts.select("word", "lang", "n").mapInArrow(expect, "cell long, n double")
+               .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
+        total = np.full(size * k, PRIOR)
+        total[got.column("cell").to_numpy()] += got.column("n").to_numpy()
+        total = total.reshape(size, k)
         p = total / total.sum(axis=0)
         sent.unpersist()
     return langs, p
