@@ -9,10 +9,10 @@ their low-rank vectors; with the identity
 that takes time linear in the number of features.
 
 Training uses a bounded sample of labelled rows (``SAMPLE``, those with the
-smallest hash of the id).  Spark computes their features; a fixed number of
-tasks each run an epoch of stochastic gradient steps on their share from
-the same start, the mean of the results starts the next epoch.  Models have
-a fixed size.  Scoring is one pass over the documents.
+smallest hash of the id), one text an id.  One task runs all epochs of
+stochastic gradient steps over it in an order that the ids alone decide, so
+the machine is the same however the data are partitioned.  It has a fixed size.
+Scoring is one pass over the documents.
 
 Defined cases: null text counts as empty, and an empty text is scored from
 its structure alone; labels that are null are left out; ids labelled more
@@ -28,14 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apidrift.llm import wordhash
-from apidrift.llm.common import ROW, buffers, checkpoint, crc_mod, packed, slices, texts_of
+from apidrift.llm.common import ROW, buffers, crc_mod, packed, slices, texts_of
 
 SAMPLE = 6000
 WORDS = 1 << 16
 BINS = 10
 RANK = 8
 EPOCHS = 8
-SHARES = 4
 THRESHOLD = 0.7
 RATE = 0.1
 
@@ -159,53 +158,32 @@ class Machine:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Machine | None:
     """A machine for the labels, from at most ``sample`` documents; None without any."""
-    spark = docs.sparkSession
     label = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
              .where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
-    def extract(batches):
-        for batch in batches:
-            for lo, hi in slices(batch.column("text")):
-                row, number, value = features(batch.column("text").slice(lo, hi - lo))
-                at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo),
-                     pa.ListArray.from_arrays(pa.array(at), pa.array(number.astype(np.int32))),
-                     pa.ListArray.from_arrays(pa.array(at), pa.array(value))],
-                    names=["doc_id", "label", "number", "value"])
-
-    # the sample has at most ``sample`` rows of two numbers
-    rows = texts_of(docs).join(F.broadcast(label), "doc_id").select("doc_id", "label", "text").mapInArrow(
-        extract, "doc_id long, label int, number array<int>, value array<float>")
-    rows = checkpoint(rows.repartition(SHARES, F.xxhash64("doc_id")))
-    n, positive = rows.agg(F.count("*"), F.sum("label")).first()
-    if not n:
-        return None
-    odds = (positive + 0.5) / (n - positive + 0.5)
-    machine = Machine(float(np.log(odds)))
-    for epoch in range(epochs):
-        sent = spark.sparkContext.broadcast(machine.pack())
-
-        def step(batches, sent=sent, epoch=epoch):
-            own, ids, part, y = Machine.unpack(sent.value), [], [], []
-            for batch in batches:
-                number, value = batch.column("number"), batch.column("value")
-                ids += batch.column("doc_id").to_pylist()
-                y += batch.column("label").to_pylist()
-                part += [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(number, value, strict=True)]
-            order = np.random.default_rng(epoch).permutation(np.argsort(np.array(ids, np.int64), kind="stable"))
-            if len(ids):
-                own.epoch([part[i] for i in order], np.array(y, np.float64)[order], RATE)
-            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([own.pack()], pa.binary())],
-                                             names=["n", "machine"])
-
-        # SHARES models of fixed size
-        got = [(r["n"], np.frombuffer(r["machine"], "<f8")) for r in rows.mapInArrow(step, "n long, machine binary")
-               .collect() if r["n"]]
-        machine = Machine.unpack(sum(k * a for k, a in got) / sum(k for k, _ in got))
-        sent.unpersist()
-    return machine
+    def train(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("doc_id")
+        y = table.column("label").to_numpy().astype(np.float64)
+        rows = []
+        column = table.column("text").chunk(0)
+        for lo, hi in slices(column):
+            row, number, value = features(column.slice(lo, hi - lo))
+            at = np.searchsorted(row, np.arange(hi - lo + 1))
+            rows += [(number[i:j], value[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        odds = (y.sum() + 0.5) / (len(y) - y.sum() + 0.5)
+        machine = Machine(float(np.log(odds)))
+        for epoch in range(epochs):
+            order = np.random.default_rng(epoch).permutation(len(rows))
+            machine.epoch([rows[i] for i in order], y[order], RATE)
+        return pa.table({"machine": pa.array([machine.pack()], pa.binary())})
+
+    # at most ``sample`` rows of two numbers are sent, and as many documents come back: of several rows
+    # of an id the one whose text has the least hash
+    rows = texts_of(docs).join(F.broadcast(label), "doc_id").groupBy("doc_id", "label").agg(
+        F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "label", "t.text")
+    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(train, "machine binary").collect()
+    return Machine.unpack(got[0]["machine"]) if got else None
 
 
 def score(docs: DataFrame, machine: Machine | None, keep: list[str] | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def test_forward_sums_all_segmentations():
         word = langid.MARK + word
         total = [np.ones(3)] + [np.zeros(3) for _ in word]
         for e in range(1, len(word) + 1):
-            for k in range(1, min(e, langid.WIDEST) + 1):
+            for k in range(1, e + 1):
                 n = number.get(word[e - k:e])
                 if n or k == 1:
                     total[e] = total[e] + total[e - k] * p[n or 0]
@@ -100,7 +100,7 @@ def _index(items):
     for i, text in enumerate(items):
         w = regex.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
         df.update(set(w))
-        rows.append({"item_id": i, "words": w, "n_question": len(w)})
+        rows.append({"item_id": i, "text_key": i, "segment": 0, "words": w, "n_question": len(w)})
     for r in rows:
         r["df"] = {w: df[w] for w in r["words"]}
     return decontam.Index(rows, len(rows), sum(len(r["words"]) for r in rows) / len(rows))
@@ -147,9 +147,50 @@ def test_question_and_answer_must_both_be_there(spark):
          (3, f"{fill} {answer} {fill}"), (4, "four words are few"), (5, f"{fill} {question} {fill} {answer}")],
         "doc_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, items).collect()]
+    # an item of four words is one run of four
+    assert (4, 3) in got
+    got.remove((4, 3))
     assert got[0] == (1, 1) and {d for d, _ in got} <= {1, 5}
 
 
+def test_short_parts_are_asked_for(spark):
+    fill = " ".join(f"filler{i}" for i in range(150))
+    items = spark.createDataFrame([(1, "who is it\nthe grey one"), (2, "what is the capital of the northern province today\nAmbervale"),
+                                   (3, "one more question without any answer here"), (4, "\n"), (5, "a\nb")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, f"{fill} Who is it\nThe grey one. {fill}"), (2, f"{fill} who is it the grey {fill}"),
+         (3, f"{fill} what is the capital of the northern province today? Ambervale! {fill}"),
+         (4, f"{fill} what is the capital of the northern province today? Elsewhere. {fill}"),
+         (5, f"{fill} one more question without any answer here {fill}"), (6, fill)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.matches(docs, items).collect())
+    assert got == [(1, 1), (3, 2), (5, 3)]
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()) == [2, 4, 6]
+
+
+def test_question_and_answer_of_a_long_item_in_other_segments(spark):
+    rng = random.Random(5)
+    question = " ".join(f"q{rng.randrange(10**6)}" for _ in range(150))
+    answer = " ".join(f"a{rng.randrange(10**6)}" for _ in range(70))
+    fill = " ".join(f"filler{i}" for i in range(150))
+    items = spark.createDataFrame([(1, f"{question}\n{answer}")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{question} {fill} {answer}"), (2, f"{fill} {question}"), (3, answer),
+                                  (4, " ".join(answer.split()[-8:]))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, items).collect()] == [(1, 1)]
+
+
+def test_sums_for_some_halves_at_a_time(monkeypatch):
+    rng = random.Random(7)
+    items = [" ".join(f"w{int(rng.random() ** 2 * 80)}" for _ in range(rng.randint(8, 40))) for _ in range(30)]
+    index = _index(items)
+    text = " ".join(" ".join([f"w{rng.randrange(80)}" for _ in range(rng.randint(0, 200))] + [rng.choice(items)]) for _ in range(60))
+    column = pa.array([text, "", items[0], text[::-1]])
+    want = index.hits(column)
+    assert want
+    for n in (1, 2, 7):
+        monkeypatch.setattr(decontam, "HALVES", n)
+        assert index.hits(column) == want
+
+
 def test_long_items_are_found_by_their_segments(spark):
     rng = random.Random(4)
     item = " ".join(f"t{rng.randrange(10**6)}" for _ in range(400))
@@ -161,7 +202,12 @@ def test_long_items_are_found_by_their_segments(spark):
 # quality rules
 
 
-def test_divergence_counts(documents, odd):
+# few bits: windows that share a hash and differ, and texts with more words than a place can tell
+@pytest.mark.parametrize("bits", [None, (23, 2), (5, 39), (6, 3)])
+def test_divergence_counts(documents, odd, monkeypatch, bits):
+    if bits:
+        monkeypatch.setattr(divergence, "_POSITION", bits[0])
+        monkeypatch.setattr(divergence, "_HASH", bits[1])
     both = documents.select("doc_id", "text", "lang").unionByName(
         odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text", "lang"))
     rows = both.collect()
