@@ -265,6 +265,36 @@ def test_letters_swapped_for_odd_marks_fail(spark):
     assert got[99]["character_distance"] > divergence.CHARACTER_LIMIT and not got[99]["kept"]
 
 
+# the machine is the same however the data are partitioned
+
+
+def test_quality_is_the_same_for_any_partitions(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["good", "words", "here", "and", "there"] if i % 2 else ["BUY", "now", "$$$", "click"], k=rng.randint(5, 60)))
+             for i in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "another text of the same id"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(5, 0), (6, None), (None, 1)], "doc_id long, quality int")
+    got = [quality_fm.learn(docs.repartition(n), labels.repartition(n)).pack() for n in (1, 4, 37)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_pieces_of_any_length_count():
+    vocabulary = langid.Vocabulary.of(langid.default_vocabulary())
+    longest = max(vocabulary.pieces, key=len)
+    assert vocabulary.widest == len(longest) > 12
+    word = longest.removeprefix(langid.MARK)
+    text, start, size, _ = langid._words([word])
+    number = vocabulary.pieces.index(longest) + 1
+    p = np.full((len(vocabulary), 2), 1e-9)
+    p[number, 1] = 0.5
+    got = langid.word_probabilities(text, start, size, vocabulary, p)
+    if longest.startswith(langid.MARK):
+        assert got[0, 1] == pytest.approx(math.log(0.5), abs=1e-3)
+    else:
+        assert got[0, 1] > got[0, 0]
+
+
 # pages
 
 
