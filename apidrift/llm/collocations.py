@@ -43,7 +43,7 @@ SHARE = 50
 HEAD = 1 << 17  # 2 ** BITS
 TILE = 256
 DENSE = 1 << 13
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Counts that a task holds before it puts them out: cells outside dense tiles, and texts.
 PENDING = 1 << 19
 #: Dense tiles that a task holds, of 4 bytes a cell.
