@@ -27,7 +27,7 @@ _INTS = ("visit_no", "line", "end_line", "rel_start", "rel_end", "block_no")
 
 
 def _pass_fn(libs, want, classes, batch_chars, by_file=False):
-    """``by_file``: the third column holds the targets (class, method) of each file."""
+    """``by_file``: the third column holds the targets of each file, null where its function calls are asked for."""
     libs, want = tuple(libs), tuple(want)
     classes = None if classes is None else frozenset(classes)
     kept = 3 if by_file else 2
@@ -49,8 +49,14 @@ def _pass_fn(libs, want, classes, batch_chars, by_file=False):
         def records(b, i, text):
             if not by_file:
                 return scan_file(text.as_py(), libs=libs, want=want, classes=classes)
-            own = {(t["class"], t["method"]) for t in b.column(2)[i].as_py()}
-            return scan_file(text.as_py(), libs=libs, want=want, classes=frozenset(c for c, _ in own), targets=own)
+            targets = b.column(2)[i].as_py()
+            if targets is None:
+                return scan_file(text.as_py(), libs=libs, want=("fcall",))
+            own: dict = {}
+            for t in targets:
+                own.setdefault((t["class"], t["method"]), []).append(t.get("lib"))
+            found = scan_file(text.as_py(), want=want, classes=frozenset(c for c, _ in own), targets=own)
+            return [{**r, "lib": lib} for r in found for lib in sorted(own.get((r["target"], r["method"]), [None]), key=str)]
 
         for b in batches:
             rows, idx, size = [], [], 0
@@ -88,16 +94,41 @@ def parse_pass(files: DataFrame, libs=(), want=("fcall",), classes=None,
     return src.mapInArrow(_pass_fn(libs, want, classes, batch_chars), schema)
 
 
-def parse_targets(files: DataFrame, want=("msite",), keep=(), batch_chars: int = BATCH_CHARS) -> DataFrame:
+def parse_targets(files: DataFrame, want=("msite",), keep=(), libs=(), batch_chars: int = BATCH_CHARS) -> DataFrame:
     """``parse_pass`` for method targets that go with each file.
 
     ``files`` has file_id, content and ``targets``, an array of (class,
-    method) (``index.files_of_targets``).  Only classes of a file's own targets
-    are tracked, and only calls of its targets are placed, cut and put out.
+    method) or (class, method, lib) (``index.files_of_targets``).  Only classes of
+    a file's own targets are tracked, and only calls of its targets are placed,
+    cut and put out, with the target's ``lib``.  Files whose targets are null
+    are asked for function calls of ``libs`` instead, so that one pass serves
+    both kinds.
     """
     src = files.select("file_id", "content", "targets", *keep)
     keep_schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in src.schema.fields[3:])
-    return src.mapInArrow(_pass_fn((), want, None, batch_chars, True), f"file_id bigint, {REC_SCHEMA}{keep_schema}")
+    return src.mapInArrow(_pass_fn(libs, want, None, batch_chars, True), f"file_id bigint, {REC_SCHEMA}{keep_schema}")
+
+
+TARGETS = "array<struct<class:string,method:string,lib:string>>"
+
+
+def files_of_both(functions: DataFrame, methods: DataFrame, libs, keep=()) -> DataFrame:
+    """K6: input of one pass for both kinds: files that mention a library, and files with their targets."""
+    named = functions.where(F.greatest(*[F.col("content").contains(x) for x in libs], F.lit(False)))
+    cols = ["file_id", "content", "targets", *keep]
+    return named.withColumn("targets", F.lit(None).cast(TARGETS)).select(*cols).unionByName(
+        methods.withColumn("targets", F.col("targets").cast(TARGETS)).select(*cols))
+
+
+def sites_of_both(recs: DataFrame) -> DataFrame:
+    """K6: metadata rows of the records of such a pass, functions and methods, without a join."""
+    function = F.col("rec") == "fcall"
+    good = (function & (F.col("how") == "first") & F.col("reason").isNull()) | (F.col("rec") == "msite")
+    return recs.where(good).select(
+        "lib", F.when(function, "function").otherwise("method").alias("kind"), "file_id",
+        F.when(function, F.col("name")).otherwise(F.concat_ws(".", "target", "method")).alias("API_path"),
+        "repository", "url", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"), "stars",
+        F.col("imports").alias("import"), "context", "target_seq", "suffix")
 
 
 # ----------------------------------------------------------------- functions

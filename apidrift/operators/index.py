@@ -122,18 +122,19 @@ class CorpusIndex:
     def files_of_targets(self, targets: DataFrame) -> DataFrame:
         """M5/M6: files that can hold a call of a target, with these targets.
 
-        ``targets``: class (dotted path) and method.  To type a variable, a file
+        ``targets``: class (dotted path), method and, if given, lib.  To type a variable, a file
         must hold the last name of the class, and to call the method, its name.
-        Adds ``targets``, an array of (class, method).
+        Adds ``targets``, an array of (class, method) or (class, method, lib).
         """
-        t = targets.select("class", "method", F.substring_index("class", ".", -1).alias("leaf")).distinct()
+        own = [c for c in ("class", "method", "lib") if c in targets.columns]
+        t = targets.select(*own, F.substring_index("class", ".", -1).alias("leaf")).distinct()
 
         def hits(words):
-            by_class = words.join(t.withColumnRenamed("leaf", "word"), "word").select("file_id", "class", "method")
+            by_class = words.join(t.withColumnRenamed("leaf", "word"), "word").select("file_id", *own)
             by_method = words.join(t.select(F.col("method").alias("word")).distinct(), "word", "left_semi").select(
                 "file_id", F.col("word").alias("method"))
             both = by_class.join(by_method, ["file_id", "method"], "left_semi")
-            return both.groupBy("file_id").agg(F.collect_set(F.struct("class", "method")).alias("targets"))
+            return both.groupBy("file_id").agg(F.collect_set(F.struct(*own)).alias("targets"))
 
         return self.files_with(hits)
 

@@ -157,7 +157,7 @@ class Chain:
             table.replace(pairs.select(F.lit(kind).alias("kind"), "API_path", "file_id"), keep=1)
             found.append(table.read())
             ids = table.read().select("file_id").distinct()
-            files.append(index.files().join(ids, "file_id", "left_semi").select(
+            files.append(index.files_with(lambda words, ids=ids: ids).select(
                 F.lit(kind).alias("kind"), "file_id", *META, "content"))
         return {"found": found[0].unionByName(found[1]), "files": files[0].unionByName(files[1])}
 
@@ -170,19 +170,15 @@ class Chain:
     def extract(self) -> dict[str, DataFrame]:
         found, files = self.read(self.source, "found"), self.read(self.source, "files")
         changes = self.read("update", "changes")
-        recs = callsites.parse_pass(files.where("kind = 'function'"), libs=self.inputs.libs, want=("fcall",), keep=META)
-        functions = callsites.t6(callsites.function_sites(recs)).withColumn("kind", F.lit("function"))
         targets = callsites.method_targets(changes.where("change <> 'deleted'"))
         wanted = found.where("kind = 'method'").join(
-            targets.select(F.col("api_path").alias("API_path"), "class", "method").distinct(), "API_path")
-        wanted = wanted.groupBy("file_id").agg(F.collect_set(F.struct("class", "method")).alias("targets"))
+            targets.withColumnRenamed("api_path", "API_path"), "API_path")
+        wanted = wanted.groupBy("file_id").agg(F.collect_set(F.struct("class", "method", "lib")).alias("targets"))
         # only files that were found travel to their targets
-        own = files.where("kind = 'method'").join(wanted, "file_id")
-        methods = callsites.method_sites(callsites.parse_targets(own, keep=META), targets)
-        methods = methods.withColumnRenamed("api_path", "API_path").withColumn("kind", F.lit("method")).withColumn(
-            "last_updated", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss"))
-        sites = functions.select(*SITE).unionByName(methods.select(*SITE))
-        return {"sites": sites.join(found, ["kind", "API_path", "file_id"], "left_semi")}
+        methods = files.where("kind = 'method'").join(wanted, "file_id")
+        both = callsites.files_of_both(files.where("kind = 'function'"), methods, self.inputs.libs, META)
+        sites = callsites.sites_of_both(callsites.parse_targets(both, keep=META, libs=self.inputs.libs))
+        return {"sites": sites.select(*SITE).join(found, ["kind", "API_path", "file_id"], "left_semi")}
 
     def filter(self) -> dict[str, DataFrame]:
         return {"sites": convert.filter_changed(self.read("extract", "sites"), self.read("update", "changes"))}

@@ -392,10 +392,11 @@ T10 = ["file_id", "API_path", "repository", "url", "last_updated", "stars", "imp
 
 
 def _metadata(spark, sf_dir):
-    fn = callsites.t6(_fn_sites(spark, sf_dir)).select("lib", *T10).withColumn(
-        "kind", F.lit("function"))
-    me = _method_meta(spark, sf_dir).select("lib", *T10).withColumn("kind", F.lit("method"))
-    return fn.unionByName(me)
+    """Sites of both corpora from one pass."""
+    methods = _index(spark, sf_dir, "methods", _mcorpus).files_of_targets(_mtargets(spark, sf_dir))
+    files = callsites.files_of_both(_corpus(spark, sf_dir), methods, fixtures.LIBS, META)
+    return callsites.sites_of_both(callsites.parse_targets(files, keep=META, libs=fixtures.LIBS)).select(
+        "lib", *T10, "kind")
 
 
 @query("metadata")

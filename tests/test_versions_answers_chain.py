@@ -84,6 +84,9 @@ def test_partitioned_and_empty_tables(spark):
     t = VersionedTable(spark, shared_path(spark, "t"))
     t.replace(spark.range(6).select(F.col("id").alias("a"), (F.col("id") % 2).cast("int").alias("p")), partition_by=("p",))
     assert sorted(map(tuple, t.read().collect())) == [(i, i % 2) for i in range(6)]
+    t.append(spark.range(6, 8).select(F.col("id").alias("a"), F.lit(5).cast("int").alias("p")))
+    t.append(spark.range(8, 9).select(F.col("id").alias("a"), F.lit(5).cast("int").alias("p")))
+    assert sorted(map(tuple, t.read().collect())) == [(i, i % 2 if i < 6 else 5) for i in range(9)]
     t.replace(t.read().where("a < 0"))
     assert t.read().count() == 0 and t.read().columns == ["a", "p"]
 
