@@ -144,30 +144,6 @@ def test_lines_edge_rows(spark):
     assert len(line_dedup.drop_lines(frame).collect()) == 4
 
 
-def test_later_lines_need_one_earlier_match(spark):
-    """Groups in which the earliest line of a word is no match, but another earlier one is."""
-    rng = random.Random(11)
-    rows = []
-    for g in range(25):
-        base = [f"g{g}w{i}" for i in range(rng.choice([5, 8, 12, 20]))]
-        for k in range(rng.randint(1, 25)):
-            w = list(base)
-            for _ in range(rng.choice([0, 1, 1, 2, 3])):
-                w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
-            if rng.random() < 0.3:
-                w += [f"y{rng.randrange(30)}" for _ in range(rng.randint(1, 3))]
-            rng.shuffle(w)
-            rows.append(" ".join(w))
-    rng.shuffle(rows)
-    texts = ["\n".join(rows[i:i + 4]) for i in range(0, len(rows), 4)]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    lines = line_sets(texts)
-    want = {(d, i): any((e, j) < (d, i) and len(s & r) >= 0.8 * len(s | r) - 1e-9 for e, j, r in lines) for d, i, s in lines}
-    got = {(r["id"], r["at"]): r["removed"] for r in line_dedup.later_lines(frame).collect()}
-    assert got == want and 0 < sum(want.values()) < len(want)
-    assert got == {(r["id"], r["at"]): r["removed"] for r in line_dedup.matches(frame).collect()}
-
-
 def removed(texts):
     seen, out = set(), []
     for t in texts:
