@@ -681,14 +681,14 @@ def q_text_lines(spark, sf_dir):
 
 @query("convert_rows")
 def q_convert_rows(spark, sf_dir):
-    """V1: a caller's conversion over all rows of a folder per API, into the same layout."""
+    """V1: a caller's conversion over all rows of a folder per library, into the same layout."""
     raw, out = shared_path(spark, "raw"), shared_path(spark, "converted")
-    jsonl.sink_by_api(callsites.t6(_fn_sites(spark, sf_dir)), raw, keys=("lib", "API_path"))
-    rows = spark.read.schema("file_id bigint, scope string, target_seq string, lib string, API_path string").json(raw)
+    jsonl.sink_by_api(callsites.t6(_fn_sites(spark, sf_dir)), raw, keys=("lib",))
+    rows = spark.read.schema("file_id bigint, scope string, API_path string, target_seq string, lib string").json(raw)
     called = convert.switch(rows, lambda d: d.withColumn("n_args", F.when(F.length("target_seq") > 2, F.size(
         F.split("target_seq", ","))).otherwise(0)).withColumn("scope", F.upper("scope")).drop("target_seq"))
-    jsonl.sink_by_api(called, out, keys=("lib", "API_path"))
-    back = spark.read.schema("file_id bigint, scope string, n_args bigint, lib string, API_path string").json(out)
+    jsonl.sink_by_api(called, out, keys=("lib",))
+    back = spark.read.schema("file_id bigint, scope string, API_path string, n_args bigint, lib string").json(out)
     return back.select("lib", "API_path", "file_id", "scope", "n_args")
 
 
