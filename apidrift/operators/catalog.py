@@ -57,8 +57,9 @@ def catalog_from_sources(lib_files: DataFrame) -> DataFrame:
     """Rows (lib, version, kind, api_path, signature, doc, bases)
     from the ``.py`` files; kind is function, method or class (class rows
     carry their bases); private names are skipped."""
+    # a library's files are few and can be large: each goes to a task by its name, not by the scan's splits
     src = lib_files.where(F.col("path").endswith(".py")).select(
-        "lib", "version", "path", "content")
+        "lib", "version", "path", "content").repartition("lib", "version", "path")
     return src.mapInArrow(_records, "lib string, version string, kind string, "
                           "api_path string, signature string, doc string, bases string")
 
@@ -155,19 +156,22 @@ def _module(path_col):
 
 def stub_signatures(lib_files: DataFrame, functions: DataFrame) -> DataFrame:
     """Signature of each function from its module's stub: the text of
-    the first ``def NAME(...)`` (non-greedy up to the first ``)``)."""
+    the first ``def NAME(...)`` (non-greedy up to the first ``)``) that a
+    colon follows. A stub is read once for all its names, which are then
+    joined with the functions, so its text goes to no function's row."""
     stubs = lib_files.where(F.col("path").endswith(".pyi")).select(
-        "lib", "version", _module(F.col("path")).alias("module"),
-        F.col("content").alias("stub"))
+        F.monotonically_increasing_id().alias("_stub"), "lib", "version", _module(F.col("path")).alias("module"),
+        F.expr("substring(content, 1, length(content) - length(substring_index(content, ':', -1)) - 1)").alias("head"))
+    # the look ahead leaves the arguments to be searched for further names
+    pat = F.lit(r"def ([^ (]+)\((?=([^)]*)\))")
+    defs = stubs.select("_stub", "lib", "version", "module", F.posexplode(F.arrays_zip(
+        F.regexp_extract_all("head", pat, 1).alias("name"), F.regexp_extract_all("head", pat, 2).alias("args"))).alias("pos", "d"))
+    first = defs.groupBy("_stub", "lib", "version", "module", F.col("d.name").alias("name")).agg(
+        F.min_by("d.args", "pos").alias("args"))
     f = functions.withColumn("name", F.substring_index("api_path", ".", -1)).withColumn(
         "module", F.expr("substring(api_path, 1, length(api_path) - length(name) - 1)"))
-    j = f.join(stubs, ["lib", "version", "module"])
-    pat = F.concat(F.lit(r"(?s)def \Q"), F.col("name"), F.lit(r"\E\((.*?)\).*?:"))
-    args = F.call_function("regexp_extract", F.col("stub"), pat, F.lit(1))
-    found = F.regexp_like(F.col("stub"), pat)
-    return j.where(found).select("lib", "version", "api_path",
-                                 F.concat(F.col("api_path"), F.lit("("), args,
-                                          F.lit(")")).alias("stub_signature"))
+    return f.join(first, ["lib", "version", "module", "name"]).select(
+        "lib", "version", "api_path", F.concat(F.col("api_path"), F.lit("("), "args", F.lit(")")).alias("stub_signature"))
 
 
 def prefer_sources(functions: DataFrame, stubs: DataFrame, supplied: DataFrame | None = None) -> DataFrame:

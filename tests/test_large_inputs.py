@@ -128,3 +128,45 @@ def test_marker_log_with_tabs(spark):
     lines = ["\tProcessing file: lib-m-run.jsonl\u3000", "\t遍历到json 1", " \t第 3 行: x.run(1)\r"]
     frame = spark.createDataFrame([("a", i, t) for i, t in enumerate(lines)], "log_id string, line_no bigint, line string")
     assert [(r["record_no"], r["line_no"], r["call_text"]) for r in logs.marker_log(frame).collect()] == [(1, 3, "x.run(1)")]
+
+
+def test_large_library_file_is_parsed_in_pieces(monkeypatch):
+    from apidrift.functions import pycatalog
+
+    def records(text):
+        return sorted(pycatalog.catalog_records("lib/m.py", text), key=str)
+
+    source = ("from lib.base import Base as B\n" + "".join(
+        f"class C{i}(B, Late):\n    \"\"\"\nclass Text:\n    pass\n    \"\"\"\n    def run(self, a={i}):\n        return 0\n"
+        f"@deco\ndef f{i}(\na,\n# the next line stands in brackets\nb=(1,\n2)): pass\n" for i in range(300))
+        + "class C7(B):\n    def other(self): pass\n    def run(self, z): pass\ndef f3(z): pass\nx = 1 + \\\n\\\n2\n"
+        + "class Late: pass\nfrom lib.other import Base as B, Shown\nfrom lib.most import *\n")
+    whole = records(source)
+    assert len(whole) == 905 and ("class", "lib.m.C0", None, "class Text:\n    pass\n    ", "lib.other.Base,lib.m.Late") in whole
+    assert ("method", "lib.m.C7.run", "lib.m.C7.run(self, z)", None, None) in whole
+    assert ("function", "lib.m.f3", "lib.m.f3(z)", None, None) in whole
+    sizes, parse = [], pycatalog._parse
+    monkeypatch.setattr(pycatalog, "_parse", lambda text: sizes.append(len(text)) or parse(text))
+    for size in (1, 50, 1000):
+        monkeypatch.setattr(pycatalog, "PIECE_CHARS", size)
+        sizes.clear()
+        assert records(source) == whole
+        assert max(sizes) < 1000 + 20 * size < len(source)
+        assert records(source + "def broken(:\n") == []
+        assert records("def broken(:\n" + source) == []
+
+
+def test_stub_is_read_once_for_all_its_functions(spark):
+    stub = ("def a(x, y=(1)) -> None: ...\ndef a(z): ...\ndef def b(q, def c(w\n) : ...\nclass K:\n    def d(self): ...\n"
+            "undef e(1): ...\ndef f(no colon)\n")
+    files = spark.createDataFrame(
+        [("lib", "1", "lib/m.pyi", stub), ("lib", "1", "lib/m/__init__.pyi", "def a(other): ..."), ("lib", "1", "lib/n.pyi", "def a(no colon)"),
+         ("lib", "1", "lib/o.pyi", None), ("lib", "1", "lib/m.py", "def a(src): ...")], "lib string, version string, path string, content string")
+    functions = spark.createDataFrame([("lib", "1", f"lib.{m}.{n}") for m in "mno" for n in "abcdefg"],
+                                      "lib string, version string, api_path string")
+    got = catalog.stub_signatures(files, functions)
+    assert sorted(r["stub_signature"] for r in got.collect()) == [
+        "lib.m.a(other)", "lib.m.a(x, y=(1)", "lib.m.b(q, def c(w\n)", "lib.m.c(w\n)", "lib.m.d(self)", "lib.m.e(1)"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[:plan.index("Generate")]
+    assert "content" not in join and "head" not in join
