@@ -170,3 +170,40 @@ def test_stub_is_read_once_for_all_its_functions(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     join = plan[:plan.index("Generate")]
     assert "content" not in join and "head" not in join
+
+
+def test_walks_skip_what_holds_no_call():
+    import ast
+
+    from apidrift.functions import pyparse
+
+    code = '''import lib
+@lib.a(lib.b(1))
+async def f(x: lib.T[lib.c()] = lib.d(), *y, z=lib.e(), **k) -> lib.f():
+    async with lib.g() as a, b:
+        return [lib.h(i, *lib.i(), q=lib.j()) async for i in lib.k() if lib.l(i)]
+def g(a, b=None):
+    match lib.m(a):
+        case lib.N(1, x=[p, *q], y={"k": r, **s}) | None if lib.o(r):
+            del a[lib.p():1], b.c
+        case _: global G
+    try: x: int = lib.q() if a < lib.r() <= 2 else lambda v=lib.s(): lib.t(v)
+    except* lib.U as e: raise lib.v() from lib.w()
+    else: assert (yield lib.x()), f"{lib.y()!r:{lib.z()}}"
+    while (n := lib.A()) and not -lib.B(): a += {lib.C(): lib.D(), **lib.E()}[lib.F()]
+type W[T: lib.G()] = lib.H()
+class K(lib.I, metaclass=lib.J()): k = await_ = {lib.L() for _ in lib.M()}
+'''
+    tree = ast.parse(code)
+    walked, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        walked.append(node)
+        todo += pyparse._children(node)
+    kinds = (ast.Call, ast.stmt, ast.excepthandler, ast.match_case, ast.arg)
+    wanted = {n for n in ast.walk(tree) if isinstance(n, kinds) and not isinstance(n, (ast.Global, ast.Pass))}
+    assert len(wanted) > 60 and wanted <= set(walked) and len(walked) == len(set(walked))
+    assert len(walked) < 0.7 * sum(1 for _ in ast.walk(tree))
+    # imports alone are asked for: no call is cut out
+    rows = scan_file("import lib as L\ndef f():\n    L.run(1)\nL.run(2)\n", libs=("lib",), want=("alias",))
+    assert [(r["name"], r["target"]) for r in rows] == [("L", "lib"), ("lib", "lib")]
