@@ -207,3 +207,23 @@ class K(lib.I, metaclass=lib.J()): k = await_ = {lib.L() for _ in lib.M()}
     # imports alone are asked for: no call is cut out
     rows = scan_file("import lib as L\ndef f():\n    L.run(1)\nL.run(2)\n", libs=("lib",), want=("alias",))
     assert [(r["name"], r["target"]) for r in rows] == [("L", "lib"), ("lib", "lib")]
+
+
+def test_corpora_take_one_pass_over_the_items(spark, tmp_path):
+    from apidrift.sources import fixtures
+
+    part = [None, 5, 17, 34, 17, 40]
+    rows = [(o, n, None if (o + n) % 7 == 0 else part[(o * n) % 6], o, 1.5, None) for o in [*range(1, 9), 97, 100] for n in range(1, 4)]
+    rows.append((None, 1, 5, 1, 1.5, None))
+    items = spark.createDataFrame(rows + rows[:4], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, "
+                                  "l_extendedprice double, l_shipdate date")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 1, None), (2, 9, None), (3, 1, None), (3, 1, None)],
+                          "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, -2.5)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("corpus", "mcorpus", "flawed", "legacy"):
+        got = getattr(fixtures, name)(spark, str(tmp_path))
+        want = fixtures.run_sql(spark, str(tmp_path), getattr(fixtures, f"{name}_sql")(fixtures.SPARK))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) != []
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("collect_list") == 1

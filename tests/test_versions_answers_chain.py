@@ -331,3 +331,9 @@ def test_render_prompt_leaves_out_what_is_counted_missing(spark):
                                    "outdated_signature string, outdated_doc string")
     assert synth.render_prompt(sites, lookup).count() == 1
     assert [tuple(r) for r in missing_entries(sites, lookup).collect()] == [("l", "function", 1, 1)]
+
+
+def test_files_hold_so_many_rows(spark):
+    t = VersionedTable(spark, shared_path(spark, "rows_per_file"))
+    t.replace(spark.range(0, 100, 1, 2).toDF("a"), rows_per_file=10)
+    assert t.read().select(F.input_file_name().alias("f")).distinct().count() == 10 and t.read().count() == 100
