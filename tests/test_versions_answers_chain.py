@@ -333,6 +333,16 @@ def test_render_prompt_leaves_out_what_is_counted_missing(spark):
     assert [tuple(r) for r in missing_entries(sites, lookup).collect()] == [("l", "function", 1, 1)]
 
 
+def test_small_batches_are_asked_side_by_side(spark):
+    store = AnswerStore(spark, shared_path(spark, "answers"))
+    ask = prompts(spark, 40)
+    assert dataclasses.astuple(store.ask(ask, good_model, batch_rows=1, most_batches=10)) == (40, 0, 10, 30)
+    assert dataclasses.astuple(store.ask(ask, good_model, batch_rows=1)) == (40, 10, 30, 0)
+    # a commit for some batches, not for each
+    assert len(store.table.versions()) < 20 and len(store.table.manifest().parts) == 40
+    assert numbers(store.answers().select("file_id")) == list(range(40))
+
+
 def test_files_hold_so_many_rows(spark):
     t = VersionedTable(spark, shared_path(spark, "rows_per_file"))
     t.replace(spark.range(0, 100, 1, 2).toDF("a"), rows_per_file=10)
