@@ -227,3 +227,19 @@ def test_corpora_take_one_pass_over_the_items(spark, tmp_path):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) != []
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and plan.count("collect_list") == 1
+
+
+def test_rows_are_made_once_for_their_numbers(spark, tmp_path):
+    from apidrift.operators.batches import assign_batches
+
+    log = str(tmp_path / "log")
+
+    def run(frames):
+        with open(log, "a") as f:
+            f.write("run\n")
+        yield from frames
+
+    rows = spark.range(0, 1000, 1, 3).mapInPandas(run, "id long")
+    got = assign_batches(rows, ["id"], 64)
+    assert sorted((r["id"], r["position"], r["batch_id"]) for r in got.collect()) == [(i, i + 1, i // 64) for i in range(1000)]
+    assert open(log).read().count("run") == 3
