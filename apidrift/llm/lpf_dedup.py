@@ -50,6 +50,10 @@ BLOCK_BYTES = 16 << 20
 GROUP = 20_000
 #: Suffixes of a run at most: one bit of a mask each.
 RUN = 62
+#: Suffixes of whole keys that are put in order at a time; a key of more is taken by itself.
+SUFFIXES = 1 << 18
+#: Bytes of text whose runs are cut out at a time.
+SLICE = 1 << 18
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -174,7 +178,7 @@ def _runs_of(texts: DataFrame) -> DataFrame:
             got = [[] for _ in range(5)]
             for batch in block:
                 own, wanted = batch.column("id").to_numpy(), batch.column("keys")
-                for lo, hi in slices(batch.column("text")):
+                for lo, hi in slices(batch.column("text"), SLICE):
                     data, offsets = buffers(batch.column("text").slice(lo, hi - lo))
                     row, start, count, key, name = runs(data, offsets)
                     want = wanted.slice(lo, hi - lo)
@@ -188,13 +192,15 @@ def _runs_of(texts: DataFrame) -> DataFrame:
                     row, start, count, key, name = (x[keep] for x in (row, start, count, key, name))
                     size = count + LENGTH - 1
                     to = np.concatenate(([0], np.cumsum(size)))
-                    source = np.repeat(start - to[:-1], size) + np.arange(to[-1])
+                    source = np.repeat((start - to[:-1]).astype(np.int32), size)
+                    source += np.arange(to[-1], dtype=np.int32)
                     text = pa.Array.from_buffers(pa.binary(), len(size), [
                         None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[source])])
                     for out, x in zip(got, (key, own[lo + row], name, count, text), strict=True):
                         out.append(x)
             key, ident, name, count = (np.concatenate(x) for x in got[:4])
             text = pa.concat_arrays(got[4])
+            del got
             order, first, _ = _first_of(name, ident)
             for pick, some in ((order[first], True), (order[~first], False)):
                 for lo in range(0, len(pick), 50_000):
@@ -221,16 +227,25 @@ def previous_factors(data: np.ndarray, start: np.ndarray, ident: np.ndarray) ->
 
     Suffixes are put in suffix order, up to ``LENGTH`` bytes, those that are
     equal so far by document.  Among them only the previous one can be of a
-    smaller document, or stand behind one: that of the block's first.
+    smaller document, or stand behind one: that of the block's first.  Eight
+    bytes of the suffixes are at hand at a time, the last ones first.
     """
-    wide = -(-LENGTH // 8) * 8
-    padded = np.concatenate((data, np.zeros(wide, np.uint8)))
-    window = np.lib.stride_tricks.sliding_window_view(padded, wide)[start]
-    window[:, LENGTH:] = 0
-    words = window.view(">u8").astype(np.uint64)
-    order = np.lexsort((ident, *words.T[::-1]))
-    shared = np.zeros(len(order), bool)  # with the suffix before it
-    shared[1:] = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    places = range(0, LENGTH, 8)
+
+    def word(at: int) -> np.ndarray:
+        w = eight[start + at].view(">u8").ravel().astype(np.uint64)
+        return w >> np.uint64(8 * max(at + 8 - LENGTH, 0))
+
+    order = np.argsort(ident, kind="stable")
+    for at in reversed(places):
+        order = order[np.argsort(word(at)[order], kind="stable")]
+    shared = np.ones(len(order), bool)  # with the suffix before it
+    shared[:1] = False
+    for at in places:
+        w = word(at)[order]
+        shared[1:] &= w[1:] == w[:-1]
     block = np.maximum.accumulate(np.where(shared, 0, np.arange(len(order))))
     long_enough = np.zeros(len(order), bool)
     long_enough[order] = ident[order] > ident[order[block]]
@@ -273,9 +288,23 @@ def _compare(sorted_runs: DataFrame, group: int) -> DataFrame:
             [part.column("id"), part.column("run"), pa.nulls(part.num_rows, pa.int64()), part.column("bytes")],
             names=["id", "run", "mask", "bytes"])
 
+    def suffixes_of(part: pa.RecordBatch) -> int:
+        return int(np.diff(buffers(part.column("bytes"))[1]).sum()) - part.num_rows * (LENGTH - 1)
+
     def run(batches):
-        whole, n = [], 0  # rows of keys that are known to be complete
+        whole, n = [], 0  # rows of keys that are known to be complete, and their suffixes
         last, size, hot = [], 0, None  # rows of the key that may go on, or its value if it has too many
+
+        def masks(more: list):
+            """Answers for complete keys, once there are enough of them."""
+            nonlocal whole, n
+            more = [part for part in more if part.num_rows]
+            many = sum(map(suffixes_of, more))
+            if whole and n + many > SUFFIXES:
+                yield _masks(whole)
+                whole, n = [], 0
+            whole, n = whole + more, n + many
+
         for batch in batches:
             alone = pc.is_null(batch.column("bytes"))
             loose = batch.filter(alone)
@@ -284,22 +313,41 @@ def _compare(sorted_runs: DataFrame, group: int) -> DataFrame:
                 yield _answer(loose.column("id"), loose.column("run"), full)
             batch = batch.filter(pc.invert(alone))
             key = batch.column("part").to_numpy()
-            edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else [0]
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                goes_on = key[lo] == hot if hot is not None else last and last[0].column("part")[0].as_py() == key[lo]
-                if not goes_on:
-                    whole, n, last, size, hot = whole + last, n + size, [], 0, None
+            if not len(key):
+                continue
+            edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+            rows = np.diff(edge)
+
+            def take(lo: int, hi: int):
+                """Rows of a key that may have begun before and may go on."""
+                nonlocal last, size, hot
                 part, size = batch.slice(lo, hi - lo), size + hi - lo
                 if size > group:
                     yield from map(later, [*last, part])
                     hot, last = key[lo], []
                 else:
                     last.append(part)
-            if whole and n >= 2 * group:
-                yield _masks(whole)
-                whole, n = [], 0
-        if whole or last:
-            yield _masks(whole + last)
+
+            goes_on = key[0] == hot if hot is not None else last and last[0].column("part")[0].as_py() == key[0]
+            if not goes_on:
+                yield from masks(last)
+                last, size, hot = [], 0, None
+            yield from take(0, edge[1])
+            if len(rows) == 1:
+                continue
+            yield from masks(last)
+            # the keys between begin and end here
+            many = np.repeat(rows > group, rows)
+            middle, many = batch.slice(edge[1], edge[-2] - edge[1]), many[edge[1]:edge[-2]]
+            if many.any():
+                yield later(middle.filter(pa.array(many)))
+                middle = middle.filter(pa.array(~many))
+            yield from masks([middle])
+            last, size, hot = [], 0, None
+            yield from take(edge[-2], edge[-1])
+        yield from masks(last)
+        if whole:
+            yield _masks(whole)
 
     return sorted_runs.mapInArrow(run, _ANSWER)
 

@@ -198,3 +198,21 @@ def test_previous_factors_of_a_small_text():
     text = data.tobytes()
     want = [any(text[s:s + 50] == text[o:o + 50] for o, j in zip(start, ident) if j < i) for s, i in zip(start, ident)]
     assert got.tolist() == want and math.isclose(sum(want), 21)
+
+
+def test_suffixes_are_put_in_order_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 99, 100_000).astype(np.uint8)
+    start, ident = rng.integers(0, 100_000 - 50, 200_000), rng.integers(0, 1000, 200_000)
+    tracemalloc.start()
+    got = lpf_dedup.previous_factors(data, start, ident)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(start)
+    least = {}
+    texts = [data[s:s + 50].tobytes() for s in start]
+    for t, i in zip(texts, ident):
+        least[t] = min(least.get(t, i), i)
+    assert got.tolist() == [i > least[t] for t, i in zip(texts, ident)]
