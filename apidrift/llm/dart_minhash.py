@@ -42,6 +42,8 @@ from apidrift.llm.graph import components
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
+#: Hash buckets in which cells are counted, and buckets to a row of counts.
+BUCKETS, CHUNK = 1 << 16, 1 << 10
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _DEAL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -145,32 +147,73 @@ def _elements(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "content binary, cells binary")
 
 
+def _cells_of(batches):
+    """For each slice of rows with ``cells``: the slice, its cells and their rows, and the number of each row's."""
+    for batch in batches:
+        for lo, hi in slices(batch.column("cells")):
+            part = batch.slice(lo, hi - lo)
+            data, offsets = buffers(part.column("cells"))
+            n = np.diff(offsets) // 8
+            yield part, np.frombuffer(data.tobytes(), np.uint64), np.repeat(np.arange(hi - lo), n), n
+
+
+def _frequency(nodes: DataFrame) -> np.ndarray:
+    """How many of the nodes' cells are in each of ``BUCKETS`` hash buckets, a table of fixed size."""
+    def run(batches):
+        count = np.zeros(BUCKETS, np.int64)
+        for _, cell, _, _ in _cells_of(batches):
+            count += np.bincount((cell % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        chunks = [(i, c.tobytes()) for i, c in enumerate(count.reshape(-1, CHUNK)) if c.any()]
+        if chunks:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunks], pa.int32()),
+                                              pa.array([c for _, c in chunks], pa.binary())], names=["chunk", "counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(c, np.int64) for c in part.column("counts").to_pylist()], axis=0)
+        return pa.table({"chunk": part.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "chunk int, counts binary"
+    found = nodes.select("cells").mapInArrow(run, kind).groupBy("chunk").applyInArrow(add, kind)
+    out = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
+    for r in found.collect():  # BUCKETS / CHUNK rows at most
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
+
+
+def _prefixes(nodes: DataFrame, least: float) -> DataFrame:
+    """(cell, content, root, n, at): the rarest cells of each node, as many as a similar node shares one of.
+
+    Rarity is told by counts in hash buckets (any common order is exact), so
+    that only these cells leave a node, less those that no other node can have.
+    """
+    count = _frequency(nodes)
+
+    def run(batches):
+        for part, cell, row, n in _cells_of(batches):
+            rare = count[(cell % np.uint64(BUCKETS)).astype(np.int64)]
+            order = np.lexsort((cell, rare, row))
+            cell, rare, row = cell[order], rare[order], row[order]
+            at = np.arange(len(row)) - (np.cumsum(n) - n)[row] + 1
+            prefix = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
+            keep = np.flatnonzero((at <= prefix[row]) & (rare > 1))
+            mine = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell[keep].view(np.int64)), part.column("content").take(mine), part.column("root").take(mine),
+                 pa.array(n[row[keep]]), pa.array(at[keep])], names=["cell", "content", "root", "n", "at"])
+
+    return nodes.select("content", "root", "cells").mapInArrow(
+        run, "cell long, content binary, root binary, n long, at long")
+
+
 def _candidates(nodes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of different classes that may be similar, by prefix, positional and length filters.
 
     nodes: content, root (its class so far) and cells.  With each node's
     cells ordered by rarity, similar nodes share one within their first
     ``n - least * n + 1``, and behind it there must be room for what they
-    have to share.  Cells of one node only come first and pair nothing.
+    have to share.
     """
-    def run(batches):
-        for batch in batches:
-            for lo, hi in slices(batch.column("cells")):
-                part = batch.slice(lo, hi - lo)
-                data, offsets = buffers(part.column("cells"))
-                n = np.diff(offsets) // 8
-                row = pa.array(np.repeat(np.arange(hi - lo), n))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("content").take(row), part.column("root").take(row),
-                     pa.array(np.repeat(n, n)), pa.array(np.frombuffer(data.tobytes(), np.int64))],
-                    names=["content", "root", "n", "cell"])
-
-    cell = nodes.select("content", "root", "cells").mapInArrow(run, "content binary, root binary, n long, cell long")
-    common = cell.withColumn("df", F.count("*").over(Window.partitionBy("cell"))).where("df > 1")
-    mine = Window.partitionBy("content")
-    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "cell"))
-    prefix = common.withColumn("at", place).where(
-        F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("cell", "content", "root", "n", "at")
+    prefix = _prefixes(nodes, least)
     x, y = prefix.alias("x"), prefix.alias("y")
     room = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     shared = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-9

@@ -200,6 +200,21 @@ def test_previous_factors_of_a_small_text():
     assert got.tolist() == want and math.isclose(sum(want), 21)
 
 
+def test_only_the_rarest_cells_leave_a_node(spark):
+    rng = np.random.default_rng(5)
+    common = rng.integers(1, 2**62, 400)
+    sets = [np.unique(np.concatenate((common[rng.random(400) > 0.08], rng.integers(1, 2**62, 20)))).astype(np.uint64)
+            for _ in range(60)]
+    rows = [(bytes([i]), bytes([i % 3]), s.tobytes()) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "content binary, root binary, cells binary").repartition(3)
+    some = dart_minhash._prefixes(nodes, 0.8).count()
+    assert 0 < some < 0.25 * sum(map(len, sets))
+    got = {(bytes(r["a"])[0], bytes(r["b"])[0]) for r in dart_minhash._candidates(nodes, 0.8).collect()}
+    similar = {(i, j) for i in range(60) for j in range(i) if i % 3 != j % 3
+               and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert similar and similar <= got and all(i % 3 != j % 3 for i, j in got)
+
+
 def test_suffixes_are_put_in_order_in_little_memory():
     import tracemalloc
 
