@@ -243,3 +243,22 @@ def test_rows_are_made_once_for_their_numbers(spark, tmp_path):
     got = assign_batches(rows, ["id"], 64)
     assert sorted((r["id"], r["position"], r["batch_id"]) for r in got.collect()) == [(i, i + 1, i // 64) for i in range(1000)]
     assert open(log).read().count("run") == 3
+
+
+def test_corpora_are_made_once_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from apidrift.operators import retrieve
+    from apidrift.sources import fixtures
+
+    at = "timestamp_ntz '1995-01-01 00:00:00'"
+    spark.range(60).selectExpr("id % 20 as l_orderkey", "id * 7 as l_partkey", "cast(id / 20 as int) as l_linenumber",
+                               "1L as l_suppkey", "1.0D as l_extendedprice", f"{at} as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(20).selectExpr("id as o_orderkey", "0L as o_custkey", f"{at} as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1).selectExpr("id as c_custkey", "5.5D as c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 4, raising=False)
+    for make, sql, text in ((fixtures.corpus, fixtures.corpus_sql, "def g"), (fixtures.mcorpus, fixtures.mcorpus_sql, "(a, (a + 1) * 2)")):
+        files = make(spark, str(tmp_path))
+        expected = fixtures.run_sql(spark, str(tmp_path), sql(fixtures.SPARK)).select(*files.columns)
+        assert sorted(files.collect(), key=str) == sorted(expected.collect(), key=str)
+        assert files.rdd.getNumPartitions() == 15  # 60 rows, 4 a task
+        plan = retrieve.enrich(files)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(text) == 1
