@@ -262,3 +262,50 @@ def test_corpora_are_made_once_in_tasks_of_bounded_size(spark, tmp_path, monkeyp
         assert files.rdd.getNumPartitions() == 15  # 60 rows, 4 a task
         plan = retrieve.enrich(files)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(text) == 1
+
+
+def test_script_of_many_statements_is_cut_in_one_pass():
+    import ast
+
+    from apidrift.functions.pyparse import _script
+
+    code = "import lib\n" + "x = ('é', \"a\",\r\n  1); y = 'ü'\n\x0cz = 2\r" * 3 + "w = 'é'"
+    own = [n for n in ast.parse(code).body if not isinstance(n, ast.Import)]
+    lines = [x for n in own for x in ast.get_source_segment(code, n).splitlines()]
+    assert [x.strip() for x in _script(code, ast.parse(code)).splitlines()[1:]] == [x.strip() for x in lines]
+    code = "".join(f"x{i} = ({i},\n  1)\n" for i in range(10000))
+    tree = ast.parse(code)
+    began = time.time()
+    assert _script(code, tree).count("\n") == 20001
+    assert time.time() - began < 2
+
+
+def test_only_fields_asked_for_are_put_out(spark):
+    files = spark.createDataFrame([(1, "import lib\ndef f(a):\n    return lib.run(a)\n")], "file_id bigint, content string")
+    fields = ("rec", "name", "imports", "method")
+    recs = callsites.parse_pass(files, libs=("lib",), fields=fields)
+    assert recs.columns == ["file_id", *fields]
+    assert [tuple(r) for r in recs.collect()] == [(1, "fcall", "lib.run", "import lib\n", None)]
+    whole = callsites.parse_pass(files, libs=("lib",)).first().asDict()
+    assert set(callsites.REC_FIELDS) < set(whole) and whole["code"].startswith("def f(a):")
+
+
+def test_index_deals_queries_once_and_has_buckets_by_its_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from apidrift.operators import index, retrieve
+    from apidrift.session import shared_path
+
+    monkeypatch.setattr(index, "FILES_PER_BUCKET", 3, raising=False)
+    monkeypatch.setattr(index, "BUCKETS", 2)
+    files = spark.range(20).select(F.col("id").alias("file_id"), F.concat(
+        F.lit("import lib\ny = lib.f"), (F.col("id") % 4).cast("string"), F.lit("(1)\n")).alias("content"))
+    ix = index.CorpusIndex(spark, shared_path(spark, "index"))
+    ix.add(files)
+    assert list(ix.table.manifest().note["buckets"].values()) == [7]
+    qs = retrieve.queries(spark.createDataFrame([("lib.f1", "function"), ("lib.f3", "function")], "api_path string, kind string"))
+    found = ix.search(qs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(file_id") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieve.search(files, qs).collect()))
+    assert found.count() > 0
