@@ -144,6 +144,34 @@ def test_lines_edge_rows(spark):
     assert len(line_dedup.drop_lines(frame).collect()) == 4
 
 
+def test_similar_lines_go_on_at_few_words(spark):
+    """Near copies go on at the first words of common runs, not at each prefix word: one or two rows a set."""
+    rows = [(i, " ".join(f"word{k}" for k in range(40)) + f" other{i % 6} more{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = line_dedup.lines(docs, line_dedup.rarity(docs))
+    assert sets.select("h").distinct().count() == 30
+    got = line_dedup._candidates(sets, line_dedup.SIMILARITY).groupBy("h").count().collect()
+    assert len(got) == 30
+    assert sum(r["count"] for r in got) <= 75
+
+
+def test_long_lines_match_brute_force(spark):
+    """Sets about and over ``LONG`` words, which have parities of their own, at similarities about 0.8."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for size in (50, 62, 66, 90, 200, 400):
+        base = [f"w{x}" for x in rng.choice(3000, size, replace=False)]
+        for change in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.25):
+            k = int(size * change)
+            texts += [" ".join(base[k:] + [f"n{x}" for x in rng.integers(0, 3000, k)]), " ".join(base[k:])]
+    lines = line_sets(texts)
+    want = {d: sum(r != s and len(s & r) >= 0.8 * len(s | r) - 1e-9 for r in {r for _, _, r in lines}) for d, _, s in lines}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in line_dedup.summary(docs).collect()}
+    assert got == want
+    assert len({v for v in want.values()}) > 2
+
+
 def removed(texts):
     seen, out = set(), []
     for t in texts:
