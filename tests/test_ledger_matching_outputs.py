@@ -19,6 +19,32 @@ def frame(spark, texts, start=1):
     return spark.createDataFrame(list(enumerate(texts, start)), "file_id bigint, content string").repartition(3)
 
 
+# ------------------------------------------------------------- wanted APIs
+
+def test_api_set_holds_its_paths_and_few_others(spark):
+    paths = [f"lib.m{i % 7}.f{i}" for i in range(3000)] + [None, "", "x", "lib.é"]
+    s = callsites.ApiSet.of(spark.createDataFrame([(p,) for p in paths], "p string"))
+    assert all(p in s for p in paths if p is not None)
+    assert sum(f"lib.m{i % 7}.g{i}" in s for i in range(3000)) < 30
+    assert s.in_text("def a():\n    return q.f2999(1)") and not s.in_text("import lib.m1\nlib.m1.g5(1)\n")
+    # a name that isn't ASCII may be written otherwise than in the catalog
+    assert s.in_text("ﬁ(1)") and s.in_text(None)
+    none = callsites.ApiSet.of(spark.createDataFrame([], "p string"))
+    assert "lib.m.f" not in none and not none.in_text("lib.m.f()")
+
+
+def test_pass_parses_only_files_with_a_wanted_api(spark):
+    texts = ["import lib\ndef a():\n    lib.m.f(1)\n    lib.m.g(2)\n", "from lib.m import f as h\ndef a():\n    h(1)\n",
+             "import lib\ndef a():\n    lib.m.g(2)\n", "import lib\nlib.m.f(\n", "import lib\nlib.n.f(3)\n"]
+    files = frame(spark, texts).withColumn("targets", F.lit(None).cast(callsites.TARGETS))
+    wanted = callsites.ApiSet.of(spark.createDataFrame([("lib.m.f",)], "p string"))
+    cols = ["file_id", "rec", "name", "how", "context"]
+    every = callsites.parse_targets(files, libs=("lib",)).where("name = 'lib.m.f' OR rec = 'error'").select(*cols)
+    got = callsites.parse_targets(files, libs=("lib",), wanted=wanted).select(*cols)
+    assert sorted(map(str, got.collect())) == sorted(map(str, every.collect()))
+    assert sorted(r["file_id"] for r in got.collect()) == [1, 2, 4]
+
+
 # ------------------------------------------------------------------ ledger
 
 def test_one_added_file_parses_one_file(spark):
