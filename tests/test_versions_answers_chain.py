@@ -343,6 +343,46 @@ def test_small_batches_are_asked_side_by_side(spark):
     assert numbers(store.answers().select("file_id")) == list(range(40))
 
 
+def test_prompts_of_different_keys_do_not_move(spark, monkeypatch):
+    """What is asked first goes to its files as it lies; only keys that several rows share are put together."""
+    store, plans = AnswerStore(spark, shared_path(spark, "answers")), []
+    made = AnswerStore._missing
+
+    def kept(self, *args):
+        df = made(self, *args)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(AnswerStore, "_missing", kept)
+    ask = prompts(spark, 40)
+    assert dataclasses.astuple(store.ask(ask, good_model, batch_rows=10)) == (40, 0, 40, 0)
+    assert "Aggregate" not in plans[0] and "Join" not in plans[0]
+    more = prompts(spark, 50).unionByName(prompts(spark, 50).where("file_id >= 45"))
+    assert dataclasses.astuple(store.ask(more, good_model, batch_rows=10)) == (50, 40, 10, 0)
+    assert numbers(store.answers().select("file_id")) == list(range(50))
+
+
+def test_rows_without_a_key_of_their_own_are_asked_once(spark):
+    store = AnswerStore(spark, shared_path(spark, "answers"))
+    ask = prompts(spark, 5).withColumn("lib", F.when(F.col("file_id") > 2, F.col("lib")))
+    assert dataclasses.astuple(store.ask(ask.unionByName(ask), good_model)) == (5, 0, 5, 0)
+
+
+def test_a_failed_batch_leaves_the_job_beside_it(spark):
+    store = AnswerStore(spark, shared_path(spark, "answers"))
+
+    def dies_at_0(pdf):
+        if (pdf["file_id"] == 0).any():
+            raise RuntimeError("lost")
+        return good_model(pdf)
+
+    with pytest.raises(Exception, match="lost"):
+        store.ask(prompts(spark, 40, parts=1).sortWithinPartitions("file_id"), dies_at_0, batch_rows=1)
+    assert 0 < store.answers().count() < 40
+    store.table.vacuum(1, older_than=0)
+    assert store.ask(prompts(spark, 40), good_model, batch_rows=1).left == 0 and store.answers().count() == 40
+
+
 def test_files_hold_so_many_rows(spark):
     t = VersionedTable(spark, shared_path(spark, "rows_per_file"))
     t.replace(spark.range(0, 100, 1, 2).toDF("a"), rows_per_file=10)
