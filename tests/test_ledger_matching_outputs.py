@@ -221,3 +221,61 @@ def test_stream_output_is_json(spark, tmp_path):
     jsonl.write_jsonl(spark.range(2), f"{tmp_path}/j")
     lines = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/j").collect()]
     assert sorted(x["id"] for x in lines) == [0, 1]
+
+
+# ------------------------------------------------------------ many folders
+
+def test_folders_are_read_in_a_few_tasks(spark, tmp_path):
+    """Each folder had a task of its own."""
+    rows = spark.range(300).selectExpr("id AS file_id", "concat('lib.f', id) AS API_path", "'lib' AS lib")
+    jsonl.sink_by_api(rows, f"{tmp_path}/a", keys=("lib", "API_path"), compression="gzip")
+    before = spark.conf.get(jsonl.LISTING)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        back = jsonl.read_folders(spark, f"{tmp_path}/a", "file_id bigint, lib string, API_path string")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= jsonl.LISTING_TASKS * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(jsonl.LISTING) == before
+    assert sorted(r["file_id"] for r in back.where("API_path = concat('lib.f', file_id)").collect()) == list(range(300))
+
+
+def test_stored_rows_are_compressed(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id", "repeat('a', 1000) AS t")
+    jsonl.write_jsonl(rows, f"{tmp_path}/z", compression="gzip")
+    assert sum(f.stat().st_size for f in tmp_path.glob("z/*.json.gz")) < 10_000
+    assert jsonl.read_jsonl(spark, f"{tmp_path}/z", "id bigint, t string", glob=None).where("length(t) = 1000").count() == 50
+
+
+def test_first_parse_of_different_contents_moves_none(spark, monkeypatch):
+    seen, parse = [], callsites.parse_pass
+
+    def kept(files, **kw):
+        seen.append(files._jdf.queryExecution().optimizedPlan().toString())
+        return parse(files, **kw)
+
+    monkeypatch.setattr(callsites, "parse_pass", kept)
+    ledger = ParseLedger(spark, shared_path(spark, "ledger"), ("lib",))
+    files = frame(spark, [CODE.format(i) for i in range(6)] + [None])
+    assert ledger.update(files).parsed == 6 and "Join" not in seen[0]
+    assert ledger.update(files.unionByName(frame(spark, [CODE.format(9), CODE.format(1)], 50))).parsed == 1
+    assert ledger.records(files).count() == 6
+
+
+def test_rejects_parse_once(spark):
+    """Files that don't parse and calls that don't split were counted by a parse each."""
+    texts = ["def broken(:\n", "import lib\n@lib.f(1)\ndef a():\n    return lib.g(2)\n", "x = 1\n", "import lib\n  y = 2\n"]
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            parsed.add(b.num_rows)
+            yield b
+
+    files = frame(spark, texts).mapInArrow(counted, "file_id bigint, content string")
+    recs = callsites.with_reasons(callsites.parse_pass(files, libs=("lib",), want=("fcall", "error"), fields=callsites.CALL_FIELDS))
+    got = callsites.rejects(recs, callsites.function_sites(recs))
+    assert sorted(map(tuple, got.collect())) == [("IndentationError", 1), ("SyntaxError", 1), ("decorator", 1)]
+    assert parsed.value == len(texts)
